@@ -48,12 +48,14 @@ def explode_lines(orders: DataFrame, fields=LINE_FIELDS, keep=None, outer: bool
     unreadable and absent baskets apart.
     """
     keep = [c for c in orders.columns if c != column] if keep is None else list(keep)
-    # Parsed in a step of its own, so that the JSON is read once however often the array is used.
+    # Parsed in a step of its own, so that the JSON is read once however often the array is used. An inner
+    # explode would make Spark test the parsed array in a filter too, and parse again for that.
     parsed = orders.select(*keep, F.col(column).isNull().alias("missing"),
                            lines_of(orders, fields, column).alias("_lines"))
-    marks = [F.col("_lines").isNotNull().alias("readable"), "missing"] if outer else []
-    explode = F.posexplode_outer if outer else F.posexplode
-    rows = parsed.select(*keep, *marks, explode("_lines").alias("pos", "_line"))
+    marks = [F.col("_lines").isNotNull().alias("readable"), F.col("missing")] if outer else []
+    rows = parsed.select(*keep, *marks, F.posexplode_outer("_lines").alias("pos", "_line"))
+    if not outer:
+        rows = rows.where("pos IS NOT NULL")
     return rows.select(*keep, *(["readable", "missing"] if outer else []), "pos",
                        *[typed(F.col("_line"), name).alias(name) for name in fields])
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mostrador.functions.lines import (
-    LINE_FIELDS, basket_problem, basket_rejects, explode_lines, lines_of, parse_lines, quantity, sum_quantities)
+    LINE_FIELDS, basket_problem, basket_rejects, explode_lines, lines_of, quantity, sum_quantities)
 from mostrador.functions.scalars import month_start, month_text
 
 SELLER_LINES, PRODUCT_LINES, BUYER_LINES = 10, 3, 5
@@ -37,12 +37,12 @@ def _units_of_containing_orders(orders: DataFrame) -> DataFrame:
     Containment compares JSON types, so a quoted product id does not count. The distinct ids come from
     within the row, which needs no shuffle and no (order, product) pairs beyond the lines themselves.
     """
-    ids = F.from_json("productos", "ARRAY<STRUCT<idproducto: BIGINT>>")
-    first = F.filter(F.slice(parse_lines(F.col("productos"), ("cantidad",)), 1, SELLER_LINES),
-                     lambda line: quantity(line).isNotNull())
+    parsed = orders.select(
+        F.from_json("productos", "ARRAY<STRUCT<idproducto: BIGINT, cantidad: STRING>>").alias("_lines"))
+    first = F.filter(F.slice("_lines", 1, SELLER_LINES), lambda line: quantity(line).isNotNull())
     units = F.when(F.size(first) > 0, sum_quantities(first))
-    pairs = orders.select(units.alias("_units"), F.explode(F.array_distinct(
-        F.transform(ids, lambda line: line["idproducto"]))).alias("idproducto"))
+    ids = F.array_distinct(F.transform("_lines", lambda line: line["idproducto"]))
+    pairs = parsed.select(units.alias("_units"), F.explode_outer(ids).alias("idproducto"))
     return (pairs.where("idproducto IS NOT NULL").groupBy("idproducto")
             .agg(F.sum("_units").alias("unidades")))
 
@@ -69,29 +69,30 @@ def units_by_product(orders: DataFrame, producto: DataFrame, clave: str = "PER",
             .orderBy(F.desc("total_cantidad_comprada"), "nombre_producto"))
 
 
-def _leading_quantities(orders: DataFrame, n: int) -> list[Column]:
-    """Quantities of lines 0 to n-1: NULL when missing, 0 when an explicit JSON null or not a number."""
-    lines = F.from_json("productos", "ARRAY<MAP<STRING, STRING>>")
-
-    def at(i):
-        line = F.get(lines, i)
-        value = F.element_at(line, "cantidad").try_cast("double")
-        return F.when(F.map_contains_key(line, "cantidad"), F.coalesce(value, F.lit(0.0)))
-
-    return [at(i) for i in range(n)]
-
-
 def _units_by_first_line(orders: DataFrame, guard_first: bool, *keys: Column) -> DataFrame:
-    """Lines 0 to 2 credited to the product of line 0. An unguarded missing first quantity voids the order."""
-    first, *rest = _leading_quantities(orders, PRODUCT_LINES)
-    total = F.coalesce(first, F.lit(0.0)) if guard_first else first
-    for value in rest:
-        total = total + F.coalesce(value, F.lit(0.0))
-    product = F.get(parse_lines(F.col("productos"), ("idproducto",)), 0)["idproducto"].try_cast("bigint")
-    rows = orders.select(product.alias("idproducto"), total.alias("_units"), *keys)
-    names = [c for c in rows.columns if c not in ("idproducto", "_units")]
-    return (rows.where("idproducto IS NOT NULL").groupBy("idproducto", *names)
-            .agg(F.sum("_units").alias("unidades")))
+    """Lines 0 to 2 credited to the product of line 0.
+
+    A missing quantity counts 0, and so does an explicit JSON null or text that is no number. Without
+    ``guard_first``, a first line that has no quantity at all voids the order.
+    """
+    parsed = orders.select(F.from_json("productos", "ARRAY<MAP<STRING, STRING>>").alias("_lines"), *keys)
+    names = [c for c in parsed.columns if c != "_lines"]
+
+    def units(i):
+        line = F.get("_lines", F.lit(i))
+        number = F.coalesce(F.element_at(line, "cantidad").try_cast("double"), F.lit(0.0))
+        if i > 0 or guard_first:
+            return number
+        return F.when(F.map_contains_key(line, "cantidad"), number)
+
+    total = units(0)
+    for i in range(1, PRODUCT_LINES):
+        total = total + units(i)
+    # The first line becomes a row of its own: a test on its product then stays above the parsing.
+    rows = parsed.select(total.alias("_units"), *names, F.explode_outer(F.slice("_lines", 1, 1)).alias("_first"))
+    product = F.element_at("_first", "idproducto").try_cast("bigint")
+    return (rows.groupBy(product.alias("idproducto"), *names).agg(F.sum("_units").alias("unidades"))
+            .where("idproducto IS NOT NULL"))
 
 
 def units_by_product_month(orders: DataFrame, producto: DataFrame, compat: bool = False) -> DataFrame:
@@ -147,7 +148,7 @@ def orders_with_line(orders: DataFrame, field: str, value: str) -> DataFrame:
 def orders_containing(orders: DataFrame, products: DataFrame) -> DataFrame:
     """(order, product) for every listed product an order contains, once however often it is in the basket."""
     ids = F.transform(lines_of(orders, ("idproducto",)), lambda line: line["idproducto"].try_cast("bigint"))
-    held = orders.select("idcompra", F.explode(F.array_distinct(ids)).alias("idproducto"))
+    held = orders.select("idcompra", F.explode_outer(F.array_distinct(ids)).alias("idproducto"))
     return held.join(products, "idproducto", "left_semi").select("idcompra", "idproducto")
 
 

@@ -172,7 +172,9 @@ def personalisation_rows(orders: DataFrame, compat: bool = False) -> DataFrame:
     else:
         personal = F.exists(lines, lambda line: line["tipo_personalizacion"] == "personalizado")
     asked = F.col("detallePersonalizacion")
-    return orders.select(
+    judged = orders.select("idcompra", "detallePersonalizacion", personal.alias("_personal"))
+    personal = F.col("_personal")
+    return judged.select(
         "idcompra",
         *[F.when(personal, asked[name]).alias(name) for name in ("lado_frontal", "lado_trasero")],
         *[F.when(personal, F.coalesce(asked[name], F.lit(""))).alias(name) for name in ("foto", "foto2")])
