@@ -180,8 +180,8 @@ def enrich_lines(orders: DataFrame, producto: DataFrame) -> DataFrame:
 def enrich_orders(orders: DataFrame, users: DataFrame, producto: DataFrame) -> DataFrame:
     """All orders with the buyer's e-mail and named lines; orders of unknown users do not appear."""
     buyers = users.select("iduser", F.col("email").alias("usuario"))
-    return enrich_lines(orders.join(buyers, "iduser").select("idcompra", "usuario", "productos", "total", "fecha"),
-                        producto)
+    named = enrich_lines(orders.select("idcompra", "iduser", "productos", "total", "fecha"), producto)
+    return named.join(buyers, "iduser").select("idcompra", "usuario", "productos", "total", "fecha")
 
 
 def _first_row(df: DataFrame, key: str, order: str, name: str) -> DataFrame:

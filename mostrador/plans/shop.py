@@ -57,17 +57,16 @@ class Shop:
         size = F.when(F.col("l_returnflag") == "A", "S").when(F.col("l_returnflag") == "N", "M").otherwise("L")
         kind = F.when(F.col("l_linestatus") == "F", "personalizado").otherwise("no_personalizado")
         return self.source("lineitem").select(
-            "l_orderkey", *LINE_ORDER, F.col("l_partkey").alias("idproducto"),
+            F.col("l_orderkey").alias("idcompra"), *LINE_ORDER, F.col("l_partkey").alias("idproducto"),
             F.col("l_quantity").cast("int").alias("cantidad"), size.alias("talla"),
             kind.alias("tipo_personalizacion"), F.col("l_extendedprice").cast("decimal(14,2)").alias("total_producto"))
 
     @cached_property
     def lineas(self) -> DataFrame:
         """Order lines as rows; the line number of the source repeats, so the position comes from a full sort key."""
-        place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)) - 1
+        place = F.row_number().over(Window.partitionBy("idcompra").orderBy(*LINE_ORDER)) - 1
         return self._lines.select(
-            F.col("l_orderkey").alias("idcompra"), place.alias("pos"), "idproducto", "cantidad", "talla",
-            "tipo_personalizacion", "total_producto")
+            "idcompra", place.alias("pos"), "idproducto", "cantidad", "talla", "tipo_personalizacion", "total_producto")
 
     @cached_property
     def pedidos(self) -> DataFrame:
@@ -87,15 +86,19 @@ class Shop:
 
     @cached_property
     def cestas(self) -> DataFrame:
-        """Order baskets as JSON text. The sort key comes first in the struct, so sorting gives line order."""
+        """Order baskets as JSON text. The sort key comes first in the struct, so sorting gives line order.
+
+        Collecting shrinks nothing before the shuffle, so the lines are spread by order first.
+        """
         line = F.struct("idproducto", "cantidad", "talla", "tipo_personalizacion", "total_producto")
         lines = F.sort_array(F.collect_list(F.struct(*LINE_ORDER, line.alias("line"))))
-        return (self._lines.groupBy(F.col("l_orderkey").alias("idcompra"))
+        return (self._lines.repartition("idcompra").groupBy("idcompra")
                 .agg(F.to_json(F.transform(lines, lambda e: e["line"])).alias("productos")))
 
     @cached_property
     def compras(self) -> DataFrame:
-        return (self.pedidos.join(self.cestas, "idcompra", "left")
+        # Baskets are as many as orders and already spread by order: merge them there.
+        return (self.pedidos.join(self.cestas.hint("merge"), "idcompra", "left")
                 .withColumn("productos", F.coalesce("productos", F.lit("[]"))))
 
     @cached_property
