@@ -40,17 +40,20 @@ def read_batches(spark: SparkSession, path: str, schema: str, before: int | None
 
 
 def read_orders(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Order requests from JSON-lines files; text that does not parse stays in ``_corrupt_record``."""
+    """Order requests from JSON-lines files, read once or as a stream; see :func:`parse_orders`."""
     reader = spark.readStream if streaming else spark.read
-    return reader.schema(f"{ORDER_REQUEST}, {CORRUPT} STRING").option(
-        "columnNameOfCorruptRecord", CORRUPT).json(path)
+    return parse_orders(reader.text(path))
 
 
 def parse_orders(texts: DataFrame, column: str = "value") -> DataFrame:
-    """Order requests from a text column, as a message queue delivers them."""
+    """Order requests from a text column, as files and message queues deliver them.
+
+    Text that does not parse is kept in ``_corrupt_record``; blank lines are skipped.
+    """
     parsed = F.from_json(F.col(column), f"{ORDER_REQUEST}, {CORRUPT} STRING",
                          {"columnNameOfCorruptRecord": CORRUPT})
-    return texts.select(parsed.alias("o")).select("o.*")
+    # Unpacked by a generator, so that later tests on the fields do not make Spark parse again.
+    return texts.where(F.trim(column) != "").select(F.inline(F.array(parsed)))
 
 
 def split_corrupt(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
