@@ -30,17 +30,20 @@ def sliced_rank(df: DataFrame, group: list[str], slice_of: Column, order: list[C
 
 
 def first_within_quota(df: DataFrame, group: str, quota: str, slot: Column, order: list[Column],
-                       page: int = 4096) -> DataFrame:
-    """The first ``quota`` rows of each group, by ``order``.
+                       page_bits: int = 12) -> DataFrame:
+    """The first ``quota`` rows of each group, by ``order``; the quota is the same in all rows of a group.
 
     ``slot`` is a whole number that never decreases along ``order`` (for instance the second of
-    arrival). Rows are counted per slot and per page of slots; that gives each group the slot where
-    its quota runs out. Earlier slots pass whole, later ones are dropped, and only rows inside one
-    slot are ever sorted. The result is the same as that of one row_number over the group.
+    arrival); rows without one count as first. Rows are counted per slot and per page of slots, which
+    gives each group the slot where its quota runs out. Earlier slots pass whole, later ones are
+    dropped, and only rows inside one slot are ever sorted. The result is the same as that of one
+    row_number over the group.
     """
-    rows = df.withColumn("_slot", slot)
-    per_slot = (rows.groupBy(group, "_slot").agg(F.count("*").alias("_n"), F.max(quota).alias("_quota"))
-                .withColumn("_page", F.floor(F.col("_slot") / page)))
+    rows = df.withColumn("_slot", F.coalesce(slot.cast("bigint"), F.lit(-2**62)))
+    # The quota is a key here, not a maximum, and a page is a shift, which is never NULL: so neither use of
+    # the counts changes what is counted, and they share one shuffle.
+    per_slot = (rows.groupBy(group, F.col(quota).alias("_quota"), "_slot").agg(F.count("*").alias("_n"))
+                .withColumn("_page", F.shiftright("_slot", page_bits)))
     running = Window.partitionBy(group).rowsBetween(Window.unboundedPreceding, 0)
 
     def cut(counts, key):
@@ -50,7 +53,7 @@ def first_within_quota(df: DataFrame, group: str, quota: str, slot: Column, orde
                 .where((F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("_n") < F.col("_quota")))
                 .select(group, key, (F.col("_quota") - F.col("_upto") + F.col("_n")).alias("_left")))
 
-    pages = per_slot.groupBy(group, "_page").agg(F.sum("_n").alias("_n"), F.max("_quota").alias("_quota"))
+    pages = per_slot.groupBy(group, "_quota", "_page").agg(F.sum("_n").alias("_n"))
     in_cut_page = (per_slot.drop("_quota").join(cut(pages, "_page"), [group, "_page"])
                    .withColumnRenamed("_left", "_quota"))
     cuts = cut(in_cut_page, "_slot").withColumnRenamed("_slot", "_cut")

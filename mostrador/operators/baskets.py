@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from mostrador.functions.lines import (
     LINE_FIELDS, basket_problem, basket_rejects, explode_lines, lines_of, quantity, sum_quantities)
 from mostrador.functions.scalars import month_start, month_text
+from mostrador.operators.lookups import lookup
 
 SELLER_LINES, PRODUCT_LINES, BUYER_LINES = 10, 3, 5
 
@@ -149,7 +150,7 @@ def orders_containing(orders: DataFrame, products: DataFrame) -> DataFrame:
     """(order, product) for every listed product an order contains, once however often it is in the basket."""
     ids = F.transform(lines_of(orders, ("idproducto",)), lambda line: line["idproducto"].try_cast("bigint"))
     held = orders.select("idcompra", F.explode_outer(F.array_distinct(ids)).alias("idproducto"))
-    return held.join(products, "idproducto", "left_semi").select("idcompra", "idproducto")
+    return lookup(held, products, "idproducto").select("idcompra", "idproducto")
 
 
 def pack_lines(lines: DataFrame, key: str = "idcompra") -> DataFrame:

@@ -13,7 +13,7 @@ from mostrador.functions.scalars import contains_text, ratio, under_collation
 from mostrador.operators.lookups import lookup
 
 RATINGS = (1, 2, 3, 4, 5)
-SLICES = 1024
+SLICE_BITS = 10
 
 
 def _stars():
@@ -107,15 +107,18 @@ def distinct_keys(products: DataFrame, discounted_only: bool = False, collation:
     return chosen.select("clave").distinct()
 
 
-def related_products(products: DataFrame, anchors: DataFrame, k: int = 4, seed: int = 0) -> DataFrame:
+def related_products(products: DataFrame, anchors: DataFrame, k: int = 4, seed: int = 0,
+                     comments: DataFrame | None = None) -> DataFrame:
     """Up to ``k`` random products of a category for each anchor (idproducto, clave), never the anchor itself.
 
+    With rating when comments are given.
+
     Every category is put in one seeded random order and an anchor takes the ``k`` products after its
     own place, wrapping around: each other product is equally likely, the choice repeats for a seed, and
     no anchor is paired with more than ``k`` products however large its category.
     """
     spot = F.xxhash64("idproducto", F.lit(seed))
-    ranked = sliced_rank(products.select("idproducto", "clave"), ["clave"], F.shiftright(spot, 54),
+    ranked = sliced_rank(products.select("idproducto", "clave"), ["clave"], F.shiftright(spot, 64 - SLICE_BITS),
                          [spot, F.col("idproducto")])
     own = ranked.select("clave", "idproducto", F.col("rank").alias("_own"))
     sizes = products.groupBy("clave").agg(F.count("*").alias("_size"))
@@ -128,4 +131,5 @@ def related_products(products: DataFrame, anchors: DataFrame, k: int = 4, seed:
                      F.explode(wanted).alias("_step"))
              .select("clave", "idancla", F.pmod(F.col("_start") + F.col("_step"), "_size").alias("rank")))
     return (steps.join(ranked.drop("size"), ["clave", "rank"])
-            .select("idancla", "idproducto").join(products, "idproducto"))
+            .select("idancla", "idproducto")
+            .join(products if comments is None else with_rating(products, comments), "idproducto"))

@@ -116,4 +116,5 @@ def replace_role_permission(rolxpermiso: DataFrame, changes: DataFrame) -> tuple
 def delete_pairs(rolxpermiso: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Remove the listed (idrol, idpermiso) pairs; pairs that do not exist are reported."""
     key = ["idrol", "idpermiso"]
-    return rolxpermiso.join(pairs, key, "left_anti"), pairs.select(*key).distinct().join(rolxpermiso, key, "left_anti")
+    pairs = pairs.select(*key).distinct()
+    return rolxpermiso.join(pairs, key, "left_anti"), pairs.join(rolxpermiso.select(*key).distinct(), key, "left_anti")

@@ -180,6 +180,11 @@ def personalisation_rows(orders: DataFrame, compat: bool = False) -> DataFrame:
         *[F.when(personal, F.coalesce(asked[name], F.lit(""))).alias(name) for name in ("foto", "foto2")])
 
 
+def delivery_rows(orders: DataFrame) -> DataFrame:
+    """One delivery row per order request."""
+    return orders.select("idcompra", "detalleEntrega.*")
+
+
 def payment_state(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Current row per (order_id, iduser) of a payment event log, and the events that changed nothing.
 

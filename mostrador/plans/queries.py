@@ -458,7 +458,8 @@ SELECT idproducto AS idancla, least(4, count(*) OVER (PARTITION BY clave) - 1) A
 FROM producto""")
 def _(s):
     """How many products each anchor got, and whether all are others of its category."""
-    found = catalog.related_products(s.producto, s.producto.select("idproducto", "clave"), k=4, seed=7)
+    found = catalog.related_products(s.producto, s.producto.select("idproducto", "clave"), k=4, seed=7,
+                                     comments=s.comentarios)
     anchors = s.producto.select(F.col("idproducto").alias("idancla"), F.col("clave").alias("_clave"))
     return (found.join(anchors, "idancla").groupBy("idancla")
             .agg(F.count_distinct("idproducto").alias("relacionados"),
@@ -1031,15 +1032,26 @@ def _(s):
     return s.spark.read.schema("dia DATE, numero_de_visitas BIGINT").parquet(f"{work}/days")
 
 
-@query("order_intake_stream", PRICED_ORDERS)
-def _(s):
+def _intake(s, rules=None):
+    """Order requests as JSON files, taken in by the stream; gives the folder of its outputs."""
     work = tables.work_dir(s.spark)
     line = "ARRAY<STRUCT<idproducto: BIGINT, cantidad: INT, talla: STRING, tipo_personalizacion: STRING>>"
     s.order_requests.withColumn("productos", F.from_json("productos", line)).repartition(3).write.json(f"{work}/in")
     orders = tables.read_orders(s.spark, f"{work}/in", streaming=True)
-    jobs.start_order_intake(orders, s.users, s.producto, s.cupones, AS_OF, f"{work}/out",
-                            f"{work}/state").awaitTermination()
-    return _priced_heads(s.spark.read.parquet(f"{work}/out/orders"))
+    jobs.start_order_intake(orders, s.users, s.producto, s.cupones, AS_OF, f"{work}/out", f"{work}/state", rules,
+                            s.user_cupones, s.cupones_usados).awaitTermination()
+    return f"{work}/out"
+
+
+@query("order_intake_stream", PRICED_ORDERS)
+def _(s):
+    return _priced_heads(s.spark.read.parquet(f"{_intake(s)}/orders"))
+
+
+@query("order_intake_stream_grants", _grant_sql(RULES, "n.iduser, c.idcupon, n.codigo") + " WHERE c.codigo IS NOT NULL")
+def _(s):
+    out = _intake(s, coupons.grant_rules(s.spark, RULES))
+    return s.spark.read.parquet(f"{out}/grants").drop("batch_id")
 
 
 @query("comment_intake_stream", f"{COMMENTS % ('', '')} {COMMENT_OK}")

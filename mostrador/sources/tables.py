@@ -32,8 +32,10 @@ def read_batches(spark: SparkSession, path: str, schema: str, before: int | None
     """All rows stored by :func:`write_batch`, or those of the batches before ``before``."""
     try:
         rows = spark.read.schema(f"{schema}, batch_id BIGINT").parquet(path)
-    except AnalysisException:  # nothing stored yet
-        return spark.createDataFrame([], schema)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)  # nothing stored yet
     if before is not None:
         rows = rows.where(F.col("batch_id") < before)
     return rows.drop("batch_id")

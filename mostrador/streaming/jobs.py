@@ -12,11 +12,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from mostrador.functions.scalars import month_text
 from mostrador.operators.changes import ingest_comments
-from mostrador.operators.coupons import redeem
-from mostrador.operators.pricing import accepted_parts, checked_orders, payment_state
+from mostrador.operators.coupons import grant_coupons, redeem
+from mostrador.operators.pricing import (
+    accepted_parts, checked_orders, delivery_rows, payment_state, personalisation_rows)
 from mostrador.sources.tables import read_batches, split_corrupt, write_batch, CORRUPT
 
 ACCEPTED = "idsolicitud BIGINT, iduser BIGINT, idcupon BIGINT, codigo STRING, porcentaje {percent}, ts TIMESTAMP_NTZ"
+GRANTS = "iduser BIGINT, idcupon BIGINT, codigo STRING"
 
 
 def daily_visits(visits: DataFrame, lateness: str = "1 day") -> DataFrame:
@@ -48,18 +50,34 @@ def _each_batch(stream: DataFrame, handle, checkpoint: str) -> StreamingQuery:
 
 
 def start_order_intake(orders: DataFrame, users: DataFrame, products: DataFrame, coupons: DataFrame, as_of,
-                       out: str, checkpoint: str) -> StreamingQuery:
-    """Price order requests into ``out``/orders, /lines and /rejects, and unreadable text into /corrupt."""
+                       out: str, checkpoint: str, rules: DataFrame | None = None,
+                       user_cupones: DataFrame | None = None, cupones_usados: DataFrame | None = None) -> StreamingQuery:
+    """Price order requests and store what a checkout writes.
+
+    Below ``out``: orders, lines, rejects and corrupt; delivery and personalisation where the requests
+    carry them; and, when ``rules`` are given with the claims and uses, the coupon grants.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()  # three outputs from one reading; a lost block is read again
+        spark = batch.sparkSession
+        batch = batch.persist()  # several outputs from one reading; a lost block is read again
+        good = batch
         if CORRUPT in batch.columns:
             good, corrupt = split_corrupt(batch)
             write_batch(corrupt, f"{out}/corrupt", batch_id)
-        else:
-            good = batch
         checked = checked_orders(good, users, products, coupons, as_of).persist()
-        for name, part in zip(("orders", "lines", "rejects"), accepted_parts(checked)):
+        priced, lines, rejects = accepted_parts(checked)
+        parts = {"orders": priced, "lines": lines, "rejects": rejects}
+        accepted = checked.where("reason IS NULL")
+        if "detalleEntrega" in checked.columns:
+            parts["delivery"] = delivery_rows(accepted)
+        if "detallePersonalizacion" in checked.columns:
+            parts["personalisation"] = personalisation_rows(accepted.withColumnRenamed("lineas", "productos"))
+        if rules is not None:
+            granted = read_batches(spark, f"{out}/grants", GRANTS, before=batch_id)
+            claims = user_cupones.select("iduser", "idcupon").unionByName(granted.select("iduser", "idcupon"))
+            parts["grants"], parts["missing_grants"] = grant_coupons(lines, rules, coupons, claims, cupones_usados)
+        for name, part in parts.items():
             write_batch(part, f"{out}/{name}", batch_id)
         checked.unpersist()
         batch.unpersist()

@@ -82,6 +82,27 @@ def test_one_parse_per_basket(spark, tmp_path, shop):
         assert len(re.findall(r"from_json\(", plan_of(df))) == 1
 
 
+def test_a_hot_product_is_split(spark, make):
+    """Most lines name one product; with products too large to broadcast, its partition is still divided."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50KB",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        product = F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id") % 1000)
+        basket = F.to_json(F.array(F.struct(product.alias("idproducto"), F.col("id").alias("cantidad"))))
+        orders = spark.range(20000, numPartitions=4).select(F.col("id").alias("idcompra"), basket.alias("productos"))
+        goods = spark.range(1000).select(F.col("id").alias("idproducto"), F.col("id").cast("string").alias("nomprod"))
+        named = baskets.enrich_lines(orders, goods)
+        assert len(named.collect()) == 20000
+        assert "skew=true" in named._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_filters_and_columns_reach_the_scan(shop):
     plan = plan_of(catalog.discounted_products(shop.producto, shop.comentarios).select("idproducto"))
     assert "PushedFilters" in plan and "p_retailprice" not in plan

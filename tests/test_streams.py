@@ -73,6 +73,27 @@ def test_order_intake_equals_batch(spark, shop, tmp_path):
     assert ids(spark.read.parquet(f"{out}/corrupt"), tables.CORRUPT) == ["{broken"]
 
 
+def test_a_checkout_writes_every_part(spark, make, tmp_path, rows):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    users = make("users", "iduser", (1,))
+    goods = make("producto", "idproducto, p_final, clave", (10, 5, "One Piece"))
+    offers = make("cupones", "idcupon, codigo, activo", (4, "ONEPIECE5", True))
+    line = '{"idproducto": 10, "cantidad": 3, "tipo_personalizacion": "personalizado"}'
+    for number, buyer in ((1, 1), (2, 1), (3, 9)):
+        text = (f'{{"idcompra": {number}, "iduser": {buyer}, "fecha": "2024-01-01T10:00:00", "productos": [{line}], '
+                f'"detalleEntrega": {{"pais": "MX"}}, "detallePersonalizacion": {{"lado_frontal": "x"}}}}')
+        spark.createDataFrame([(text,)], "value STRING").coalesce(1).write.mode("append").text(source)
+        jobs.start_order_intake(tables.read_orders(spark, source, streaming=True), users, goods, offers, AS_OF, out, state,
+                                coupons.grant_rules(spark), make("user_cupones", "iduser"),
+                                make("cupones_usados", "iduser")).awaitTermination()
+    part = lambda name, *columns: rows(spark.read.parquet(f"{out}/{name}"), *columns)
+    assert part("orders", "idcompra", "total") == [(1, 15.0), (2, 15.0)]
+    assert part("rejects", "idcompra", "reason") == [(3, "unknown_user")]
+    assert part("delivery", "idcompra", "pais") == [(1, "MX"), (2, "MX")]
+    assert part("personalisation", "idcompra", "lado_frontal", "foto") == [(1, "x", ""), (2, "x", "")]
+    assert part("grants", "iduser", "idcupon", "batch_id") == [(1, 4, 0)]
+
+
 def test_comment_intake_over_batches(spark, make, tmp_path, rows):
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     review = "idcomentario BIGINT, idproducto BIGINT, iduser BIGINT, comentario STRING, calificacion DECIMAL(3,1), fecha TIMESTAMP_NTZ"
