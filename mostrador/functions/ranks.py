@@ -29,37 +29,35 @@ def sliced_rank(df: DataFrame, group: list[str], slice_of: Column, order: list[C
             .drop("_slice", "_place", "_upto", "_n"))
 
 
-def first_within_quota(df: DataFrame, group: str, quota: str, slot: Column, order: list[Column],
-                       page_bits: int = 12) -> DataFrame:
+def first_within_quota(df: DataFrame, group: str, quota: str, slots: list[Column], order: list[Column]) -> DataFrame:
     """The first ``quota`` rows of each group, by ``order``; the quota is the same in all rows of a group.
 
-    ``slot`` is a whole number that never decreases along ``order`` (for instance the second of
-    arrival); rows without one count as first. Rows are counted per slot and per page of slots, which
-    gives each group the slot where its quota runs out. Earlier slots pass whole, later ones are
-    dropped, and only rows inside one slot are ever sorted. The result is the same as that of one
-    row_number over the group.
+    ``slots`` are keys from coarse to fine, never NULL, that together never decrease along ``order`` (for
+    instance hour, second, block of ids). Rows are counted per slot. Going from coarse to fine gives each
+    group the slot where its quota runs out; earlier slots pass whole, later ones are dropped, and only
+    rows within one finest slot are ever sorted. The result is that of one row_number over the group.
     """
-    rows = df.withColumn("_slot", F.coalesce(slot.cast("bigint"), F.lit(-2**62)))
-    # The quota is a key here, not a maximum, and a page is a shift, which is never NULL: so neither use of
-    # the counts changes what is counted, and they share one shuffle.
-    per_slot = (rows.groupBy(group, F.col(quota).alias("_quota"), "_slot").agg(F.count("*").alias("_n"))
-                .withColumn("_page", F.shiftright("_slot", page_bits)))
-    running = Window.partitionBy(group).rowsBetween(Window.unboundedPreceding, 0)
-
-    def cut(counts, key):
-        """The first key at which the running count reaches the quota, and what is left there."""
-        upto = F.sum("_n").over(running.orderBy(key))
-        return (counts.withColumn("_upto", upto)
-                .where((F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("_n") < F.col("_quota")))
-                .select(group, key, (F.col("_quota") - F.col("_upto") + F.col("_n")).alias("_left")))
-
-    pages = per_slot.groupBy(group, "_quota", "_page").agg(F.sum("_n").alias("_n"))
-    in_cut_page = (per_slot.drop("_quota").join(cut(pages, "_page"), [group, "_page"])
-                   .withColumnRenamed("_left", "_quota"))
-    cuts = cut(in_cut_page, "_slot").withColumnRenamed("_slot", "_cut")
+    names = [f"_slot{i}" for i in range(len(slots))]
+    rows = df.withColumns(dict(zip(names, slots)))
+    # The quota is a key here, not a maximum, so that no use of the counts changes what is counted and all
+    # of them share one shuffle.
+    counts = rows.groupBy(group, F.col(quota).alias("_quota"), *names).agg(F.count("*").alias("_n"))
+    inside = counts
+    for depth in range(1, len(names) + 1):
+        prefix = names[:depth]
+        level = inside.groupBy(group, "_quota", *prefix).agg(F.sum("_n").alias("_n"))
+        upto = F.sum("_n").over(Window.partitionBy(group).orderBy(prefix[-1])
+                                .rowsBetween(Window.unboundedPreceding, 0))
+        cut = (level.withColumn("_before", upto - F.col("_n"))
+               .where((F.col("_before") < F.col("_quota")) & (F.col("_before") + F.col("_n") >= F.col("_quota")))
+               .select(group, *prefix, (F.col("_quota") - F.col("_before")).alias("_left")))
+        if depth < len(names):
+            inside = counts.drop("_quota").join(cut, [group, *prefix]).withColumnRenamed("_left", "_quota")
+    slot = F.struct(*names)
+    cuts = cut.select(group, slot.alias("_cut"), "_left")
     reachable = (rows.where(F.col(quota) > 0).join(cuts, group, "left")
-                 .where(F.col("_cut").isNull() | (F.col("_slot") <= F.col("_cut"))))
-    place = F.row_number().over(Window.partitionBy(group, "_slot").orderBy(*order))
+                 .where(F.col("_cut").isNull() | (slot <= F.col("_cut"))))
+    place = F.row_number().over(Window.partitionBy(group, *names).orderBy(*order))
     return (reachable.withColumn("_place", place)
-            .where(F.col("_cut").isNull() | (F.col("_slot") < F.col("_cut")) | (F.col("_place") <= F.col("_left")))
-            .drop("_slot", "_cut", "_left", "_place"))
+            .where(F.col("_cut").isNull() | (slot < F.col("_cut")) | (F.col("_place") <= F.col("_left")))
+            .drop(*names, "_cut", "_left", "_place"))

@@ -11,6 +11,12 @@ def moment(value) -> Column:
     return column.cast("timestamp_ntz")
 
 
+def clock_seconds(ts: Column) -> Column:
+    """Whole seconds from 1970 to a zone-free time, by the clock: no session zone or summer time enters."""
+    days = F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    return days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
 def month_start(column: str) -> Column:
     """First day of the month. Cheaper to group by than formatted text; format after grouping."""
     return F.trunc(F.col(column).cast("date"), "month")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mostrador.functions.ranks import first_within_quota
-from mostrador.functions.scalars import moment
+from mostrador.functions.scalars import clock_seconds, moment
 from mostrador.operators.lookups import lookup
 
 # The shop's grant rules.
@@ -54,28 +54,26 @@ def eligible(requests: DataFrame, cupones: DataFrame, user_cupones: DataFrame, c
             .join(cupones_usados.select("iduser", "idcupon"), ["iduser", "idcupon"], "left_anti"))
 
 
-def arrival_second(ts: Column) -> Column:
-    """Whole seconds since 2000, a slot number that grows with time."""
-    return F.timestamp_diff("SECOND", F.lit("2000-01-01").cast("timestamp_ntz"), ts)
+def _arrival_slots() -> list[Column]:
+    """About an hour, and the second, of arrival, then the exact time and a block of request ids."""
+    second = F.coalesce(clock_seconds(F.col("ts")), F.lit(0))
+    return [F.shiftright(second, 12), second, F.struct("ts", F.shiftright("idsolicitud", 16).alias("block"))]
 
 
-def redeem(requests: DataFrame, cupones: DataFrame, user_cupones: DataFrame, cupones_usados: DataFrame, as_of,
-           slot: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def redeem(requests: DataFrame, cupones: DataFrame, user_cupones: DataFrame, cupones_usados: DataFrame,
+           as_of) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Accept requests in order of arrival while the coupon has uses left, one per user.
 
     Gives (accepted requests, new use rows, new use counts). Same result as one request at a time:
     a refused request consumes nothing, so only each user's first eligible request matters, and of
-    those the first ``usos_maximos - usos_actuales`` of a coupon win. ``slot`` is the number by which a
-    busy coupon is split (see :func:`first_within_quota`); it defaults to the second of arrival.
+    those the first ``usos_maximos - usos_actuales`` of a coupon win, by time and then id.
     """
     good = eligible(requests, cupones, user_cupones, cupones_usados, as_of)
     first = good.groupBy("iduser", "idcupon").agg(F.min(F.struct("ts", "idsolicitud")).alias("_first"))
     quota = cupones.select("idcupon", "codigo", "porcentaje",
                            (F.col("usos_maximos") - F.col("usos_actuales")).alias("_remaining"))
     waiting = first.select("iduser", "idcupon", "_first.*").join(quota, "idcupon")
-    if slot is None:
-        slot = arrival_second(F.col("ts"))
-    accepted = first_within_quota(waiting, "idcupon", "_remaining", slot, [F.col("ts"), F.col("idsolicitud")])
+    accepted = first_within_quota(waiting, "idcupon", "_remaining", _arrival_slots(), [F.col("ts"), F.col("idsolicitud")])
     accepted = accepted.select("idsolicitud", "iduser", "idcupon", "codigo", "porcentaje", "ts")
     new_uses = accepted.select("iduser", "idcupon", F.col("ts").alias("fecha_uso"))
     added = accepted.groupBy("idcupon").agg(F.count("*").alias("_added"))

@@ -40,9 +40,11 @@ def plain(df: DataFrame) -> DataFrame:
         if isinstance(field.dataType, T.DecimalType):
             column = column.cast("double")
         elif isinstance(field.dataType, T.DateType):
-            column = F.date_format(column, "yyyy-MM-dd")
+            column = column.cast("string")
         elif isinstance(field.dataType, (T.TimestampNTZType, T.TimestampType)):
-            column = F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+            # Not date_format, which would move zone-free times through the session zone.
+            text = column.cast("string")
+            column = F.when(text.contains("."), F.rpad(text, 26, "0")).otherwise(F.concat(text, F.lit(".000000")))
         return column.alias(field.name)
     return df.select(*[shown(field) for field in df.schema])
 

@@ -7,10 +7,10 @@ each request counts once. Nothing is kept in the driver between batches.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from mostrador.functions.scalars import month_text
+from mostrador.functions.scalars import clock_seconds, month_text
 from mostrador.operators.changes import ingest_comments
 from mostrador.operators.coupons import grant_coupons, redeem
 from mostrador.operators.pricing import (
@@ -24,12 +24,14 @@ GRANTS = "iduser BIGINT, idcupon BIGINT, codigo STRING"
 def daily_visits(visits: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Streaming visits per closed day; visits later than ``lateness`` are dropped.
 
-    A watermark needs a zoned timestamp: the session zone must be UTC for days to be the shop's days.
+    A watermark needs a zoned timestamp and day windows are cut in UTC, so the clock time is taken as UTC
+    whatever the session zone is.
     """
-    return (visits.select(F.col("ts").cast("timestamp").alias("ts"))
+    day = F.floor(F.unix_seconds(F.col("_day.start")) / 86400).cast("int")
+    return (visits.select(F.timestamp_seconds(clock_seconds(F.col("ts"))).alias("ts"))
             .withWatermark("ts", lateness).groupBy(F.window("ts", "1 day").alias("_day"))
             .agg(F.count("*").alias("numero_de_visitas"))
-            .select(F.col("_day.start").cast("date").alias("dia"), "numero_de_visitas"))
+            .select(F.date_from_unix_date(day).alias("dia"), "numero_de_visitas"))
 
 
 def start_daily_visits(visits: DataFrame, out: str, checkpoint: str, lateness: str = "1 day") -> StreamingQuery:
@@ -104,7 +106,7 @@ def start_comment_intake(comments: DataFrame, existing: DataFrame, out: str, che
 
 
 def start_redemption(requests: DataFrame, cupones: DataFrame, user_cupones: DataFrame, cupones_usados: DataFrame,
-                     as_of, out: str, checkpoint: str, slot: Column | None = None) -> StreamingQuery:
+                     as_of, out: str, checkpoint: str) -> StreamingQuery:
     """Redeem coupons batch by batch; accepted requests go to ``out``.
 
     The stored requests are the use table and, counted, the use counters: no counter is rewritten.
@@ -119,7 +121,7 @@ def start_redemption(requests: DataFrame, cupones: DataFrame, user_cupones: Data
         current = (cupones.join(counted, "idcupon", "left")
                    .withColumn("usos_actuales", F.col("usos_actuales") + F.coalesce("_used", F.lit(0)))
                    .drop("_used"))
-        accepted, _, _ = redeem(batch, current, user_cupones, uses, as_of, slot)
+        accepted, _, _ = redeem(batch, current, user_cupones, uses, as_of)
         write_batch(accepted, out, batch_id)
 
     return _each_batch(requests, handle, checkpoint)

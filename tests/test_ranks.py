@@ -25,13 +25,14 @@ def test_sliced_rank_equals_a_sort(spark):
     assert got == expected
 
 
-@pytest.mark.parametrize("seed,bits", [(1, 12), (2, 3), (3, 0), (4, 6)])
-def test_quota_equals_one_by_one(spark, seed, bits):
+@pytest.mark.parametrize("seed,divisors", [(1, [1]), (2, [50, 1]), (3, [100, 10, 1]), (4, [7])])
+def test_quota_equals_one_by_one(spark, seed, divisors):
     data = hot_rows(seed)
     dice = random.Random(seed + 100)
     quotas = {"hot": 777, "g0": 0, "g1": -3, "g2": 10**6, "g3": 1, "g4": dice.randrange(300)}
     df = spark.createDataFrame([(g, t, i, quotas[g]) for g, t, i in data], "g STRING, t INT, id INT, quota INT")
-    got = {r["id"] for r in first_within_quota(df, "g", "quota", F.col("t"), [F.col("t"), F.col("id")], bits).collect()}
+    got = {r["id"] for r in first_within_quota(
+        df, "g", "quota", [F.floor(F.col("t") / d) for d in divisors], [F.col("t"), F.col("id")]).collect()}
     expected = set()
     for group, quota in quotas.items():
         ordered = sorted((t, i) for g, t, i in data if g == group)
@@ -39,17 +40,18 @@ def test_quota_equals_one_by_one(spark, seed, bits):
     assert got == expected
 
 
-@pytest.mark.parametrize("seed", [5, 6])
-def test_redeem_equals_request_by_request(spark, seed):
+@pytest.mark.parametrize("seed,same_time", [(5, False), (6, False), (7, True)])
+def test_redeem_equals_request_by_request(spark, seed, same_time):
     dice = random.Random(seed)
     offers = [(c, f"C{c}", 10, f"2024-01-{5 + 5 * c:02d} 00:00:00", dice.randrange(0, 40), dice.randrange(0, 5), c != 3)
               for c in range(5)]
     claims = {(u, c) for u in range(60) for c in range(5) if dice.random() < 0.7}
     used = {p for p in claims if dice.random() < 0.2}
     asks = []
-    for i in range(1500):
+    for i in range(0, 1500 * 3000, 3000):
         coupon = 0 if dice.random() < 0.4 else dice.randrange(5)
-        asks.append((i, dice.randrange(60), f"C{coupon}", f"2024-01-{1 + i // 100:02d} 10:{dice.randrange(60):02d}:00.{dice.randrange(10)}"))
+        asks.append((i, dice.randrange(60), f"C{coupon}", "2024-01-01 00:00:00" if same_time else
+                     f"2024-01-{1 + i // 300000:02d} 10:{dice.randrange(60):02d}:00.{dice.randrange(10)}"))
     at = "2024-01-12 00:00:00"
     left = {c: (m - a, active and end >= at) for c, _, _, end, m, a, active in offers}
     done, accepted = set(used), set()
