@@ -87,10 +87,9 @@ def grant_coupons(priced_lines: DataFrame, rules: DataFrame, cupones: DataFrame,
     """Coupons earned by units of a category within one order, as (grants, missing).
 
     A user gets a code once, and not at all if ever claimed or used before. ``missing`` lists earned
-    codes for which no active coupon exists. ``rules`` must be a short table: it is broadcast.
+    codes for which no active coupon exists.
     """
-    rules = F.broadcast(rules)
-    units = (priced_lines.select("idcompra", "iduser", "clave", "cantidad").join(rules, "clave", "left_semi")
+    units = (lookup(priced_lines.select("idcompra", "iduser", "clave", "cantidad"), rules, "clave")
              .groupBy("idcompra", "iduser", "clave").agg(F.sum("cantidad").alias("_units")))
     earned = (units.join(rules, "clave").where(F.col("_units") >= F.col("cantidadRequerida"))
               .select("iduser", F.col("codigoCupon").alias("codigo")).distinct())

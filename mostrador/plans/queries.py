@@ -902,7 +902,8 @@ def _(s):
     return coupons.record_use(s.canjes, s.cupones)[0]
 
 
-@query("welcome_coupons", "SELECT iduser, 7 AS idcupon FROM users")
+@query("welcome_coupons", """
+SELECT u.iduser, c.idcupon FROM users u JOIN cupones c ON c.codigo = 'Brand#7' AND c.activo""")
 def _(s):
     return coupons.welcome_coupons(s.users, s.cupones, "Brand#7")
 

@@ -14,12 +14,22 @@ AS_OF = "2024-01-20"
 CATEGORY = "PROMO"
 RULES = [("PROMO", 60, "Brand#1"), ("SMALL", 40, "Brand#2"), ("SMALL", 60, "Brand#3")]
 LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+LINE_FLAGS = ("l_returnflag", "l_linestatus")
 
 
 def _day(base: str, days) -> F.Column:
     return F.date_add(F.lit(base).cast("date"), days.cast("int")).cast("timestamp_ntz")
 
 
+def _line_fields(column) -> list:
+    """The shop's fields of an order line; ``column`` gives a source column by name."""
+    size = F.when(column("l_returnflag") == "A", "S").when(column("l_returnflag") == "N", "M").otherwise("L")
+    kind = F.when(column("l_linestatus") == "F", "personalizado").otherwise("no_personalizado")
+    return [column("l_partkey").alias("idproducto"), column("l_quantity").cast("int").alias("cantidad"),
+            size.alias("talla"), kind.alias("tipo_personalizacion"),
+            column("l_extendedprice").cast("decimal(14,2)").alias("total_producto")]
+
+
 class Shop:
     def __init__(self, spark: SparkSession, directory: str):
         self.spark, self.directory = spark, directory
@@ -54,19 +64,13 @@ class Shop:
 
     @cached_property
     def _lines(self) -> DataFrame:
-        size = F.when(F.col("l_returnflag") == "A", "S").when(F.col("l_returnflag") == "N", "M").otherwise("L")
-        kind = F.when(F.col("l_linestatus") == "F", "personalizado").otherwise("no_personalizado")
-        return self.source("lineitem").select(
-            F.col("l_orderkey").alias("idcompra"), *LINE_ORDER, F.col("l_partkey").alias("idproducto"),
-            F.col("l_quantity").cast("int").alias("cantidad"), size.alias("talla"),
-            kind.alias("tipo_personalizacion"), F.col("l_extendedprice").cast("decimal(14,2)").alias("total_producto"))
+        return self.source("lineitem").select(F.col("l_orderkey").alias("idcompra"), *LINE_ORDER, *LINE_FLAGS)
 
     @cached_property
     def lineas(self) -> DataFrame:
         """Order lines as rows; the line number of the source repeats, so the position comes from a full sort key."""
         place = F.row_number().over(Window.partitionBy("idcompra").orderBy(*LINE_ORDER)) - 1
-        return self._lines.select(
-            "idcompra", place.alias("pos"), "idproducto", "cantidad", "talla", "tipo_personalizacion", "total_producto")
+        return self._lines.withColumn("pos", place).select("idcompra", "pos", *_line_fields(F.col))
 
     @cached_property
     def pedidos(self) -> DataFrame:
@@ -90,10 +94,10 @@ class Shop:
 
         Collecting shrinks nothing before the shuffle, so the lines are spread by order first.
         """
-        line = F.struct("idproducto", "cantidad", "talla", "tipo_personalizacion", "total_producto")
-        lines = F.sort_array(F.collect_list(F.struct(*LINE_ORDER, line.alias("line"))))
+        lines = F.sort_array(F.collect_list(F.struct(*LINE_ORDER, *LINE_FLAGS)))
+        basket = F.transform(lines, lambda e: F.struct(*_line_fields(lambda name: e[name])))
         return (self._lines.repartition("idcompra").groupBy("idcompra")
-                .agg(F.to_json(F.transform(lines, lambda e: e["line"])).alias("productos")))
+                .agg(F.to_json(basket).alias("productos")))
 
     @cached_property
     def compras(self) -> DataFrame:
