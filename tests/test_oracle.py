@@ -5,10 +5,11 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import DATA
+from mostrador.plans import registry
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -40,5 +41,10 @@ def test_only_random_choice_lacks_sql():
     assert set(QUERIES) - set(SQL) == {"related_products"}
 
 
+def test_entry_has_every_query():
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(SQL) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
