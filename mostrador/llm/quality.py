@@ -20,9 +20,9 @@ from mostrador.llm.common import plain_text, stored, text_partitions
 ORDER = 4
 #: Text bytes of a block, and UTF-16 units looked at together in a task.
 BLOCK_BYTES, UNITS_AT_ONCE = 8 << 20, 4 << 20
-#: A language's limit is this quantile of its trusted documents' bits per symbol plus MARGIN times the distance from
-#: the median; languages with fewer trusted documents than LEAST_TRUSTED take the limit of all languages together.
-QUANTILE, MARGIN, LEAST_TRUSTED, ACCURACY = 0.99, 1.0, 20, 10_000
+#: Bits of a language's trusted documents give its limit, see :func:`limits`; languages with fewer trusted documents
+#: than LEAST_TRUSTED take that of all languages together.
+HIGH, FAR, LEAST_TRUSTED, ACCURACY = 0.9, 0.99, 20, 10_000
 
 
 def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -230,36 +230,63 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def limits(scored: DataFrame, trusted: DataFrame) -> DataFrame:
-    """One row (lang, bits_limit) for each language of ``scored``, the NULL language among them."""
-    known = scored.join(trusted, "doc_id", "left_semi")
-    middle, high = (F.percentile_approx("bits", F.lit(q), F.lit(ACCURACY)) for q in (0.5, QUANTILE))
-    limit = high + MARGIN * (high - middle)
-    by_lang = known.groupBy("lang").agg(limit.alias("own"), F.count("*").alias("n"))
-    overall = known.agg(limit.alias("overall"))
-    langs = scored.select("lang").distinct()
-    own = langs.join(by_lang, langs["lang"].eqNullSafe(by_lang["lang"]), "left").select(
-        langs["lang"], F.when(F.col("n") >= LEAST_TRUSTED, F.col("own")).alias("own"))
-    # One row of overall figures beside the languages.
-    return own.join(overall, F.lit(True), "left").select("lang", F.coalesce("own", "overall").alias("bits_limit"))
+    """One row (lang, middle, high, reach) for each language of ``scored``, the NULL language among them.
+
+    ``middle`` and ``high`` are the median and the HIGH quantile of the trusted documents' bits. A mean over n symbols
+    scatters with one over the root of n, so a document's distance from the middle is taken times that root; ``reach``
+    is the FAR quantile of these distances and once more its own distance from their median.
+    """
+    quantile = lambda c, q: F.percentile_approx(c, F.lit(q), F.lit(ACCURACY))
+    known = scored.join(trusted, "doc_id", "left_semi").withColumn("all", F.lit(True))
+    langs = scored.select("lang").distinct().withColumn("all", F.lit(True))
+
+    def figures(keys: list[str], name: str) -> DataFrame:
+        middle = known.groupBy(*keys).agg(quantile("bits", 0.5).alias("m"), quantile("bits", HIGH).alias("h"),
+                                          F.count("*").alias("n"))
+        apart = known.join(middle.withColumnsRenamed({k: f"_{k}" for k in keys}),
+                           F.col(keys[0]).eqNullSafe(F.col(f"_{keys[0]}")))
+        distance = (F.col("bits") - F.col("m")) * F.sqrt("n_symbols")
+        far = quantile(distance, FAR)
+        return apart.groupBy(*keys).agg(F.struct(
+            F.first("m").alias("middle"), F.first("h").alias("high"),
+            (far + far - quantile(distance, 0.5)).alias("reach"), F.first("n").alias("n")).alias(name))
+    own = figures(["lang"], "own").withColumnRenamed("lang", "_lang")
+    every = figures(["all"], "every").withColumnRenamed("all", "_all")
+    both = (langs.join(own, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+            .join(every, F.col("all") == F.col("_all"), "left"))
+    chosen = F.when(F.col("own.n") >= LEAST_TRUSTED, F.col("own")).otherwise(F.col("every"))
+    return both.select("lang", chosen.alias("c")).select("lang", "c.middle", "c.high", "c.reach")
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, lang, n_symbols, bits, perplexity, bits_limit, kept.
 
     The model is trained on the texts that ``labels`` marks with quality 1, all of them. Perplexity is 2 to the power
-    of bits. Documents with bits above their language's limit are rejected. A NULL text is empty; the empty text has
-    one symbol, its end. A NULL language is one of its own. Without a trusted text the limit is NULL and all stay.
-    Repeated rows are scored each; repeated labels count once; other columns are not looked at.
+    of bits. Documents with bits above their limit are rejected: the greater of their language's high quantile and
+    its middle plus its reach over the root of their number of symbols, as :func:`limits` has them. A NULL text is
+    empty; the empty text has one symbol, its end. A NULL language is one of its own. Without a trusted text the limit
+    is NULL and all stay. Repeated rows are scored each; repeated labels count once; other columns are not looked at.
     """
     trusted = stored(labels.where("quality = 1").select("doc_id").distinct())
     model = Model(gram_counts(docs.join(trusted, "doc_id", "left_semi")))
     scored = stored(scores(docs, model))
     limit = limits(scored, trusted).withColumnRenamed("lang", "_lang")
-    return scored.join(limit, F.col("lang").eqNullSafe(F.col("_lang")), "left").select(
+    judged = scored.join(limit, F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn(
+        "bits_limit", F.greatest("high", F.col("middle") + F.col("reach") / F.sqrt("n_symbols")))
+    return judged.select(
         "doc_id", "lang", "n_symbols", "bits", F.pow(F.lit(2.0), F.col("bits")).alias("perplexity"), "bits_limit",
         F.coalesce(F.col("bits") <= F.col("bits_limit"), F.lit(True)).alias("kept"))
 
 
+def kept_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose document stays, with all their columns.
+
+    Rows that share a doc_id stay or go together: they go when one of them is rejected. A NULL doc_id stays.
+    """
+    gone = judge(docs, labels).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def plain_bits(trusted: list[str], text: str) -> float:
     """The mean bits per symbol of one text, computed straight from the definition; for tests."""
     def windows(t: str, order: int) -> list[tuple[int, ...]]:
