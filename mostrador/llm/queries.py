@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from mostrador.llm import bpe, chat, exact_dedup, quality
+from mostrador.llm import bpe, chat, exact_dedup, near_dedup, quality
 from mostrador.llm.common import plain_text, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -82,3 +82,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_quality")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_near_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
