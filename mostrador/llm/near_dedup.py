@@ -94,10 +94,11 @@ def agreeing(x: Column, y: Column) -> Column:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """Rows (token, node): each signature under its rarest coordinate values.
+    """Rows (token, node, central): each signature under its rarest coordinate values.
 
     Two signatures that agree in AGREEING places share one of the PREFIX values that come first by frequency; only
-    these are posted. Values that one signature alone has come first of all and are not posted, as nobody meets there.
+    these are posted. Values that one signature alone has come first of all and are not posted, as nobody meets there;
+    ``central`` is their number.
     """
     tokens = classes.select("node", F.posexplode("signature").alias("place", "value")).select(
         "node", (F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(
@@ -106,7 +107,8 @@ def postings(classes: DataFrame) -> DataFrame:
     ranked = tokens.join(shared, "token").groupBy("node").agg(
         F.sort_array(F.collect_list(F.struct("n", "token"))).alias("values"))
     kept = F.greatest(F.size("values") - (COORDINATES - PREFIX), F.lit(0))
-    return ranked.select("node", F.explode(F.slice("values", F.lit(1), kept)).alias("v")).select("node", F.col("v.token").alias("token"))
+    return ranked.select("node", (COORDINATES - F.size("values")).alias("central"), F.explode(
+        F.slice("values", F.lit(1), kept)).alias("value")).select("node", "central", F.col("value.token").alias("token"))
 
 
 def confirmed(pairs: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFrame:
@@ -119,49 +121,76 @@ def confirmed(pairs: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataF
     return both.where(100 * common >= SHARE * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
 
 
+def able(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of ``lists`` whose node can still be linked with a node of another component, with its size and shared.
+
+    ``shared`` counts a node's shingles that some other component of the lists has too: no common set is larger. With
+    that, SHARE per cent are out of reach of every other set above a certain size, and a node that cannot reach the
+    smallest set of its list is dropped from the list.
+    """
+    open_ = lists.select("node", "component").distinct()
+    held = sets.join(open_, "node").select(
+        F.xxhash64("node").alias("short"), F.xxhash64("component").alias("of"), F.explode("members").alias("shingle"))
+    common = held.groupBy("shingle").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high")
+    shared = held.join(common, "shingle", "left_semi").groupBy("short").agg(F.count("*").alias("shared"))
+    known = sets.join(open_, "node", "left_semi").select("node", F.size("members").cast("long").alias("size"),
+                                                         F.xxhash64("node").alias("short")).join(shared, "short")
+    sized = lists.select("token", "node", "component").join(known.select("node", "size", "shared"), "node")
+    least = sized.groupBy("token").agg(F.min("size").alias("least"))
+    return sized.join(least, "token").where(reaches("", "least")).drop("least")
+
+
+def reaches(side: str, size: str) -> Column:
+    """Whether a common set of at most ``shared`` shingles can be SHARE per cent of the union with a set of ``size``."""
+    return F.expr(f"{SHARE} * {size} <= {100 + SHARE} * {side}shared - {SHARE} * {side}size")
+
+
 def links(posts: DataFrame, signatures: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Confirmed links enough to join all that belong together, and the components (node, component) they make.
 
-    In each round every node of a posting list is compared with one member of it, drawn anew; lists whose nodes have
-    all come together need no more. So a large group of near copies costs a few pairs for each member. When few pairs
-    of different components are left, or a round finds no link, all of these are compared: no link is lost.
+    In each round every node of a posting list is compared with the list's most central node, and lists whose nodes
+    have all come together, or cannot, need no more (:func:`able`). So a large group of near copies costs a few pairs
+    for each member. Once few pairs of different components are left, or a round finds no link, all that could be
+    linked are compared: no link is lost.
     """
     nodes = signatures.select("node")
-    found, round_ = None, 0
-    lists = stored(posts.withColumn("component", F.col("node")))
-    joined = None
+    lists = posts.withColumns({"component": F.col("node"), "size": F.lit(1), "shared": F.lit(1)})
+    found, labels, first = None, None, True
     while True:
         open_ = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(
             "low <> high").select("token")
-        lists = stored(lists.join(open_, "token", "left_semi"))
+        lists = lists.join(open_, "token", "left_semi")
+        lists = stored(lists if first else able(stored(lists), sets))
         parts = lists.groupBy("token", "component").agg(F.count("*").cast("double").alias("n")).groupBy("token").agg(
             F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        left = parts.agg(F.sum("all").alias("posts"), F.sum((F.col("all") * F.col("all") - F.col("own")) / 2).alias("pairs")).first()
-        if not left.posts:
+        left = parts.agg(F.sum("all").alias("posts"),
+                         F.sum((F.col("all") * F.col("all") - F.col("own")) / 2).alias("pairs")).first()
+        if not left.pairs:
             break
-        last = left.pairs <= 2 * left.posts or (joined is not None and not joined)
+        last = not first and left.pairs <= 2 * left.posts or found is not None and not joined
         if last:
-            other = lists.select("token", F.col("node").alias("b"), F.col("component").alias("with"))
-            pairs = lists.join(other, "token").where("component < with").select(F.col("node").alias("a"), "b")
+            pairs = lists.alias("x").join(lists.alias("y"), F.expr("x.token = y.token and x.component < y.component")
+                                          & reaches("x.", "y.size") & reaches("y.", "x.size"))
+            pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         else:
-            draw = F.struct(F.xxhash64(F.lit(round_), "node").alias("draw"), F.col("node"), F.col("component"))
-            drawn = lists.groupBy("token").agg(F.min(draw).alias("hub"))
-            pairs = lists.join(drawn, "token").where("component <> hub.component").select(
+            central = F.col("central") if first else -F.col("shared") / F.col("size")
+            hub = F.min(F.struct(central.alias("far"), F.col("node"), F.col("component"))).alias("hub")
+            hubs = lists.groupBy("token").agg(hub)
+            pairs = lists.join(hubs, "token").where("component <> hub.component").select(
                 F.col("node").alias("a"), F.col("hub.node").alias("b"))
         new = stored(confirmed(pairs.distinct(), signatures, sets))
-        joined, found, round_ = not new.isEmpty(), new if found is None else found.union(new), round_ + 1
+        joined, first = not new.isEmpty(), False
+        found = new if found is None else found.union(new)
         if joined:
-            ends = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node")))
-            labels = components(found, ends)
+            labels = components(found, found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))))
         if last:
             break
         if joined:
-            lists = lists.drop("component").join(labels, "node", "left").select(
-                "token", "node", F.coalesce("component", "node").alias("component"))
-    if found is None or found.isEmpty():
-        return signatures.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), nodes.limit(0).withColumn(
-            "component", F.col("node"))
-    return found, labels
+            lists = lists.drop("component").join(labels, "node", "left").withColumn(
+                "component", F.coalesce("component", "node"))
+    if labels is None:
+        labels = nodes.limit(0).withColumn("component", F.col("node"))
+    return found if found is not None else nodes.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b")), labels
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
