@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from mostrador.llm import bpe, chat, exact_dedup, near_dedup, quality
+from mostrador.llm import bpe, chat, exact_dedup, mixing, near_dedup, quality
 from mostrador.llm.common import plain_text, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -87,3 +87,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_near_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op6_mixing", mixing.sql())
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.sampling(table(spark, sf_dir, "documents"))
+    return drawn.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
