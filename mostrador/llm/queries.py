@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from mostrador.llm import bpe, chat, exact_dedup, mixing, near_dedup, quality, spotsigs, suffix_dedup, toxicity
+from mostrador.llm import bpe, chat, exact_dedup, licences, mixing, near_dedup, quality, spotsigs, suffix_dedup, toxicity
 from mostrador.llm.common import plain_text, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -114,3 +114,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_fingerprints")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op8_licences", licences.sql())
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = licences.bound_files(table(spark, sf_dir, "documents"))
+    return files.select("doc_id", "path").join(licences.scan(files.select("path", "text")), "path").select(
+        "doc_id", "path", "licence", "score", "how", "from_path")
