@@ -53,8 +53,7 @@ def duplicate_groups(docs: DataFrame, column: str = "text") -> DataFrame:
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows with equal doc_id and text any one."""
-    kept = duplicate_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    rows = docs.withColumns({"_sha": F.sha2(plain_text("text"), 256)}).join(kept, "_sha", "left_semi")
-    last = rows.join(kept.withColumnRenamed("_sha", "_of"),
-                     F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_of")), "left_semi")
-    return last.dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+    kept = duplicate_groups(docs).where("kept").select("doc_id", "text_sha256")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("of"), F.sha2(plain_text("text"), 256).alias("sha"))
+    same = F.col("sha").eqNullSafe(F.col("text_sha256")) & F.col("of").eqNullSafe(F.col("doc_id"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["of", "sha"]).select("row.*")

@@ -106,10 +106,11 @@ def sampling(docs: DataFrame, targets: dict[str, DataFrame] | None = None) -> Da
 
 def sampled_rows(docs: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """The rows of ``docs`` that are drawn, with all their columns."""
-    rows = measured(docs)
+    rows = measured(docs.select(F.struct("*").alias("row"), "doc_id", "text", "source", "lang"))
     small = stored(rows.select(*[f"_{d}" for d in DIMENSIONS], "_tokens"))
-    chance = cell_chances(small, targets).select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], F.col("probability").alias("_p"))
-    return rows.join(chance, [f"_{d}" for d in DIMENSIONS]).where(draw(F.col("doc_id")) < F.col("_p")).select(*docs.columns)
+    chance = cell_chances(small, targets).select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "probability")
+    drawn = rows.join(chance, [f"_{d}" for d in DIMENSIONS]).where(draw(F.col("doc_id")) < F.col("probability"))
+    return drawn.select("row.*")
 
 
 def sql() -> str:
