@@ -43,7 +43,14 @@ def ratio(total: Column, count: Column, digits: int) -> Column:
 
 
 def percent(part: Column, whole: Column, digits: int) -> Column:
-    return F.round(F.try_divide(part, whole) * 100, digits).cast(f"decimal(9,{digits})")
+    """``part`` as a percentage of ``whole``. Refunds may bring the whole near 0 and a share far beyond 100."""
+    return F.round(F.try_divide(part, whole) * 100, digits).try_cast(f"decimal(38,{digits})")
+
+
+def exact_decimal(column: Column, kind: str) -> Column:
+    """A number as a decimal type; NULL where that would round it or does not fit."""
+    as_decimal = column.try_cast(kind)
+    return F.when(as_decimal.cast("double") == column.try_cast("double"), as_decimal)
 
 
 def contains_text(column: Column, text: str, raw_pattern: bool = False) -> Column:

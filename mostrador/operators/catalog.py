@@ -117,8 +117,10 @@ def related_products(products: DataFrame, anchors: DataFrame, k: int = 4, seed:
     own place, wrapping around: each other product is equally likely, the choice repeats for a seed, and
     no anchor is paired with more than ``k`` products however large its category.
     """
-    spot = F.xxhash64("idproducto", F.lit(seed))
-    ranked = sliced_rank(products.select("idproducto", "clave"), ["clave"], F.shiftright(spot, 64 - SLICE_BITS),
+    # 60 bits of a digest, which other engines can compute as well.
+    digest = F.substring(F.md5(F.concat_ws(":", F.col("idproducto").cast("string"), F.lit(str(seed)))), 1, 15)
+    spot = F.conv(digest, 16, 10).cast("bigint")
+    ranked = sliced_rank(products.select("idproducto", "clave"), ["clave"], F.shiftright(spot, 60 - SLICE_BITS),
                          [spot, F.col("idproducto")])
     own = ranked.select("clave", "idproducto", F.col("rank").alias("_own"))
     sizes = products.groupBy("clave").agg(F.count("*").alias("_size"))

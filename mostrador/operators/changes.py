@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from mostrador.functions.scalars import is_set, month_start, month_text
 
@@ -61,47 +61,48 @@ def ingest_comments(new: DataFrame, existing: DataFrame, compat: bool = False) -
 
 def apply_changes(table: DataFrame, changes: DataFrame, key, op_col: str = "op",
                   order_col: str = "seq") -> tuple[DataFrame, DataFrame]:
-    """The table after a batch of ``insert``, ``update`` and ``delete`` rows, and the keys that matched nothing.
-
-    Changes take effect in ``order_col`` order. They may hold only some of the table's columns: the
-    others keep their value on update and are NULL on insert. An update reaches every row of its key.
-    The batch is first reduced to one row per key, so many changes of one key cost no single task; the
-    table itself is not shuffled as long as the reduced batch is small enough for Spark to broadcast.
+    """The table after a batch of ``insert``, ``update`` and ``delete`` rows, and the changes that matched nothing.
+
+    The result is that of the changes one by one in ``order_col`` order, which is unique within a key: an insert on
+    a key that exists and an update or delete of one that does not change nothing and are reported, as
+    ``key_exists``, ``no_such_key`` or, for any other operation, ``unknown_op``. Changes may hold only some of the
+    table's columns: the others keep their value on update and are NULL on insert. An update reaches every row of
+    its key. Two mergeable sums reduce the batch to one row per key, so many changes of one key cost no single task
+    and the table is not shuffled as long as that is small enough for Spark to broadcast; only the report walks
+    through the changes of a key in order.
     """
     key = [key] if isinstance(key, str) else list(key)
     columns = [c for c in table.columns if c in changes.columns and c not in key]
-    if not columns:
-        changes = changes.withColumn("_none", F.lit(None).cast("string"))
+    asked = changes if columns else changes.withColumn("_none", F.lit(None).cast("string"))
     row = F.struct(*(columns or ["_none"]))
-    order = F.col(order_col)
-
-    def last(op):
-        return F.when(F.col(op_col) == op, order)
-
-    net = changes.groupBy(*key).agg(
-        F.max(last("delete")).alias("_deleted"), F.max(last("insert")).alias("_inserted"),
-        F.max(last("update")).alias("_updated"),
-        F.max_by(row, last("insert")).alias("_insert"), F.max_by(row, last("update")).alias("_update"))
-    after_delete = F.col("_deleted").isNull() | (F.col("_inserted") > F.col("_deleted"))
-    born = F.col("_inserted").isNotNull() & after_delete
-    present = table.select(*key).join(net.select(*key), key, "left_semi").distinct().withColumn("_present", F.lit(True))
-    net = net.join(present, key, "left")
-    # A live row in the table takes the last update; a key that starts in this batch takes its last insert first.
-    stays = F.col("_deleted").isNull()
-    touched = table.join(net.drop("_present"), key, "left")
-    kept = touched.where(F.coalesce(stays, F.lit(True))).select(*[
+    op, order = F.col(op_col), F.col(order_col)
+    present = table.select(*key).join(changes.select(*key), key, "left_semi").distinct().withColumn("_present", F.lit(True))
+    ends = changes.groupBy(*key).agg(F.max(F.when(op == "delete", order)).alias("_deleted")).join(present, key, "left")
+    # What counts comes after the last delete. Where there is none, a key of the table lives on and inserts do nothing.
+    since = F.col("_deleted").isNull() | (order > F.col("_deleted"))
+    lives = F.col("_deleted").isNull() & F.col("_present").isNotNull()
+    inserted, updated = (op == "insert") & since & ~lives, (op == "update") & since
+    net = asked.join(ends, key).groupBy(*key).agg(
+        F.max("_deleted").alias("_deleted"), F.min(F.when(inserted, order)).alias("_inserted"),
+        F.max(F.when(updated, order)).alias("_updated"),
+        F.min_by(row, F.when(inserted, order)).alias("_insert"), F.max_by(row, F.when(updated, order)).alias("_update"))
+    touched = table.join(net, key, "left")
+    kept = touched.where("_deleted IS NULL").select(*[
         F.when(F.col("_updated").isNotNull(), F.col(f"_update.{c}")).otherwise(F.col(c)).alias(c)
         if c in columns else F.col(c) for c in table.columns])
-    starts = born & (F.col("_present").isNull() | F.col("_deleted").isNotNull())
     changed_since = F.col("_updated") > F.col("_inserted")
-    started = net.where(starts).select(*[
+    started = net.where("_inserted IS NOT NULL").select(*[
         F.col(c) if c in key
         else F.when(changed_since, F.col(f"_update.{c}")).otherwise(F.col(f"_insert.{c}")).alias(c) if c in columns
         else F.lit(None).cast(table.schema[c].dataType).alias(c) for c in table.columns])
-    unmatched = F.col("_inserted").isNull() & F.col("_present").isNull()
-    late = F.coalesce(F.col("_updated") > F.col("_deleted"), F.lit(False)) & ~F.coalesce(born, F.lit(False))
-    missing = net.where(unmatched | late).select(*key)
-    return kept.unionByName(started), missing
+    before = Window.partitionBy(*key).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    made = F.last(F.when(op == "insert", True).when(op == "delete", False), ignorenulls=True).over(before)
+    exists = F.coalesce("_made", "_present", F.lit(False))
+    reason = (F.when(~F.coalesce(op.isin("insert", "update", "delete"), F.lit(False)), "unknown_op")
+              .when((op == "insert") & exists, "key_exists").when((op != "insert") & ~exists, "no_such_key"))
+    unmatched = (changes.withColumn("_made", made).join(present, key, "left")
+                 .select(*changes.columns, reason.alias("reason")).where("reason IS NOT NULL"))
+    return kept.unionByName(started), unmatched
 
 
 def replace_role_permission(rolxpermiso: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -110,7 +111,8 @@ def replace_role_permission(rolxpermiso: DataFrame, changes: DataFrame) -> tuple
     Rows whose permission is missing are left out, as the shop front refuses them.
     """
     valid = changes.where("idpermiso IS NOT NULL").withColumn("op", F.lit("update"))
-    return apply_changes(rolxpermiso, valid, "idrol")
+    table, unmatched = apply_changes(rolxpermiso, valid, "idrol")
+    return table, unmatched.select("idrol").distinct()
 
 
 def delete_pairs(rolxpermiso: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:

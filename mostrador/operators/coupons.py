@@ -8,7 +8,7 @@ from mostrador.functions.ranks import first_within_quota
 from mostrador.functions.scalars import clock_seconds, moment
 from mostrador.operators.lookups import lookup
 
-# The shop's grant rules.
+# The shop's grant rules and welcome code.
 GRANT_RULES = [
     ("One Piece", 3, "ONEPIECE5"),
     ("Dragon Ball", 2, "SAIYAN2"),
@@ -45,13 +45,17 @@ def eligible(requests: DataFrame, cupones: DataFrame, user_cupones: DataFrame, c
              as_of) -> DataFrame:
     """Requests (idsolicitud, iduser, codigo, ts) for a running coupon with uses left, claimed and not yet used.
 
-    ``as_of`` may be a column of the requests, to judge each request at its own time.
+    ``as_of`` may be a column of the requests, to judge each request at its own time. Where several coupons share
+    a code, a request takes the one with the lowest id among those that suit it.
     """
     offers = cupones.where("usos_maximos > usos_actuales").select(
         "codigo", "idcupon", "porcentaje", "usos_maximos", "usos_actuales", "activo", "fecha_expiracion")
-    return (requests.join(offers, "codigo").where(_running(as_of)).drop("activo", "fecha_expiracion")
+    good = (requests.join(offers, "codigo").where(_running(as_of)).drop("activo", "fecha_expiracion")
             .join(user_cupones.select("iduser", "idcupon"), ["iduser", "idcupon"], "left_semi")
             .join(cupones_usados.select("iduser", "idcupon"), ["iduser", "idcupon"], "left_anti"))
+    coupon = ("idcupon", "porcentaje", "usos_maximos", "usos_actuales")
+    return good.groupBy(*requests.columns).agg(F.min(F.struct(*coupon)).alias("_coupon")).select(
+        *requests.columns, "_coupon.*")
 
 
 def _arrival_slots() -> list[Column]:
@@ -93,10 +97,12 @@ def grant_coupons(priced_lines: DataFrame, rules: DataFrame, cupones: DataFrame,
              .groupBy("idcompra", "iduser", "clave").agg(F.sum("cantidad").alias("_units")))
     earned = (units.join(rules, "clave").where(F.col("_units") >= F.col("cantidadRequerida"))
               .select("iduser", F.col("codigoCupon").alias("codigo")).distinct())
-    codes = cupones.select("idcupon", "codigo")
-    had = [table.select("iduser", "idcupon").join(codes, "idcupon").select("iduser", "codigo")
-           for table in (user_cupones, cupones_usados)]
-    new = earned.join(had[0], ["iduser", "codigo"], "left_anti").join(had[1], ["iduser", "codigo"], "left_anti")
+    # Only the rules' few codes matter, so claims and uses are reduced to these before they are shuffled.
+    wanted = rules.select(F.col("codigoCupon").alias("codigo")).distinct()
+    codes = cupones.select("idcupon", "codigo").join(wanted, "codigo", "left_semi")
+    pairs = user_cupones.select("iduser", "idcupon").unionByName(cupones_usados.select("iduser", "idcupon"))
+    had = pairs.join(codes, "idcupon").select("iduser", "codigo")
+    new = earned.join(had, ["iduser", "codigo"], "left_anti")
     active = cupones.where("activo").groupBy("codigo").agg(F.min("idcupon").alias("idcupon"))
     return (new.join(active, "codigo").select("iduser", "idcupon", "codigo"),
             new.join(active, "codigo", "left_anti").select("iduser", "codigo"))

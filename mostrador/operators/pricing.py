@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from mostrador.functions.lines import explode_lines, lines_of
-from mostrador.functions.scalars import is_set
+from mostrador.functions.scalars import exact_decimal, is_set
 from mostrador.operators.coupons import checkout_coupons
 
 REQUEST_FIELDS = ("idproducto", "cantidad", "talla", "tipo_personalizacion")
+QUANTITY = "decimal(12,3)"
 LINE_MONEY = "decimal(20,6)"
 ORDER_MONEY = "decimal(16,2)"
 
@@ -20,21 +21,28 @@ def final_price(products: DataFrame) -> DataFrame:
     return products.withColumn("p_final", (price * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(14,4)"))
 
 
-def _baskets(orders: DataFrame, products: DataFrame) -> DataFrame:
+def _repeated(orders: DataFrame, key: str) -> DataFrame:
+    """Keys that more than one row has. Only keys are shuffled, one per task and value."""
+    counts = orders.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows"))
+    return counts.where("_rows > 1").select(key, F.lit(True).alias("_repeated"))
+
+
+def _baskets(orders: DataFrame, products: DataFrame, key: str) -> DataFrame:
     """One row per order with its lines at list conditions, their sum, and what is wrong with them.
 
     Products are joined line by line (adaptive execution splits a hot product) and the lines are gathered
-    once, by order. Prices have four decimals and quantities three, so line money is exact.
+    once, by the key, which must be unique. Prices have four decimals and quantities three, so line money is
+    exact; a quantity that does not fit is refused, not rounded.
     """
-    lines = (explode_lines(orders, REQUEST_FIELDS, ["idcompra"], outer=True)
-             .withColumn("cantidad", F.col("cantidad").try_cast("decimal(12,3)")))
+    lines = (explode_lines(orders, REQUEST_FIELDS, [key], outer=True)
+             .withColumn("cantidad", exact_decimal(F.col("cantidad"), QUANTITY)))
     prices = products.select("idproducto", F.col("p_final").cast("decimal(14,4)").alias("_price"), "clave",
                              F.lit(True).alias("_known"))
     money = (F.col("_price") * F.col("cantidad")).try_cast("decimal(22,7)")
     priced = lines.join(prices, "idproducto", "left").withColumn("total_producto", money)
     line = F.struct("pos", "idproducto", "cantidad", "talla", "tipo_personalizacion", "total_producto", "clave")
     is_line = F.col("pos").isNotNull()
-    per_order = priced.groupBy("idcompra").agg(
+    per_order = priced.groupBy(key).agg(
         F.sum("total_producto").alias("_sum"),
         F.bool_or("missing").alias("_missing"), F.bool_and("readable").alias("_readable"),
         F.count("pos").alias("_n"),
@@ -44,25 +52,29 @@ def _baskets(orders: DataFrame, products: DataFrame) -> DataFrame:
     problem = (F.when(F.col("_missing"), "basket_missing").when(~F.col("_readable"), "basket_unreadable")
                .when(F.col("_n") == 0, "empty_basket").when(F.col("_unknown"), "unknown_product")
                .when(F.col("_unpriced"), "bad_quantity"))
-    return per_order.select("idcompra", "_sum", "lineas", problem.alias("_problem"))
+    return per_order.select(key, "_sum", "lineas", problem.alias("_problem"))
 
 
-def _checked(orders: DataFrame, headers: DataFrame, products: DataFrame, header_problem) -> DataFrame:
+def _checked(orders: DataFrame, headers: DataFrame, products: DataFrame, header_problem, key: str = "idcompra") -> DataFrame:
     """Headers with their priced lines, and ``reason`` set on the orders to refuse.
 
     ``_percent`` on the headers is the discount. It is the same for a whole order, so it is applied after
-    the lines are gathered and the lines never have to meet users or coupons.
+    the lines are gathered and the lines never have to meet users or coupons. Rows without a key, and all rows
+    that share one, are refused before their baskets are opened, so no two baskets ever mix.
     """
+    repeated = _repeated(orders, key)
+    single = orders.select(key, "productos").where(F.col(key).isNotNull()).join(repeated, key, "left_anti")
     factor = ((F.lit(100) - F.col("_percent")) * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(5,4)")
     discounted = F.transform("lineas", lambda line: line.withField(
         "total_producto", (line["total_producto"] * F.col("_factor")).cast(LINE_MONEY)))
+    key_problem = F.when(F.col(key).isNull(), "missing_order_id").when(F.col("_repeated"), "repeated_order")
     return (headers.withColumn("_factor", factor).withColumn("_header_problem", header_problem)
-            .join(_baskets(orders.select("idcompra", "productos"), products), "idcompra")
+            .join(repeated, key, "left").join(_baskets(single, products, key), key, "left")
             .withColumn("total", (F.col("_sum") * F.col("_factor")).try_cast(ORDER_MONEY))
             .withColumn("lineas", discounted)
             .withColumn("reason", F.coalesce(
-                "_header_problem", "_problem", F.when(F.col("total").isNull(), "bad_quantity")))
-            .drop("_sum", "_factor", "_percent", "_problem", "_header_problem"))
+                key_problem, "_header_problem", "_problem", F.when(F.col("total").isNull(), "bad_quantity")))
+            .drop("_sum", "_factor", "_percent", "_problem", "_header_problem", "_repeated"))
 
 
 def checked_orders(orders: DataFrame, users: DataFrame, products: DataFrame, coupons: DataFrame, as_of) -> DataFrame:
@@ -82,16 +94,16 @@ def checked_orders(orders: DataFrame, users: DataFrame, products: DataFrame, cou
     return _checked(orders, headers, products, problem).drop("_buyer", "_coupon")
 
 
-def accepted_parts(checked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def accepted_parts(checked: DataFrame, key: str = "idcompra") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Split checked orders into order rows with their JSON basket, line rows, and refused orders."""
     good = checked.where("reason IS NULL")
     basket = F.to_json(F.transform("lineas", lambda line: line.dropFields("pos")))
-    head = [c for c in ("idcompra", "iduser", "fecha", "codigoCupon") if c in checked.columns]
+    keys = list(dict.fromkeys(c for c in (key, "idcompra") if c in checked.columns))
+    head = keys + [c for c in ("iduser", "fecha", "codigoCupon") if c in checked.columns]
+    owner = keys + [c for c in ("iduser",) if c in checked.columns]
     orders = good.select(*head, "total", basket.alias("productos"))
-    lines = good.select("idcompra", *[c for c in ("iduser",) if c in checked.columns],
-                        F.explode("lineas").alias("_l")).select(
-        "idcompra", *[c for c in ("iduser",) if c in checked.columns], "_l.*")
-    return orders, lines, checked.where("reason IS NOT NULL").select("idcompra", "reason")
+    lines = good.select(*owner, F.explode("lineas").alias("_l")).select(*owner, "_l.*")
+    return orders, lines, checked.where("reason IS NOT NULL").select(*keys, "reason")
 
 
 def price_orders(orders: DataFrame, users: DataFrame, products: DataFrame, coupons: DataFrame,
@@ -99,24 +111,28 @@ def price_orders(orders: DataFrame, users: DataFrame, products: DataFrame, coupo
     """Price basket orders (idcompra, iduser, fecha, codigoCupon, productos) as (orders, lines, rejects).
 
     A line costs price x quantity less the coupon's percentage; the order total is rounded once. An order
-    is refused whole when its user, coupon or any product is unknown, or its basket cannot be priced.
+    is refused whole when its user, coupon or any product is unknown, its basket cannot be priced, it has no
+    idcompra, or another request has the same one. Each request is either accepted or listed as refused.
     """
     return accepted_parts(checked_orders(orders, users, products, coupons, as_of))
 
 
-def reprice_orders(orders: DataFrame, products: DataFrame,
-                   users: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Price existing orders or their details again, without coupon; users are checked when given."""
+def reprice_orders(orders: DataFrame, products: DataFrame, users: DataFrame | None = None,
+                   key: str = "idcompra") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Price existing orders, or their details by ``key`` iddetalle, again; without coupon.
+
+    Every row is priced by itself and comes back under its key. Users are checked when given.
+    """
     headers = orders.drop("productos", "total").withColumn("_percent", F.lit(0).cast("decimal(5,2)"))
     problem = F.lit(None).cast("string")
     if users is not None:
         headers = headers.join(users.select("iduser", F.lit(True).alias("_buyer")), "iduser", "left")
         problem = F.when(F.col("_buyer").isNull(), "unknown_user")
-    return accepted_parts(_checked(orders, headers, products, problem))
+    return accepted_parts(_checked(orders, headers, products, problem, key), key)
 
 
 def _flat_total():
-    return (F.col("_price") * F.col("cantidad").try_cast("decimal(12,3)")).try_cast(ORDER_MONEY)
+    return (F.col("_price") * exact_decimal(F.col("cantidad"), QUANTITY)).try_cast(ORDER_MONEY)
 
 
 def price_flat_orders(requests: DataFrame, users: DataFrame,
@@ -189,15 +205,16 @@ def payment_state(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Current row per (order_id, iduser) of a payment event log, and the events that changed nothing.
 
     A CREATED event makes the row; the latest COMPLETED event at or after it replaces status, money and
-    texts. Any other event is refused, with the reason.
+    texts. Any other event is refused, with the reason. Events of one time are ordered by all their fields, so
+    the order of rows does not matter; a NULL order or user is a key like any other; events without a time are
+    refused.
     """
     key = ["order_id", "iduser"]
     fields = ("status", "total", "currency", "description", "details")
     entry = F.struct("ts", *fields)
     created, completed = F.col("status") == "CREATED", F.col("status") == "COMPLETED"
-    per_order = events.where(created | completed).groupBy(*key).agg(
-        F.min_by(F.when(created, entry), F.when(created, F.col("ts"))).alias("_made"),
-        F.max_by(F.when(completed, entry), F.when(completed, F.col("ts"))).alias("_paid"))
+    per_order = events.where("ts IS NOT NULL").where(created | completed).groupBy(*key).agg(
+        F.min(F.when(created, entry)).alias("_made"), F.max(F.when(completed, entry)).alias("_paid"))
     made = per_order.where("_made IS NOT NULL")
     paid = F.coalesce(F.col("_paid.ts") >= F.col("_made.ts"), F.lit(False))
 
@@ -211,9 +228,11 @@ def payment_state(events: DataFrame) -> tuple[DataFrame, DataFrame]:
         *key, value("status").alias("status"), value("total").alias("total"), default("currency", F.lit("USD")),
         default("description", F.when(paid, "Pago Finalizado").otherwise("Compra en Proceso")),
         value("details").alias("details"))
-    since = made.select(*key, F.col("_made.ts").alias("_since"))
-    other = events.where(~created | F.col("status").isNull()).join(since, key, "left")
+    since = made.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("_made.ts").alias("_since"))
+    same = F.col("order_id").eqNullSafe(F.col("_order_id")) & F.col("iduser").eqNullSafe(F.col("_iduser"))
+    other = events.where(~created | F.col("status").isNull() | F.col("ts").isNull()).join(since, same, "left")
     early = F.col("_since").isNull() | (F.col("ts") < F.col("_since"))
-    rejects = other.select(*events.columns, F.when(~F.coalesce(completed, F.lit(False)), "not_completed")
-                           .when(early, "no_created_row").alias("reason")).where("reason IS NOT NULL")
+    reason = (F.when(F.col("ts").isNull(), "missing_time").when(~F.coalesce(completed, F.lit(False)), "not_completed")
+              .when(early, "no_created_row"))
+    rejects = other.select(*events.columns, reason.alias("reason")).where("reason IS NOT NULL")
     return state, rejects

@@ -144,7 +144,7 @@ def top_coupon_users(cupones_usados: DataFrame, users: DataFrame, n: int = 5) ->
 def top_rated(producto: DataFrame, comentarios: DataFrame, n: int = 3) -> DataFrame:
     """Products with the highest plain mean rating; products without comments do not appear."""
     means = comentarios.groupBy("idproducto").agg(
-        F.avg(F.col("calificacion").cast("decimal(10,1)")).alias("promedio_calificacion"))
+        F.avg("calificacion").alias("promedio_calificacion"))
     return (producto.select("idproducto", "nomprod").join(means, "idproducto")
             .orderBy(F.desc("promedio_calificacion"), "idproducto").limit(n))
 

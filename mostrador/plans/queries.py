@@ -448,9 +448,16 @@ def _(s):
     return catalog.distinct_keys(s.producto, discounted_only=True)
 
 
-@query("related_products")
+@query("related_products", """, orden AS (
+  SELECT clave, idproducto, count(*) OVER (PARTITION BY clave) AS n,
+         row_number() OVER (PARTITION BY clave ORDER BY substr(md5(idproducto || ':7'), 1, 15), idproducto) - 1 AS puesto
+  FROM producto)
+SELECT a.idproducto AS idancla, b.idproducto, p.nomprod, p.clave
+FROM orden a JOIN range(1, 5) pasos(paso) ON paso < a.n
+JOIN orden b ON b.clave = a.clave AND b.puesto = (a.puesto + paso) % a.n JOIN producto p ON p.idproducto = b.idproducto""")
 def _(s):
-    return catalog.related_products(s.producto, s.producto.select("idproducto", "clave"), k=4, seed=7)
+    found = catalog.related_products(s.producto, s.producto.select("idproducto", "clave"), k=4, seed=7)
+    return found.select("idancla", "idproducto", "nomprod", "clave")
 
 
 @query("related_products_counts", """
@@ -703,11 +710,56 @@ def _(s):
 
 
 @query("reprice_details", f"""
-SELECT l.idcompra, {dbl('round(sum(p.p_final * l.cantidad), 2)')} AS total
+SELECT l.idcompra AS iddetalle, l.idcompra, {dbl('round(sum(p.p_final * l.cantidad), 2)')} AS total
 FROM lineas l JOIN producto p ON l.idproducto = p.idproducto GROUP BY 1""")
 def _(s):
-    details, _, _ = pricing.reprice_orders(s.compras_detalle, s.producto)
-    return details.select("idcompra", "total")
+    details, _, _ = pricing.reprice_orders(s.compras_detalle, s.producto, key="iddetalle")
+    return details.select("iddetalle", "idcompra", "total")
+
+
+def _two_details(s):
+    """Two details for every second order: its basket, and once more without its first line's fellow lines."""
+    first = s.compras_detalle
+    one = "to_json(slice(from_json(productos, 'ARRAY<STRUCT<idproducto: STRING, cantidad: STRING>>'), 1, 1))"
+    return first.select("iddetalle", "idcompra", "productos").unionByName(first.where("idcompra % 2 = 0").select(
+        (-1 - F.col("idcompra")).alias("iddetalle"), "idcompra", F.expr(one).alias("productos")))
+
+
+@query("reprice_two_details", f"""
+SELECT l.idcompra AS iddetalle, l.idcompra, {dbl('round(sum(p.p_final * l.cantidad), 2)')} AS total
+FROM lineas l JOIN producto p ON l.idproducto = p.idproducto GROUP BY 1
+UNION ALL
+SELECT -1 - l.idcompra, l.idcompra, {dbl('round(p.p_final * l.cantidad, 2)')}
+FROM (SELECT * FROM lineas QUALIFY row_number() OVER (PARTITION BY idcompra ORDER BY pos) = 1) l
+JOIN producto p ON l.idproducto = p.idproducto WHERE l.idcompra % 2 = 0""")
+def _(s):
+    details, _, _ = pricing.reprice_orders(_two_details(s), s.producto, key="iddetalle")
+    return details.select("iddetalle", "idcompra", "total")
+
+
+def _untidy_requests(s):
+    """The requests with every fifth sent twice and every seventh without its id."""
+    asked = s.order_requests
+    sent = asked.unionByName(asked.where("idcompra % 5 = 0"))
+    return sent.withColumn("idcompra", F.when(F.col("idcompra") % 7 != 0, F.col("idcompra")))
+
+
+def _untidy_prices(s):
+    return pricing.price_orders(_untidy_requests(s), s.users, s.producto, s.cupones, AS_OF)
+
+
+@query("price_untidy_orders", f"{PRICED_ORDERS.replace('FROM preciadas', 'FROM preciadas WHERE idcompra % 5 <> 0 AND idcompra % 7 <> 0')}")
+def _(s):
+    return _priced_heads(_untidy_prices(s)[0])
+
+
+@query("price_untidy_orders_rejects", f"""{PRICED}
+SELECT CASE WHEN idcompra % 7 <> 0 THEN idcompra END AS idcompra,
+       CASE WHEN idcompra % 7 = 0 THEN 'missing_order_id' WHEN idcompra % 5 = 0 THEN 'repeated_order' ELSE reason END AS reason
+FROM juzgadas, range(2) veces(vez)
+WHERE (vez = 0 OR idcompra % 5 = 0) AND (idcompra % 5 = 0 OR idcompra % 7 = 0 OR reason IS NOT NULL)""")
+def _(s):
+    return _untidy_prices(s)[2]
 
 
 @query("price_flat_orders", f"""
@@ -971,33 +1023,35 @@ def _(s):
     return _comments(s)[1].select("idcomentario", "reason")
 
 
-NET = """, neto AS (
-  SELECT idproducto, max(CASE WHEN op = 'delete' THEN seq END) AS d, max(CASE WHEN op = 'insert' THEN seq END) AS i,
-         max(CASE WHEN op = 'update' THEN seq END) AS u
-  FROM cambios GROUP BY 1),
-filas AS (
-  SELECT n.*, p.idproducto IS NOT NULL AS hay, ci.nomprod AS i_nom, ci.descuento AS i_desc, cu.nomprod AS u_nom,
-         cu.descuento AS u_desc, i IS NOT NULL AND (d IS NULL OR i > d) AS nace
-  FROM neto n LEFT JOIN producto p USING (idproducto) LEFT JOIN cambios ci ON n.i = ci.seq LEFT JOIN cambios cu ON n.u = cu.seq)"""
+REPLAY = """, ordenados AS (SELECT *, row_number() OVER (PARTITION BY idproducto ORDER BY seq) AS vez FROM cambios),
+replay AS (
+  SELECT DISTINCT c.idproducto, 0::BIGINT AS vez, p.idproducto IS NOT NULL AS hay, p.clave, p.nomprod,
+         p.descuento::BIGINT AS descuento, NULL::BIGINT AS seq, NULL::VARCHAR AS reason
+  FROM cambios c LEFT JOIN producto p ON c.idproducto = p.idproducto
+  UNION ALL
+  SELECT r.idproducto, o.vez, CASE o.op WHEN 'insert' THEN true WHEN 'delete' THEN false ELSE r.hay END,
+         CASE WHEN o.op = 'insert' AND NOT r.hay THEN NULL ELSE r.clave END,
+         CASE WHEN (o.op = 'insert' AND NOT r.hay) OR (o.op = 'update' AND r.hay) THEN o.nomprod ELSE r.nomprod END,
+         CASE WHEN (o.op = 'insert' AND NOT r.hay) OR (o.op = 'update' AND r.hay) THEN o.descuento ELSE r.descuento END,
+         o.seq, CASE WHEN o.op = 'insert' AND r.hay THEN 'key_exists' WHEN o.op <> 'insert' AND NOT r.hay THEN 'no_such_key' END
+  FROM replay r JOIN ordenados o ON o.idproducto = r.idproducto AND o.vez = r.vez + 1)"""
 
 
-@query("apply_changes", f"""{NET}
-SELECT p.idproducto, p.clave, CASE WHEN f.u IS NULL THEN p.nomprod ELSE f.u_nom END AS nomprod,
-       CASE WHEN f.u IS NULL THEN p.descuento ELSE f.u_desc END AS descuento
-FROM producto p LEFT JOIN filas f ON p.idproducto = f.idproducto WHERE f.d IS NULL
+@query("apply_changes", f"""{REPLAY}
+SELECT idproducto, clave, nomprod, descuento::BIGINT AS descuento FROM producto WHERE idproducto NOT IN (SELECT idproducto FROM cambios)
 UNION ALL
-SELECT idproducto, NULL, CASE WHEN u > i THEN u_nom ELSE i_nom END, CASE WHEN u > i THEN u_desc ELSE i_desc END
-FROM filas WHERE nace AND (NOT hay OR d IS NOT NULL)""")
+SELECT idproducto, clave, nomprod, descuento FROM replay
+JOIN (SELECT idproducto, max(vez) AS vez FROM ordenados GROUP BY 1) USING (idproducto, vez) WHERE hay""")
 def _(s):
     return changes.apply_changes(s.producto.select("idproducto", "clave", "nomprod", "descuento"), s.product_changes,
                                  "idproducto")[0]
 
 
-@query("apply_changes_missing", f"""{NET}
-SELECT idproducto FROM filas WHERE (i IS NULL AND NOT hay) OR (coalesce(u > d, false) AND NOT coalesce(nace, false))""")
+@query("apply_changes_missing", f"""{REPLAY}
+SELECT idproducto, seq, reason FROM replay WHERE reason IS NOT NULL""")
 def _(s):
     return changes.apply_changes(s.producto.select("idproducto", "clave", "nomprod", "descuento"), s.product_changes,
-                                 "idproducto")[1]
+                                 "idproducto")[1].select("idproducto", "seq", "reason")
 
 
 @query("replace_role_permission", """
@@ -1052,7 +1106,7 @@ def _(s):
 @query("order_intake_stream_grants", _grant_sql(RULES, "n.iduser, c.idcupon, n.codigo") + " WHERE c.codigo IS NOT NULL")
 def _(s):
     out = _intake(s, coupons.grant_rules(s.spark, RULES))
-    return s.spark.read.parquet(f"{out}/grants").drop("batch_id")
+    return s.spark.read.parquet(f"{out}/grants").drop("query_id", "batch_id")
 
 
 @query("comment_intake_stream", f"{COMMENTS % ('', '')} {COMMENT_OK}")
@@ -1061,7 +1115,7 @@ def _(s):
     new, old = (s.comentarios.where(F.col("comentario") == kind) for kind in ("click", "view"))
     stream = _stored(new, f"{work}/in", files=1)
     jobs.start_comment_intake(stream, old, f"{work}/out", f"{work}/state").awaitTermination()
-    return s.spark.read.parquet(f"{work}/out/comments").drop("batch_id")
+    return s.spark.read.parquet(f"{work}/out/comments").drop("query_id", "batch_id")
 
 
 @query("redeem_stream", ACCEPTED_ROWS)
@@ -1070,7 +1124,7 @@ def _(s):
     stream = _stored(s.canjes, f"{work}/in", files=1)
     jobs.start_redemption(stream, s.cupones, s.user_cupones, s.cupones_usados, AS_OF, f"{work}/out",
                           f"{work}/state").awaitTermination()
-    return s.spark.read.parquet(f"{work}/out").drop("batch_id")
+    return s.spark.read.parquet(f"{work}/out").drop("query_id", "batch_id")
 
 
 @query("payment_stream", PAYMENTS)

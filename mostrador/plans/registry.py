@@ -59,5 +59,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     import mostrador.plans.queries  # noqa: F401
-    return {name: f"WITH {ORACLE_TABLES.strip()}\n{entry.sql.strip()}"
+    return {name: f"WITH RECURSIVE {ORACLE_TABLES.strip()}\n{entry.sql.strip()}"
             for name, entry in QUERIES.items() if entry.sql}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -23,22 +22,31 @@ def append(df: DataFrame, directory: str, table: str) -> None:
     df.write.mode("append").parquet(f"{directory}/{table}")
 
 
+def batch_owner(spark: SparkSession) -> str:
+    """The id of the streaming query that a micro-batch belongs to; a new checkpoint gives a new one."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "none"
+
+
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Store one micro-batch in its own partition, so that a retried batch replaces itself."""
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    """Store one micro-batch in a partition of its query and batch, so that a retried batch replaces itself only."""
+    owner = batch_owner(df.sparkSession)
+    df.write.mode("overwrite").parquet(f"{path}/query_id={owner}/batch_id={batch_id}")
 
 
 def read_batches(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
-    """All rows stored by :func:`write_batch`, or those of the batches before ``before``."""
+    """All rows stored by :func:`write_batch`, or those of all but this query's batches from ``before`` on.
+
+    Rows that other queries stored count too: a replaced checkpoint starts a new query on the same store.
+    """
     try:
-        rows = spark.read.schema(f"{schema}, batch_id BIGINT").parquet(path)
+        rows = spark.read.schema(f"{schema}, query_id STRING, batch_id BIGINT").parquet(path)
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)  # nothing stored yet
     if before is not None:
-        rows = rows.where(F.col("batch_id") < before)
-    return rows.drop("batch_id")
+        rows = rows.where((F.col("query_id") != batch_owner(spark)) | (F.col("batch_id") < before))
+    return rows.drop("query_id", "batch_id")
 
 
 def read_orders(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
@@ -65,10 +73,8 @@ def split_corrupt(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A fresh folder for this run, below the shared folder named in ``spark.checkpoint.dir``."""
+    """A fresh folder for this run, below the shared folder named in ``spark.checkpoint.dir``, which must be set."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        shared = tempfile.mkdtemp(prefix="mostrador-")
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     return f"{shared.rstrip('/')}/mostrador-{uuid.uuid4().hex}"

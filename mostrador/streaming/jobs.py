@@ -1,8 +1,10 @@
 """Streaming forms of visit counting, order and comment intake, coupon redemption and payment state.
 
-Every job stores what a micro-batch adds in a partition named by the batch id. A batch that is tried
-again after a lost executor or a restart replaces its own partition and reads only earlier ones, so
-each request counts once. Nothing is kept in the driver between batches.
+Every job stores what a micro-batch adds in a partition named by its query and batch. A batch that is tried
+again after a lost executor or a restart replaces its own partition and reads all others, so each request
+counts once, also when a checkpoint is replaced. Nothing is kept in the driver between batches.
+
+Jobs take what has arrived and end, unless another ``trigger`` is given, such as ``{"processingTime": "1 minute"}``.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from mostrador.sources.tables import read_batches, split_corrupt, write_batch, C
 
 ACCEPTED = "idsolicitud BIGINT, iduser BIGINT, idcupon BIGINT, codigo STRING, porcentaje {percent}, ts TIMESTAMP_NTZ"
 GRANTS = "iduser BIGINT, idcupon BIGINT, codigo STRING"
+ONCE = {"availableNow": True}
 
 
 def daily_visits(visits: DataFrame, lateness: str = "1 day") -> DataFrame:
@@ -34,9 +37,10 @@ def daily_visits(visits: DataFrame, lateness: str = "1 day") -> DataFrame:
             .select(F.date_from_unix_date(day).alias("dia"), "numero_de_visitas"))
 
 
-def start_daily_visits(visits: DataFrame, out: str, checkpoint: str, lateness: str = "1 day") -> StreamingQuery:
+def start_daily_visits(visits: DataFrame, out: str, checkpoint: str, lateness: str = "1 day",
+                       trigger: dict | None = None) -> StreamingQuery:
     return (daily_visits(visits, lateness).writeStream.outputMode("append").format("parquet")
-            .option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+            .option("path", out).option("checkpointLocation", checkpoint).trigger(**(trigger or ONCE)).start())
 
 
 def monthly_rollup(days: DataFrame) -> DataFrame:
@@ -46,18 +50,20 @@ def monthly_rollup(days: DataFrame) -> DataFrame:
         .select(month_text(F.col("_month")).alias("mes"), "numero_de_visitas"))
 
 
-def _each_batch(stream: DataFrame, handle, checkpoint: str) -> StreamingQuery:
+def _each_batch(stream: DataFrame, handle, checkpoint: str, trigger: dict | None) -> StreamingQuery:
     return (stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+            .trigger(**(trigger or ONCE)).start())
 
 
 def start_order_intake(orders: DataFrame, users: DataFrame, products: DataFrame, coupons: DataFrame, as_of,
                        out: str, checkpoint: str, rules: DataFrame | None = None,
-                       user_cupones: DataFrame | None = None, cupones_usados: DataFrame | None = None) -> StreamingQuery:
+                       user_cupones: DataFrame | None = None, cupones_usados: DataFrame | None = None,
+                       trigger: dict | None = None) -> StreamingQuery:
     """Price order requests and store what a checkout writes.
 
-    Below ``out``: orders, lines, rejects and corrupt; delivery and personalisation where the requests
-    carry them; and, when ``rules`` are given with the claims and uses, the coupon grants.
+    Below ``out``: orders, details, lines, rejects and corrupt; delivery and personalisation where the requests
+    carry them; and, when ``rules`` are given with the claims and uses, the coupon grants. ``as_of`` may be a column
+    of the requests, such as their arrival time, to judge coupons at each request's own time.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -68,27 +74,31 @@ def start_order_intake(orders: DataFrame, users: DataFrame, products: DataFrame,
             good, corrupt = split_corrupt(batch)
             write_batch(corrupt, f"{out}/corrupt", batch_id)
         checked = checked_orders(good, users, products, coupons, as_of).persist()
-        priced, lines, rejects = accepted_parts(checked)
-        parts = {"orders": priced, "lines": lines, "rejects": rejects}
-        accepted = checked.where("reason IS NULL")
-        if "detalleEntrega" in checked.columns:
-            parts["delivery"] = delivery_rows(accepted)
-        if "detallePersonalizacion" in checked.columns:
-            parts["personalisation"] = personalisation_rows(accepted.withColumnRenamed("lineas", "productos"))
-        if rules is not None:
-            granted = read_batches(spark, f"{out}/grants", GRANTS, before=batch_id)
-            claims = user_cupones.select("iduser", "idcupon").unionByName(granted.select("iduser", "idcupon"))
-            parts["grants"], parts["missing_grants"] = grant_coupons(lines, rules, coupons, claims, cupones_usados)
-        for name, part in parts.items():
-            write_batch(part, f"{out}/{name}", batch_id)
-        checked.unpersist()
-        batch.unpersist()
-
-    return _each_batch(orders, handle, checkpoint)
+        try:
+            priced, lines, rejects = accepted_parts(checked)
+            details = priced.select(F.col("idcompra").alias("iddetalle"), *[
+                c for c in ("idcompra", "productos", "total", "codigoCupon") if c in priced.columns])
+            parts = {"orders": priced, "details": details, "lines": lines, "rejects": rejects}
+            accepted = checked.where("reason IS NULL")
+            if "detalleEntrega" in checked.columns:
+                parts["delivery"] = delivery_rows(accepted)
+            if "detallePersonalizacion" in checked.columns:
+                parts["personalisation"] = personalisation_rows(accepted.withColumnRenamed("lineas", "productos"))
+            if rules is not None:
+                granted = read_batches(spark, f"{out}/grants", GRANTS, before=batch_id)
+                claims = user_cupones.select("iduser", "idcupon").unionByName(granted.select("iduser", "idcupon"))
+                parts["grants"], parts["missing_grants"] = grant_coupons(lines, rules, coupons, claims, cupones_usados)
+            for name, part in parts.items():
+                write_batch(part, f"{out}/{name}", batch_id)
+        finally:
+            checked.unpersist()
+            batch.unpersist()
+
+    return _each_batch(orders, handle, checkpoint, trigger)
 
 
 def start_comment_intake(comments: DataFrame, existing: DataFrame, out: str, checkpoint: str,
-                         compat: bool = False) -> StreamingQuery:
+                         compat: bool = False, trigger: dict | None = None) -> StreamingQuery:
     """Keep one comment per product and user in ``out``/comments, the others in ``out``/rejects.
 
     The rule has no time limit, so each batch is checked against everything stored, not a watermark.
@@ -102,11 +112,11 @@ def start_comment_intake(comments: DataFrame, existing: DataFrame, out: str, che
         write_batch(ok, f"{out}/comments", batch_id)
         write_batch(rejects, f"{out}/rejects", batch_id)
 
-    return _each_batch(comments, handle, checkpoint)
+    return _each_batch(comments, handle, checkpoint, trigger)
 
 
 def start_redemption(requests: DataFrame, cupones: DataFrame, user_cupones: DataFrame, cupones_usados: DataFrame,
-                     as_of, out: str, checkpoint: str) -> StreamingQuery:
+                     as_of, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Redeem coupons batch by batch; accepted requests go to ``out``.
 
     The stored requests are the use table and, counted, the use counters: no counter is rewritten.
@@ -124,12 +134,12 @@ def start_redemption(requests: DataFrame, cupones: DataFrame, user_cupones: Data
         accepted, _, _ = redeem(batch, current, user_cupones, uses, as_of)
         write_batch(accepted, out, batch_id)
 
-    return _each_batch(requests, handle, checkpoint)
+    return _each_batch(requests, handle, checkpoint, trigger)
 
 
-def start_payment_log(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def start_payment_log(events: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Store payment events; :func:`current_payments` reads the state off them."""
-    return _each_batch(events, lambda batch, batch_id: write_batch(batch, out, batch_id), checkpoint)
+    return _each_batch(events, lambda batch, batch_id: write_batch(batch, out, batch_id), checkpoint, trigger)
 
 
 def current_payments(spark: SparkSession, out: str, schema: str) -> tuple[DataFrame, DataFrame]:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mostrador.functions.lines import basket_rejects, explode_lines
-from mostrador.functions.scalars import complete_years, contains_text
+from mostrador.functions.scalars import complete_years, contains_text, percent
 from mostrador.operators import baskets, catalog, changes, coupons, lookups, pricing, reports
 
 REVIEW = "idcomentario BIGINT, idproducto BIGINT, iduser BIGINT, comentario STRING, calificacion DECIMAL(3,1), fecha TIMESTAMP_NTZ"
@@ -334,6 +334,51 @@ def test_payment_log(make, rows):
         ("a", 2, "no_created_row"), ("b", 1, "not_completed"), ("c", 1, "no_created_row")]
 
 
+def test_payments_at_one_time_and_without_a_user(make, rows):
+    at = "2024-01-01 10:00:00"
+    events = [("a", 1, "CREATED", 5, at), ("a", 1, "COMPLETED", 2, at), ("a", 1, "COMPLETED", 3, at),
+              ("b", None, "CREATED", 5, at), ("b", None, "COMPLETED", 7, at), ("c", 1, "CREATED", 5, None)]
+    for log in (events, events[::-1]):
+        state, rejects = pricing.payment_state(make("paypal_logs", "order_id, iduser, status, total, ts", *log))
+        assert rows(state, "order_id", "iduser", "total") == [("a", 1, 3.0), ("b", None, 7.0)]
+        assert rows(rejects, "order_id", "reason") == [("c", "missing_time")]
+
+
+def test_untidy_order_ids(make, rows):
+    users, goods = make("users", "iduser", (1,)), make("producto", "idproducto, p_final", (10, 5))
+    basket = lambda n: f'[{{"idproducto": 10, "cantidad": {n}}}]'
+    asked = make("idcompra BIGINT, iduser BIGINT, fecha TIMESTAMP_NTZ, codigoCupon STRING, productos STRING", "idcompra, iduser, productos",
+                 (1, 1, basket(1)), (1, 1, basket(2)), (None, 1, basket(3)), (None, 1, basket(4)), (2, 1, basket(2)),
+                 (3, 1, basket("1.00049")))
+    orders, lines, rejects = pricing.price_orders(asked, users, goods, make("cupones", "idcupon"), "2024-01-01")
+    assert rows(orders, "idcompra", "total") == [(2, 10.0)] and rows(lines, "idcompra", "cantidad") == [(2, 2.0)]
+    assert rows(rejects) == [(1, "repeated_order")] * 2 + [(3, "bad_quantity")] + [(None, "missing_order_id")] * 2
+
+
+def test_details_are_repriced_one_by_one(make, rows):
+    goods = make("producto", "idproducto, p_final", (10, 5), (11, 2))
+    details = make("iddetalle BIGINT, idcompra BIGINT, productos STRING", "iddetalle, idcompra, productos",
+                   (7, 1, '[{"idproducto": 10, "cantidad": 1}]'), (8, 1, '[{"idproducto": 11, "cantidad": 1}]'))
+    priced, lines, _ = pricing.reprice_orders(details, goods, key="iddetalle")
+    assert rows(priced, "iddetalle", "idcompra", "total") == [(7, 1, 5.0), (8, 1, 2.0)]
+    assert rows(lines, "iddetalle", "idproducto") == [(7, 10), (8, 11)]
+
+
+def test_coupons_that_share_a_code(make, rows):
+    offers = make("cupones", "idcupon, codigo, porcentaje, activo, fecha_expiracion, usos_maximos, usos_actuales",
+                  (4, "A", 10, True, "2025-01-01 00:00:00", 1, 0), (5, "A", 20, True, "2025-01-01 00:00:00", 1, 0))
+    claims = make("user_cupones", "iduser, idcupon", (1, 4), (1, 5), (2, 5))
+    asks = make("idsolicitud BIGINT, iduser BIGINT, codigo STRING, ts TIMESTAMP_NTZ", "idsolicitud, iduser, codigo, ts",
+                (1, 1, "A", "2024-01-01 00:00:00"), (2, 2, "A", "2024-01-02 00:00:00"))
+    got, _, _ = coupons.redeem(asks, offers, claims, make("cupones_usados", "iduser"), "2024-01-03")
+    assert rows(got, "idsolicitud", "idcupon") == [(1, 4), (2, 5)]
+
+
+def test_shares_of_a_total_near_zero(spark):
+    money = spark.range(1).select(percent(F.lit("1000000.00").cast("decimal(16,2)"), F.lit("0.01").cast("decimal(16,2)"), 2))
+    assert float(money.first()[0]) == 10_000_000_000.0
+
+
 def test_bulk_lookup_and_parents(spark, make, people, rows):
     keys = spark.createDataFrame([(1,), (7,)], "iduser BIGINT")
     assert rows(lookups.lookup(people, keys, "iduser"), "user") == [("ana",)]
@@ -368,30 +413,31 @@ CHANGE = "idcupon BIGINT, op STRING, seq BIGINT, codigo STRING, usos_maximos INT
 @pytest.mark.parametrize("log,expected,missing", [
     ([("update", "z", 9)], [(1, "z", 9, 1)], []),
     ([("delete", None, None)], [], []),
+    ([("delete", None, None), ("delete", None, None)], [], [1]),
+    ([("merge", "z", 9)], [(1, "a", 2, 1)], [0]),
     ([("delete", None, None), ("update", "z", 9)], [], [1]),
     ([("delete", None, None), ("insert", "n", 4)], [(1, "n", 4, None)], []),
     ([("delete", None, None), ("insert", "n", 4), ("update", "z", 9)], [(1, "z", 9, None)], []),
     ([("update", "y", 8), ("update", "z", None)], [(1, "z", None, 1)], []),
-    ([("insert", "n", 4)], [(1, "a", 2, 1)], []),
-    ([("insert", "n", 4), ("delete", None, None)], [], []),
+    ([("insert", "n", 4)], [(1, "a", 2, 1)], [0]),
+    ([("insert", "n", 4), ("delete", None, None)], [], [0]),
 ])
 def test_changes_to_a_present_key(make, rows, log, expected, missing):
     table = make("cupones", "idcupon, codigo, usos_maximos, usos_actuales", (1, "a", 2, 1))
     batch = make(CHANGE, "idcupon, op, seq, codigo, usos_maximos", *[(1, op, i, c, n) for i, (op, c, n) in enumerate(log)])
     new, gone = changes.apply_changes(table, batch, "idcupon")
     assert rows(new, "idcupon", "codigo", "usos_maximos", "usos_actuales") == expected
-    assert rows(gone) == [(k,) for k in missing]
-    again, _ = changes.apply_changes(new, batch, "idcupon")
-    assert rows(again) == rows(new)
+    assert rows(gone, "seq") == [(k,) for k in missing]
     assert new.columns == table.columns
 
 
 @pytest.mark.parametrize("log,expected,missing", [
-    ([("update", "z", 9)], [], [1]), ([("delete", None, None)], [], [1]),
+    ([("update", "z", 9)], [], [0]), ([("delete", None, None)], [], [0]),
     ([("insert", "n", 4), ("update", "z", 9)], [(1, "z", 9)], []),
-    ([("update", "z", 9), ("insert", "n", 4)], [(1, "n", 4)], []),
+    ([("update", "z", 9), ("insert", "n", 4)], [(1, "n", 4)], [0]),
+    ([("insert", "a", 1), ("update", "b", 2), ("insert", "c", 3)], [(1, "b", 2)], [2]),
     ([("insert", "n", 4), ("delete", None, None), ("insert", "m", 5)], [(1, "m", 5)], []),
-    ([("insert", "n", 4), ("delete", None, None), ("update", "z", 9)], [], [1]),
+    ([("insert", "n", 4), ("delete", None, None), ("update", "z", 9)], [], [2]),
 ])
 def test_changes_to_an_absent_key(make, rows, log, expected, missing):
     table = make("cupones", "idcupon, codigo", (2, "b"))
@@ -399,7 +445,7 @@ def test_changes_to_an_absent_key(make, rows, log, expected, missing):
     new, gone = changes.apply_changes(table, batch, "idcupon")
     assert rows(new.where("idcupon = 1"), "idcupon", "codigo", "usos_maximos") == expected
     assert rows(new.where("idcupon = 2"), "codigo") == [("b",)]
-    assert rows(gone) == [(k,) for k in missing]
+    assert rows(gone, "seq") == [(k,) for k in missing]
 
 
 def test_role_changes_reach_every_row(spark, make, rows):
@@ -415,7 +461,7 @@ def test_key_only_deletes(spark, make, rows):
     table = make("carrusel", "idfoto, foto", (1, "a"), (2, "b"))
     batch = spark.createDataFrame([(1, "delete", 1), (5, "delete", 2)], "idfoto BIGINT, op STRING, seq BIGINT")
     new, missing = changes.apply_changes(table, batch, "idfoto")
-    assert rows(new) == [(2, "b")] and rows(missing) == [(5,)]
+    assert rows(new) == [(2, "b")] and rows(missing, "idfoto", "reason") == [(5, "no_such_key")]
 
 
 def test_contains_text_of_null(spark):
