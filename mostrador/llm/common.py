@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+#: Document numbers up to which a list of them is broadcast, about 100 MB as a hash table.
+BROADCAST_IDS = 4_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -40,6 +43,15 @@ def text_partitions(docs: DataFrame, column: str = "text", bytes_each: int = 8 <
     return int(total // bytes_each) + 1
 
 
+def by_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """``rows`` joined (left_semi or left_anti) with stored ``ids`` on doc_id.
+
+    The ids are counted: up to BROADCAST_IDS they go to the rows, beyond that both are shuffled.
+    """
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, "doc_id", how)
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The smallest node that each node reaches: rows (node, component), one for each distinct node.
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mostrador.llm.common import components, plain_text, stored
+from mostrador.llm.common import by_ids, components, plain_text, stored
 
 #: Words of a shingle, and per cent of the union that two sets must share.
 WORDS, SHARE = 5, 85
@@ -18,6 +18,8 @@ WORDS, SHARE = 5, 85
 #: with a probability below 1e-8.
 COORDINATES, AGREEING = 48, 24
 PREFIX = COORDINATES - AGREEING + 1
+#: Nodes of a posting list up to which all its pairs are compared at once; longer lists go round by round.
+SHORT = 8
 #: Words that a worker remembers, and shingles hashed together.
 REMEMBERED, AT_ONCE = 500_000, 8192
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -75,7 +77,7 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             signatures.append(signature(found, a, b) if len(found) else None)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-             pa.array(signatures, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "node", "signature"])
+             pa.array(signatures, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "digest", "signature"])
 
 
 def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +88,8 @@ def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = [shingles(t, hashes) for t in batch.column(0).slice(i, step).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in found], pa.binary()),
-                 pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["node", "members"])
+                 pa.array([len(s) for s in found], pa.int64()),
+                 pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["digest", "size", "members"])
 
 
 def agreeing(x: Column, y: Column) -> Column:
@@ -112,85 +115,93 @@ def postings(classes: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that agree in enough coordinates and share enough of their full sets."""
+    """The pairs (a, b and more columns) that agree in enough coordinates and share enough of their full sets."""
     side = lambda df, name, value: df.select(F.col("node").alias(name), F.col(value).alias(f"of_{name}"))
     close = (pairs.join(side(signatures, "a", "signature"), "a").join(side(signatures, "b", "signature"), "b")
-             .where(agreeing(F.col("of_a"), F.col("of_b")) >= AGREEING).select("a", "b"))
+             .where(agreeing(F.col("of_a"), F.col("of_b")) >= AGREEING).select(*pairs.columns))
     both = close.join(side(sets, "a", "members"), "a").join(side(sets, "b", "members"), "b")
     common = F.size(F.array_intersect("of_a", "of_b"))
-    return both.where(100 * common >= SHARE * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
+    return both.where(100 * common >= SHARE * (F.size("of_a") + F.size("of_b") - common)).select(*pairs.columns)
+
+
+def reaches(side: str, size: str) -> Column:
+    """Whether a common set of at most ``shared`` shingles can be SHARE per cent of the union with a set of ``size``."""
+    return F.expr(f"{SHARE} * {size} <= {100 + SHARE} * {side}shared - {SHARE} * {side}size")
 
 
 def able(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """The rows of ``lists`` whose node can still be linked with a node of another component, with its size and shared.
+    """The rows of ``lists`` whose node can still be linked through them, with its size and shared.
 
-    ``shared`` counts a node's shingles that some other component of the lists has too: no common set is larger. With
-    that, SHARE per cent are out of reach of every other set above a certain size, and a node that cannot reach the
-    smallest set of its list is dropped from the list.
+    ``shared`` counts a node's shingles that another node of the lists has too: no common set is larger. With that,
+    SHARE per cent are out of reach of every other set above a certain size, and a node that cannot reach the smallest
+    set of its list is dropped from the list. So are lists whose nodes all have come together.
     """
-    open_ = lists.select("node", "component").distinct()
-    held = sets.join(open_, "node").select(
-        F.xxhash64("node").alias("short"), F.xxhash64("component").alias("of"), F.explode("members").alias("shingle"))
-    common = held.groupBy("shingle").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high")
-    shared = held.join(common, "shingle", "left_semi").groupBy("short").agg(F.count("*").alias("shared"))
-    known = sets.join(open_, "node", "left_semi").select("node", F.size("members").cast("long").alias("size"),
-                                                         F.xxhash64("node").alias("short")).join(shared, "short")
-    sized = lists.select("token", "node", "component").join(known.select("node", "size", "shared"), "node")
+    open_ = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(
+        "low <> high").select("token")
+    lists = stored(lists.select("token", "node", "component").join(open_, "token", "left_semi"))
+    here = sets.join(lists.select("node").distinct(), "node", "left_semi")
+    alone = (here.select("node", F.explode("members").alias("shingle")).groupBy("shingle")
+             .agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node")
+             .agg(F.count("*").alias("alone")))
+    known = here.select("node", "size").join(alone, "node", "left").select(
+        "node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    sized = lists.join(known, "node")
     least = sized.groupBy("token").agg(F.min("size").alias("least"))
-    return sized.join(least, "token").where(reaches("", "least")).drop("least")
+    return stored(sized.join(least, "token").where(reaches("", "least")).drop("least"))
 
 
-def reaches(side: str, size: str) -> Column:
-    """Whether a common set of at most ``shared`` shingles can be SHARE per cent of the union with a set of ``size``."""
-    return F.expr(f"{SHARE} * {size} <= {100 + SHARE} * {side}shared - {SHARE} * {side}size")
+def together(lists: DataFrame, new: DataFrame) -> DataFrame:
+    """``lists`` with the nodes that a link joins to a list's central node labelled like that one.
+
+    Equal labels mean that nodes hang together; that they have different ones means nothing yet.
+    """
+    to = new.groupBy("a").agg(F.min("to").alias("to"))
+    beyond = to.select(F.col("a").alias("to"), F.col("to").alias("beyond"))
+    labels = to.join(beyond, "to", "left").select(F.col("a").alias("node"), F.coalesce("beyond", "to").alias("label"))
+    return lists.join(labels, "node", "left").withColumn("component", F.coalesce("label", "component")).drop("label")
 
 
-def links(posts: DataFrame, signatures: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links enough to join all that belong together, and the components (node, component) they make.
+def links(posts: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFrame:
+    """Confirmed links (a, b), enough to join all that belong together.
 
-    In each round every node of a posting list is compared with the list's most central node, and lists whose nodes
-    have all come together, or cannot, need no more (:func:`able`). So a large group of near copies costs a few pairs
-    for each member. Once few pairs of different components are left, or a round finds no link, all that could be
-    linked are compared: no link is lost.
+    Pairs of short posting lists are all compared. In longer ones, every node is compared with the list's most central
+    node, the one with the fewest values or shingles of its own, and those that come together need not be compared with
+    each other; nor need those that cannot be linked any more (:func:`able`). So a large group of near copies costs a
+    few pairs for each member. Once few pairs are left, or a round finds no link, all that could be linked are
+    compared, each under the first value that it shares: no link is lost.
     """
-    nodes = signatures.select("node")
-    lists = posts.withColumns({"component": F.col("node"), "size": F.lit(1), "shared": F.lit(1)})
-    found, labels, first = None, None, True
+    many = posts.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    lists = stored(posts.join(many, "token"))
+    short, lists = lists.where(f"n <= {SHORT}"), lists.where(f"n > {SHORT}").withColumn("component", F.col("node"))
+    pairs = short.alias("x").join(short.alias("y"), F.expr("x.token = y.token and x.node < y.node")).select(
+        F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.lit(None).cast("long").alias("to"))
+    far, last, found = F.col("central").cast("double"), False, None
     while True:
-        open_ = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(
-            "low <> high").select("token")
-        lists = lists.join(open_, "token", "left_semi")
-        lists = stored(lists if first else able(stored(lists), sets))
+        if not last:
+            hubs = lists.groupBy("token").agg(F.min(F.struct(far.alias("far"), F.col("node"), F.col("component"))).alias("hub"))
+            star = lists.join(hubs, "token").where("component <> hub.component").select(
+                F.col("node").alias("a"), F.col("hub.node").alias("b"), F.col("hub.component").alias("to"))
+            pairs = star if found is not None else pairs.union(star)
+        new = stored(confirmed(pairs.distinct(), signatures, sets))
+        found = new.select("a", "b") if found is None else found.union(new.select("a", "b"))
+        joined = new.where("to is not null")
+        if last:
+            return found
+        lists = able(together(lists, joined), sets)
+        far = -F.col("shared") / F.col("size")
         parts = lists.groupBy("token", "component").agg(F.count("*").cast("double").alias("n")).groupBy("token").agg(
             F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        left = parts.agg(F.sum("all").alias("posts"),
-                         F.sum((F.col("all") * F.col("all") - F.col("own")) / 2).alias("pairs")).first()
+        left = parts.agg(F.sum("all").alias("posts"), F.sum((F.col("all") * F.col("all") - F.col("own")) / 2).alias("pairs")).first()
         if not left.pairs:
-            break
-        last = not first and left.pairs <= 2 * left.posts or found is not None and not joined
-        if last:
-            pairs = lists.alias("x").join(lists.alias("y"), F.expr("x.token = y.token and x.component < y.component")
-                                          & reaches("x.", "y.size") & reaches("y.", "x.size"))
-            pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        else:
-            central = F.col("central") if first else -F.col("shared") / F.col("size")
-            hub = F.min(F.struct(central.alias("far"), F.col("node"), F.col("component"))).alias("hub")
-            hubs = lists.groupBy("token").agg(hub)
-            pairs = lists.join(hubs, "token").where("component <> hub.component").select(
-                F.col("node").alias("a"), F.col("hub.node").alias("b"))
-        new = stored(confirmed(pairs.distinct(), signatures, sets))
-        joined, first = not new.isEmpty(), False
-        found = new if found is None else found.union(new)
-        if joined:
-            labels = components(found, found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))))
+            return found
+        last = left.pairs <= 2 * left.posts or joined.isEmpty()
         if last:
-            break
-        if joined:
-            lists = lists.drop("component").join(labels, "node", "left").withColumn(
-                "component", F.coalesce("component", "node"))
-    if labels is None:
-        labels = nodes.limit(0).withColumn("component", F.col("node"))
-    return found if found is not None else nodes.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b")), labels
+            tokens = lists.groupBy("node").agg(F.collect_set("token").alias("tokens"))
+            rest = lists.join(tokens, "node")
+            once = F.expr("x.token = y.token and x.component < y.component") & reaches("x.", "y.size") & reaches("y.", "x.size")
+            once &= F.expr("x.token = array_min(array_intersect(x.tokens, y.tokens))")
+            pairs = rest.alias("x").join(rest.alias("y"), once).select(
+                F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.lit(None).cast("long").alias("to"))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -200,22 +211,25 @@ def near_groups(docs: DataFrame) -> DataFrame:
     shorter text is one shingle, an empty or NULL one has none and is linked with nothing. Texts with one and the same
     set are one node, so copies never form pairs. Sets are linked when they share SHARE per cent of their union;
     component_id is the smallest doc_id among all that hang together, and its row is kept. Rows that repeat a doc_id
-    are told apart by their sets; a NULL doc_id counts in no minimum. Other columns are not looked at.
+    are told apart by their sets. A text whose doc_id is NULL is linked with its copies alone and counts in no minimum.
+    Other columns are not looked at.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", plain_text("text").alias("text"))
-    sketches = stored(texts.mapInArrow(sketch, f"doc_id {kind}, n_shingles bigint, node binary, signature array<int>"))
-    classes = stored(sketches.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.any_value("signature").alias("signature")))
+    sketches = stored(texts.mapInArrow(sketch, f"doc_id {kind}, n_shingles bigint, digest binary, signature array<int>"))
+    classes = stored(sketches.where("digest is not null").groupBy("digest").agg(
+        F.min("doc_id").alias("doc_id"), F.any_value("signature").alias("signature"))
+        .withColumn("node", F.monotonically_increasing_id()))
     posts = stored(postings(classes))
-    meeting = stored(posts.select("node").distinct())
-    wanted = classes.join(meeting, "node", "left_semi")
-    sets = stored(texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-                  .mapInArrow(whole_sets, "node binary, members array<bigint>")
-                  .join(meeting, "node", "left_semi"))
-    _, labels = links(posts, stored(wanted.select("node", "signature")), sets)
-    grouped = sketches.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn(
-        "component", F.coalesce("component", "node"))
+    wanted = stored(classes.join(posts.select("node").distinct(), "node", "left_semi"))
+    sets = stored(by_ids(texts, wanted.select("doc_id"), "left_semi").select("text")
+                  .mapInArrow(whole_sets, "digest binary, size bigint, members array<bigint>")
+                  .join(wanted.select("digest", "node"), "digest").dropDuplicates(["node"]).select("node", "size", "members"))
+    found = stored(links(posts, wanted.select("node", "signature"), sets))
+    labels = components(found, found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))))
+    of_digest = classes.select("digest", "node").join(labels, "node", "left").select(
+        "digest", F.coalesce("component", "node").alias("component"))
+    grouped = sketches.select("doc_id", "n_shingles", "digest").join(of_digest, "digest", "left")
     first = grouped.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return grouped.join(first, "component", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn(
@@ -224,5 +238,5 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: those whose doc_id is kept. A NULL doc_id stays."""
-    gone = near_groups(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = stored(near_groups(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept").select("doc_id"))
+    return by_ids(docs, gone, "left_anti").select(*[f"`{c}`" for c in docs.columns])
