@@ -38,6 +38,11 @@ def with_rating(products: DataFrame, comments: DataFrame) -> DataFrame:
             .select(*[products[c] for c in products.columns], mean.alias("calificacion_final")))
 
 
+def _chosen_with_rating(chosen: DataFrame, comments: DataFrame) -> DataFrame:
+    """The same for a choice of products: only their comments are summed and shuffled."""
+    return with_rating(chosen, lookup(comments, chosen.select("idproducto"), "idproducto"))
+
+
 def _with_owner(rated: DataFrame, users: DataFrame) -> DataFrame:
     owners = users.select("iduser", F.col("user").alias("nombre_usuario"))
     return rated.join(owners, "iduser", "left")
@@ -51,14 +56,16 @@ def plain_products(products: DataFrame, comments: DataFrame, users: DataFrame,
                    owners: DataFrame | None = None) -> DataFrame:
     """Products that are not personalised, with their owner's name; optionally of the listed owners."""
     chosen = _of_kind(products, "no_personalizado")
-    return _with_owner(with_rating(chosen if owners is None else lookup(chosen, owners, "iduser"), comments), users)
+    rated = (with_rating(chosen, comments) if owners is None
+             else _chosen_with_rating(lookup(chosen, owners, "iduser"), comments))
+    return _with_owner(rated, users)
 
 
 def personalised_of_owners(products: DataFrame, comments: DataFrame, users: DataFrame,
                            owners: DataFrame) -> DataFrame:
     """Personalised products of the listed owners, with the owner's name."""
     chosen = lookup(_of_kind(products, "personalizado"), owners, "iduser")
-    return _with_owner(with_rating(chosen, comments), users)
+    return _with_owner(_chosen_with_rating(chosen, comments), users)
 
 
 def personalised_products(products: DataFrame, comments: DataFrame) -> DataFrame:
@@ -68,8 +75,7 @@ def personalised_products(products: DataFrame, comments: DataFrame) -> DataFrame
 def newest_products(products: DataFrame, comments: DataFrame, n: int = 4) -> DataFrame:
     """The newest products that are not personalised. The rating plays no part, so the choice comes first."""
     newest = _of_kind(products, "no_personalizado").orderBy(F.desc("created_at"), "idproducto").limit(n)
-    return with_rating(newest, lookup(comments, newest.select("idproducto"), "idproducto")).orderBy(
-        F.desc("created_at"), "idproducto")
+    return _chosen_with_rating(newest, comments).orderBy(F.desc("created_at"), "idproducto")
 
 
 def discounted(products: DataFrame) -> DataFrame:
@@ -89,13 +95,13 @@ def search_products(products: DataFrame, text: str, comments: DataFrame | None =
     """Products whose name contains ``text``, in any letter case; with rating when comments are given."""
     found = products.where(contains_text(F.col("nomprod"), text, raw_pattern))
     found = discounted(found) if discounted_only else found
-    return found if comments is None else with_rating(found, comments)
+    return found if comments is None else _chosen_with_rating(found, comments)
 
 
 def products_of_category(products: DataFrame, comments: DataFrame, clave: str,
                          discounted_only: bool = False) -> DataFrame:
     chosen = products.where(F.col("clave") == clave)
-    return with_rating(discounted(chosen) if discounted_only else chosen, comments)
+    return _chosen_with_rating(discounted(chosen) if discounted_only else chosen, comments)
 
 
 def distinct_keys(products: DataFrame, discounted_only: bool = False, collation: str | None = None) -> DataFrame:

@@ -794,6 +794,51 @@ def _(s):
     return rejects
 
 
+KNOWN_USERS, KNOWN_PRODUCTS = "iduser % 10 <> 0", "idproducto % 50 <> 0"
+UNKNOWN_USER = f"iduser NOT IN (SELECT iduser FROM users WHERE {KNOWN_USERS})"
+UNKNOWN_PRODUCT = f"idproducto NOT IN (SELECT idproducto FROM producto WHERE {KNOWN_PRODUCTS})"
+
+
+@query("reprice_orders_rejects", f"""
+SELECT idcompra, CASE WHEN o.{UNKNOWN_USER} THEN 'unknown_user' WHEN falta IS NULL THEN 'empty_basket'
+       ELSE 'unknown_product' END AS reason
+FROM pedidos o LEFT JOIN (SELECT idcompra, bool_or({UNKNOWN_PRODUCT}) AS falta FROM lineas GROUP BY 1) USING (idcompra)
+WHERE o.{UNKNOWN_USER} OR falta IS NULL OR falta""")
+def _(s):
+    return pricing.reprice_orders(s.compras, s.producto.where(KNOWN_PRODUCTS), s.users.where(KNOWN_USERS))[2]
+
+
+@query("price_flat_orders_rejects", f"""
+SELECT idcompra, CASE WHEN {UNKNOWN_USER} THEN 'unknown_user' ELSE 'unknown_product' END AS reason
+FROM compra WHERE {UNKNOWN_USER} OR {UNKNOWN_PRODUCT}""")
+def _(s):
+    return pricing.price_flat_orders(s.compra.drop("total"), s.users.where(KNOWN_USERS), s.producto.where(KNOWN_PRODUCTS))[2]
+
+
+@query("price_details_rejects", f"""
+SELECT idcompra AS iddetalle, CASE WHEN idcompra % 6 = 0 THEN 'unknown_order' ELSE 'unknown_product' END AS reason
+FROM compra WHERE idcompra % 6 = 0 OR {UNKNOWN_PRODUCT}""")
+def _(s):
+    return pricing.price_details(s.compra_detalle.drop("total"), s.compra.where("idcompra % 6 <> 0"),
+                                 s.producto.where(KNOWN_PRODUCTS))[1]
+
+
+@query("invoice_rejects", """
+SELECT idcompra, CASE WHEN idcompra % 4 = 0 THEN 'detail_missing' ELSE 'delivery_missing' END AS reason
+FROM pedidos WHERE idcompra % 4 = 0 OR idcompra % 6 = 0 OR idcompra NOT IN (SELECT idcompra FROM detalle_entrega)""")
+def _(s):
+    return baskets.invoice_documents(s.compras, s.compras_detalle.where("idcompra % 4 <> 0"),
+                                     s.detalle_entrega.where("idcompra % 6 <> 0"), s.producto)[1]
+
+
+@query("basket_rejects", """
+SELECT idcompra, CASE WHEN idcompra % 9 = 0 THEN 'basket_missing' ELSE 'basket_unreadable' END AS reason
+FROM pedidos WHERE idcompra % 9 = 0 OR idcompra % 11 = 0""")
+def _(s):
+    spoilt = F.when(F.col("idcompra") % 9 == 0, F.lit(None)).when(F.col("idcompra") % 11 == 0, "[{oops").otherwise(F.col("productos"))
+    return baskets.basket_rejects(s.compras.withColumn("productos", spoilt)).select("idcompra", "reason")
+
+
 @query("final_price", f"SELECT idproducto, {dbl('p_final')} AS p_final FROM producto")
 def _(s):
     return pricing.final_price(s.producto.drop("p_final")).select("idproducto", "p_final")
@@ -1069,6 +1114,32 @@ def _(s):
     return changes.delete_pairs(s.rolxpermiso, pairs)[0]
 
 
+@query("replace_role_permission_missing", "SELECT DISTINCT idrol + 100 AS idrol FROM rolxpermiso")
+def _(s):
+    wanted = s.rolxpermiso.groupBy((F.col("idrol") + 100).alias("idrol")).agg(F.max("idpermiso").alias("idpermiso"))
+    return changes.replace_role_permission(s.rolxpermiso, wanted.withColumn("seq", F.lit(1)))[1]
+
+
+@query("delete_pairs_missing", "SELECT DISTINCT idrol, idpermiso + 1000 AS idpermiso FROM rolxpermiso")
+def _(s):
+    return changes.delete_pairs(s.rolxpermiso, s.rolxpermiso.withColumn("idpermiso", F.col("idpermiso") + 1000))[1]
+
+
+@query("record_use_rejects", """
+SELECT idsolicitud, iduser, codigo FROM canjes WHERE codigo NOT IN (SELECT codigo FROM cupones WHERE idcupon % 2 = 0)""")
+def _(s):
+    return coupons.record_use(s.canjes, s.cupones.where("idcupon % 2 = 0"))[1].select("idsolicitud", "iduser", "codigo")
+
+
+@query("append_then_load", 'SELECT iduser, usuario AS "user", email, estado FROM users')
+def _(s):
+    """The users written in two parts and read back as a stored table."""
+    work = tables.work_dir(s.spark)
+    for part in ("iduser % 2 = 0", "iduser % 2 <> 0"):
+        tables.append(s.users.where(part).select("iduser", "user", "email", "estado"), work, "users")
+    return tables.load(s.spark, work, "users").select("iduser", "user", "email", "estado")
+
+
 # ---- streams, run to the end of their input ------------------------------------------------------------
 
 def _stored(df, path, files=3):
@@ -1087,6 +1158,15 @@ def _(s):
     return s.spark.read.schema("dia DATE, numero_de_visitas BIGINT").parquet(f"{work}/days")
 
 
+@query("visits_stream_monthly", f"""
+SELECT strftime(ts, '%Y-%m') AS mes, count(*) AS numero_de_visitas FROM visitas
+WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM visitas) - INTERVAL 1 DAY GROUP BY 1""")
+def _(s):
+    work = tables.work_dir(s.spark)
+    jobs.start_daily_visits(_stored(s.visitas, f"{work}/visits", files=1), f"{work}/days", f"{work}/state").awaitTermination()
+    return jobs.monthly_rollup(s.spark.read.schema("dia DATE, numero_de_visitas BIGINT").parquet(f"{work}/days"))
+
+
 def _intake(s, rules=None):
     """Order requests as JSON files, taken in by the stream; gives the folder of its outputs."""
     work = tables.work_dir(s.spark)
@@ -1103,6 +1183,18 @@ def _(s):
     return _priced_heads(s.spark.read.parquet(f"{_intake(s)}/orders"))
 
 
+@query("order_intake_stream_rejects", f"{PRICED} SELECT idcompra, reason FROM juzgadas WHERE reason IS NOT NULL")
+def _(s):
+    return s.spark.read.parquet(f"{_intake(s)}/rejects").select("idcompra", "reason")
+
+
+@query("order_intake_stream_details", f"""{PRICED}
+SELECT idcompra AS iddetalle, idcompra, codigocupon AS "codigoCupon", {dbl('round(sum(total_producto), 2)')} AS total
+FROM preciadas GROUP BY idcompra, codigocupon""")
+def _(s):
+    return s.spark.read.parquet(f"{_intake(s)}/details").select("iddetalle", "idcompra", "codigoCupon", "total")
+
+
 @query("order_intake_stream_grants", _grant_sql(RULES, "n.iduser, c.idcupon, n.codigo") + " WHERE c.codigo IS NOT NULL")
 def _(s):
     out = _intake(s, coupons.grant_rules(s.spark, RULES))

@@ -7,9 +7,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from conftest import DATA
 from mostrador.operators import baskets, catalog, changes, coupons, lookups, pricing, reports
+from mostrador.plans import registry
 from mostrador.plans.shop import AS_OF, CATEGORY, Shop
 from mostrador.sources.schemas import TABLES
 
@@ -60,13 +60,13 @@ def plan_of(df):
     return text.getvalue()
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if not n.endswith("_stream")])
+@pytest.mark.parametrize("name", [n for n in registry.queries() if not n.endswith("_stream")])
 def test_no_plan_pairs_everything(spark, name):
     """With broadcasting off, as for large dimensions, every join still has a key."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = plan_of(entry.queries()[name](spark, DATA))
+        plan = plan_of(registry.queries()[name](spark, DATA))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "NestedLoop" not in plan and "Cartesian" not in plan
