@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -73,8 +74,13 @@ def split_corrupt(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A fresh folder for this run, below the shared folder named in ``spark.checkpoint.dir``, which must be set."""
+    """A fresh folder for this run below the shared folder named in ``spark.checkpoint.dir``.
+
+    Where that is unset, as in tests, it is set to a new local folder, whatever the master; on a cluster, name a
+    folder that every executor can reach.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+        shared = tempfile.mkdtemp(prefix="mostrador-")
+        spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/mostrador-{uuid.uuid4().hex}"
