@@ -135,15 +135,23 @@ def _flat_total():
     return (F.col("_price") * exact_decimal(F.col("cantidad"), QUANTITY)).try_cast(ORDER_MONEY)
 
 
-def price_flat_orders(requests: DataFrame, users: DataFrame,
-                      products: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Price one-product orders (idcompra, fecha, iduser, idproducto, cantidad) as (orders, details, rejects)."""
+def price_flat_orders(requests: DataFrame, users: DataFrame, products: DataFrame,
+                      existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Price one-product orders (idcompra, fecha, iduser, idproducto, cantidad) as (orders, details, rejects).
+
+    With ``existing`` orders the requests are updates of these, and others are refused.
+    """
     prices = products.select("idproducto", F.col("p_final").cast("decimal(14,4)").alias("_price"),
                              F.lit(True).alias("_known"))
+    if existing is None:
+        requests = requests.withColumn("_order", F.lit(True))
+    else:
+        requests = requests.join(existing.select("idcompra", F.lit(True).alias("_order")), "idcompra", "left")
     checked = (requests.join(users.select("iduser", F.lit(True).alias("_buyer")), "iduser", "left")
                .join(prices, "idproducto", "left")
                .withColumn("total", _flat_total())
-               .withColumn("reason", F.when(F.col("_buyer").isNull(), "unknown_user")
+               .withColumn("reason", F.when(F.col("_order").isNull(), "unknown_order")
+                           .when(F.col("_buyer").isNull(), "unknown_user")
                            .when(F.col("_known").isNull(), "unknown_product")
                            .when(F.col("total").isNull(), "bad_quantity")))
     good = checked.where("reason IS NULL")

@@ -815,6 +815,15 @@ def _(s):
     return pricing.price_flat_orders(s.compra.drop("total"), s.users.where(KNOWN_USERS), s.producto.where(KNOWN_PRODUCTS))[2]
 
 
+@query("update_flat_orders_rejects", f"""
+SELECT idcompra, CASE WHEN idcompra % 6 = 0 THEN 'unknown_order' WHEN {UNKNOWN_USER} THEN 'unknown_user'
+       ELSE 'unknown_product' END AS reason
+FROM compra WHERE idcompra % 6 = 0 OR {UNKNOWN_USER} OR {UNKNOWN_PRODUCT}""")
+def _(s):
+    return pricing.price_flat_orders(s.compra.drop("total"), s.users.where(KNOWN_USERS), s.producto.where(KNOWN_PRODUCTS),
+                                     s.compra.where("idcompra % 6 <> 0"))[2]
+
+
 @query("price_details_rejects", f"""
 SELECT idcompra AS iddetalle, CASE WHEN idcompra % 6 = 0 THEN 'unknown_order' ELSE 'unknown_product' END AS reason
 FROM compra WHERE idcompra % 6 = 0 OR {UNKNOWN_PRODUCT}""")
