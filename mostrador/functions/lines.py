@@ -11,9 +11,15 @@ TYPED = {"idproducto": "bigint", "cantidad": "double", "total_producto": "decima
 
 
 def parse_lines(basket: Column, fields=LINE_FIELDS) -> Column:
-    """JSON text to an array of text structs holding only ``fields``. Unreadable text gives NULL."""
+    """JSON text to an array of text structs holding only ``fields``. Unreadable text gives NULL.
+
+    An element that is no object is a line of NULLs; only baskets with such an element are read element by element.
+    """
     members = ", ".join(f"{name}: STRING" for name in fields)
-    return F.from_json(basket, f"ARRAY<STRUCT<{members}>>")
+    blank = F.struct(*[F.lit(None).cast("string").alias(name) for name in fields])
+    one_by_one = F.transform(F.from_json(basket, "ARRAY<STRING>"),
+                             lambda e: F.coalesce(F.from_json(e, f"STRUCT<{members}>"), blank))
+    return F.coalesce(F.from_json(basket, f"ARRAY<STRUCT<{members}>>"), one_by_one)
 
 
 def lines_of(df: DataFrame, fields=LINE_FIELDS, column: str = "productos") -> Column:
@@ -67,5 +73,10 @@ def basket_problem(orders: DataFrame, column: str = "productos") -> Column:
 
 
 def basket_rejects(orders: DataFrame, column: str = "productos") -> DataFrame:
-    """Orders whose basket is missing or unreadable, with the reason."""
-    return orders.withColumn("reason", basket_problem(orders, column)).where("reason IS NOT NULL")
+    """Orders whose basket is missing or unreadable, or has a line without a product, with the reason.
+
+    Reports count the other lines of the last kind.
+    """
+    nameless = F.exists(lines_of(orders, ("idproducto",), column), lambda line: line["idproducto"].isNull())
+    orders = orders.withColumn("reason", F.coalesce(basket_problem(orders, column), F.when(nameless, "line_without_product")))
+    return orders.where("reason IS NOT NULL")

@@ -344,6 +344,14 @@ def test_payments_at_one_time_and_without_a_user(make, rows):
         assert rows(rejects, "order_id", "reason") == [("c", "missing_time")]
 
 
+def test_an_element_that_is_no_object_spoils_nothing_else(make, rows):
+    orders = make("compras", "idcompra, productos", (1, '[{"idproducto": 10, "cantidad": 2}, 5]'), (2, '[{"idproducto": 10}, null]'),
+                  (3, '[{"idproducto": 10, "cantidad": 1}]'), (4, "[{oops"), (5, "7"))
+    assert baskets.total_units(orders).first()[0] == 3
+    assert rows(basket_rejects(orders), "idcompra", "reason") == [
+        (1, "line_without_product"), (2, "line_without_product"), (4, "basket_unreadable"), (5, "basket_unreadable")]
+
+
 def test_untidy_order_ids(make, rows):
     users, goods = make("users", "iduser", (1,)), make("producto", "idproducto, p_final", (10, 5))
     basket = lambda n: f'[{{"idproducto": 10, "cantidad": {n}}}]'
