@@ -160,11 +160,12 @@ def pack_lines(lines: DataFrame, key: str = "idcompra") -> DataFrame:
     return lines.groupBy(key).agg(F.to_json(F.transform(packed, lambda e: e["line"])).alias("productos"))
 
 
-def enrich_lines(orders: DataFrame, producto: DataFrame) -> DataFrame:
+def enrich_lines(orders: DataFrame, producto: DataFrame, key: str | None = None) -> DataFrame:
     """Baskets with every product id replaced by the product's name, NULL when unknown.
 
-    Works on orders and on order details alike: all other columns stay, and rows must be distinct
-    in them (they hold the key). Unreadable baskets are left to ``basket_rejects``.
+    Works on orders and on order details alike: all other columns stay. Rows must be distinct in ``key``, by which
+    alone they are then gathered, or without it in all other columns. Unreadable baskets are left to
+    ``basket_rejects``.
     """
     keep = [c for c in orders.columns if c != "productos"]
     rows = explode_lines(orders, LINE_FIELDS, keep, outer=True)
@@ -172,16 +173,17 @@ def enrich_lines(orders: DataFrame, producto: DataFrame) -> DataFrame:
         F.col("nomprod").alias("idproducto"),
         *[F.col(name) for name in LINE_FIELDS if name != "idproducto"]).alias("line"))
     collected = F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), line)))
-    return (rows.join(producto.select("idproducto", "nomprod"), "idproducto", "left").groupBy(*keep)
-            .agg(F.transform(collected, lambda e: e["line"]).alias("productos"),
+    carried = [F.any_value(c).alias(c) for c in keep if key and c != key]
+    return (rows.join(producto.select("idproducto", "nomprod"), "idproducto", "left").groupBy(*([key] if key else keep))
+            .agg(*carried, F.transform(collected, lambda e: e["line"]).alias("productos"),
                  F.bool_and("readable").alias("_readable"))
-            .where("_readable").drop("_readable"))
+            .where("_readable").select(*keep, "productos"))
 
 
 def enrich_orders(orders: DataFrame, users: DataFrame, producto: DataFrame) -> DataFrame:
     """All orders with the buyer's e-mail and named lines; orders of unknown users do not appear."""
     buyers = users.select("iduser", F.col("email").alias("usuario"))
-    named = enrich_lines(orders.select("idcompra", "iduser", "productos", "total", "fecha"), producto)
+    named = enrich_lines(orders.select("idcompra", "iduser", "productos", "total", "fecha"), producto, "idcompra")
     return named.join(buyers, "iduser").select("idcompra", "usuario", "productos", "total", "fecha")
 
 
@@ -191,19 +193,19 @@ def _first_row(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
 
 def invoice_documents(orders: DataFrame, details: DataFrame, delivery: DataFrame,
                       producto: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Order, first detail, first delivery and named lines as one nested row; orders lacking a part go to rejects."""
+    """Order, first detail, first delivery and named lines as one nested row; orders lacking a part go to rejects.
+
+    Orders are distinct in idcompra. The parts travel with the lines through one explosion and one gathering.
+    """
     detail = _first_row(details, "idcompra", "iddetalle", "comprasDetalle")
     address = _first_row(delivery, "idcompra", "identrega", "detalleEntrega")
-    parts = (orders.withColumn("_problem", basket_problem(orders))
-             .join(detail, "idcompra", "left").join(address, "idcompra", "left")
-             .withColumn("reason", F.when(F.col("comprasDetalle").isNull(), "detail_missing")
-                         .when(F.col("detalleEntrega").isNull(), "delivery_missing")
-                         .otherwise(F.col("_problem"))))
-    named = enrich_lines(orders.select("idcompra", "productos"), producto)
-    documents = (parts.where("reason IS NULL")
-                 .select("idcompra", F.struct(*orders.columns).alias("compra"), "comprasDetalle", "detalleEntrega")
-                 .join(named, "idcompra"))
-    return documents, parts.where("reason IS NOT NULL").select("idcompra", "reason")
+    parts = orders.join(detail, "idcompra", "left").join(address, "idcompra", "left")
+    whole = parts.where("comprasDetalle IS NOT NULL AND detalleEntrega IS NOT NULL")
+    documents = enrich_lines(whole.select(
+        "idcompra", F.struct(*orders.columns).alias("compra"), "comprasDetalle", "detalleEntrega", "productos"), producto, "idcompra")
+    reason = (F.when(F.col("comprasDetalle").isNull(), "detail_missing")
+              .when(F.col("detalleEntrega").isNull(), "delivery_missing").otherwise(basket_problem(parts)))
+    return documents, parts.withColumn("reason", reason).where("reason IS NOT NULL").select("idcompra", "reason")
 
 
 __all__ = [
