@@ -13,16 +13,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from mostrador.llm.common import plain_text, stored, text_partitions
+from mostrador.llm.common import by_ids, plain_text, stored, text_partitions
 
 ORDER = 4
 #: Text bytes of a block, and UTF-16 units looked at together in a task.
 BLOCK_BYTES, UNITS_AT_ONCE = 8 << 20, 4 << 20
-#: Bits of a language's trusted documents give its limit, see :func:`limits`; languages with fewer trusted documents
-#: than LEAST_TRUSTED take that of all languages together.
-HIGH, FAR, LEAST_TRUSTED, ACCURACY = 0.9, 0.99, 20, 10_000
+#: One trusted document in CALIBRATING is kept from the counts; these give the limits, see :func:`limits`. Languages
+#: with fewer of them than LEAST_MIDDLE and LEAST_REACH take the middle and the reach of all languages together.
+CALIBRATING, HIGH, FAR, LEAST_MIDDLE, LEAST_REACH, ACCURACY = 5, 0.9, 0.99, 5, 50, 10_000
 
 
 def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +155,7 @@ def unpack(sizes: list[int], body: bytes) -> list[str]:
 
 
 def wanted_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct n-grams of each packed row, one block's rows together as far as they come together."""
+    """The n-grams of each block, distinct but for those of very large blocks, which are told in parts."""
     held: dict[int, list[np.ndarray]] = {}
 
     def told(block: int) -> pa.RecordBatch:
@@ -163,7 +163,7 @@ def wanted_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block, np.int32)),
                                            pa.array(found.view(np.int64))], names=["block", "gram"])
     for batch in batches:
-        for block, sizes, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for block, sizes, body in zip(*(batch.column(c).to_pylist() for c in ("block", "sizes", "body"))):
             texts = unpack(sizes, body)
             for a, b in bunches(texts):
                 held.setdefault(block, []).append(np.unique(text_grams(texts[a:b])[0]))
@@ -223,54 +223,59 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     packs = (docs.select(block.alias("block"), "doc_id", F.col("lang").cast("string"), text.alias("text"))
              .mapInArrow(pack(kind), f"block int, ids array<{name}>, langs array<string>, sizes array<int>, body binary")
              .repartition("block"))
-    wanted = packs.select("block", "sizes", "body").mapInArrow(wanted_grams, "block int, gram bigint").distinct()
+    wanted = packs.mapInArrow(wanted_grams, "block int, gram bigint")  # of all columns: so both uses share one shuffle
     answers = wanted.join(model.bits(wanted), "gram").select("block", "gram", "bits")
     return packs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         score_block(kind), f"doc_id {name}, lang string, n_symbols bigint, bits double")
 
 
-def limits(scored: DataFrame, trusted: DataFrame) -> DataFrame:
+def limits(scored: DataFrame, held: DataFrame) -> DataFrame:
     """One row (lang, middle, high, reach) for each language of ``scored``, the NULL language among them.
 
-    ``middle`` and ``high`` are the median and the HIGH quantile of the trusted documents' bits. A mean over n symbols
-    scatters with one over the root of n, so a document's distance from the middle is taken times that root; ``reach``
-    is the FAR quantile of these distances and once more its own distance from their median.
+    ``held`` has the doc_ids of trusted documents that the model has not seen. ``middle`` and ``high`` are the median
+    and the HIGH quantile of their bits. A mean over n symbols scatters with one over the root of n, so a document's
+    distance from the middle is taken times that root; ``reach`` is the FAR quantile of these distances and once more
+    its own distance from their median.
     """
     quantile = lambda c, q: F.percentile_approx(c, F.lit(q), F.lit(ACCURACY))
-    known = scored.join(trusted, "doc_id", "left_semi").withColumn("all", F.lit(True))
-    langs = scored.select("lang").distinct().withColumn("all", F.lit(True))
-
-    def figures(keys: list[str], name: str) -> DataFrame:
-        middle = known.groupBy(*keys).agg(quantile("bits", 0.5).alias("m"), quantile("bits", HIGH).alias("h"),
-                                          F.count("*").alias("n"))
-        apart = known.join(middle.withColumnsRenamed({k: f"_{k}" for k in keys}),
-                           F.col(keys[0]).eqNullSafe(F.col(f"_{keys[0]}")))
-        distance = (F.col("bits") - F.col("m")) * F.sqrt("n_symbols")
-        far = quantile(distance, FAR)
-        return apart.groupBy(*keys).agg(F.struct(
-            F.first("m").alias("middle"), F.first("h").alias("high"),
-            (far + far - quantile(distance, 0.5)).alias("reach"), F.first("n").alias("n")).alias(name))
-    own = figures(["lang"], "own").withColumnRenamed("lang", "_lang")
-    every = figures(["all"], "every").withColumnRenamed("all", "_all")
-    both = (langs.join(own, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-            .join(every, F.col("all") == F.col("_all"), "left"))
-    chosen = F.when(F.col("own.n") >= LEAST_TRUSTED, F.col("own")).otherwise(F.col("every"))
-    return both.select("lang", chosen.alias("c")).select("lang", "c.middle", "c.high", "c.reach")
+    reach = (2 * quantile("distance", FAR) - quantile("distance", 0.5)).alias("reach")
+    known = stored(by_ids(scored, held, "left_semi"))
+    middle, high = quantile("bits", 0.5).alias("middle"), quantile("bits", HIGH).alias("high")
+    every = known.agg(middle, high).first()
+    enough = F.col("n") >= LEAST_MIDDLE
+    of_lang = known.groupBy(F.col("lang").alias("of")).agg(middle, high, F.count("*").alias("n")).select("of", "n", *[
+        F.when(enough, F.col(c)).otherwise(F.lit(every[c]).cast("double")).alias(c) for c in ("middle", "high")])
+    apart = stored(known.join(of_lang, F.col("lang").eqNullSafe(F.col("of"))).select(
+        "lang", ((F.col("bits") - F.col("middle")) * F.sqrt("n_symbols")).alias("distance")))
+    far = apart.agg(reach).first().reach
+    reaches = apart.groupBy("lang").agg(reach, F.count("*").alias("m")).where(F.col("m") >= LEAST_REACH)
+    langs = scored.select(F.col("lang").alias("_lang")).distinct()
+    return (langs.join(of_lang, F.col("_lang").eqNullSafe(F.col("of")), "left")
+            .join(reaches, F.col("_lang").eqNullSafe(F.col("lang")), "left").select(
+                "_lang", F.coalesce("middle", F.lit(every.middle).cast("double")).alias("middle"),
+                F.coalesce("high", F.lit(every.high).cast("double")).alias("high"),
+                F.coalesce("reach", F.lit(far).cast("double")).alias("reach")))
+
+
+def held_back(doc_id: Column) -> Column:
+    """Whether a trusted document calibrates limits."""
+    return F.pmod(F.xxhash64(doc_id), F.lit(CALIBRATING)) == 0
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, lang, n_symbols, bits, perplexity, bits_limit, kept.
 
-    The model is trained on the texts that ``labels`` marks with quality 1, all of them. Perplexity is 2 to the power
-    of bits. Documents with bits above their limit are rejected: the greater of their language's high quantile and
+    The model is trained on the texts that ``labels`` marks with quality 1, on all but those that calibrate the limits.
+    Perplexity is 2 to the power of bits. Documents with bits above their limit are rejected: the greater of their language's high quantile and
     its middle plus its reach over the root of their number of symbols, as :func:`limits` has them. A NULL text is
     empty; the empty text has one symbol, its end. A NULL language is one of its own. Without a trusted text the limit
     is NULL and all stay. Repeated rows are scored each; repeated labels count once; other columns are not looked at.
     """
     trusted = stored(labels.where("quality = 1").select("doc_id").distinct())
-    model = Model(gram_counts(docs.join(trusted, "doc_id", "left_semi")))
+    held = held_back(F.col("doc_id"))
+    model = Model(gram_counts(by_ids(docs, trusted.where(~held), "left_semi")))
     scored = stored(scores(docs, model))
-    limit = limits(scored, trusted).withColumnRenamed("lang", "_lang")
+    limit = limits(scored, trusted.where(held))
     judged = scored.join(limit, F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn(
         "bits_limit", F.greatest("high", F.col("middle") + F.col("reach") / F.sqrt("n_symbols")))
     return judged.select(
@@ -283,8 +288,8 @@ def kept_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Rows that share a doc_id stay or go together: they go when one of them is rejected. A NULL doc_id stays.
     """
-    gone = judge(docs, labels).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = stored(judge(docs, labels).where("not kept").select("doc_id").distinct())
+    return by_ids(docs, gone, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def plain_bits(trusted: list[str], text: str) -> float:
