@@ -9,10 +9,10 @@ each sorted by a two-stage suffix array, and neighbours with a common prefix of
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from mostrador.llm.common import plain_text, stored
@@ -22,7 +22,7 @@ LENGTH, K = 100, 24
 CHOICES = LENGTH - K + 1
 #: Bytes looked at together in a task, bytes of segments in a shard, and segments of one K-gram up to which they are
 #: sorted in a shard; more are compared as single strings by a shuffle of their own.
-AT_ONCE, SHARD_BYTES, SORTED_MOST = 4 << 20, 4 << 20, 20_000
+AT_ONCE, SHARD_BYTES, SORTED_MOST = 4 << 20, 2 << 20, 20_000
 PLACE_BITS = np.uint64(24)
 
 
@@ -89,8 +89,8 @@ def cut(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         first = np.flatnonzero(new)
         many = np.diff(np.append(first, len(at)))
         begin, owner = at[first], owner[first]
-        digests = np.fromiter((int.from_bytes(blake2b(body[b:b + m + LENGTH - 1], digest_size=8).digest(), "little", signed=True)
-                               for b, m in zip(begin.tolist(), many.tolist())), np.int64, len(begin))
+        digests = np.fromiter((xxhash.xxh3_64_intdigest(body[b:e]) for b, e in zip(
+            begin.tolist(), (begin + many + LENGTH - 1).tolist())), np.uint64, len(begin)).view(np.int64)
         numbers, starts = (np.array([p[j] for p in bunch], np.int64) for j in (0, 1))
         found.append((numbers[owner], begin - offsets[owner] + starts[owner], many,
                       hashes[chosen[begin]].view(np.int64), digests))
@@ -145,20 +145,25 @@ def two_stage(data: np.ndarray, word: np.ndarray) -> np.ndarray:
     following = np.minimum.accumulate(decided[::-1])[::-1]
     small = step[following] > 0
     order = np.flatnonzero(small)
-    order = order[np.argsort(word[order], kind="stable")]
-    keys = word[order]
-    new = np.append(True, keys[1:] != keys[:-1])[:len(order)]
-    for depth in range(8, LENGTH, 8):
-        tied = ~new
-        tied[:-1] |= ~new[1:]
-        which = np.flatnonzero(tied)
-        if not len(which):
-            break
-        group, keys = np.cumsum(new)[which], word[order[which] + depth]
-        again = np.lexsort((keys, group))
-        order[which] = order[which][again]
-        keys = keys[again]
-        new[which[1:]] |= (group[1:] == group[:-1]) & (keys[1:] != keys[:-1])
+    rank = np.unique(word, return_inverse=True)[1].astype(np.uint64)
+    bits = max(1, int(rank.max()).bit_length())
+    # Groups of equal beginnings are split by as many further words as fit, with the group, into one number.
+    group, depth, which = np.zeros(len(order), np.int64), 0, np.arange(len(order))
+    while depth < LENGTH and len(which):
+        place, keys = order[which], group[which].astype(np.uint64)
+        words = max(1, (64 - len(order).bit_length()) // bits)
+        for _ in range(words):
+            if depth < LENGTH:
+                keys = keys << np.uint64(bits) | rank[place + depth]
+                depth += 8
+        sorted_ = np.argsort(keys)
+        order[which] = place[sorted_]
+        keys = keys[sorted_]
+        first = np.append(True, keys[1:] != keys[:-1])
+        group[which] = which[np.maximum.accumulate(np.where(first, np.arange(len(which)), 0))]
+        tied = ~first
+        tied[:-1] |= ~first[1:]
+        which = which[tied]
     ends = np.searchsorted(data[order], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     if n:
@@ -186,17 +191,17 @@ def two_stage(data: np.ndarray, word: np.ndarray) -> np.ndarray:
 def repeated_strings(bodies: list[bytes], doc: np.ndarray, place: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     """Strings (doc, place, how many in a row) of these segments that occur before in another or the same one."""
     data = np.frombuffer(b"\0".join(bodies) + b"\0", np.uint8)
-    padded = np.append(data, np.zeros(LENGTH + 16, np.uint8)).astype(np.uint64)
+    padded = np.append(data, np.zeros(LENGTH + 20, np.uint8)).astype(np.uint64)
     word = padded[:-7] << np.uint64(56)
     for i in range(1, 8):
         word = word | padded[i:len(padded) - 7 + i] << np.uint64(56 - 8 * i)
     lengths = np.array([len(b) + 1 for b in bodies])
     offsets = np.cumsum(lengths) - lengths
+    owner = np.repeat(np.arange(len(bodies), dtype=np.int32), lengths)
+    inside = np.arange(len(data)) - offsets[owner]
     ordered = two_stage(data, word)
-    owner = np.searchsorted(offsets, ordered, "right") - 1
-    inside = ordered - offsets[owner]
-    starts = inside < n[owner]
-    ordered, owner, inside = ordered[starts], owner[starts], inside[starts]
+    ordered = ordered[(inside < n[owner])[ordered]]
+    owner, inside = owner[ordered], inside[ordered]
     same = np.ones(max(0, len(ordered) - 1), bool)
     for depth in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
         same[same] = word[ordered[:-1][same] + depth] == word[ordered[1:][same] + depth]
