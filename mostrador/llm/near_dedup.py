@@ -114,26 +114,30 @@ def postings(classes: DataFrame) -> DataFrame:
         F.slice("values", F.lit(1), kept)).alias("value")).select("node", "central", F.col("value.token").alias("token"))
 
 
-def confirmed(pairs: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b and more columns) that agree in enough coordinates and share enough of their full sets."""
+def confirmed(pairs: DataFrame, signatures: DataFrame | None, sets: DataFrame, share: int = SHARE) -> DataFrame:
+    """The pairs (a, b and more columns) that agree in enough coordinates and share enough of their full sets.
+
+    Without signatures all are compared by their sets.
+    """
     side = lambda df, name, value: df.select(F.col("node").alias(name), F.col(value).alias(f"of_{name}"))
-    close = (pairs.join(side(signatures, "a", "signature"), "a").join(side(signatures, "b", "signature"), "b")
-             .where(agreeing(F.col("of_a"), F.col("of_b")) >= AGREEING).select(*pairs.columns))
+    close = pairs if signatures is None else (
+        pairs.join(side(signatures, "a", "signature"), "a").join(side(signatures, "b", "signature"), "b")
+        .where(agreeing(F.col("of_a"), F.col("of_b")) >= AGREEING).select(*pairs.columns))
     both = close.join(side(sets, "a", "members"), "a").join(side(sets, "b", "members"), "b")
     common = F.size(F.array_intersect("of_a", "of_b"))
-    return both.where(100 * common >= SHARE * (F.size("of_a") + F.size("of_b") - common)).select(*pairs.columns)
+    return both.where(100 * common >= share * (F.size("of_a") + F.size("of_b") - common)).select(*pairs.columns)
 
 
-def reaches(side: str, size: str) -> Column:
-    """Whether a common set of at most ``shared`` shingles can be SHARE per cent of the union with a set of ``size``."""
-    return F.expr(f"{SHARE} * {size} <= {100 + SHARE} * {side}shared - {SHARE} * {side}size")
+def reaches(side: str, size: str, share: int) -> Column:
+    """Whether a common set of at most ``shared`` shingles can be ``share`` per cent of the union with a set of ``size``."""
+    return F.expr(f"{share} * {size} <= {100 + share} * {side}shared - {share} * {side}size")
 
 
-def able(lists: DataFrame, sets: DataFrame) -> DataFrame:
+def able(lists: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFrame:
     """The rows of ``lists`` whose node can still be linked through them, with its size and shared.
 
     ``shared`` counts a node's shingles that another node of the lists has too: no common set is larger. With that,
-    SHARE per cent are out of reach of every other set above a certain size, and a node that cannot reach the smallest
+    ``share`` per cent are out of reach of every other set above a certain size, and a node that cannot reach the smallest
     set of its list is dropped from the list. So are lists whose nodes all have come together.
     """
     open_ = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(
@@ -147,7 +151,7 @@ def able(lists: DataFrame, sets: DataFrame) -> DataFrame:
         "node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
     sized = lists.join(known, "node")
     least = sized.groupBy("token").agg(F.min("size").alias("least"))
-    return stored(sized.join(least, "token").where(reaches("", "least")).drop("least"))
+    return stored(sized.join(least, "token").where(reaches("", "least", share)).drop("least"))
 
 
 def together(lists: DataFrame, new: DataFrame) -> DataFrame:
@@ -161,7 +165,7 @@ def together(lists: DataFrame, new: DataFrame) -> DataFrame:
     return lists.join(labels, "node", "left").withColumn("component", F.coalesce("label", "component")).drop("label")
 
 
-def links(posts: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFrame:
+def links(posts: DataFrame, signatures: DataFrame | None, sets: DataFrame, share: int = SHARE) -> DataFrame:
     """Confirmed links (a, b), enough to join all that belong together.
 
     Pairs of short posting lists are all compared. In longer ones, every node is compared with the list's most central
@@ -182,12 +186,12 @@ def links(posts: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFrame
             star = lists.join(hubs, "token").where("component <> hub.component").select(
                 F.col("node").alias("a"), F.col("hub.node").alias("b"), F.col("hub.component").alias("to"))
             pairs = star if found is not None else pairs.union(star)
-        new = stored(confirmed(pairs.distinct(), signatures, sets))
+        new = stored(confirmed(pairs.distinct(), signatures, sets, share))
         found = new.select("a", "b") if found is None else found.union(new.select("a", "b"))
         joined = new.where("to is not null")
         if last:
             return found
-        lists = able(together(lists, joined), sets)
+        lists = able(together(lists, joined), sets, share)
         far = -F.col("shared") / F.col("size")
         parts = lists.groupBy("token", "component").agg(F.count("*").cast("double").alias("n")).groupBy("token").agg(
             F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own"))
@@ -198,7 +202,7 @@ def links(posts: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFrame
         if last:
             tokens = lists.groupBy("node").agg(F.collect_set("token").alias("tokens"))
             rest = lists.join(tokens, "node")
-            once = F.expr("x.token = y.token and x.component < y.component") & reaches("x.", "y.size") & reaches("y.", "x.size")
+            once = F.expr("x.token = y.token and x.component < y.component") & reaches("x.", "y.size", share) & reaches("y.", "x.size", share)
             once &= F.expr("x.token = array_min(array_intersect(x.tokens, y.tokens))")
             pairs = rest.alias("x").join(rest.alias("y"), once).select(
                 F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.lit(None).cast("long").alias("to"))

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from hashlib import sha256
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from mostrador.llm.common import plain_text, text_partitions
+from mostrador.llm.common import components, plain_text, stored, text_partitions
+from mostrador.llm.near_dedup import links
 
 #: The most common words of English, German, French and Spanish, which serve as anchors.
 ANCHORS = frozenset((
@@ -21,6 +22,8 @@ ANCHORS = frozenset((
     "el los las y del al por con para su se lo").split())
 #: Content words of a chain, and signatures below which every word of a text serves as an anchor.
 CHAIN, FEW = 3, 4
+#: Per cent of the union that two sets of signatures must share to be near duplicates.
+SHARE = 80
 REMEMBERED = 500_000
 WORD = re.compile(r"\w+")
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -165,3 +168,53 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             .repartition("part").sortWithinPartitions("part", "guest", "doc", "text")
             .mapInArrow(beside_next(to_arrow_type(field)), f"doc_id {name}, n_chars bigint, edited_sha256 string, fingerprint string, "
                         "edited_fingerprint string, near_edited double, near_next double"))
+
+
+def signature_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = Words()
+    for batch in batches:
+        found = [sorted(signatures(t, words)) for t in batch.column(1).to_pylist()]
+        digests = [blake2b(np.array(f, "<u4").tobytes(), digest_size=16).digest() if f else None for f in found]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(map(len, found), pa.int64()),
+                                          pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "digest", "size", "members"])
+
+
+def postings(sets: DataFrame, share: int) -> DataFrame:
+    """Rows (node, central, token): each set under its rarest signatures, in its partition by length and the next.
+
+    Lengths of sets that share ``share`` per cent differ by a factor of 100 / share at most, the ratio of one partition
+    to the next, so such sets meet. They share one of the signatures posted, those that come first by frequency.
+    """
+    held = sets.select("node", F.explode("members").alias("signature"))
+    common = held.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1")
+    ranked = held.join(common, "signature").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "signature"))).alias("values"))
+    first = F.col("size") - F.ceil(F.col("size") * share / 100) + 1
+    kept = F.greatest(first - (F.col("size") - F.size("values")), F.lit(0)).cast("int")
+    length = F.floor(F.log("size") / F.log(F.lit(100 / share)))
+    posted = ranked.join(sets.select("node", "size"), "node").select(
+        "node", (F.col("size") - F.size("values")).alias("central"), length.alias("length"),
+        F.explode(F.slice("values", F.lit(1), kept)).alias("value"))
+    return posted.select("node", "central", F.explode(F.array("length", F.col("length") + 1)).alias("part"), "value.signature").select(
+        "node", "central", F.xxhash64("part", "signature").alias("token"))
+
+
+def near_groups(docs: DataFrame, share: int = SHARE) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_signatures, component_id (the smallest doc_id that hangs together).
+
+    Texts with one and the same set are one node. Sets are compared through :func:`postings`, pruned by what they can
+    still share, and linked from ``share`` per cent on. A text without signatures is linked with nothing; a NULL doc_id
+    counts in no minimum; other columns are not looked at.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = stored(docs.select("doc_id", plain_text("text").alias("text")).mapInArrow(
+        signature_sets, f"doc_id {kind}, digest binary, size bigint, members array<bigint>"))
+    sets = stored(rows.where("digest is not null").groupBy("digest").agg(
+        F.any_value("size").alias("size"), F.any_value("members").alias("members")).withColumn("node", F.monotonically_increasing_id()))
+    found = stored(links(stored(postings(sets, share)), None, sets.select("node", "size", "members"), share))
+    labels = components(found, found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))))
+    of_digest = sets.select("digest", "node").join(labels, "node", "left").select(
+        "digest", F.coalesce("component", "node").alias("component"))
+    grouped = rows.select("doc_id", "size", "digest").join(of_digest, "digest", "left")
+    first = grouped.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return grouped.join(first, "component", "left").select(
+        "doc_id", F.col("size").alias("n_signatures"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -89,6 +89,28 @@ def test_fingerprints(spark, texts):
         assert row.near_edited == pytest.approx(jaccard(own, other)) and row.near_next == pytest.approx(jaccard(own, after))
 
 
+def test_fingerprint_groups(spark, texts):
+    """Near duplicates by SpotSigs against all pairs."""
+    words = spotsigs.Words()
+    sets = {d: spotsigs.signatures(t, words) for d, t in texts.items()}
+    leader = {d: d for d in sets}
+
+    def root(d):
+        while leader[d] != d:
+            d = leader[d]
+        return d
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            common = len(sets[a] & sets[b])
+            if common and 100 * common >= 80 * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                leader[max(x, y)] = min(x, y)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = {r.doc_id: (r.n_signatures, r.component_id) for r in spotsigs.near_groups(docs).collect()}
+    assert got == {d: (len(sets[d]), root(d)) for d in ids} and len({c for _, c in got.values()}) < len(got)
+
+
 def test_suffix_array(spark, texts):
     got, seen = rows_of(spark, "op4_suffix_array"), set()
     for doc_id, text in texts.items():
