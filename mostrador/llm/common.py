@@ -52,21 +52,22 @@ def by_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if few else ids, "doc_id", how)
 
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The smallest node that each node reaches: rows (node, component), one for each distinct node.
+def components(edges: DataFrame) -> DataFrame:
+    """The smallest node that each end of an edge reaches: rows (node, component).
 
-    ``edges`` has columns (a, b) in either direction, ``nodes`` a column (node) that holds every end of an edge.
-    In each round a node takes the smallest label among its neighbours and then the label of that label, so long
-    chains halve; each round is written to the shared folder. NULL ends link nothing; an empty table gives none.
+    ``edges`` has columns (a, b) in either direction. In each round a node takes the smallest label among its
+    neighbours and then the label of that label, so long chains halve; each round is written to the shared folder.
+    NULL ends link nothing; an empty table gives none.
     """
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = stored(nodes.select("node").distinct().withColumn("component", F.col("node")))
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select(
+        "node", F.least("node", "near").alias("component")))
     while True:
-        around = (both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("near")))
-        nearer = labels.join(around, F.col("node") == F.col("a"), "left").select(
+        around = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("near"))
+        nearer = labels.join(around, F.col("node") == F.col("a")).select(
             "node", "component", F.least("component", "near").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("component").alias("beyond"))
-        moved = stored(nearer.join(jump, "next", "left").select(
+        moved = stored(nearer.join(jump, "next").select(
             "node", F.least("next", "beyond").alias("component"),
             (F.least("next", "beyond") != F.col("component")).alias("moved")))
         labels = moved.select("node", "component")

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mostrador.llm.common import plain_text, stored
 
 DIMENSIONS = ("source", "lang", "topic")
-ROUNDS, SEED = 10, "mix"
+ROUNDS, STORED_EVERY, SEED = 10, 5, "mix"
 #: How much of a dimension's target is its own share of the tokens; the rest is spread evenly over its values.
 NATURAL = {"source": 0.5, "lang": 0.7, "topic": 0.9}
 #: Tables without topics: the length of a text, in tokens, stands for it.
@@ -33,12 +33,12 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def blended_targets(cells: DataFrame, natural: dict[str, float] = NATURAL) -> dict[str, DataFrame]:
     """For each dimension the shares (value, share) that lie between those of the tokens and equal ones."""
+    whole = cells.agg(F.sum("tokens").alias("tokens"), *[F.count_distinct(name).alias(name) for name in natural]).first()
     targets = {}
     for name, part in natural.items():
-        shares = cells.groupBy(F.col(name).alias("value")).agg(F.sum("tokens").alias("n"))
-        whole = shares.agg(F.sum("n").alias("all"), F.count("*").alias("values"))
-        targets[name] = shares.join(whole, F.lit(True)).select(
-            "value", (part * F.col("n") / F.col("all") + (1 - part) / F.col("values")).alias("share"))
+        even = (1 - part) / max(1, whole[name])
+        targets[name] = cells.groupBy(F.col(name).alias("value")).agg(
+            (part * F.sum("tokens") / F.lit(whole.tokens) + even).alias("share"))
     return targets
 
 
@@ -46,25 +46,25 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     """``cells`` (the dimensions and tokens) with ``weight``, their share of the tokens after raking.
 
     A round scales the weights to each dimension's targets (value, share) in turn. A value without a target gets
-    weight 0; targets without a cell are left out and the others scaled up. There is one row per cell, and sums over
-    a dimension meet as one row per value and task, so a value in a third of all cells is no load.
+    weight 0; targets without a cell are left out and the others scaled up. There is one row per cell, so a source
+    with a third of all documents has a few rows here; the cells of one value are summed in a window.
     """
-    whole = cells.agg(F.sum("tokens").alias("_all"))
-    weighted = cells.join(whole, F.lit(True)).withColumn("weight", F.col("tokens") / F.col("_all")).drop("_all")
-    wanted = {}
+    whole = cells.agg(F.sum("tokens").alias("tokens")).first().tokens
+    weighted = cells.withColumn("weight", F.col("tokens") / F.lit(whole))
     for name, target in targets.items():
         present = target.join(cells.select(F.col(name).alias("value")).distinct(), "value", "left_semi")
-        total = present.agg(F.sum("share").alias("_total"))
-        wanted[name] = stored(present.join(total, F.lit(True)).select(
-            F.col("value").alias(name), (F.col("share") / F.col("_total")).alias("_share")))
-    for _ in range(rounds):
+        total = present.agg(F.sum("share").alias("share")).first().share or 1.0
+        shares = present.select(F.col("value").alias(name), (F.col("share") / F.lit(total)).alias(f"_share_{name}"))
+        weighted = weighted.join(shares, name, "left")
+    weighted = stored(weighted)
+    for done in range(1, rounds + 1):
         for name in targets:
-            sums = weighted.groupBy(name).agg(F.sum("weight").alias("_sum"))
-            scale = sums.join(wanted[name], name, "left").select(
-                name, F.when(F.col("_sum") > 0, F.coalesce("_share", F.lit(0.0)) / F.col("_sum")).otherwise(0.0).alias("_by"))
-            weighted = weighted.join(scale, name).withColumn("weight", F.col("weight") * F.col("_by")).drop("_by")
-        weighted = stored(weighted)
-    return weighted
+            reached = F.sum("weight").over(Window.partitionBy(name))
+            scale = F.when(reached > 0, F.coalesce(f"_share_{name}", F.lit(0.0)) / reached).otherwise(0.0)
+            weighted = weighted.withColumn("weight", F.col("weight") * scale)
+        if done % STORED_EVERY == 0:
+            weighted = stored(weighted)
+    return weighted.select(*cells.columns, "weight")
 
 
 def chances(cells: DataFrame, weighted: DataFrame) -> DataFrame:
@@ -72,10 +72,10 @@ def chances(cells: DataFrame, weighted: DataFrame) -> DataFrame:
 
     So no probability is cut off, and the expected tokens of a sample keep the raked shares.
     """
-    whole = cells.agg(F.sum("tokens").alias("_all"))
-    ratio = weighted.join(whole, F.lit(True)).withColumn("weight", F.col("weight") * F.col("_all") / F.col("tokens")).drop("_all")
-    most = ratio.agg(F.max("weight").alias("_most"))
-    return ratio.join(most, F.lit(True)).withColumn("probability", F.col("weight") / F.col("_most")).drop("_most")
+    whole = cells.agg(F.sum("tokens").alias("tokens")).first().tokens
+    ratio = stored(weighted.withColumn("weight", F.col("weight") * F.lit(whole) / F.col("tokens")))
+    most = ratio.agg(F.max("weight").alias("weight")).first().weight
+    return ratio.withColumn("probability", F.col("weight") / F.lit(most))
 
 
 def draw(key: Column) -> Column:
@@ -87,7 +87,7 @@ def draw(key: Column) -> Column:
 def cell_chances(rows: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """Cells of measured rows with their probability; without given targets the blended ones hold."""
     cells = stored(rows.groupBy(*[F.col(f"_{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("_tokens").alias("tokens")))
-    return stored(chances(cells, rake(cells, targets or blended_targets(cells))))
+    return chances(cells, rake(cells, targets or blended_targets(cells)))
 
 
 def sampling(docs: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:

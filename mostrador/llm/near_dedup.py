@@ -230,7 +230,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
                   .mapInArrow(whole_sets, "digest binary, size bigint, members array<bigint>")
                   .join(wanted.select("digest", "node"), "digest").dropDuplicates(["node"]).select("node", "size", "members"))
     found = stored(links(posts, wanted.select("node", "signature"), sets))
-    labels = components(found, found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))))
+    labels = components(found)
     of_digest = classes.select("digest", "node").join(labels, "node", "left").select(
         "digest", F.coalesce("component", "node").alias("component"))
     grouped = sketches.select("doc_id", "n_shingles", "digest").join(of_digest, "digest", "left")

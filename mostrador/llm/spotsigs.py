@@ -211,7 +211,7 @@ def near_groups(docs: DataFrame, share: int = SHARE) -> DataFrame:
     sets = stored(rows.where("digest is not null").groupBy("digest").agg(
         F.any_value("size").alias("size"), F.any_value("members").alias("members")).withColumn("node", F.monotonically_increasing_id()))
     found = stored(links(stored(postings(sets, share)), None, sets.select("node", "size", "members"), share))
-    labels = components(found, found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))))
+    labels = components(found)
     of_digest = sets.select("digest", "node").join(labels, "node", "left").select(
         "digest", F.coalesce("component", "node").alias("component"))
     grouped = rows.select("doc_id", "size", "digest").join(of_digest, "digest", "left")
