@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -14,6 +15,8 @@ NATURAL = {"source": 0.5, "lang": 0.7, "topic": 0.9}
 #: Tables without topics: the length of a text, in tokens, stands for it.
 SHORT, LONG = 100, 1000
 UNKNOWN = "unknown"
+#: Part of all tokens that a sample drawn to a budget holds.
+BUDGET = 0.25
 
 
 def n_tokens(text: Column) -> Column:
@@ -78,37 +81,135 @@ def chances(cells: DataFrame, weighted: DataFrame) -> DataFrame:
     return ratio.withColumn("probability", F.col("weight") / F.lit(most))
 
 
+def level(rows: DataFrame, budget: float) -> float:
+    """The factor at which the sum of least(tokens, factor * rate) is ``budget``, or all rows with a rate are whole.
+
+    Each step takes the rows that the last factor fills as whole and solves for the others; the factor only grows.
+    """
+    factor = 0.0
+    while True:
+        full = F.col("tokens") <= F.lit(factor) * F.col("rate")
+        got = rows.where("rate > 0").agg(F.sum(F.when(full, F.col("tokens"))).alias("full"), F.sum(F.when(~full, F.col("rate"))).alias("rate"),
+                                         F.max(F.col("tokens") / F.col("rate")).alias("most")).first()
+        if not got.rate:
+            return got.most or 0.0
+        before, factor = factor, max(factor, (budget - (got.full or 0)) / got.rate)
+        if factor <= before * (1 + 1e-12):
+            return factor
+
+
+def goals(cells: DataFrame, targets: dict[str, DataFrame], budget: float) -> dict[str, DataFrame]:
+    """For each dimension the tokens that a sample of ``budget`` tokens takes of each value: rows (value, wanted, goal, whole).
+
+    ``wanted`` is the target's part of the budget. No value can give more tokens than it has: one that is wanted beyond
+    that is taken whole, and what is missing goes to the others in the proportion of their targets.
+    """
+    out = {}
+    for name, target in targets.items():
+        held = cells.groupBy(F.col(name).alias("value")).agg(F.sum("tokens").alias("tokens"))
+        held = stored(held.join(target, "value", "left").select("value", "tokens", F.coalesce("share", F.lit(0.0)).alias("rate")))
+        factor, shares = level(held, budget), held.agg(F.sum("rate").alias("rate")).first().rate or 1.0
+        goal = F.lit(factor) * F.col("rate")
+        out[name] = held.select("value", (F.col("rate") * F.lit(budget / shares)).alias("wanted"),
+                                F.least(F.col("tokens").cast("double"), goal).alias("goal"), (goal >= F.col("tokens")).alias("whole"))
+    return out
+
+
+def filled(weighted: DataFrame, name: str) -> DataFrame:
+    """``weighted`` with the ratios of each value of ``name`` scaled so that least(1, ratio) of its tokens is its goal.
+
+    A cell is full where the goal suffices with the factor that just fills it; the factor is solved for the others.
+    """
+    value = Window.partitionBy(name)
+    smaller = value.orderBy("ratio").rowsBetween(Window.unboundedPreceding, -1)
+    tokens, ratio, goal = F.col("tokens"), F.col("ratio"), F.col(f"_goal_{name}")
+    rest = F.coalesce(F.sum(ratio * tokens).over(smaller), F.lit(0.0))
+    above = F.sum(tokens).over(value) - F.coalesce(F.sum(tokens).over(smaller), F.lit(0))
+    marked = weighted.withColumn("_full", F.when(ratio > 0, above + rest / ratio <= goal).otherwise(False))
+    open_ = F.sum(F.when(~F.col("_full"), ratio * tokens)).over(value)
+    full = F.coalesce(F.sum(F.when(F.col("_full"), tokens)).over(value), F.lit(0))
+    factor = F.when(open_ > 0, F.greatest(goal - full, F.lit(0.0)) / open_).otherwise(F.max(F.when(F.col("_full"), 1 / ratio)).over(value))
+    return marked.withColumn("_factor", F.coalesce(factor, F.lit(0.0))).withColumn("ratio", ratio * F.col("_factor")).drop("_full", "_factor")
+
+
+def budget_chances(cells: DataFrame, wanted: dict[str, DataFrame], part: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
+    """Cells with ``weight`` and ``probability`` of a sample that holds ``part`` of all tokens, however rare a value is.
+
+    The ``wanted`` :func:`goals` are raked with cells that are full held at 1. Cells of a value that is to be taken whole
+    have probability 1; the others least(1, c * ratio), with the c that meets the budget. ``weight`` is the share in the
+    sample over the own share. Goals that contradict each other leave a shortfall, see :func:`shortfalls`.
+    """
+    budget = part * (cells.agg(F.sum("tokens").alias("tokens")).first().tokens or 0)
+    weighted, whole, given = cells.withColumn("ratio", F.lit(1.0)), F.lit(False), F.lit(True)
+    for name, goal in wanted.items():
+        weighted = weighted.join(goal.select(F.col("value").alias(name), F.col("goal").alias(f"_goal_{name}"), F.col("whole").alias(f"_whole_{name}")), name)
+        whole, given = whole | F.col(f"_whole_{name}"), given & (F.col(f"_goal_{name}") > 0)
+    weighted = stored(weighted.withColumn("_whole", whole & given))
+    for _ in range(rounds):
+        for name in wanted:
+            weighted = filled(weighted, name)
+        weighted = stored(weighted)
+    rest = weighted.where("not _whole").select("tokens", (F.col("ratio") * F.col("tokens")).alias("rate"))
+    kept = weighted.where("_whole").agg(F.sum("tokens").alias("tokens")).first().tokens or 0
+    chance = F.when(F.col("_whole"), 1.0).otherwise(F.least(F.lit(1.0), F.lit(level(rest, max(0.0, budget - kept))) * F.col("ratio")))
+    return weighted.withColumn("probability", chance).select(*cells.columns, (F.col("probability") / F.lit(part)).alias("weight"), "probability")
+
+
+def shortfalls(chance: DataFrame, wanted: dict[str, DataFrame]) -> DataFrame:
+    """Rows (dimension, value, wanted, drawn, missing) in tokens: what each target asks of the budget, and the expected draw."""
+    out = None
+    for name, goal in wanted.items():
+        drawn = chance.groupBy(F.col(name).alias("value")).agg(F.sum(F.col("tokens") * F.col("probability")).alias("drawn"))
+        rows = goal.join(drawn, "value").select(F.lit(name).alias("dimension"), "value", "wanted", "drawn",
+                                                F.greatest(F.col("wanted") - F.col("drawn"), F.lit(0.0)).alias("missing"))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
 def draw(key: Column) -> Column:
     """A number from 0 up to 1 that depends on the key alone."""
     digits = F.substring(F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(key.cast("string"), F.lit("")))), 1, 13)
     return F.conv(digits, 16, 10).cast("long") / F.lit(float(16 ** 13))
 
 
-def cell_chances(rows: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Cells of measured rows with their probability; without given targets the blended ones hold."""
-    cells = stored(rows.groupBy(*[F.col(f"_{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("_tokens").alias("tokens")))
-    return chances(cells, rake(cells, targets or blended_targets(cells)))
+def cell_chances(rows: DataFrame, targets: dict[str, DataFrame] | None = None, part: float | None = None) -> DataFrame:
+    """Cells of measured rows with their probability; without given targets the blended ones hold.
 
-
-def sampling(docs: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    With ``part`` the sample holds that part of the tokens, and what targets miss is logged; without it the cell with
+    the largest weight sets its size, as the SQL has it, and one rare value can make it small.
+    """
+    cells = stored(rows.groupBy(*[F.col(f"_{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("_tokens").alias("tokens")))
+    targets = targets or blended_targets(cells)
+    if part is None:
+        return chances(cells, rake(cells, targets))
+    wanted = goals(cells, targets, part * (cells.agg(F.sum("tokens").alias("tokens")).first().tokens or 0))
+    chance = stored(budget_chances(cells, wanted, part))
+    for row in shortfalls(chance, wanted).groupBy("dimension").agg(
+            F.sum("missing").alias("missing"), F.sum("wanted").alias("wanted"), F.sum((F.col("missing") >= 1).cast("int")).alias("values")).collect():
+        if row["values"]:
+            logging.getLogger(__name__).warning("%s: %d values miss %.0f of %.0f tokens", row.dimension, row["values"], row.missing, row.wanted)
+    return chance
+
+
+def sampling(docs: DataFrame, targets: dict[str, DataFrame] | None = None, part: float | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, source, lang, topic, tokens, weight, probability, sampled.
 
     The choice depends on doc_id and the probability alone, so it is the same in every run, and rows that share a
     doc_id and a cell go together. NULL sources and languages are the value "unknown", NULL texts are empty and weigh
-    one token. No rows give no rows; other columns are not looked at.
+    one token. No rows give no rows; other columns are not looked at. ``part`` is that of :func:`cell_chances`.
     """
     rows = stored(measured(docs).select("doc_id", *[f"_{d}" for d in DIMENSIONS], "_tokens"))
-    chance = cell_chances(rows, targets)
+    chance = cell_chances(rows, targets, part)
     out = rows.withColumnsRenamed({f"_{d}": d for d in DIMENSIONS}).join(chance.drop("tokens"), list(DIMENSIONS))
     return out.select("doc_id", *DIMENSIONS, F.col("_tokens").alias("tokens"), "weight", "probability",
                       (draw(F.col("doc_id")) < F.col("probability")).alias("sampled"))
 
 
-def sampled_rows(docs: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """The rows of ``docs`` that are drawn, with all their columns."""
+def sampled_rows(docs: DataFrame, targets: dict[str, DataFrame] | None = None, part: float | None = BUDGET) -> DataFrame:
+    """The rows of ``docs`` that are drawn, with all their columns: ``part`` of their tokens, as in :func:`cell_chances`."""
     rows = measured(docs.select(F.struct("*").alias("row"), "doc_id", "text", "source", "lang"))
     small = stored(rows.select(*[f"_{d}" for d in DIMENSIONS], "_tokens"))
-    chance = cell_chances(small, targets).select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "probability")
+    chance = cell_chances(small, targets, part).select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "probability")
     drawn = rows.join(chance, [f"_{d}" for d in DIMENSIONS]).where(draw(F.col("doc_id")) < F.col("probability"))
     return drawn.select("row.*")
 

@@ -189,6 +189,27 @@ def test_raking_meets_the_marginals(spark):
     assert {r.lang for r in one.where("weight > 0").collect()} == {"x"}
 
 
+def test_rare_values_do_not_shrink_the_sample(table):
+    """A text in a new language, one in a new source and one without either are kept whole; the rest is drawn to the budget."""
+    rows = [(i, f"w{i} " * (20 + 37 * i % 1500), ("en", "fr", "de")[i * i % 7 % 3], "abcd"[i % 5 % 4]) for i in range(400)]
+    strays = [(1000, "x " * 300, "xx", "a"), (1001, "x " * 300, "en", "z"), (1002, "x " * 300, None, None)]
+    got = mixing.sampling(table(*rows, *strays, clashes=False), part=0.25).collect()
+    assert sum(r.tokens * r.probability for r in got) == pytest.approx(0.25 * sum(r.tokens for r in got))
+    assert all(r.probability == 1 and r.sampled for r in got if r.doc_id >= 1000)
+    assert 60 < sum(r.sampled for r in got) < 300
+
+
+def test_targets_beyond_the_tokens_are_reported(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 1000), ("b", "x", "t", 10)], "source STRING, lang STRING, topic STRING, tokens BIGINT")
+    share = lambda **s: spark.createDataFrame(list(s.items()), "value STRING, share DOUBLE")
+    targets = {"source": share(a=0.5, b=0.5), "lang": share(x=1.0), "topic": share(t=1.0)}
+    wanted = mixing.goals(cells, targets, 505)
+    chance = mixing.budget_chances(cells, wanted, 0.5)
+    assert {r.source: round(r.probability, 6) for r in chance.collect()} == {"a": 0.495, "b": 1.0}
+    short = {(r.dimension, r.value): round(r.missing, 6) for r in mixing.shortfalls(chance, wanted).collect()}
+    assert short == {("source", "a"): 0.0, ("source", "b"): 242.5, ("lang", "x"): 0.0, ("topic", "t"): 0.0}
+
+
 def test_licences(spark, odd):
     mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
     files = spark.createDataFrame([
