@@ -12,6 +12,9 @@ from mostrador.llm import exact_dedup, mixing, near_dedup, quality
 from mostrador.llm.common import stored, table
 from mostrador.llm.queries import token_digests
 
+#: Per cent of their shingles that texts share from which on the near-dedup stage keeps one of them.
+NEAR = 80
+
 
 def reject_unlike_trusted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within the limit of their language under the n-gram model of the trusted ones."""
@@ -24,12 +27,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the one with the smallest doc_id."""
-    return near_dedup.one_of_each(docs)
+    """Of each group of near duplicates, from NEAR per cent of common shingles on, the one with the smallest doc_id."""
+    return near_dedup.one_of_each(docs, NEAR)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose tokens follow the target shares of sources, languages and lengths."""
+    """A sample of a stated part of the tokens that follows the target shares of sources, languages and lengths."""
     return mixing.sampled_rows(docs)
 
 

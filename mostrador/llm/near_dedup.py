@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +13,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mostrador.llm.common import by_ids, components, plain_text, stored
 
-#: Words of a shingle, and per cent of the union that two sets must share.
+#: Words of a shingle, and per cent of the union that two sets must share where the caller does not say.
 WORDS, SHARE = 5, 85
-#: Signature coordinates, and how many must agree before sets are compared. Sets that share 85 per cent agree in fewer
-#: with a probability below 1e-8.
-COORDINATES, AGREEING = 48, 24
-PREFIX = COORDINATES - AGREEING + 1
+#: Signature coordinates, and the probability that sets which share just enough agree in too few of them (:func:`least_agreeing`).
+COORDINATES, LOST = 48, 1e-8
 #: Nodes of a posting list up to which all its pairs are compared at once; longer lists go round by round.
 SHORT = 8
 #: Words that a worker remembers, and shingles hashed together.
@@ -25,6 +24,17 @@ REMEMBERED, AT_ONCE = 500_000, 8192
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def least_agreeing(share: int) -> int:
+    """How many coordinates must agree before sets are compared: as many as leave sets that share ``share`` per cent
+    below that number with a probability under LOST. 24 for 85 per cent, 21 for 80."""
+    below, part = 0.0, share / 100
+    for n in range(COORDINATES):
+        below += comb(COORDINATES, n) * part ** n * (1 - part) ** (COORDINATES - n)
+        if below >= LOST:
+            return max(1, n)
+    return COORDINATES
+
+
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= REMEMBERED:
@@ -96,11 +106,11 @@ def agreeing(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, same: n + same)
 
 
-def postings(classes: DataFrame) -> DataFrame:
+def postings(classes: DataFrame, share: int = SHARE) -> DataFrame:
     """Rows (token, node, central): each signature under its rarest coordinate values.
 
-    Two signatures that agree in AGREEING places share one of the PREFIX values that come first by frequency; only
-    these are posted. Values that one signature alone has come first of all and are not posted, as nobody meets there;
+    Two signatures that agree in :func:`least_agreeing` places share one of the values that come first by frequency,
+    of which all but that many less one are posted. Values that one signature alone has come first of all and are not posted, as nobody meets there;
     ``central`` is their number.
     """
     tokens = classes.select("node", F.posexplode("signature").alias("place", "value")).select(
@@ -109,7 +119,7 @@ def postings(classes: DataFrame) -> DataFrame:
     shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     ranked = tokens.join(shared, "token").groupBy("node").agg(
         F.sort_array(F.collect_list(F.struct("n", "token"))).alias("values"))
-    kept = F.greatest(F.size("values") - (COORDINATES - PREFIX), F.lit(0))
+    kept = F.greatest(F.size("values") - (least_agreeing(share) - 1), F.lit(0))
     return ranked.select("node", (COORDINATES - F.size("values")).alias("central"), F.explode(
         F.slice("values", F.lit(1), kept)).alias("value")).select("node", "central", F.col("value.token").alias("token"))
 
@@ -122,7 +132,7 @@ def confirmed(pairs: DataFrame, signatures: DataFrame | None, sets: DataFrame, s
     side = lambda df, name, value: df.select(F.col("node").alias(name), F.col(value).alias(f"of_{name}"))
     close = pairs if signatures is None else (
         pairs.join(side(signatures, "a", "signature"), "a").join(side(signatures, "b", "signature"), "b")
-        .where(agreeing(F.col("of_a"), F.col("of_b")) >= AGREEING).select(*pairs.columns))
+        .where(agreeing(F.col("of_a"), F.col("of_b")) >= least_agreeing(share)).select(*pairs.columns))
     both = close.join(side(sets, "a", "members"), "a").join(side(sets, "b", "members"), "b")
     common = F.size(F.array_intersect("of_a", "of_b"))
     return both.where(100 * common >= share * (F.size("of_a") + F.size("of_b") - common)).select(*pairs.columns)
@@ -208,12 +218,12 @@ def links(posts: DataFrame, signatures: DataFrame | None, sets: DataFrame, share
                 F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.lit(None).cast("long").alias("to"))
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
+def near_groups(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Texts are compared as sets of shingles: A-Z in lower case, words between ASCII white space, WORDS words each; a
     shorter text is one shingle, an empty or NULL one has none and is linked with nothing. Texts with one and the same
-    set are one node, so copies never form pairs. Sets are linked when they share SHARE per cent of their union;
+    set are one node, so copies never form pairs. Sets are linked when they share ``share`` per cent of their union;
     component_id is the smallest doc_id among all that hang together, and its row is kept. Rows that repeat a doc_id
     are told apart by their sets. A text whose doc_id is NULL is linked with its copies alone and counts in no minimum.
     Other columns are not looked at.
@@ -224,12 +234,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
     classes = stored(sketches.where("digest is not null").groupBy("digest").agg(
         F.min("doc_id").alias("doc_id"), F.any_value("signature").alias("signature"))
         .withColumn("node", F.monotonically_increasing_id()))
-    posts = stored(postings(classes))
+    posts = stored(postings(classes, share))
     wanted = stored(classes.join(posts.select("node").distinct(), "node", "left_semi"))
     sets = stored(by_ids(texts, wanted.select("doc_id"), "left_semi").select("text")
                   .mapInArrow(whole_sets, "digest binary, size bigint, members array<bigint>")
                   .join(wanted.select("digest", "node"), "digest").dropDuplicates(["node"]).select("node", "size", "members"))
-    found = stored(links(posts, wanted.select("node", "signature"), sets))
+    found = stored(links(posts, wanted.select("node", "signature"), sets, share))
     labels = components(found)
     of_digest = classes.select("digest", "node").join(labels, "node", "left").select(
         "digest", F.coalesce("component", "node").alias("component"))
@@ -240,7 +250,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: those whose doc_id is kept. A NULL doc_id stays."""
-    gone = stored(near_groups(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept").select("doc_id"))
+    gone = stored(near_groups(docs, share).groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept").select("doc_id"))
     return by_ids(docs, gone, "left_anti").select(*[f"`{c}`" for c in docs.columns])

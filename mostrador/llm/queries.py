@@ -86,7 +86,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_near_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), share=85)
 
 
 @query("op6_mixing", mixing.sql())

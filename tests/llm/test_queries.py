@@ -204,6 +204,22 @@ def test_pipeline_stages(spark, tmp_path):
     assert run == {d: r.ids_sha256 for d, r in held[names[4]].items()}
 
 
+def test_near_stage_links_at_80(spark, texts):
+    """The stage against all pairs at 80 per cent; some pairs of the table lie between that and the 85 of op9."""
+    sets = {d: shingle_set(t) for d, t in texts.items()}
+    leader = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            common = len(sets[a] & sets[b]) if b < a else 0
+            if common and 100 * common >= 80 * len(sets[a] | sets[b]) and leader[a] != leader[b]:
+                low, high = sorted((leader[a], leader[b]))
+                leader = {d: low if first == high else first for d, first in leader.items()}
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, DATA).select("doc_id").collect()}
+    assert kept == {d for d, first in leader.items() if d == first}
+    assert kept < {d for d, (_, first) in linked(texts).items() if d == first}
+
+
 def test_two_stage_sorting():
     rng = np.random.default_rng(5)
     for size, letters in ((0, 2), (1, 2), (300, 2), (2000, 3), (3000, 200)):
