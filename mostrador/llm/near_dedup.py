@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from hashlib import blake2b
 from math import comb
@@ -21,7 +22,9 @@ COORDINATES, LOST = 48, 1e-8
 SHORT = 8
 #: Words that a worker remembers, and shingles hashed together.
 REMEMBERED, AT_ONCE = 500_000, 8192
-STEP = np.uint64(0x9E3779B97F4A7C15)
+STEP, MASK = np.uint64(0x9E3779B97F4A7C15), (1 << 64) - 1
+#: What :func:`branches` gives.
+PATHS = ["node", "component", "size", "path", "place", "held", "ended"]
 
 
 def least_agreeing(share: int) -> int:
@@ -143,36 +146,141 @@ def reaches(side: str, size: str, share: int) -> Column:
     return F.expr(f"{share} * {size} <= {100 + share} * {side}shared - {share} * {side}size")
 
 
-def able(lists: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFrame:
-    """The rows of ``lists`` whose node can still be linked through them, with its size and shared.
+def able(state: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFrame:
+    """The rows of ``state`` (node, component, tokens) that can still be linked to another component, with size and shared.
 
-    ``shared`` counts a node's shingles that another node of the lists has too: no common set is larger. With that,
-    ``share`` per cent are out of reach of every other set above a certain size, and a node that cannot reach the smallest
-    set of its list is dropped from the list. So are lists whose nodes all have come together.
+    ``shared`` counts a node's shingles that a node of another component has too: no common set with one is larger. With
+    that, ``share`` per cent are out of reach of every other set above a certain size; tokens under which no set is small
+    enough, or all nodes have come together, are taken from a node, and nodes without tokens from the state.
     """
-    open_ = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(
-        "low <> high").select("token")
-    lists = stored(lists.select("token", "node", "component").join(open_, "token", "left_semi"))
-    here = sets.join(lists.select("node").distinct(), "node", "left_semi")
-    alone = (here.select("node", F.explode("members").alias("shingle")).groupBy("shingle")
-             .agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node")
-             .agg(F.count("*").alias("alone")))
-    known = here.select("node", "size").join(alone, "node", "left").select(
-        "node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
-    sized = lists.join(known, "node")
-    least = sized.groupBy("token").agg(F.min("size").alias("least"))
-    return stored(sized.join(least, "token").where(reaches("", "least", share)).drop("least"))
-
-
-def together(lists: DataFrame, new: DataFrame) -> DataFrame:
-    """``lists`` with the nodes that a link joins to a list's central node labelled like that one.
+    def open_(rows: DataFrame, **more: Column) -> DataFrame:
+        return rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), *[
+            c.alias(name) for name, c in more.items()]).where("low <> high").drop("low", "high")
+    posted = state.select("node", "component", F.explode("tokens").alias("token"))
+    left = stored(posted.join(open_(posted), "token", "left_semi").groupBy("node", "component").agg(
+        F.collect_list("token").alias("tokens")))
+    here = sets.join(left.select("node", "component"), "node")
+    common = (here.select("node", "component", F.explode("members").alias("shingle")).groupBy("shingle")
+              .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+              .where("low <> high").select("shingle"))
+    shared = (here.select("node", F.explode("members").alias("shingle")).join(common, "shingle", "left_semi")
+              .groupBy("node").agg(F.count("*").alias("shared")))
+    known = left.join(sets.select("node", "size").join(shared, "node"), "node").where(reaches("", "0", share))
+    posted = stored(known.select("node", "component", "size", "shared", F.explode("tokens").alias("token")))
+    least = open_(posted, least=F.min("size"))
+    return stored(posted.join(least, "token").where(reaches("", "least", share)).groupBy("node", "component", "size", "shared").agg(
+        F.collect_list("token").alias("tokens")))
+
+
+def together(state: DataFrame, new: DataFrame) -> DataFrame:
+    """``state`` with the nodes that a link joins to a list's central node labelled like that one.
 
     Equal labels mean that nodes hang together; that they have different ones means nothing yet.
     """
     to = new.groupBy("a").agg(F.min("to").alias("to"))
     beyond = to.select(F.col("a").alias("to"), F.col("to").alias("beyond"))
     labels = to.join(beyond, "to", "left").select(F.col("a").alias("node"), F.coalesce("beyond", "to").alias("label"))
-    return lists.join(labels, "node", "left").withColumn("component", F.coalesce("label", "component")).drop("label")
+    return state.join(labels, "node", "left").withColumn("component", F.coalesce("label", "component")).drop("label")
+
+
+def stars(state: DataFrame, far: Column) -> DataFrame:
+    """Pairs (a, b, to) of each node and the most central one, the least ``far``, of each of its lists."""
+    posted = state.select("node", "component", far.alias("far"), F.explode("tokens").alias("token"))
+    hubs = posted.groupBy("token").agg(F.min(F.struct("far", "node", "component")).alias("hub"))
+    return posted.join(hubs, "token").where("component <> hub.component").select(
+        F.col("node").alias("a"), F.col("hub.node").alias("b"), F.col("hub.component").alias("to")).distinct()
+
+
+def reached(path: dict, beyond: list[int], needed: int) -> range:
+    """The places of the atoms that may come next in a path: before them a node leaves out no more than it may."""
+    return range(path["place"] + 1, bisect_right(beyond, path["held"] - needed, key=lambda weight: -weight))
+
+
+def branches(share: int, counted: bool):
+    """Rows (node, component, size, ids, weights, paths) to their paths' continuations (path, place, held) and ends.
+
+    ``ids`` and ``weights`` are a node's atoms in their common order. A path is a list of atoms; whoever shares all of
+    it, and none between, shares one more further on, or it ends. A node leaves out only as many shingles as a set that
+    it can be linked to may lack. With ``counted`` only the number of the continuations is given.
+    """
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, n = [], 0
+            for row in batch.to_pylist():
+                needed = -(-share * row["size"] // 100)
+                beyond = np.cumsum(row["weights"][::-1])[::-1].tolist()
+                head = row["node"], row["component"], row["size"]
+                for path in row["paths"]:
+                    places = reached(path, beyond, needed)
+                    n += len(places)
+                    if counted:
+                        continue
+                    if path["held"] >= needed:
+                        out.append((*head, xxhash.xxh3_64_intdigest(b"end", path["path"] & MASK), len(beyond), path["held"], True))
+                    for place in places:
+                        next_ = xxhash.xxh3_64_intdigest((row["ids"][place] & MASK).to_bytes(8), path["path"] & MASK)
+                        out.append((*head, next_, place, path["held"] + row["weights"][place], False))
+            if counted:
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+                continue
+            kinds = [pa.int64()] * 6 + [pa.bool_()]
+            columns = [[x if x < 1 << 63 else x - (1 << 64) for x in c] if i == 3 else c for i, c in enumerate(zip(*out))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns or [[]] * 7, kinds)], names=PATHS)
+    return made
+
+
+def pairs_by_shingles(state: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFrame:
+    """Pairs (a, b) of nodes of different components among which all that can be linked are, or hang together by others.
+
+    Shingles that the same nodes have are one atom with a weight. Sets that can be linked share enough of their atoms, so
+    the first common one, by rarity, comes early in both. Nodes meet under it; where many do, they part again by the second
+    common one, and so on. Short lists are compared pair by pair. Where a path ends, what its nodes share is known,
+    so each is compared with the smallest set alone. Parting stops, and pairs are made, where it would make more
+    rows than there are pairs or does not halve their number.
+    """
+    here = sets.join(state.select("node", "component"), "node")
+    held = here.select("node", "component", F.explode("members").alias("shingle"))
+    atoms = held.groupBy("shingle").agg(
+        F.count("*").alias("n"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"),
+        F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle", F.struct("n", "x", "y").alias("atom"))
+    weighed = held.join(atoms, "shingle").groupBy("node", "atom").agg(F.count("*").alias("weight"))
+    sorted_ = weighed.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("atom", "weight"))).alias("atoms"))
+    nodes = stored(sorted_.join(here.select("node", "component", "size"), "node").select(
+        "node", "component", "size", F.transform("atoms", lambda a: F.xxhash64(a["atom"])).alias("ids"), F.col("atoms.weight").alias("weights")))
+    start = F.array(F.struct(F.lit(0).cast("long").alias("path"), F.lit(-1).cast("long").alias("place"), F.lit(0).cast("long").alias("held")))
+    paths, found, before, most = nodes.withColumn("paths", start), [], None, None
+    schema = ", ".join(f"{c} bigint" for c in PATHS[:-1]) + ", ended boolean"
+    pair = lambda rows: rows.alias("x").join(rows.alias("y"), F.expr(
+        "x.path = y.path and x.component < y.component")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    while True:
+        asked = paths.select("node", "component", "size", "ids", "weights", "paths")
+        if before is not None:
+            asked = stored(asked)
+            if (asked.mapInArrow(branches(share, True), "n bigint").agg(F.sum("n").alias("n")).first().n or 0) > most:
+                found.append(pair(before))
+                break
+        parted = stored(asked.mapInArrow(branches(share, False), schema))
+        lists = parted.groupBy("path", "ended").agg(
+            F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"),
+            F.min(F.struct("size", "node", "component")).alias("smallest")).where("low <> high")
+        met = stored(parted.join(lists, ["path", "ended"]))
+        long = met.where(f"not ended and n > {SHORT}")
+        # rows of a list times the others in it, halved
+        now = long.agg(F.sum((F.col("n") - 1) / 2).alias("n")).first().n or 0
+        if before is not None and 2 * now > most:
+            found.append(pair(before))
+            break
+        found.append(met.where("ended and component <> smallest.component").select(
+            F.col("node").alias("a"), F.col("smallest.node").alias("b")))
+        found.append(pair(met.where(f"not ended and n <= {SHORT}")))
+        if not now:
+            break
+        before, most = long, now
+        paths = nodes.join(before.groupBy("node").agg(F.collect_list(F.struct("path", "place", "held")).alias("paths")), "node")
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.union(more)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def links(posts: DataFrame, signatures: DataFrame | None, sets: DataFrame, share: int = SHARE) -> DataFrame:
@@ -181,41 +289,30 @@ def links(posts: DataFrame, signatures: DataFrame | None, sets: DataFrame, share
     Pairs of short posting lists are all compared. In longer ones, every node is compared with the list's most central
     node, the one with the fewest values or shingles of its own, and those that come together need not be compared with
     each other; nor need those that cannot be linked any more (:func:`able`). So a large group of near copies costs a
-    few pairs for each member. Once few pairs are left, or a round finds no link, all that could be linked are
-    compared, each under the first value that it shares: no link is lost.
+    few pairs for each member. Once a round finds little, what is left is compared by :func:`pairs_by_shingles`: no link
+    is lost. Between rounds a node is one row, whatever number of lists it is in.
     """
     many = posts.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     lists = stored(posts.join(many, "token"))
-    short, lists = lists.where(f"n <= {SHORT}"), lists.where(f"n > {SHORT}").withColumn("component", F.col("node"))
+    short = lists.where(f"n <= {SHORT}")
+    state = stored(lists.where(f"n > {SHORT}").groupBy("node").agg(
+        F.any_value("central").alias("central"), F.collect_set("token").alias("tokens")).withColumn("component", F.col("node")))
     pairs = short.alias("x").join(short.alias("y"), F.expr("x.token = y.token and x.node < y.node")).select(
         F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.lit(None).cast("long").alias("to"))
-    far, last, found = F.col("central").cast("double"), False, None
+    found = stored(confirmed(pairs.distinct().union(stars(state, F.col("central"))), signatures, sets, share))
+    new, posted = found.where("to is not null"), None
+    found = found.select("a", "b")
     while True:
-        if not last:
-            hubs = lists.groupBy("token").agg(F.min(F.struct(far.alias("far"), F.col("node"), F.col("component"))).alias("hub"))
-            star = lists.join(hubs, "token").where("component <> hub.component").select(
-                F.col("node").alias("a"), F.col("hub.node").alias("b"), F.col("hub.component").alias("to"))
-            pairs = star if found is not None else pairs.union(star)
-        new = stored(confirmed(pairs.distinct(), signatures, sets, share))
-        found = new.select("a", "b") if found is None else found.union(new.select("a", "b"))
-        joined = new.where("to is not null")
-        if last:
-            return found
-        lists = able(together(lists, joined), sets, share)
-        far = -F.col("shared") / F.col("size")
-        parts = lists.groupBy("token", "component").agg(F.count("*").cast("double").alias("n")).groupBy("token").agg(
-            F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        left = parts.agg(F.sum("all").alias("posts"), F.sum((F.col("all") * F.col("all") - F.col("own")) / 2).alias("pairs")).first()
-        if not left.pairs:
+        state = able(together(state, new), sets, share)
+        left = state.agg(F.sum(F.size("tokens")).alias("n")).first().n
+        if not left:
             return found
-        last = left.pairs <= 2 * left.posts or joined.isEmpty()
-        if last:
-            tokens = lists.groupBy("node").agg(F.collect_set("token").alias("tokens"))
-            rest = lists.join(tokens, "node")
-            once = F.expr("x.token = y.token and x.component < y.component") & reaches("x.", "y.size", share) & reaches("y.", "x.size", share)
-            once &= F.expr("x.token = array_min(array_intersect(x.tokens, y.tokens))")
-            pairs = rest.alias("x").join(rest.alias("y"), once).select(
-                F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.lit(None).cast("long").alias("to"))
+        if new.isEmpty() or posted is not None and 2 * left > posted:
+            last = confirmed(pairs_by_shingles(state, sets, share), None, sets, share)
+            return found.union(stored(last))
+        posted = left
+        new = stored(confirmed(stars(state, -F.col("shared") / F.col("size")), signatures, sets, share))
+        found = found.union(new.select("a", "b"))
 
 
 def near_groups(docs: DataFrame, share: int = SHARE) -> DataFrame:
