@@ -24,7 +24,7 @@ SHORT = 8
 REMEMBERED, AT_ONCE = 500_000, 8192
 STEP, MASK = np.uint64(0x9E3779B97F4A7C15), (1 << 64) - 1
 #: What :func:`branches` gives.
-PATHS = ["node", "component", "size", "path", "place", "held", "ended"]
+PATHS = ["node", "component", "size", "path", "place", "held", "rest", "skipped", "ended"]
 
 
 def least_agreeing(share: int) -> int:
@@ -197,35 +197,38 @@ def reached(path: dict, beyond: list[int], needed: int) -> range:
 
 
 def branches(share: int, counted: bool):
-    """Rows (node, component, size, ids, weights, paths) to their paths' continuations (path, place, held) and ends.
+    """Rows (node, component, size, ids, weights, paths) to their paths' continuations and ends, see PATHS.
 
     ``ids`` and ``weights`` are a node's atoms in their common order. A path is a list of atoms; whoever shares all of
-    it, and none between, shares one more further on, or it ends. A node leaves out only as many shingles as a set that
-    it can be linked to may lack. With ``counted`` only the number of the continuations is given.
+    it, and none between, shares one more further on, or it ends. A node leaves out (``skipped``) only as many shingles
+    as a set of at least ``least`` that it can be linked to may lack. With ``counted`` only the number of the
+    continuations is given.
     """
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, n = [], 0
             for row in batch.to_pylist():
-                needed = -(-share * row["size"] // 100)
-                beyond = np.cumsum(row["weights"][::-1])[::-1].tolist()
-                head = row["node"], row["component"], row["size"]
+                size, ids = row["size"], row["ids"]
+                beyond = [*np.cumsum(row["weights"][::-1])[::-1].tolist(), 0]
+                head = row["node"], row["component"], size
                 for path in row["paths"]:
-                    places = reached(path, beyond, needed)
+                    needed = max(-(-share * size // 100), -(-share * (size + path["least"]) // (100 + share)))
+                    places = reached(path, beyond[:-1], needed)
                     n += len(places)
                     if counted:
                         continue
                     if path["held"] >= needed:
-                        out.append((*head, xxhash.xxh3_64_intdigest(b"end", path["path"] & MASK), len(beyond), path["held"], True))
+                        out.append((*head, xxhash.xxh3_64_intdigest(b"end", path["path"] & MASK), len(ids), path["held"], 0, [], True))
                     for place in places:
-                        next_ = xxhash.xxh3_64_intdigest((row["ids"][place] & MASK).to_bytes(8), path["path"] & MASK)
-                        out.append((*head, next_, place, path["held"] + row["weights"][place], False))
+                        next_ = xxhash.xxh3_64_intdigest((ids[place] & MASK).to_bytes(8), path["path"] & MASK)
+                        out.append((*head, next_, place, path["held"] + row["weights"][place], beyond[place + 1],
+                                    path["skipped"] + ids[path["place"] + 1:place], False))
             if counted:
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
                 continue
-            kinds = [pa.int64()] * 6 + [pa.bool_()]
             columns = [[x if x < 1 << 63 else x - (1 << 64) for x in c] if i == 3 else c for i, c in enumerate(zip(*out))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns or [[]] * 7, kinds)], names=PATHS)
+            kinds = [*[pa.int64()] * 7, pa.list_(pa.int64()), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns or [[]] * len(kinds), kinds)], names=PATHS)
     return made
 
 
@@ -247,11 +250,15 @@ def pairs_by_shingles(state: DataFrame, sets: DataFrame, share: int = SHARE) ->
     sorted_ = weighed.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("atom", "weight"))).alias("atoms"))
     nodes = stored(sorted_.join(here.select("node", "component", "size"), "node").select(
         "node", "component", "size", F.transform("atoms", lambda a: F.xxhash64(a["atom"])).alias("ids"), F.col("atoms.weight").alias("weights")))
-    start = F.array(F.struct(F.lit(0).cast("long").alias("path"), F.lit(-1).cast("long").alias("place"), F.lit(0).cast("long").alias("held")))
+    start = F.array(F.struct(F.lit(0).cast("long").alias("path"), F.lit(-1).cast("long").alias("place"), F.lit(0).cast("long").alias("held"),
+                             F.lit(1).cast("long").alias("least"), F.array().cast("array<bigint>").alias("skipped")))
     paths, found, before, most = nodes.withColumn("paths", start), [], None, None
-    schema = ", ".join(f"{c} bigint" for c in PATHS[:-1]) + ", ended boolean"
-    pair = lambda rows: rows.alias("x").join(rows.alias("y"), F.expr(
-        "x.path = y.path and x.component < y.component")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    schema = ", ".join(f"{c} bigint" for c in PATHS[:-2]) + ", skipped array<bigint>, ended boolean"
+    # Under a path whose atoms are not the first common ones a pair is not made again; what is left must still suffice.
+    meet = F.expr("x.path = y.path and x.component < y.component and not arrays_overlap(x.skipped, y.skipped) and "
+                  f"{100 + share} * (x.held + least(x.rest, y.rest)) >= {share} * (x.size + y.size)")
+    pair = lambda rows: rows.alias("x").join(rows.alias("y"), meet).select(
+        F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     while True:
         asked = paths.select("node", "component", "size", "ids", "weights", "paths")
         if before is not None:
@@ -270,13 +277,15 @@ def pairs_by_shingles(state: DataFrame, sets: DataFrame, share: int = SHARE) ->
         if before is not None and 2 * now > most:
             found.append(pair(before))
             break
-        found.append(met.where("ended and component <> smallest.component").select(
+        alike = f"{100 + share} * held >= {share} * (size + smallest.size)"
+        found.append(met.where(f"ended and component <> smallest.component and {alike}").select(
             F.col("node").alias("a"), F.col("smallest.node").alias("b")))
         found.append(pair(met.where(f"not ended and n <= {SHORT}")))
         if not now:
             break
         before, most = long, now
-        paths = nodes.join(before.groupBy("node").agg(F.collect_list(F.struct("path", "place", "held")).alias("paths")), "node")
+        paths = nodes.join(before.groupBy("node").agg(F.collect_list(F.struct(
+            "path", "place", "held", F.col("smallest.size").alias("least"), "skipped")).alias("paths")), "node")
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.union(more)
