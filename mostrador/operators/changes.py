@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mostrador.functions.scalars import is_set, month_start, month_text
 
@@ -33,6 +33,13 @@ def prepare_users(raw: DataFrame, role: int = CUSTOMER) -> DataFrame:
     return raw.drop("password", "remember_token").withColumn("foto", photo).withColumn("idrol", F.lit(role))
 
 
+def rating_fits(compat: bool = False) -> Column:
+    """Whether a comment's rating is a whole number from 1 to 5; ``compat`` lets a missing one and fractions pass."""
+    rating = F.col("calificacion")
+    inside = rating.between(1, 5)
+    return F.coalesce((rating.isNull() | inside) if compat else (inside & (rating % 1 == 0)), F.lit(False))
+
+
 def ingest_comments(new: DataFrame, existing: DataFrame, compat: bool = False) -> tuple[DataFrame, DataFrame]:
     """New comments to keep, and the refused ones with the reason; one comment per product and user.
 
@@ -40,10 +47,7 @@ def ingest_comments(new: DataFrame, existing: DataFrame, compat: bool = False) -
     missing rating and fractions pass. Of several comments in the batch the earliest counts.
     """
     pair = ["idproducto", "iduser"]
-    rating = F.col("calificacion")
-    inside = rating.between(1, 5)
-    fits = (rating.isNull() | inside) if compat else (inside & (rating % 1 == 0))
-    fits = F.coalesce(fits, F.lit(False))
+    fits = rating_fits(compat)
     seen = existing.select(*pair, F.lit(True).alias("_seen")).distinct()
     earliest = (new.where(fits).groupBy(*pair)
                 .agg(F.min_by(F.col("idcomentario"), F.struct("fecha", "idcomentario")).alias("idcomentario")))

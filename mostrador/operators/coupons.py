@@ -58,12 +58,37 @@ def eligible(requests: DataFrame, cupones: DataFrame, user_cupones: DataFrame, c
         *requests.columns, "_coupon.*")
 
 
+def offers_of_users(cupones: DataFrame, user_cupones: DataFrame, cupones_usados: DataFrame) -> DataFrame:
+    """For each user and code the claimed and unused coupons with uses left, the lowest id first.
+
+    A list has as many entries as coupons share the code.
+    """
+    open_ = cupones.where("activo AND usos_maximos > usos_actuales").select("codigo", "idcupon", "fecha_expiracion")
+    return (user_cupones.select("iduser", "idcupon").distinct().join(open_, "idcupon")
+            .join(cupones_usados.select("iduser", "idcupon"), ["iduser", "idcupon"], "left_anti").groupBy("iduser", "codigo")
+            .agg(F.sort_array(F.collect_list(F.struct("idcupon", "fecha_expiracion"))).alias("_offers")))
+
+
+def suitable_offer(as_of) -> Column:
+    """Of a request's offers the first that has not expired."""
+    return F.get(F.filter("_offers", lambda o: o["fecha_expiracion"].cast("timestamp_ntz") >= moment(as_of)), 0)
+
+
 def _arrival_slots() -> list[Column]:
     """About an hour, and the second, of arrival, then the exact time and a block of request ids."""
     second = F.coalesce(clock_seconds(F.col("ts")), F.lit(0))
     return [F.shiftright(second, 12), second, F.struct("ts", F.shiftright("idsolicitud", 16).alias("block"))]
 
 
+def first_by_quota(waiting: DataFrame, cupones: DataFrame) -> DataFrame:
+    """Of each user's first requests (iduser, idcupon, ts, idsolicitud) those the coupon has uses left for, by arrival."""
+    quota = cupones.select("idcupon", "codigo", "porcentaje",
+                           (F.col("usos_maximos") - F.col("usos_actuales")).alias("_remaining"))
+    accepted = first_within_quota(waiting.join(quota, "idcupon"), "idcupon", "_remaining", _arrival_slots(),
+                                  [F.col("ts"), F.col("idsolicitud")])
+    return accepted.select("idsolicitud", "iduser", "idcupon", "codigo", "porcentaje", "ts")
+
+
 def redeem(requests: DataFrame, cupones: DataFrame, user_cupones: DataFrame, cupones_usados: DataFrame,
            as_of) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Accept requests in order of arrival while the coupon has uses left, one per user.
@@ -74,11 +99,7 @@ def redeem(requests: DataFrame, cupones: DataFrame, user_cupones: DataFrame, cup
     """
     good = eligible(requests, cupones, user_cupones, cupones_usados, as_of)
     first = good.groupBy("iduser", "idcupon").agg(F.min(F.struct("ts", "idsolicitud")).alias("_first"))
-    quota = cupones.select("idcupon", "codigo", "porcentaje",
-                           (F.col("usos_maximos") - F.col("usos_actuales")).alias("_remaining"))
-    waiting = first.select("iduser", "idcupon", "_first.*").join(quota, "idcupon")
-    accepted = first_within_quota(waiting, "idcupon", "_remaining", _arrival_slots(), [F.col("ts"), F.col("idsolicitud")])
-    accepted = accepted.select("idsolicitud", "iduser", "idcupon", "codigo", "porcentaje", "ts")
+    accepted = first_by_quota(first.select("iduser", "idcupon", "_first.*"), cupones)
     new_uses = accepted.select("iduser", "idcupon", F.col("ts").alias("fecha_uso"))
     added = accepted.groupBy("idcupon").agg(F.count("*").alias("_added"))
     new_counts = cupones.join(added, "idcupon").select(

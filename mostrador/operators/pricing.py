@@ -139,19 +139,23 @@ def price_flat_orders(requests: DataFrame, users: DataFrame, products: DataFrame
                       existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Price one-product orders (idcompra, fecha, iduser, idproducto, cantidad) as (orders, details, rejects).
 
-    With ``existing`` orders the requests are updates of these, and others are refused.
+    With ``existing`` orders the requests are updates of these, and others are refused; so are updates without an
+    id and all that share one, as nothing says which of them counts.
     """
     prices = products.select("idproducto", F.col("p_final").cast("decimal(14,4)").alias("_price"),
                              F.lit(True).alias("_known"))
     if existing is None:
-        requests = requests.withColumn("_order", F.lit(True))
+        requests = requests.withColumns({"_order": F.lit(True), "_key_problem": F.lit(None).cast("string")})
     else:
-        requests = requests.join(existing.select("idcompra", F.lit(True).alias("_order")), "idcompra", "left")
+        known = existing.select("idcompra").distinct().withColumn("_order", F.lit(True))
+        key_problem = F.when(F.col("idcompra").isNull(), "missing_order_id").when(F.col("_repeated"), "repeated_order")
+        requests = (requests.join(known, "idcompra", "left").join(_repeated(requests, "idcompra"), "idcompra", "left")
+                    .withColumn("_key_problem", key_problem).drop("_repeated"))
     checked = (requests.join(users.select("iduser", F.lit(True).alias("_buyer")), "iduser", "left")
                .join(prices, "idproducto", "left")
                .withColumn("total", _flat_total())
-               .withColumn("reason", F.when(F.col("_order").isNull(), "unknown_order")
-                           .when(F.col("_buyer").isNull(), "unknown_user")
+               .withColumn("reason", F.when(F.col("_key_problem").isNotNull(), F.col("_key_problem"))
+                           .when(F.col("_order").isNull(), "unknown_order").when(F.col("_buyer").isNull(), "unknown_user")
                            .when(F.col("_known").isNull(), "unknown_product")
                            .when(F.col("total").isNull(), "bad_quantity")))
     good = checked.where("reason IS NULL")
@@ -209,21 +213,29 @@ def delivery_rows(orders: DataFrame) -> DataFrame:
     return orders.select("idcompra", "detalleEntrega.*")
 
 
-def payment_state(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Current row per (order_id, iduser) of a payment event log, and the events that changed nothing.
+PAYMENT_KEY, PAYMENT_FIELDS = ["order_id", "iduser"], ("status", "total", "currency", "description", "details")
+
+
+def _entry():
+    return F.struct("ts", *PAYMENT_FIELDS)
 
-    A CREATED event makes the row; the latest COMPLETED event at or after it replaces status, money and
-    texts. Any other event is refused, with the reason. Events of one time are ordered by all their fields, so
-    the order of rows does not matter; a NULL order or user is a key like any other; events without a time are
-    refused.
+
+def payment_marks(events: DataFrame) -> DataFrame:
+    """Per (order_id, iduser) the first CREATED entry and the last COMPLETED one of some events.
+
+    Marks of parts of a log can be merged (:func:`merge_marks`), so the state need not be derived from the whole log.
     """
-    key = ["order_id", "iduser"]
-    fields = ("status", "total", "currency", "description", "details")
-    entry = F.struct("ts", *fields)
     created, completed = F.col("status") == "CREATED", F.col("status") == "COMPLETED"
-    per_order = events.where("ts IS NOT NULL").where(created | completed).groupBy(*key).agg(
-        F.min(F.when(created, entry)).alias("_made"), F.max(F.when(completed, entry)).alias("_paid"))
-    made = per_order.where("_made IS NOT NULL")
+    return events.where("ts IS NOT NULL").where(created | completed).groupBy(*PAYMENT_KEY).agg(
+        F.min(F.when(created, _entry())).alias("_made"), F.max(F.when(completed, _entry())).alias("_paid"))
+
+
+def merge_marks(marks: DataFrame) -> DataFrame:
+    return marks.groupBy(*PAYMENT_KEY).agg(F.min("_made").alias("_made"), F.max("_paid").alias("_paid"))
+
+
+def marks_state(marks: DataFrame) -> DataFrame:
+    """The current row of each (order_id, iduser) with a CREATED entry."""
     paid = F.coalesce(F.col("_paid.ts") >= F.col("_made.ts"), F.lit(False))
 
     def value(name):
@@ -232,15 +244,37 @@ def payment_state(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     def default(name, text):
         return F.when(is_set(value(name)), value(name)).otherwise(text).alias(name)
 
-    state = made.select(
-        *key, value("status").alias("status"), value("total").alias("total"), default("currency", F.lit("USD")),
+    return marks.where("_made IS NOT NULL").select(
+        *PAYMENT_KEY, value("status").alias("status"), value("total").alias("total"), default("currency", F.lit("USD")),
         default("description", F.when(paid, "Pago Finalizado").otherwise("Compra en Proceso")),
         value("details").alias("details"))
-    since = made.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("_made.ts").alias("_since"))
+
+
+def payment_rejects(events: DataFrame, marks: DataFrame) -> DataFrame:
+    """The events that are in no mark's favour, with the reason; of equal CREATED events all but one."""
+    made = marks.where("_made IS NOT NULL").select(*[F.col(k).alias(f"_{k}") for k in PAYMENT_KEY], "_made")
     same = F.col("order_id").eqNullSafe(F.col("_order_id")) & F.col("iduser").eqNullSafe(F.col("_iduser"))
-    other = events.where(~created | F.col("status").isNull() | F.col("ts").isNull()).join(since, same, "left")
-    early = F.col("_since").isNull() | (F.col("ts") < F.col("_since"))
-    reason = (F.when(F.col("ts").isNull(), "missing_time").when(~F.coalesce(completed, F.lit(False)), "not_completed")
-              .when(early, "no_created_row"))
-    rejects = other.select(*events.columns, reason.alias("reason")).where("reason IS NOT NULL")
-    return state, rejects
+    # Equal events meet before the shuffle, so a repeated one costs a row for each task.
+    counted = events.groupBy(*events.columns).agg(F.count("*").alias("_n"))
+    judged = counted.join(made, same, "left")
+    completed = F.coalesce(F.col("status") == "COMPLETED", F.lit(False))
+    created = F.coalesce(F.col("status") == "CREATED", F.lit(False)) & F.col("ts").isNotNull()
+    opened = created & F.col("_made").eqNullSafe(_entry())
+    early = F.col("_made").isNull() | (F.col("ts") < F.col("_made.ts"))
+    reason = (F.when(F.col("ts").isNull(), "missing_time").when(created, "already_created")
+              .when(~completed, "not_completed").when(early, "no_created_row"))
+    times = F.when(opened, F.col("_n") - 1).otherwise(F.col("_n"))
+    return (judged.withColumn("reason", reason).where(F.col("reason").isNotNull() & (times > 0))
+            .withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*events.columns, "reason"))
+
+
+def payment_state(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Current row per (order_id, iduser) of a payment event log, and the events that changed nothing.
+
+    The first CREATED event makes the row, further ones are refused as ``already_created``; the latest COMPLETED event
+    at or after it replaces status, money and texts. Any other event is refused, with the reason. Events of one time
+    are ordered by all their fields, so the order of rows does not matter; a NULL order or user is a key like any
+    other; events without a time are refused.
+    """
+    marks = payment_marks(events)
+    return marks_state(marks), payment_rejects(events, marks)

@@ -325,9 +325,7 @@ def _(s):
 
 
 @query("top_rated", f"""
-SELECT p.idproducto, p.nomprod,
-       (CAST(sum(c.calificacion) AS HUGEINT) * 200000 + count(c.calificacion)) // (2 * count(c.calificacion)) / 100000.0
-       AS promedio_calificacion
+SELECT p.idproducto, p.nomprod, avg(c.calificacion) AS promedio_calificacion
 FROM producto p JOIN comentarios c ON p.idproducto = c.idproducto
 GROUP BY 1, 2 ORDER BY promedio_calificacion DESC NULLS LAST, p.idproducto LIMIT 3""")
 def _(s):
@@ -824,6 +822,30 @@ def _(s):
                                      s.compra.where("idcompra % 6 <> 0"))[2]
 
 
+def _repeated_updates(s):
+    """Updates of all flat orders, every fifth sent twice, every seventh without its id."""
+    sent = s.compra.drop("total")
+    sent = sent.unionByName(sent.where("idcompra % 5 = 0")).withColumn("idcompra", F.when(F.col("idcompra") % 7 != 0, F.col("idcompra")))
+    return pricing.price_flat_orders(sent, s.users, s.producto, s.compra.unionByName(s.compra.where("idcompra % 3 = 0")))
+
+
+@query("update_flat_orders_repeats", f"""
+SELECT c.idcompra, c.iduser, c.idproducto, c.cantidad, {dbl('round(p.p_final * c.cantidad, 2)')} AS total,
+       {micros('c.fecha')} AS fecha
+FROM compra c JOIN producto p ON c.idproducto = p.idproducto JOIN users u ON c.iduser = u.iduser
+WHERE c.idcompra % 5 <> 0 AND c.idcompra % 7 <> 0""")
+def _(s):
+    return _repeated_updates(s)[0]
+
+
+@query("update_flat_orders_repeats_rejects", """
+SELECT CASE WHEN idcompra % 7 <> 0 THEN idcompra END AS idcompra,
+       CASE WHEN idcompra % 7 = 0 THEN 'missing_order_id' ELSE 'repeated_order' END AS reason
+FROM compra, range(2) veces(vez) WHERE (vez = 0 OR idcompra % 5 = 0) AND (idcompra % 5 = 0 OR idcompra % 7 = 0)""")
+def _(s):
+    return _repeated_updates(s)[2]
+
+
 @query("price_details_rejects", f"""
 SELECT idcompra AS iddetalle, CASE WHEN idcompra % 6 = 0 THEN 'unknown_order' ELSE 'unknown_product' END AS reason
 FROM compra WHERE idcompra % 6 = 0 OR {UNKNOWN_PRODUCT}""")
@@ -905,6 +927,34 @@ def _(s):
     return rejects.select("order_id", "iduser", "reason")
 
 
+def _repeated_payments(s):
+    """The payment log with a second, dearer CREATED event for every fourth order and every tenth one's copied twice."""
+    made, number = s.pagos.where("status = 'CREATED'"), F.substring("order_id", 4, 20).cast("long")
+    later = made.where(number % 4 == 0).withColumns({"ts": F.col("ts") + F.expr("INTERVAL 2 MINUTES"), "total": (F.col("total") + 1).cast("decimal(14,2)")})
+    copy = made.where(number % 10 == 0)
+    return s.pagos.unionByName(later).unionByName(copy).unionByName(copy)
+
+
+@query("payment_repeats", PAYMENTS)
+def _(s):
+    return pricing.payment_state(_repeated_payments(s))[0].drop("details")
+
+
+@query("payment_repeats_rejects", f"""
+SELECT p.order_id, p.iduser, CASE WHEN p.status <> 'COMPLETED' THEN 'not_completed' ELSE 'no_created_row' END AS reason,
+       {dbl('p.total')} AS total
+FROM pagos p LEFT JOIN (SELECT * FROM pagos WHERE status = 'CREATED') c USING (order_id, iduser)
+WHERE p.status <> 'CREATED' AND (p.status <> 'COMPLETED' OR c.order_id IS NULL)
+UNION ALL
+SELECT order_id, iduser, 'already_created', {dbl('total')} + 1 FROM pagos
+WHERE status = 'CREATED' AND CAST(substr(order_id, 4) AS BIGINT) % 4 = 0
+UNION ALL
+SELECT order_id, iduser, 'already_created', {dbl('total')} FROM pagos, range(2)
+WHERE status = 'CREATED' AND CAST(substr(order_id, 4) AS BIGINT) % 10 = 0""")
+def _(s):
+    return pricing.payment_state(_repeated_payments(s))[1].select("order_id", "iduser", "reason", "total")
+
+
 # ---- coupons ---------------------------------------------------------------------------------------
 
 COUPON_COLUMNS = (f"c.idcupon, c.codigo, {dbl('c.porcentaje')} AS porcentaje, c.usos_maximos, c.usos_actuales, c.activo, "
@@ -1235,3 +1285,55 @@ def _(s):
     jobs.start_payment_log(stream, f"{work}/out", f"{work}/state").awaitTermination()
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in s.pagos.schema)
     return jobs.current_payments(s.spark, f"{work}/out", schema)[0].drop("details")
+
+
+def _in_order(rows, column, path, parts=3):
+    """A source of one file per batch: the rows in order of a time, cut into parts."""
+    cuts = rows.agg(F.percentile_approx(F.unix_micros(F.col(column).cast("timestamp")), [i / parts for i in range(1, parts)]).alias("at")).first()["at"] or []
+    place = sum((F.when(F.unix_micros(F.col(column).cast("timestamp")) > at, 1).otherwise(0) for at in cuts), F.lit(0))
+    for i in range(parts):
+        rows.where(place == i).coalesce(1).write.mode("append").parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("comment_intake_stream_batches", f"{COMMENTS % ('', '')} {COMMENT_OK}")
+def _(s):
+    work = tables.work_dir(s.spark)
+    new, old = (s.comentarios.where(F.col("comentario") == kind) for kind in ("click", "view"))
+    jobs.start_comment_intake(_in_order(new, "fecha", f"{work}/in"), old, f"{work}/out", f"{work}/state").awaitTermination()
+    return s.spark.read.parquet(f"{work}/out/comments").drop("query_id", "batch_id")
+
+
+@query("redeem_stream_batches", ACCEPTED_ROWS)
+def _(s):
+    work = tables.work_dir(s.spark)
+    jobs.start_redemption(_in_order(s.canjes, "ts", f"{work}/in"), s.cupones, s.user_cupones, s.cupones_usados, AS_OF,
+                          f"{work}/out", f"{work}/state").awaitTermination()
+    return s.spark.read.parquet(f"{work}/out").drop("query_id", "batch_id")
+
+
+def _sent_again(s):
+    """All order requests in one batch, and every third once more in a later one; gives the folder of the outputs."""
+    work = tables.work_dir(s.spark)
+    line = "ARRAY<STRUCT<idproducto: BIGINT, cantidad: INT, talla: STRING, tipo_personalizacion: STRING>>"
+    asked = s.order_requests.withColumn("productos", F.from_json("productos", line))
+    for sent in (asked, asked.where("idcompra % 3 = 0")):
+        sent.coalesce(1).write.mode("append").json(f"{work}/in")
+        jobs.start_order_intake(tables.read_orders(s.spark, f"{work}/in", streaming=True), s.users, s.producto, s.cupones, AS_OF,
+                                f"{work}/out", f"{work}/state").awaitTermination()
+    return f"{work}/out"
+
+
+@query("order_intake_sent_again", PRICED_ORDERS)
+def _(s):
+    out = _sent_again(s)
+    schema = s.spark.read.parquet(f"{out}/orders").drop("query_id", "batch_id").schema
+    stored = tables.committed(s.spark, out, "orders", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema))
+    return _priced_heads(stored)
+
+
+@query("order_intake_sent_again_rejects", f"""{PRICED}
+SELECT idcompra, coalesce(reason, 'repeated_order') AS reason FROM juzgadas, range(2) veces(vez)
+WHERE (vez = 0 AND reason IS NOT NULL) OR (vez = 1 AND idcompra % 3 = 0)""")
+def _(s):
+    return tables.committed(s.spark, _sent_again(s), "rejects", "idcompra BIGINT, reason STRING")

@@ -12,6 +12,9 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Event times are turned into timestamps by streams; the zone must not move them.
     "spark.sql.session.timeZone": "UTC",
+    # Streams that remember keys for ever keep them on disk, not in the executors' heaps.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

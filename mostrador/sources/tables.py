@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -50,6 +51,29 @@ def read_batches(spark: SparkSession, path: str, schema: str, before: int | None
     return rows.drop("query_id", "batch_id")
 
 
+def commit_batch(spark: SparkSession, root: str, batch_id: int, parts: list[str]) -> None:
+    """Record that all parts of a micro-batch have been stored below ``root``; written last."""
+    write_batch(spark.createDataFrame([(p,) for p in parts], "part STRING").coalesce(1), f"{root}/commits", batch_id)
+
+
+def committed(spark: SparkSession, root: str, part: str, schema: str, before: int | None = None) -> DataFrame:
+    """The rows of one part that committed batches stored, see :func:`read_batches`.
+
+    A batch without its record, because it is still being written or its driver was lost, is left out of every part.
+    """
+    try:
+        rows = spark.read.schema(f"{schema}, query_id STRING, batch_id BIGINT").parquet(f"{root}/{part}")
+        done = spark.read.schema("part STRING, query_id STRING, batch_id BIGINT").parquet(f"{root}/commits")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    if before is not None:
+        done = done.where((F.col("query_id") != batch_owner(spark)) | (F.col("batch_id") < before))
+    batches = done.select("query_id", "batch_id").distinct()
+    return rows.join(batches, ["query_id", "batch_id"], "left_semi").drop("query_id", "batch_id")
+
+
 def read_orders(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
     """Order requests from JSON-lines files, read once or as a stream; see :func:`parse_orders`."""
     reader = spark.readStream if streaming else spark.read
@@ -76,11 +100,12 @@ def split_corrupt(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
 def work_dir(spark: SparkSession) -> str:
     """A fresh folder for this run below the shared folder named in ``spark.checkpoint.dir``.
 
-    Where that is unset, as in tests, it is set to a new local folder, whatever the master; on a cluster, name a
-    folder that every executor can reach.
+    Where that is unset, as in tests, a new local folder is taken under a local master; under any other master that is
+    an error, as executors would not share it.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("name a folder that every executor can reach in spark.checkpoint.dir")
         shared = tempfile.mkdtemp(prefix="mostrador-")
-        spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/mostrador-{uuid.uuid4().hex}"

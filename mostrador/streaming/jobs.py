@@ -1,27 +1,39 @@
 """Streaming forms of visit counting, order and comment intake, coupon redemption and payment state.
 
 Every job stores what a micro-batch adds in a partition named by its query and batch. A batch that is tried
-again after a lost executor or a restart replaces its own partition and reads all others, so each request
-counts once, also when a checkpoint is replaced. Nothing is kept in the driver between batches.
+again after a lost executor or a restart replaces its own partition, so each request counts once; what other
+queries stored before a checkpoint was replaced counts too. Nothing is kept in the driver between batches.
+
+What has to be remembered for ever lies in Spark's state store (comments and redemptions, by key) or in small
+versioned tables (coupon counters, payment marks), so a batch does not read what was stored before it. The state
+grows with the keys: on a cluster use the RocksDB provider, as :data:`mostrador.session.SETTINGS` does.
 
 Jobs take what has arrived and end, unless another ``trigger`` is given, such as ``{"processingTime": "1 minute"}``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from mostrador.functions.scalars import clock_seconds, month_text
-from mostrador.operators.changes import ingest_comments
-from mostrador.operators.coupons import grant_coupons, redeem
+from mostrador.operators.changes import rating_fits
+from mostrador.operators.coupons import first_by_quota, grant_coupons, offers_of_users, suitable_offer
 from mostrador.operators.pricing import (
-    accepted_parts, checked_orders, delivery_rows, payment_state, personalisation_rows)
-from mostrador.sources.tables import read_batches, split_corrupt, write_batch, CORRUPT
+    accepted_parts, checked_orders, delivery_rows, marks_state, merge_marks, payment_marks, payment_rejects, personalisation_rows)
+from mostrador.sources.tables import (
+    CORRUPT, batch_owner, committed, commit_batch, read_batches, split_corrupt, write_batch)
+from mostrador.sources.versions import Versions, children, remove
 
 ACCEPTED = "idsolicitud BIGINT, iduser BIGINT, idcupon BIGINT, codigo STRING, porcentaje {percent}, ts TIMESTAMP_NTZ"
 GRANTS = "iduser BIGINT, idcupon BIGINT, codigo STRING"
 ONCE = {"availableNow": True}
+#: Batches after which the payment marks are merged into a new version.
+MERGED_AFTER = 8
 
 
 def daily_visits(visits: DataFrame, lateness: str = "1 day") -> DataFrame:
@@ -64,6 +76,10 @@ def start_order_intake(orders: DataFrame, users: DataFrame, products: DataFrame,
     Below ``out``: orders, details, lines, rejects and corrupt; delivery and personalisation where the requests
     carry them; and, when ``rules`` are given with the claims and uses, the coupon grants. ``as_of`` may be a column
     of the requests, such as their arrival time, to judge coupons at each request's own time.
+
+    A request whose id an earlier batch has accepted is refused as ``repeated_order``, so one that is sent again makes no
+    second order; only the stored ids are read for that. A batch counts once all its parts are there: read them by
+    :func:`mostrador.sources.tables.committed`, which leaves out batches without their commit record.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -73,7 +89,10 @@ def start_order_intake(orders: DataFrame, users: DataFrame, products: DataFrame,
         if CORRUPT in batch.columns:
             good, corrupt = split_corrupt(batch)
             write_batch(corrupt, f"{out}/corrupt", batch_id)
-        checked = checked_orders(good, users, products, coupons, as_of).persist()
+        before = committed(spark, out, "orders", "idcompra BIGINT", before=batch_id)
+        again = good.select("idcompra").join(before, "idcompra", "left_semi").distinct().withColumn("_again", F.lit(True))
+        checked = (checked_orders(good, users, products, coupons, as_of).join(again, "idcompra", "left")
+                   .withColumn("reason", F.when(F.col("_again"), "repeated_order").otherwise(F.col("reason"))).drop("_again").persist())
         try:
             priced, lines, rejects = accepted_parts(checked)
             details = priced.select(F.col("idcompra").alias("iddetalle"), *[
@@ -85,11 +104,12 @@ def start_order_intake(orders: DataFrame, users: DataFrame, products: DataFrame,
             if "detallePersonalizacion" in checked.columns:
                 parts["personalisation"] = personalisation_rows(accepted.withColumnRenamed("lineas", "productos"))
             if rules is not None:
-                granted = read_batches(spark, f"{out}/grants", GRANTS, before=batch_id)
+                granted = committed(spark, out, "grants", GRANTS, before=batch_id)
                 claims = user_cupones.select("iduser", "idcupon").unionByName(granted.select("iduser", "idcupon"))
                 parts["grants"], parts["missing_grants"] = grant_coupons(lines, rules, coupons, claims, cupones_usados)
             for name, part in parts.items():
                 write_batch(part, f"{out}/{name}", batch_id)
+            commit_batch(spark, out, batch_id, list(parts))
         finally:
             checked.unpersist()
             batch.unpersist()
@@ -97,51 +117,147 @@ def start_order_intake(orders: DataFrame, users: DataFrame, products: DataFrame,
     return _each_batch(orders, handle, checkpoint, trigger)
 
 
+def _first_of_pair(columns: list[str], numbered: bool):
+    """Rows of one product and user, as text, with a verdict: the earliest row that fits is ``first``, once for ever."""
+    def judge(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, best = state.exists, None
+        place = lambda row: (row["fecha"] or "", int(row["idcomentario"]) if numbered else row["idcomentario"])
+        for frame in frames:
+            out = []
+            for row in frame.to_dict("records"):
+                if row["_fits"] != "true":
+                    out.append({**row, "_verdict": "unfit"})
+                elif seen:
+                    out.append({**row, "_verdict": "seen"})
+                elif best is None:
+                    best = row
+                else:
+                    best, other = (row, best) if place(row) < place(best) else (best, row)
+                    out.append({**other, "_verdict": "repeated"})
+            yield pd.DataFrame(out, columns=[*columns, "_verdict"], dtype=object)
+        if best is not None:
+            state.update((True,))
+            yield pd.DataFrame([{**best, "_verdict": "first"}], columns=[*columns, "_verdict"], dtype=object)
+    return judge
+
+
 def start_comment_intake(comments: DataFrame, existing: DataFrame, out: str, checkpoint: str,
                          compat: bool = False, trigger: dict | None = None) -> StreamingQuery:
     """Keep one comment per product and user in ``out``/comments, the others in ``out``/rejects.
 
-    The rule has no time limit, so each batch is checked against everything stored, not a watermark.
+    The rule has no time limit: the state store remembers every pair that has a comment, so a batch is not compared with
+    what was stored before, only with ``existing`` and what other queries stored. Rows of one pair pass one by one, no
+    matter how many there are.
     """
+    pair = ["idproducto", "iduser"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in comments.schema)
+    # All columns travel as text, which keeps NULLs, decimals and times as they are.
+    sent = comments.withColumn("_fits", rating_fits(compat)).select([F.col(c).cast("string").alias(c) for c in (*comments.columns, "_fits")])
+    names, numbered = comments.columns, isinstance(comments.schema["idcomentario"].dataType, T.IntegralType)
+    judged = sent.groupBy(*pair).applyInPandasWithState(
+        _first_of_pair(names, numbered), ", ".join(f"{c} STRING" for c in (*names, "_verdict")), "seen BOOLEAN", "append", "NoTimeout")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        stored = read_batches(batch.sparkSession, f"{out}/comments", schema, before=batch_id)
-        pair = ["idproducto", "iduser"]
-        ok, rejects = ingest_comments(batch, existing.select(*pair).unionByName(stored.select(*pair)), compat)
-        write_batch(ok, f"{out}/comments", batch_id)
-        write_batch(rejects, f"{out}/rejects", batch_id)
+        others = read_batches(batch.sparkSession, f"{out}/comments", schema, before=0)
+        known = existing.select(*pair).unionByName(others.select(*pair)).distinct().withColumn("_before", F.lit(True))
+        rows = batch.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in comments.schema] + [F.col("_verdict")])
+        rows = rows.join(known, pair, "left").persist()
+        try:
+            new = (F.col("_verdict") == "first") & F.col("_before").isNull()
+            reason = (F.when(F.col("_verdict") == "unfit", "rating_out_of_range")
+                      .when(F.col("_before") | (F.col("_verdict") == "seen"), "already_commented").otherwise("repeated_in_batch"))
+            write_batch(rows.where(new).select(*names), f"{out}/comments", batch_id)
+            write_batch(rows.where(~new).select(*names, reason.alias("reason")), f"{out}/rejects", batch_id)
+        finally:
+            rows.unpersist()
 
-    return _each_batch(comments, handle, checkpoint, trigger)
+    return _each_batch(judged, handle, checkpoint, trigger)
 
 
 def start_redemption(requests: DataFrame, cupones: DataFrame, user_cupones: DataFrame, cupones_usados: DataFrame,
                      as_of, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Redeem coupons batch by batch; accepted requests go to ``out``.
 
-    The stored requests are the use table and, counted, the use counters: no counter is rewritten.
+    The state store holds each user's first suitable request for a coupon; later ones are not looked at again. Of the first ones of a batch
+    those win that the coupon still has uses for, in order of arrival, counted by a table with one row per coupon, of
+    which each batch writes the next version below ``checkpoint``. Stored requests are read only once, when a
+    replaced checkpoint has to start from what other queries accepted.
     """
     percent = cupones.schema["porcentaje"].dataType.simpleString()
     schema = ACCEPTED.format(percent=percent)
+    offers = offers_of_users(cupones, user_cupones, cupones_usados)
+    asked = requests.join(offers, ["iduser", "codigo"]).withColumn("_offer", suitable_offer(as_of)).where("_offer IS NOT NULL")
+    # One time for all rows of a batch: a key is new when it has been seen at no other.
+    firsts = asked.withColumn("_now", F.current_timestamp()).groupBy("iduser", F.col("_offer.idcupon").alias("idcupon")).agg(
+        F.min(F.struct("ts", "idsolicitud")).alias("_first"), F.min("_now").alias("_since"), F.max("_now").alias("_last"))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        stored = read_batches(batch.sparkSession, out, schema, before=batch_id)
-        uses = cupones_usados.select("iduser", "idcupon").unionByName(stored.select("iduser", "idcupon"))
-        counted = stored.groupBy("idcupon").agg(F.count("*").alias("_used"))
-        current = (cupones.join(counted, "idcupon", "left")
-                   .withColumn("usos_actuales", F.col("usos_actuales") + F.coalesce("_used", F.lit(0)))
-                   .drop("_used"))
-        accepted, _, _ = redeem(batch, current, user_cupones, uses, as_of)
+        spark = batch.sparkSession
+        others = read_batches(spark, out, schema, before=0).select("iduser", "idcupon")
+        new = (batch.where("_since = _last").select("iduser", "idcupon", "_first.*")
+               .join(others, ["iduser", "idcupon"], "left_anti"))
+        versions = Versions(spark, f"{checkpoint}/counts")
+        last = versions.latest(before=batch_id)
+        used = others.groupBy("idcupon").agg(F.count("*").alias("_used")) if last is None else versions.read(last)
+        accepted = first_by_quota(new, cupones.join(used, "idcupon", "left").withColumn(
+            "usos_actuales", F.col("usos_actuales") + F.coalesce("_used", F.lit(0))).drop("_used"))
         write_batch(accepted, out, batch_id)
+        added = spark.read.schema(schema).parquet(f"{out}/query_id={batch_owner(spark)}/batch_id={batch_id}")
+        versions.write(used.unionByName(added.groupBy("idcupon").agg(F.count("*").alias("_used"))).groupBy("idcupon").agg(
+            F.sum("_used").alias("_used")), batch_id)
+
+    return (firsts.writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or ONCE)).start())
 
-    return _each_batch(requests, handle, checkpoint, trigger)
+
+def _marks_of(spark: SparkSession, root: str, upto: int | None = None) -> DataFrame | None:
+    """The marks that one query has stored: its last version and what its batches have added since."""
+    versions = Versions(spark, root)
+    last = versions.latest(None if upto is None else upto + 1)
+    added = [n for n in (int(c.removeprefix("batch_id=")) for c in children(spark, f"{root}/added"))
+             if (last is None or n > last) and (upto is None or n <= upto)
+             and "_SUCCESS" in children(spark, f"{root}/added/batch_id={n}")]
+    parts = ([] if last is None else [versions.read(last)]) + [spark.read.parquet(f"{root}/added/batch_id={n}") for n in added]
+    if not parts:
+        return None
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return merge_marks(whole)
 
 
 def start_payment_log(events: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Store payment events; :func:`current_payments` reads the state off them."""
-    return _each_batch(events, lambda batch, batch_id: write_batch(batch, out, batch_id), checkpoint, trigger)
+    """Store payment events and, of each batch, what they mean for the state: the marks of :func:`payment_marks`.
+
+    After MERGED_AFTER batches the marks are merged into a new version and those before the last one go. A batch that
+    failed between its log and its marks is tried again and replaces both.
+    """
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        root = f"{out}/_marks/{batch_owner(spark)}"
+        batch = batch.persist()
+        try:
+            write_batch(batch, out, batch_id)
+            payment_marks(batch).write.mode("overwrite").parquet(f"{root}/added/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
+        if (batch_id + 1) % MERGED_AFTER == 0:
+            versions = Versions(spark, root)
+            before = versions.latest(before=batch_id)
+            versions.write(_marks_of(spark, root, batch_id), batch_id)
+            for name in children(spark, f"{root}/added"):
+                if before is not None and int(name.removeprefix("batch_id=")) <= before:
+                    remove(spark, f"{root}/added/{name}")
+
+    return _each_batch(events, handle, checkpoint, trigger)
 
 
 def current_payments(spark: SparkSession, out: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """State and refused events of a stored payment log."""
-    return payment_state(read_batches(spark, out, schema))
+    """State of the payments, read off the stored marks, and refused events, read off the log against these."""
+    stored = [_marks_of(spark, f"{out}/_marks/{query}") for query in children(spark, f"{out}/_marks")]
+    log = read_batches(spark, out, schema)
+    marks = payment_marks(log.where("false"))
+    for found in stored:
+        marks = marks if found is None else marks.unionByName(found)
+    marks = merge_marks(marks)
+    return marks_state(marks), payment_rejects(log, marks)

@@ -179,3 +179,117 @@ def test_load_append_and_orders_as_text(spark, make, tmp_path, rows):
     texts.coalesce(1).write.text(str(tmp_path / "orders"))
     good, bad = tables.split_corrupt(tables.read_orders(spark, str(tmp_path / "orders")))
     assert ids(good, "idcompra") == [1] and rows(bad) == [("{oops",)] and bad.count() == 1
+
+
+REVIEW = "idcomentario BIGINT, idproducto BIGINT, iduser BIGINT, comentario STRING, calificacion DECIMAL(3,1), fecha TIMESTAMP_NTZ"
+EVENT = ("order_id STRING, status STRING, iduser BIGINT, total DECIMAL(14,2), currency STRING, description STRING, details STRING, "
+         "ts TIMESTAMP_NTZ")
+
+
+def test_comments_are_remembered_without_the_store(spark, make, tmp_path, rows):
+    """The second run writes elsewhere, so what it refuses it knows from its state; a new checkpoint knows the store."""
+    source, columns = str(tmp_path / "in"), "idcomentario, idproducto, iduser, comentario, calificacion, fecha"
+    existing = make("comentarios", "idproducto, iduser")
+
+    def run(out, state, *batch):
+        add(make(REVIEW, columns, *batch), source)
+        jobs.start_comment_intake(stream(spark, REVIEW, source), existing, str(tmp_path / out), str(tmp_path / state)).awaitTermination()
+        read = lambda part: spark.read.parquet(str(tmp_path / out / part))
+        return ids(read("comments"), "idcomentario"), dict(rows(read("rejects"), "idcomentario", "reason"))
+    assert run("a", "first", (2, 1, 1, "x", 5, "2024-01-02"), (1, 1, 1, "y", 5, "2024-01-02"), (3, 1, None, "z", 4, None)) == (
+        [1, 3], {2: "repeated_in_batch"})
+    assert run("b", "first", (4, 1, 1, None, 4, "2023-01-01"), (5, 2, 1, "w", 3, "2024-01-03 00:00:00.5"), (6, 2, 1, "w", 3, "2024-01-03")) == (
+        [6], {4: "already_commented", 5: "repeated_in_batch"})
+    kept, refused = run("a", "second", (7, 2, 1, "new", 5, "2024-01-05"))  # all files again under a new checkpoint
+    assert kept == [1, 3, 3, 6] and refused[1] == refused[4] == "already_commented"  # a NULL user matches no stored one
+
+
+def test_redemption_counts_without_the_store(spark, make, tmp_path):
+    source, asks = str(tmp_path / "in"), "idsolicitud BIGINT, iduser BIGINT, codigo STRING, ts TIMESTAMP_NTZ"
+    offers = make("cupones", "idcupon, codigo, porcentaje, activo, fecha_expiracion, usos_maximos, usos_actuales",
+                  (4, "A", 10, True, "2025-01-01 00:00:00", 3, 0), (5, "A", 10, True, "2025-01-01 00:00:00", 9, 0))
+    claims = make("user_cupones", "iduser, idcupon", *[(u, 4) for u in range(1, 7)], (6, 5), (7, 5))
+
+    def run(out, *requests):
+        add(make(asks, "idsolicitud, iduser, codigo, ts", *requests), source)
+        jobs.start_redemption(stream(spark, asks, source), offers, claims, make("cupones_usados", "iduser"), "2024-01-20",
+                              str(tmp_path / out), str(tmp_path / "state")).awaitTermination()
+        return sorted((r.idsolicitud, r.idcupon) for r in spark.read.parquet(str(tmp_path / out)).collect())
+    assert run("a", (2, 1, "A", "2024-01-02"), (1, 1, "A", "2024-01-01"), (3, 9, "A", "2024-01-01")) == [(1, 4)]
+    assert run("b", (4, 1, "A", "2024-01-03"), (5, 2, "A", "2024-01-04"), (6, 7, "A", "2024-01-04")) == [(5, 4), (6, 5)]
+    assert run("c", (7, 4, "A", "2024-01-06"), (8, 3, "A", "2024-01-05"), (9, 6, "A", "2024-01-07")) == [(8, 4)]
+
+
+def test_a_redemption_batch_that_failed_is_tried_again(spark, make, tmp_path, monkeypatch):
+    source, asks = str(tmp_path / "in"), "idsolicitud BIGINT, iduser BIGINT, codigo STRING, ts TIMESTAMP_NTZ"
+    offers = make("cupones", "idcupon, codigo, porcentaje, activo, fecha_expiracion, usos_maximos, usos_actuales",
+                  (4, "A", 10, True, "2025-01-01 00:00:00", 2, 0))
+    claims = make("user_cupones", "iduser, idcupon", *[(u, 4) for u in range(1, 7)])
+
+    def run(*users):
+        if users:
+            add(make(asks, "idsolicitud, iduser, codigo, ts", *[(u, u, "A", f"2024-01-0{u}") for u in users]), source)
+        jobs.start_redemption(stream(spark, asks, source), offers, claims, make("cupones_usados", "iduser"), "2024-01-20",
+                              str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    write = jobs.Versions.write
+    monkeypatch.setattr(jobs.Versions, "write", lambda *_: 1 / 0)
+    with pytest.raises(Exception):
+        run(1)
+    monkeypatch.setattr(jobs.Versions, "write", write)
+    run()
+    run(2, 3)
+    assert ids(spark.read.parquet(str(tmp_path / "out")), "iduser") == [1, 2]
+
+
+def test_payment_marks_are_merged_and_survive_a_failure(spark, make, tmp_path, rows, monkeypatch):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    monkeypatch.setattr(jobs, "MERGED_AFTER", 2)
+    columns, every = "order_id, status, iduser, total, ts", [
+        [("a", "CREATED", 1, 5, "2024-01-01"), ("a", "CREATED", 1, 5, "2024-01-01"), ("b", "COMPLETED", 1, 5, "2024-01-01")],
+        [("a", "COMPLETED", 1, 6, "2024-01-02"), ("c", None, 1, 6, "2024-01-02")], [("a", "CREATED", 1, 4, "2023-12-31")],
+        [("b", "CREATED", 1, 7, "2024-01-03")], [("a", "COMPLETED", 1, 8, "2024-01-05"), ("d", "CREATED", None, 1, None)]]
+
+    def run():
+        jobs.start_payment_log(stream(spark, EVENT, source), out, state).awaitTermination()
+
+    marks = jobs.payment_marks
+    for i, batch in enumerate(every):
+        add(make(EVENT, columns, *batch), source)
+        if i in (1, 3):  # the log of the batch is stored, its marks are not
+            monkeypatch.setattr(jobs, "payment_marks", lambda _: 1 / 0)
+            with pytest.raises(Exception):
+                run()
+            monkeypatch.setattr(jobs, "payment_marks", marks)
+        run()
+        log = make(EVENT, columns, *[r for b in every[:i + 1] for r in b])
+        for got, expected in zip(jobs.current_payments(spark, out, EVENT), pricing.payment_state(log)):
+            assert rows(got) == rows(expected)
+    (query,) = jobs.children(spark, f"{out}/_marks")
+    assert jobs.children(spark, f"{out}/_marks/{query}") == ["added", "v=1", "v=3"]
+    assert "batch_id=0" not in jobs.children(spark, f"{out}/_marks/{query}/added")
+
+
+def test_an_order_sent_again_and_a_batch_without_its_record(spark, make, tmp_path, rows, monkeypatch):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    users, goods = make("users", "iduser", (1,)), make("producto", "idproducto, p_final, clave", (10, 5, "x"))
+
+    def run(*numbers):
+        for n in numbers:
+            text = f'{{"idcompra": {n}, "iduser": 1, "fecha": "2024-01-01T10:00:00", "productos": [{{"idproducto": 10, "cantidad": 3}}]}}'
+            spark.createDataFrame([(text,)], "value STRING").coalesce(1).write.mode("append").text(source)
+        jobs.start_order_intake(tables.read_orders(spark, source, streaming=True), users, goods, make("cupones", "idcupon"),
+                                AS_OF, out, state).awaitTermination()
+
+    def read(part, schema):
+        return rows(tables.committed(spark, out, part, schema))
+    run(1)
+    commit = jobs.commit_batch
+    monkeypatch.setattr(jobs, "commit_batch", lambda *_: 1 / 0)
+    with pytest.raises(Exception):
+        run(1, 2)
+    assert read("orders", "idcompra BIGINT") == read("lines", "idcompra BIGINT") == [(1,)] and read("rejects", "idcompra BIGINT") == []
+    monkeypatch.setattr(jobs, "commit_batch", commit)
+    run()
+    assert read("orders", "idcompra BIGINT, total DECIMAL(16,2)") == [(1, 15.0), (2, 15.0)]
+    assert read("rejects", "idcompra BIGINT, reason STRING") == [(1, "repeated_order")]
+    assert read("lines", "idcompra BIGINT") == [(1,), (2,)]

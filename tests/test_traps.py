@@ -474,3 +474,21 @@ def test_key_only_deletes(spark, make, rows):
 
 def test_contains_text_of_null(spark):
     assert spark.range(1).select(contains_text(F.lit(None).cast("string"), "x")).first()[0] is None
+
+
+def test_a_second_created_event_is_refused(make, rows):
+    event = ("a", 1, "CREATED", 1, "2024-01-01 10:00:00")
+    log = make("paypal_logs", "order_id, iduser, status, total, ts", event, event, event,
+               ("a", 1, "CREATED", 9, "2024-01-01 11:00:00"), ("a", 1, "CREATED", 8, None))
+    state, rejects = pricing.payment_state(log)
+    assert rows(state, "order_id", "total") == [("a", 1.0)]
+    assert rows(rejects, "total", "reason") == [(1.0, "already_created")] * 2 + [(8.0, "missing_time"), (9.0, "already_created")]
+
+
+def test_updates_of_flat_orders_that_share_an_id(make, rows):
+    asks = make("compra", "idcompra, iduser, idproducto, cantidad", (1, 1, 10, 1), (2, 1, 10, 2), (2, 1, 10, 3), (None, 1, 10, 1))
+    known = make("compra", "idcompra", (1,), (1,), (2,))
+    orders, details, rejects = pricing.price_flat_orders(
+        asks, make("users", "iduser", (1,)), make("producto", "idproducto, p_final", (10, 5)), known)
+    assert rows(orders, "idcompra", "total") == rows(details, "idcompra", "total") == [(1, 5.0)]
+    assert rows(rejects) == [(2, "repeated_order"), (2, "repeated_order"), (None, "missing_order_id")]
