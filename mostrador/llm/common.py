@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from mostrador.sources.tables import work_dir
+
 #: Document numbers up to which a list of them is broadcast, about 100 MB as a hash table.
 BROADCAST_IDS = 4_000_000
 
@@ -16,12 +15,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a local one is made only where that is unset, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="mostrador-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/mostrador-{uuid.uuid4().hex}"
+    """A fresh folder below ``spark.checkpoint.dir``; where that is unset, :func:`work_dir` allows a local one under a
+    local master alone."""
+    return work_dir(spark)
 
 
 def stored(df: DataFrame) -> DataFrame:

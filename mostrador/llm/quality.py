@@ -7,7 +7,6 @@ n-grams, so neither the model nor a document's n-grams ever travel whole.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +19,10 @@ from mostrador.llm.common import by_ids, plain_text, stored, text_partitions
 ORDER = 4
 #: Text bytes of a block, and UTF-16 units looked at together in a task.
 BLOCK_BYTES, UNITS_AT_ONCE = 8 << 20, 4 << 20
-#: One trusted document in CALIBRATING is kept from the counts; these give the limits, see :func:`limits`. Languages
+#: One trusted document in CALIBRATING, so every second one, is kept from the counts; these give the limits, see
+#: :func:`limits`: on small tables a few documents would leave the reach to chance. Languages
 #: with fewer of them than LEAST_MIDDLE and LEAST_REACH take the middle and the reach of all languages together.
-CALIBRATING, HIGH, FAR, LEAST_MIDDLE, LEAST_REACH, ACCURACY = 5, 0.9, 0.99, 5, 50, 10_000
+CALIBRATING, HIGH, FAR, LEAST_MIDDLE, LEAST_REACH, ACCURACY = 2, 0.9, 0.99, 5, 50, 10_000
 
 
 def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -290,31 +290,3 @@ def kept_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     gone = stored(judge(docs, labels).where("not kept").select("doc_id").distinct())
     return by_ids(docs, gone, "left_anti").select(*[f"`{c}`" for c in docs.columns])
-
-
-def plain_bits(trusted: list[str], text: str) -> float:
-    """The mean bits per symbol of one text, computed straight from the definition; for tests."""
-    def windows(t: str, order: int) -> list[tuple[int, ...]]:
-        units = symbols([t])[0].tolist()
-        return [tuple(units[i - order + 1:i + 1]) for i in range(3, len(units))]
-    tables: dict[int, dict] = {ORDER: {}}
-    for t in trusted:
-        for g in windows(t, ORDER):
-            tables[ORDER][g] = tables[ORDER].get(g, 0) + 1
-    for order in range(ORDER - 1, 0, -1):
-        tables[order] = {}
-        for g in tables[order + 1]:
-            tables[order][g[1:]] = tables[order].get(g[1:], 0) + 1
-    takes = {o: discounts({i: sum(c == i for c in t.values()) for i in range(1, 5)}) for o, t in tables.items()}
-
-    def p(g: tuple[int, ...]) -> float:
-        if not g:
-            return 1 / (len(tables[1]) + 1)
-        after = [c for h, c in tables[len(g)].items() if h[:-1] == g[:-1]]
-        if not after:
-            return p(g[1:])
-        take = lambda c: takes[len(g)][min(c, 3) - 1]
-        c = tables[len(g)].get(g, 0)
-        return ((c - take(c) if c else 0) + sum(map(take, after)) * p(g[1:])) / sum(after)
-    seen = windows(text, ORDER)
-    return -sum(math.log2(p(g)) for g in seen) / len(seen)
