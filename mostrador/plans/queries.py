@@ -8,7 +8,7 @@ from mostrador.functions.scalars import moment
 from mostrador.operators import baskets, catalog, changes, coupons, lookups, pricing, reports
 from mostrador.plans.registry import query
 from mostrador.plans.shop import AS_OF, CATEGORY, RULES
-from mostrador.sources import tables
+from mostrador.sources import keyed, tables
 from mostrador.streaming import jobs
 
 DAY = "'%Y-%m-%d'"
@@ -1337,3 +1337,46 @@ SELECT idcompra, coalesce(reason, 'repeated_order') AS reason FROM juzgadas, ran
 WHERE (vez = 0 AND reason IS NOT NULL) OR (vez = 1 AND idcompra % 3 = 0)""")
 def _(s):
     return tables.committed(s.spark, _sent_again(s), "rejects", "idcompra BIGINT, reason STRING")
+
+
+# ---- tables in buckets, visits that come late -------------------------------------------------------------
+
+def _in_buckets(s):
+    """The products stored in buckets, with the changes applied; and the changes that matched nothing."""
+    goods = s.producto.select("idproducto", "clave", "nomprod", "descuento")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in goods.schema)
+    table = keyed.KeyedTable(s.spark, tables.work_dir(s.spark), schema, "idproducto", buckets=16)
+    table.replace(goods)
+    return table, table.apply(s.product_changes)
+
+
+@query("apply_changes_in_buckets", f"""{REPLAY}
+SELECT idproducto, clave, nomprod, descuento::BIGINT AS descuento FROM producto WHERE idproducto NOT IN (SELECT idproducto FROM cambios)
+UNION ALL
+SELECT idproducto, clave, nomprod, descuento FROM replay
+JOIN (SELECT idproducto, max(vez) AS vez FROM ordenados GROUP BY 1) USING (idproducto, vez) WHERE hay""")
+def _(s):
+    return _in_buckets(s)[0].read()
+
+
+@query("apply_changes_in_buckets_missing", f"""{REPLAY}
+SELECT idproducto, seq, reason FROM replay WHERE reason IS NOT NULL""")
+def _(s):
+    return _in_buckets(s)[1].select("idproducto", "seq", "reason")
+
+
+@query("lookup_in_buckets", "SELECT idproducto, clave FROM producto WHERE idproducto IN (SELECT idproducto FROM compra WHERE idcompra % 50 = 0)")
+def _(s):
+    goods = s.producto.select("idproducto", "clave")
+    table = keyed.KeyedTable(s.spark, tables.work_dir(s.spark), "idproducto BIGINT, clave STRING", "idproducto", buckets=16)
+    table.replace(goods)
+    return table.lookup(s.compra.where("idcompra % 50 = 0").select("idproducto"))
+
+
+@query("visits_stream_all", VISITS)
+def _(s):
+    """Every visit counts, those of days long past too: the days come in descending order."""
+    work = tables.work_dir(s.spark)
+    stream = _in_order(s.visitas.withColumn("_back", F.timestamp_seconds(-F.unix_seconds(F.col("ts").cast("timestamp")))), "_back", f"{work}/in")
+    jobs.start_every_visit(stream, f"{work}/days", f"{work}/state").awaitTermination()
+    return jobs.monthly_rollup(jobs.days_of_every_visit(s.spark, f"{work}/days"))

@@ -62,6 +62,27 @@ def monthly_rollup(days: DataFrame) -> DataFrame:
         .select(month_text(F.col("_month")).alias("mes"), "numero_de_visitas"))
 
 
+DAYS = "dia DATE, numero_de_visitas BIGINT"
+
+
+def start_every_visit(visits: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Count visits per day for ever: a visit that comes late corrects its day.
+
+    The state has one row per day, so it needs no watermark. Each batch stores the new counts of the days it changed;
+    :func:`days_of_every_visit` reads the last one of each.
+    """
+    seconds = clock_seconds(F.col("ts"))
+    days = visits.groupBy(F.date_from_unix_date(F.floor(seconds / 86400).cast("int")).alias("dia")).agg(
+        F.count("*").alias("numero_de_visitas"))
+    return (days.writeStream.outputMode("update").foreachBatch(lambda batch, batch_id: write_batch(batch, out, batch_id))
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or ONCE)).start())
+
+
+def days_of_every_visit(spark: SparkSession, out: str) -> DataFrame:
+    """Visits per day so far. Counts only grow, so the last one is the greatest; a replaced checkpoint counts its source anew."""
+    return read_batches(spark, out, DAYS).groupBy("dia").agg(F.max("numero_de_visitas").alias("numero_de_visitas"))
+
+
 def _each_batch(stream: DataFrame, handle, checkpoint: str, trigger: dict | None) -> StreamingQuery:
     return (stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or ONCE)).start())

@@ -293,3 +293,15 @@ def test_an_order_sent_again_and_a_batch_without_its_record(spark, make, tmp_pat
     assert read("orders", "idcompra BIGINT, total DECIMAL(16,2)") == [(1, 15.0), (2, 15.0)]
     assert read("rejects", "idcompra BIGINT, reason STRING") == [(1, "repeated_order")]
     assert read("lines", "idcompra BIGINT") == [(1,), (2,)]
+
+
+def test_every_visit_counts_however_late(spark, make, tmp_path, rows):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    visit, every = "event_id BIGINT, ts TIMESTAMP_NTZ", [
+        [(1, "2024-01-05 23:59:59"), (2, "2024-01-06 00:00:00")], [(3, "2024-03-01"), (4, "2024-01-05 00:00:00")], [(5, "2023-01-01")]]
+    for batch in every:
+        add(make(visit, "event_id, ts", *batch), source)
+        jobs.start_every_visit(stream(spark, visit, source), out, state).awaitTermination()
+    seen = make(visit, "event_id, ts", *[v for b in every for v in b])
+    assert rows(jobs.days_of_every_visit(spark, out)) == rows(seen.groupBy(F.col("ts").cast("date").alias("dia")).count())
+    assert rows(jobs.monthly_rollup(jobs.days_of_every_visit(spark, out))) == rows(changes.visit_counts(seen))
