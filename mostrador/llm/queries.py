@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from mostrador.llm import (
     bpe, chat, divergence, exact_dedup, hard_negatives, licences, mixing, near_dedup, quality, spotsigs, suffix_dedup,
     target_resampling, toxicity)
-from mostrador.llm.common import plain_text, table
+from mostrador.llm.common import plain_text, stored, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -120,8 +120,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_licences", licences.sql())
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = licences.bound_files(table(spark, sf_dir, "documents"))
-    return files.select("doc_id", "path").join(licences.scan(files.select("path", "text")), "path").select(
+    files = stored(licences.with_units(licences.bound_files(table(spark, sf_dir, "documents"))))
+    return files.select("doc_id", "path").join(licences.inherit(files.select("path", "units")), "path").select(
         "doc_id", "path", "licence", "score", "how", "from_path")
 
 

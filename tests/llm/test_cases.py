@@ -5,6 +5,7 @@ from public_tokenizers import path
 from pyspark.sql import functions as F
 
 from mostrador.llm import bpe, chat, exact_dedup, licences, mixing, near_dedup, quality, spotsigs, suffix_dedup, toxicity
+from mostrador.llm.common import plain_text
 
 SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
 #: Names that operators use inside, as columns of the table.
@@ -221,7 +222,45 @@ def test_licences(spark, odd):
         "a/LICENCE.txt": ("Apache-2.0", "own", "a/LICENCE.txt"), "a/b/g.py": ("MIT", "own", "a/b/g.py"),
         "h.py": ("MIT", "inherited", "LICENSE"), "b/COPYING": ("MIT", "inherited", "LICENSE"), "b/i.py": ("MIT", "inherited", "LICENSE")}
     assert licences.scan(files.limit(0)).count() == 0
-    assert licences.scan(licences.bound_files(odd).select("path", "text")).count() > 0
+    found = licences.scan(licences.bound_files(odd).select("path", "text"))
+    bound = licences.bound_files(odd)
+    assert found.count() == bound.select("path").distinct().count()
+    plain = bound.where(~licences.has_cue(F.lower(plain_text("text")))).select("path")
+    assert found.join(plain, "path", "left_semi").where("how = 'own'").count() == 0
+
+
+def test_licence_wordings(spark):
+    """Wordings that no template and no given table has; the threshold was set on others."""
+    grant, warranty = licences.MIT_GRANT, licences.MIT_WARRANTY
+    files = {
+        "spdx.py": ("# SPDX-License-Identifier: Apache-2.0\nimport x", "Apache-2.0"),
+        "later.c": ("/* SPDX-License-Identifier: GPL-2.0-or-later */\nint x;", "GPL-2.0"),
+        "short.txt": ("Some prose.\nDistributed under the MIT license\nMore prose.", "MIT"),
+        "moz.js": ("// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL "
+                   "was not distributed with this\n// file, You can obtain one at https://mozilla.org/MPL/2.0/.\nlet a;", "MPL-2.0"),
+        "own.py": ("#!/bin/x\n# Copyright (c) 2020 J Doe\n# Tools for widgets.\n#\n# Licensed under the Apache License, Version 2.0 "
+                   "(the \"License\");\n# you may not use this file except in compliance with the License.\nx = 1", "Apache-2.0"),
+        "old.h": ("/*\n * This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU "
+                  "Lesser General Public\n * License as published by the Free Software Foundation; either\n * version 2.1 of the "
+                  "License, or (at your option) any later version.\n */\nint y;", "LGPL-2.1"),
+        "c/COPYING": ("   GNU LESSER GENERAL PUBLIC LICENSE\n      Version 3, 29 June 2007\n\n Everyone is permitted to copy and "
+                      "distribute verbatim copies\n of this license document, but changing it is not allowed.", "LGPL-3.0"),
+        "m/LICENSE": (f"MIT License\n\nCopyright (c) 2021 Someone\n\n{grant.title()}\n\n{warranty.upper()}", "MIT"),
+        "b/LICENSE.txt": (f"Copyright 2000 X\n{licences.BSD_TERMS}\n{licences.BSD_WARRANTY}", "BSD-2-Clause"),
+        "d/LICENSE.md": (f"{licences.BSD_TERMS}\n{licences.BSD_NAMES}\n{licences.BSD_WARRANTY}", "BSD-3-Clause"),
+        "isc.md": ("This package is available under the ISC License.", "ISC"),
+        "cc.md": ("Texts are licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"),
+        "v.md": ("License: GPLv3+", "GPL-3.0"),
+        "n1": ("He had a license to drive a car", None), "n2": ("Copyright 2020 Big Corp. All rights reserved.", None),
+        "n3": ("Permission was denied to the visitors", None), "n4": ("the terms of the license agreement of both sides", None),
+        "n5": ("You need a fishing license, version 2.0 of the form", None),
+        "long.txt": ("license " + "word " * 200_000 + "\nReleased under the MIT License.", "MIT"),
+    }
+    rows = spark.createDataFrame([(p, t) for p, (t, _) in files.items()], "path STRING, text STRING")
+    got = {r.path: (r.licence, r.score) for r in licences.scan(rows).where("how IS NULL OR how = 'own'").collect()}
+    assert {p: got[p][0] for p in files} == {p: licence for p, (_, licence) in files.items()}
+    alone = {r.path: r.score for r in licences.scan(rows.where("path = 'short.txt'")).collect()}
+    assert alone["short.txt"] == got["short.txt"][1]
 
 
 def test_toxicity(odd, nothing, spark):
