@@ -22,8 +22,33 @@ def parse_lines(basket: Column, fields=LINE_FIELDS) -> Column:
     return F.coalesce(F.from_json(basket, f"ARRAY<STRUCT<{members}>>"), one_by_one)
 
 
+def is_variant(df: DataFrame, column: str = "productos") -> bool:
+    return df.schema[column].dataType.typeName() == "variant"
+
+
+def as_variant(df: DataFrame, column: str = "productos") -> DataFrame:
+    """``df`` with its JSON baskets parsed once into VARIANT, for storing.
+
+    Text that is not JSON is kept as a VARIANT text, which is no list of lines and so counts as unreadable; NULL stays
+    NULL.
+    """
+    return df.withColumn(column, F.coalesce(F.try_parse_json(F.col(column)), F.col(column).cast("variant")))
+
+
+def elements(basket: Column) -> Column:
+    """The elements of a VARIANT basket; a lone object is its only line, as in text. NULL for anything else."""
+    alone = F.when(F.schema_of_variant(basket).startswith("OBJECT"), F.array(basket))
+    return F.coalesce(F.try_variant_get(basket, "$", "ARRAY<VARIANT>"), alone)
+
+
 def lines_of(df: DataFrame, fields=LINE_FIELDS, column: str = "productos") -> Column:
-    """The lines of a basket column, whether it holds JSON text or is already an array."""
+    """The lines of a basket column, whether it holds JSON text, VARIANT or is already an array.
+
+    Of a VARIANT only ``fields`` are read, by their paths; numbers lose trailing zeros behind the point.
+    """
+    if is_variant(df, column):
+        return F.transform(elements(F.col(column)), lambda e: F.struct(*[
+            F.try_variant_get(e, f"$.{name}", "string").alias(name) for name in fields]))
     if df.schema[column].dataType.typeName() != "array":
         return parse_lines(F.col(column), fields)
     present = df.schema[column].dataType.elementType.fieldNames()

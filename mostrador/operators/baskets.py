@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mostrador.functions.lines import (
-    LINE_FIELDS, basket_problem, basket_rejects, explode_lines, lines_of, quantity, sum_quantities)
+    LINE_FIELDS, basket_problem, basket_rejects, elements, explode_lines, is_variant, lines_of, quantity, sum_quantities)
 from mostrador.functions.scalars import month_start, month_text
 from mostrador.operators.lookups import lookup
 
@@ -38,8 +38,14 @@ def _units_of_containing_orders(orders: DataFrame) -> DataFrame:
     Containment compares JSON types, so a quoted product id does not count. The distinct ids come from
     within the row, which needs no shuffle and no (order, product) pairs beyond the lines themselves.
     """
-    parsed = orders.select(
-        F.from_json("productos", "ARRAY<STRUCT<idproducto: BIGINT, cantidad: STRING>>").alias("_lines"))
+    if is_variant(orders):
+        number = lambda e: F.when(F.schema_of_variant(e) == "BIGINT", F.try_variant_get(e, "$", "bigint"))
+        lines = F.transform(elements(F.col("productos")), lambda e: F.struct(
+            number(F.try_variant_get(e, "$.idproducto", "variant")).alias("idproducto"),
+            F.try_variant_get(e, "$.cantidad", "string").alias("cantidad")))
+    else:
+        lines = F.from_json("productos", "ARRAY<STRUCT<idproducto: BIGINT, cantidad: STRING>>")
+    parsed = orders.select(lines.alias("_lines"))
     first = F.filter(F.slice("_lines", 1, SELLER_LINES), lambda line: quantity(line).isNotNull())
     units = F.when(F.size(first) > 0, sum_quantities(first))
     ids = F.array_distinct(F.transform("_lines", lambda line: line["idproducto"]))
@@ -76,7 +82,11 @@ def _units_by_first_line(orders: DataFrame, guard_first: bool, *keys: Column) ->
     A missing quantity counts 0, and so does an explicit JSON null or text that is no number. Without
     ``guard_first``, a first line that has no quantity at all voids the order.
     """
-    parsed = orders.select(F.from_json("productos", "ARRAY<MAP<STRING, STRING>>").alias("_lines"), *keys)
+    if is_variant(orders):
+        lines = F.transform(elements(F.col("productos")), lambda e: F.try_variant_get(e, "$", "MAP<STRING, STRING>"))
+    else:
+        lines = F.from_json("productos", "ARRAY<MAP<STRING, STRING>>")
+    parsed = orders.select(lines.alias("_lines"), *keys)
     names = [c for c in parsed.columns if c != "_lines"]
 
     def units(i):

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mostrador.functions.lines import as_variant
 from mostrador.functions.scalars import moment
-from mostrador.operators import baskets, catalog, changes, coupons, lookups, pricing, reports
-from mostrador.plans.registry import query
-from mostrador.plans.shop import AS_OF, CATEGORY, RULES
+from mostrador.operators import baskets, catalog, changes, coupons, lookups, pricing, reports, search
+from mostrador.plans.registry import QUERIES, query
+from mostrador.plans.shop import AS_OF, CATEGORY, RULES, Shop
 from mostrador.sources import keyed, tables
 from mostrador.streaming import jobs
 
@@ -1380,3 +1381,45 @@ def _(s):
     stream = _in_order(s.visitas.withColumn("_back", F.timestamp_seconds(-F.unix_seconds(F.col("ts").cast("timestamp")))), "_back", f"{work}/in")
     jobs.start_every_visit(stream, f"{work}/days", f"{work}/state").awaitTermination()
     return jobs.monthly_rollup(jobs.days_of_every_visit(s.spark, f"{work}/days"))
+
+
+@query("search_many", f"""
+SELECT texto, count(*) AS productos, {big('sum(idproducto)')} AS suma_ids
+FROM producto p JOIN (SELECT DISTINCT upper(substr(nomprod, CAST(1 + idproducto % 7 AS BIGINT), CAST(1 + idproducto % 6 AS BIGINT))) AS texto
+  FROM producto) t ON contains(lower(p.nomprod), lower(t.texto)) GROUP BY texto""")
+def _(s):
+    """Pieces of one to six letters of all names, searched in all names."""
+    key = F.col("idproducto")
+    pieces = s.producto.select(F.upper(F.substring("nomprod", 1 + key % 7, 1 + key % 6)).alias("texto"))
+    return search.search_many(s.producto.select("idproducto", "nomprod"), pieces).groupBy("texto").agg(
+        F.count("*").alias("productos"), F.sum("idproducto").alias("suma_ids"))
+
+
+# ---- baskets parsed once and stored as VARIANT -------------------------------------------------------
+
+def _with_variants(s, spoilt: bool = False):
+    """The same shop with its orders stored as VARIANT baskets; spoilt, some of them missing or no JSON."""
+    path, orders = tables.work_dir(s.spark), s.compras
+    if spoilt:
+        orders = orders.withColumn("productos", F.when(F.col("idcompra") % 9 == 0, F.lit(None)).when(
+            F.col("idcompra") % 11 == 0, "[{oops").otherwise(F.col("productos")))
+    as_variant(orders).write.parquet(path)
+    stored = Shop(s.spark, s.directory)
+    stored.compras = s.spark.read.parquet(path)
+    return stored
+
+
+def _on_variants(name: str) -> None:
+    asked = QUERIES[name]
+    query(f"{name}_variant", asked.sql)(lambda s: asked.run(_with_variants(s)))
+
+
+for _name in ("explode_lines", "total_units", "units_by_seller", "units_by_seller_compat", "units_by_product",
+              "units_by_product_month_compat", "top_products", "top_buyers", "orders_with_line_personalised",
+              "orders_containing", "enrich_orders", "invoice_documents"):
+    _on_variants(_name)
+
+
+@query("basket_rejects_variant", QUERIES["basket_rejects"].sql)
+def _(s):
+    return baskets.basket_rejects(_with_variants(s, spoilt=True).compras).select("idcompra", "reason")

@@ -1,0 +1,46 @@
+"""Bulk name search against plain substring tests, and baskets stored as VARIANT against JSON text."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from mostrador.functions.lines import as_variant, explode_lines
+from mostrador.operators import baskets, search
+
+NAMES = [(1, "Red Bolt"), (2, "bolted RED ring"), (3, "a%b_c"), (4, ""), (5, None), (6, "ab"), (7, "aaaa"), (7, "aaaa"), (8, "añadir 100%"),
+         (9, "x" * 5000 + "needle")]
+TEXTS = ["red", "BOLT", "ed r", "", "a", "%", "b_", "100%", "ñA", "aaa", "aaaaa", "zzz", "needle", "redd", None, "red"]
+
+
+def test_search_many(spark):
+    products = spark.createDataFrame(NAMES, "idproducto BIGINT, nomprod STRING").withColumn("texto", F.lit("other"))
+    searches = spark.createDataFrame([(t, 1) for t in TEXTS], "texto STRING, nomprod INT")
+    got = sorted((r.texto, r.idproducto) for r in search.search_many(products, searches).collect())
+    want = sorted((t, i) for t in {x for x in TEXTS if x is not None} for i, n in NAMES
+                  if n is not None and t.lower() in n.lower())
+    assert got == want
+    assert search.search_many(products.limit(0), searches).count() == 0
+    assert search.search_many(products, searches.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10485760"])
+def test_search_many_has_no_nested_loop(spark, threshold):
+    products = spark.createDataFrame(NAMES, "idproducto BIGINT, nomprod STRING")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        plan = search.search_many(products, products.select(F.col("nomprod").alias("texto")))._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+ODD = [(1, '[{"idproducto": 3, "cantidad": 2}, {"idproducto": "4", "cantidad": "1.5"}]'), (2, "[]"), (3, None), (4, "[{oops"), (5, "null"),
+       (6, '{"idproducto": 3}'), (7, '[7, {"idproducto": 5, "cantidad": null, "talla": "S"}]'), (8, ""), (9, '"[]"'),
+       (10, '[{"idproducto": 12345678901234567890, "cantidad": "many"}]')]
+
+
+def test_variant_baskets_read_like_text(spark):
+    text = spark.createDataFrame(ODD, "idcompra BIGINT, productos STRING")
+    variant = as_variant(text)
+    for answer in (lambda d: explode_lines(d, outer=True), baskets.total_units,
+                   lambda d: baskets.basket_rejects(d).select("idcompra", "reason")):
+        assert sorted(map(tuple, answer(text).collect()), key=repr) == sorted(map(tuple, answer(variant).collect()), key=repr)
