@@ -7,6 +7,7 @@ is: the noisy-or of all. The weights of words are fitted to document labels thro
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,9 +17,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mostrador.llm.common import plain_text, stored
 
-#: Labelled documents that are fitted to at most, word forms that may get a weight at most, and the documents a form
-#: must be in. It needs a G-squared of 25, which one unrelated form in a million reaches.
-FITTED, FORMS_MOST, LEAST_DOCUMENTS, LEAST_G2 = 16_000, 2_000, 4, 25.0
+#: Labelled documents that are fitted to at most, and the documents a form must be in to get a weight. It needs a
+#: G-squared of 25, which one unrelated form in a million reaches.
+FITTED, LEAST_DOCUMENTS, LEAST_G2 = 16_000, 4, 25.0
 #: Lengths of the word beginnings that count as forms, as stems do in inflected languages; words that a worker remembers.
 STEMS, REMEMBERED = range(4, 9), 500_000
 STEPS, RATE, RIDGE = 600, 0.1, 0.002
@@ -87,24 +88,24 @@ class Weights:
         return -float(np.expm1(clean)), offending
 
 
-def fit(labels: np.ndarray, plain: np.ndarray, bag: np.ndarray, row: np.ndarray, form: np.ndarray,
+def fit(labels: np.ndarray, plain: np.ndarray, bag: np.ndarray, times: np.ndarray, row: np.ndarray, form: np.ndarray,
         forms_: int) -> tuple[np.ndarray, float]:
     """Weights and offset that fit the document labels best, by gradient steps (Adam) with a small ridge.
 
-    ``plain`` counts each document's sentences without known forms, ``bag`` has the document of each other sentence;
-    ``row`` and ``form`` list the known forms of those sentences.
+    ``plain`` counts each document's sentences without known forms, ``bag`` has the document of each other sentence
+    and ``times`` how often it has that sentence; ``row`` and ``form`` list the known forms of those sentences.
     """
-    w, offset = np.zeros(forms_ + 1), np.log(0.5 / max(1.0, (plain.sum() + len(bag)) / max(1, len(labels))))
+    w, offset = np.zeros(forms_ + 1), np.log(0.5 / max(1.0, (plain.sum() + times.sum()) / max(1, len(labels))))
     w[-1] = offset
     first, second = np.zeros_like(w), np.zeros_like(w)
     n = max(1, len(labels))
     for step in range(1, STEPS + 1):
         z = w[-1] + np.bincount(row, w[form], len(bag))
         p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-w[-1]))
-        clean = -np.bincount(bag, np.logaddexp(0, z), n) - plain * np.logaddexp(0, w[-1])
+        clean = -np.bincount(bag, times * np.logaddexp(0, z), n) - plain * np.logaddexp(0, w[-1])
         # d loss / d z of a sentence is its p, times this factor of its document
         factor = np.where(labels > 0, 1 - 1 / np.maximum(-np.expm1(clean), 1e-12), 1.0)
-        by_sentence = factor[bag] * p if len(bag) else np.empty(0)
+        by_sentence = factor[bag] * p * times if len(bag) else np.empty(0)
         slope = np.append(np.bincount(form, by_sentence[row], forms_), by_sentence.sum() + (factor * plain).sum() * p0) / n
         slope[:-1] += RIDGE * w[:-1] / np.sqrt(n)
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope ** 2
@@ -126,23 +127,28 @@ def bags(numbers: dict[str, int]):
         known = Known(numbers)
         for batch in batches:
             found = [sentences(t, known) for t in batch.column(0).to_pylist()]
+            alike = [Counter(tuple(sorted(ids)) for _, _, ids in s) for _, s in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), pa.array([n for n, _ in found], pa.int64()),
-                 pa.array([[ids for _, _, ids in s] for _, s in found], pa.list_(pa.list_(pa.int32())))],
-                names=["toxic", "plain", "rows"])
+                 pa.array([[list(ids) for ids in c] for c in alike], pa.list_(pa.list_(pa.int32()))),
+                 pa.array([list(c.values()) for c in alike], pa.list_(pa.int64()))],
+                names=["toxic", "plain", "rows", "times"])
     return made
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Weights:
-    """A model of at most FITTED labelled documents, drawn by a hash of doc_id, none of them held out.
+def train(docs: DataFrame, labels: DataFrame, fitted: int = FITTED) -> Weights:
+    """A model of at most ``fitted`` labelled documents, drawn by a hash of doc_id, none of them held out.
 
-    Only the chosen forms, and of their sentences only known forms, come to the driver; both are bounded by FITTED and
-    FORMS_MOST. Repeated labels of a document count as toxic when one does; NULL labels are no labels.
+    All forms that tell the labels apart get a weight. Only these forms come to the driver, and of each drawn document
+    the distinct sets of known forms that its sentences have, with their counts; sentences without known forms are one
+    number. Of rows that share a doc_id the one with the smallest text is fitted. Repeated labels of a document count
+    as toxic when one does; NULL labels are no labels.
     """
     drawn = (labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(FITTED))
-    sample = stored(docs.select("doc_id", plain_text("text").alias("text")).join(F.broadcast(drawn), "doc_id").select("text", "toxic"))
+             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(fitted))
+    sample = stored(docs.select("doc_id", plain_text("text").alias("text")).join(F.broadcast(drawn), "doc_id")
+                    .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"))
     total = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = float(total.get(1, 0)), float(total.get(0, 0))
     counted = sample.mapInArrow(document_forms, "form string, toxic int").groupBy("form").agg(
@@ -151,14 +157,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Weights:
     a, n, all_ = F.col("a"), F.col("n"), F.lit(max(1.0, bad + good))
     b, c, d = n - a, F.lit(bad) - a, F.lit(good) - (n - a)
     g2 = 2 * (part(a, n * bad / all_) + part(b, n * good / all_) + part(c, (all_ - n) * bad / all_) + part(d, (all_ - n) * good / all_))
-    chosen = counted.withColumn("g2", g2).where(F.col("g2") >= LEAST_G2).where(F.col("a") * all_ > F.col("n") * bad).orderBy(F.col("g2").desc(), "form").limit(FORMS_MOST)
+    chosen = counted.withColumn("g2", g2).where(F.col("g2") >= LEAST_G2).where(F.col("a") * all_ > F.col("n") * bad).orderBy(F.col("g2").desc(), "form")
     numbers = {r.form: i for i, r in enumerate(chosen.select("form").collect())}
-    rows = sample.mapInArrow(bags(numbers), "toxic int, plain bigint, rows array<array<int>>").collect()
+    rows = sample.mapInArrow(bags(numbers), "toxic int, plain bigint, rows array<array<int>>, times array<bigint>").collect()
     bag = np.array([i for i, r in enumerate(rows) for _ in r.rows], np.int64)
+    times = np.array([n for r in rows for n in r.times], np.float64)
     lists = [ids for r in rows for ids in r.rows]
     row = np.array([i for i, ids in enumerate(lists) for _ in ids], np.int64)
     form = np.array([f for ids in lists for f in ids], np.int64)
-    of_form, offset = fit(np.array([r.toxic for r in rows]), np.array([r.plain for r in rows], np.float64), bag, row,
+    of_form, offset = fit(np.array([r.toxic for r in rows]), np.array([r.plain for r in rows], np.float64), bag, times, row,
                           form, len(numbers))
     return Weights(numbers, of_form, offset)
 
