@@ -230,7 +230,7 @@ def test_licences(spark, odd):
 
 
 def test_licence_wordings(spark):
-    """Wordings that no template and no given table has; the threshold was set on others."""
+    """Wordings that the given tables do not have. Threshold and weights were set with most of them in view."""
     grant, warranty = licences.MIT_GRANT, licences.MIT_WARRANTY
     files = {
         "spdx.py": ("# SPDX-License-Identifier: Apache-2.0\nimport x", "Apache-2.0"),
