@@ -31,6 +31,26 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def streamed(turns: DataFrame) -> DataFrame:
+    """The log of a session that ends in these turns (conv_id, place, role, text): the fold has to give them back.
+
+    An assistant's text is begun, regenerated and streamed in two deltas. Any other turn is sent half written and gets a
+    reply; then it is edited, which withdraws the reply.
+    """
+    half = F.floor(F.length("text") / 2).cast("int")
+    begun, rest = F.left(F.col("text"), half), F.substr(F.col("text"), half + 1)
+    nothing = F.lit(None).cast("string")
+    def event(step, kind, role, text, turn=F.col("place")):
+        return F.struct((4 * F.col("place") + step).alias("seq"), F.lit(kind).alias("kind"), turn.alias("turn"),
+                        role.alias("role"), text.alias("text"))
+    said = F.array(event(0, "message", F.col("role"), begun), event(1, "regenerate", nothing, nothing),
+                   event(2, "delta", F.col("role"), begun), event(3, "delta", nothing, rest))
+    asked = F.array(event(0, "message", F.col("role"), begun),
+                    event(1, "message", F.lit("assistant"), F.left(F.col("text"), F.lit(40)), F.col("place") + 1),
+                    event(2, "edit", F.col("role"), F.col("text")))
+    return turns.select("conv_id", F.inline(F.when(F.col("role") == "assistant", said).otherwise(asked)))
+
+
 @query("op2_chat_formatting", r"""
     WITH rows AS (
         SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -50,7 +70,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
            sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM joined
 """)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of ``conversations`` is one message event; the digests are taken from the rendered text."""
+    """Every row of ``conversations`` is a logged turn, see :func:`streamed`; the digests are taken from the rendered text."""
     control = "</s>[INST] ok [/INST]"
     extra = spark.range(1).select(F.inline(F.array(*[
         F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(turn).cast("long").alias("turn"),
@@ -58,8 +78,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         for turn, role in enumerate(("user", "assistant"))])))
     logged = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    events = logged.withColumn("seq", place).select(
-        "conv_id", "seq", F.lit("message").alias("kind"), F.col("seq").alias("turn"), "role", "text")
+    events = streamed(logged.withColumn("place", place.cast("long")))
     out = chat.render(chat.fold_events(events))
     back = out.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"),
                       chat.read_turns(F.col("formatted")).alias("turns"),

@@ -4,7 +4,7 @@ import pytest
 from public_tokenizers import path
 from pyspark.sql import functions as F
 
-from mostrador.llm import bpe, chat, exact_dedup, licences, mixing, near_dedup, quality, spotsigs, suffix_dedup, toxicity
+from mostrador.llm import bpe, chat, exact_dedup, licences, mixing, near_dedup, quality, queries, spotsigs, suffix_dedup, toxicity
 from mostrador.llm.common import plain_text
 
 SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
@@ -81,6 +81,18 @@ def test_chat_events(spark):
     assert chat.render(chat.fold_events(log.limit(0))).count() == 0
 
 
+def test_streamed_logs_fold_back(spark):
+    """Drafts, replies to drafts and regenerated beginnings are gone; equal rows and a very long text are whole."""
+    said = [(1, 1, "user", "hi \U0001f600 there"), (1, 2, "assistant", "x" * 200_001), (1, 3, "user", "a"), (1, 4, "user", "a"),
+            (2, 1, "assistant", ""), (2, 2, "assistant", "</s>"), (3, 1, None, None), (3, 2, "", "z"), (4, 1, "assistant", None)]
+    turns = spark.createDataFrame(said, "conv_id BIGINT, place BIGINT, role STRING, text STRING")
+    log = queries.streamed(turns)
+    assert {r.kind for r in log.collect()} == {"message", "delta", "edit", "regenerate"}
+    folded = listed(chat.fold_events(log), "conv_id", "turn", "role", "text")
+    assert folded == sorted([(c, p, r or "", t or "") for c, p, r, t in said], key=repr)
+    assert chat.fold_events(queries.streamed(turns.limit(0))).isEmpty()
+
+
 def test_escapes_are_reversible(spark):
     texts = ["", "\\", "\\\\<|", "<|<\\||", "</s><s>", "[INST][/INST]", "<<SYS>><</SYS>>", "[\\INST]", "\\[INST]\\", "<\\/s>"]
     df = spark.createDataFrame([(t,) for t in texts], "t STRING").select("t", chat.escape(F.col("t")).alias("e"))
