@@ -176,7 +176,7 @@ def cell_chances(rows: DataFrame, targets: dict[str, DataFrame] | None = None, p
     """Cells of measured rows with their probability; without given targets the blended ones hold.
 
     With ``part`` the sample holds that part of the tokens, and what targets miss is logged; without it the cell with
-    the largest weight sets its size, as the SQL has it, and one rare value can make it small.
+    the largest weight sets its size, and one rare value can make it small.
     """
     cells = stored(rows.groupBy(*[F.col(f"_{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("_tokens").alias("tokens")))
     targets = targets or blended_targets(cells)
@@ -214,18 +214,34 @@ def sampled_rows(docs: DataFrame, targets: dict[str, DataFrame] | None = None, p
     return drawn.select("row.*")
 
 
-def sql() -> str:
-    """The same in SQL, the rounds written out."""
-    steps, last = [], "w0"
-    for r in range(ROUNDS):
-        for d in DIMENSIONS:
-            name = f"w{r * len(DIMENSIONS) + DIMENSIONS.index(d) + 1}"
-            steps.append(f"""{name} AS MATERIALIZED (SELECT w.source, w.lang, w.topic, tokens, weight * (share / _sum) AS weight
-                FROM {last} w JOIN (SELECT {d}, sum(weight) AS _sum FROM {last} GROUP BY {d}) USING ({d})
-                JOIN t_{d} USING ({d}))""")
-            last = name
-    targets = [f"""t_{d} AS MATERIALIZED (SELECT {d}, {part} * sum(tokens) / (SELECT sum(tokens) FROM cells)
-        + {1 - part} / (SELECT count(DISTINCT {d}) FROM cells) AS share FROM cells GROUP BY {d})""" for d, part in NATURAL.items()]
+def level_sql(rows: str, budget: str) -> str:
+    """:func:`level` of the relation ``rows`` in closed form: in the order in which rows become whole, those are whole at
+    whose factor the budget is not passed."""
+    return f"""(SELECT CASE WHEN bool_and(full_) THEN max(tokens / rate) ELSE ({budget} - coalesce(sum(tokens) FILTER (full_), 0))
+        / sum(rate) FILTER (NOT full_) END FROM (SELECT tokens, rate, sum(tokens) OVER (ORDER BY tokens / rate ROWS UNBOUNDED PRECEDING)
+        + tokens / rate * coalesce(sum(rate) OVER (ORDER BY tokens / rate ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)
+        <= {budget} AS full_ FROM {rows} WHERE rate > 0))"""
+
+
+def sql(part: float = BUDGET) -> str:
+    """:func:`sampling` with ``part`` and the blended targets in SQL, the rounds written out."""
+    budget = "(SELECT budget FROM whole)"
+    targets, goal = [], []
+    for d, natural in NATURAL.items():
+        targets.append(f"""t_{d} AS MATERIALIZED (SELECT {d}, sum(tokens) AS tokens, {natural} * sum(tokens) / (SELECT tokens FROM whole)
+            + {1 - natural} / (SELECT count(DISTINCT {d}) FROM cells) AS rate FROM cells GROUP BY {d})""")
+        goal.append(f"""g_{d} AS MATERIALIZED (SELECT {d}, least(tokens::DOUBLE, factor * rate) AS goal_{d}, factor * rate >= tokens AS whole_{d}
+            FROM t_{d}, (SELECT {level_sql(f't_{d}', budget)} AS factor))""")
+    steps, last = [], "r0"
+    for i, d in enumerate(DIMENSIONS * ROUNDS, 1):
+        steps.append(f"""r{i} AS MATERIALIZED (SELECT * EXCLUDE (full_, open_, full_tokens, longest) REPLACE (ratio * coalesce(CASE WHEN open_ > 0 THEN greatest(goal_{d} - full_tokens, 0) / open_
+            ELSE longest END, 0) AS ratio) FROM (
+            SELECT *, coalesce(sum(ratio * tokens) FILTER (NOT full_) OVER (PARTITION BY {d}), 0) AS open_,
+                   coalesce(sum(tokens) FILTER (full_) OVER (PARTITION BY {d}), 0) AS full_tokens, max(1 / ratio) FILTER (full_) OVER (PARTITION BY {d}) AS longest
+            FROM (SELECT *, CASE WHEN ratio > 0 THEN sum(tokens) OVER (PARTITION BY {d}) - coalesce(sum(tokens) OVER smaller, 0)
+                  + coalesce(sum(ratio * tokens) OVER smaller, 0) / ratio <= goal_{d} ELSE false END AS full_ FROM {last}
+                  WINDOW smaller AS (PARTITION BY {d} ORDER BY ratio ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))))""")
+        last = f"r{i}"
     digits = " + ".join(f"(strpos('0123456789abcdef', h[{i + 1}]) - 1) * {16 ** (12 - i)}::BIGINT" for i in range(13))
     return f"""WITH rows AS (SELECT doc_id, coalesce(source, '{UNKNOWN}') AS source, coalesce(lang, '{UNKNOWN}') AS lang,
         greatest(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r]+')), 1) AS tokens,
@@ -233,10 +249,15 @@ def sql() -> str:
     placed AS MATERIALIZED (SELECT *, CASE WHEN tokens < {SHORT} THEN 'short' WHEN tokens < {LONG} THEN 'medium'
         ELSE 'long' END AS topic, ({digits})::DOUBLE / {16 ** 13} AS u FROM rows),
     cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens FROM placed GROUP BY ALL),
-    {", ".join(targets)},
-    w0 AS MATERIALIZED (SELECT *, tokens / (SELECT sum(tokens) FROM cells) AS weight FROM cells), {", ".join(steps)},
-    ratio AS MATERIALIZED (SELECT source, lang, topic, weight * (SELECT sum(tokens) FROM cells) / tokens AS weight FROM {last}),
-    chance AS (SELECT *, weight / (SELECT max(weight) FROM ratio) AS probability FROM ratio)
-    SELECT doc_id, source, lang, topic, tokens::BIGINT AS tokens, round(weight, 6) AS weight,
+    whole AS MATERIALIZED (SELECT sum(tokens) AS tokens, {part}::DOUBLE * sum(tokens) AS budget FROM cells),
+    {", ".join(targets)}, {", ".join(goal)},
+    r0 AS MATERIALIZED (SELECT *, 1::DOUBLE AS ratio, whole_source OR whole_lang OR whole_topic AS taken
+        FROM cells JOIN g_source USING (source) JOIN g_lang USING (lang) JOIN g_topic USING (topic)),
+    {", ".join(steps)},
+    rest AS MATERIALIZED (SELECT tokens, ratio * tokens AS rate FROM {last} WHERE NOT taken),
+    left_ AS MATERIALIZED (SELECT greatest(0, budget - (SELECT coalesce(sum(tokens), 0) FROM {last} WHERE taken)) AS budget FROM whole),
+    chance AS MATERIALIZED (SELECT source, lang, topic, CASE WHEN taken THEN 1 ELSE least(1, factor * ratio) END AS probability
+        FROM {last}, (SELECT coalesce({level_sql('rest', '(SELECT budget FROM left_)')}, 0) AS factor))
+    SELECT doc_id, source, lang, topic, tokens::BIGINT AS tokens, round(probability / {part}, 6) AS weight,
            round(probability, 6) AS probability, u < probability AS sampled
     FROM placed JOIN chance USING (source, lang, topic)"""

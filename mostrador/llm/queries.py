@@ -112,7 +112,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_mixing", mixing.sql())
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = mixing.sampling(table(spark, sf_dir, "documents"))
+    drawn = mixing.sampling(table(spark, sf_dir, "documents"), part=mixing.BUDGET)
     return drawn.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
 
 

@@ -1,5 +1,6 @@
 """NULLs, empty and long texts, ties, repeated rows, empty tables and columns with clashing names."""
 
+import duckdb
 import pytest
 from public_tokenizers import path
 from pyspark.sql import functions as F
@@ -212,6 +213,19 @@ def test_rare_values_do_not_shrink_the_sample(table):
     assert 60 < sum(r.sampled for r in got) < 300
 
 
+def test_budgeted_sql_of_stray_values(table, tmp_path):
+    """The SQL of the registered draw, with rare values, NULLs and repeated rows, gives what Spark does."""
+    rows = [(i, f"w{i} " * (20 + 37 * i % 1500), ("en", "fr", "de")[i * i % 7 % 3], "abcd"[i % 5 % 4]) for i in range(300)]
+    docs = table(*rows, *rows[:9], (1000, "x " * 300, "xx", "a"), (1001, None, None, None), (None, "", "en", "z"), clashes=False)
+    docs.select("doc_id", "text", "lang", "source").write.parquet(str(tmp_path / "documents"))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    columns = ["doc_id", "source", "lang", "topic", "tokens", "probability", "sampled"]
+    expected = [tuple(r) for r in connection.execute(f"SELECT {', '.join(columns)} FROM ({mixing.sql()})").fetchall()]
+    got = mixing.sampling(docs, part=mixing.BUDGET).withColumn("probability", F.round("probability", 6))
+    assert listed(got, *columns) == sorted(expected, key=repr)
+
+
 def test_targets_beyond_the_tokens_are_reported(spark):
     cells = spark.createDataFrame([("a", "x", "t", 1000), ("b", "x", "t", 10)], "source STRING, lang STRING, topic STRING, tokens BIGINT")
     share = lambda **s: spark.createDataFrame(list(s.items()), "value STRING, share DOUBLE")
