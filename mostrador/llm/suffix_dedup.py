@@ -1,14 +1,17 @@
 """Removal of byte strings that occur before, found exactly.
 
 Every string of LENGTH bytes is dealt out by one of its K-grams, that of the smallest hash; equal strings choose
-the same one. Neighbouring strings with one choice are one segment. Equal segments are settled by their digests. Only
-segments that share the K-gram and differ elsewhere need their bytes compared: they are brought together in shards,
-each sorted by a two-stage suffix array, and neighbours with a common prefix of LENGTH bytes are equal strings.
+the same one. Neighbouring strings with one choice are one segment. Equal segments are settled by their digests, 128
+bits of BLAKE2b. Only segments that share the K-gram and differ elsewhere need their bytes compared: they are brought
+together in shards, each sorted by a two-stage suffix array, and neighbours with a common prefix of LENGTH bytes are
+equal strings. A K-gram with too many segments for a shard is parted by the bytes around it first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +23,11 @@ from mostrador.llm.common import plain_text, stored
 LENGTH, K = 100, 24
 #: K-grams of a string; the choice among them changes about every 40 bytes.
 CHOICES = LENGTH - K + 1
-#: Bytes looked at together in a task, bytes of segments in a shard, and segments of one K-gram up to which they are
-#: sorted in a shard; more are compared as single strings by a shuffle of their own.
+#: Bytes looked at together in a task, bytes of segments in a shard, and segments of one K-gram that are sorted in one
+#: shard; more are parted by further bytes.
 AT_ONCE, SHARD_BYTES, SORTED_MOST = 4 << 20, 2 << 20, 20_000
 PLACE_BITS = np.uint64(24)
+HALVED = ["gram", "doc", "place", "n", "body", "at", "low", "high"]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -72,7 +76,7 @@ def pieces(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
 
 
 def cut(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Segments of all texts: text number, start, number of strings, K-gram hash, digest of the bytes."""
+    """Segments of all texts: text number, start, number of strings, K-gram hash, two halves of a digest of the bytes."""
     found = []
     for bunch in pieces(texts):
         body = b"".join(p for _, _, p in bunch)
@@ -89,13 +93,13 @@ def cut(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         first = np.flatnonzero(new)
         many = np.diff(np.append(first, len(at)))
         begin, owner = at[first], owner[first]
-        digests = np.fromiter((xxhash.xxh3_64_intdigest(body[b:e]) for b, e in zip(
-            begin.tolist(), (begin + many + LENGTH - 1).tolist())), np.uint64, len(begin)).view(np.int64)
+        digests = np.frombuffer(b"".join([blake2b(body[b:e], digest_size=16).digest() for b, e in zip(
+            begin.tolist(), (begin + many + LENGTH - 1).tolist())]), np.int64)
         numbers, starts = (np.array([p[j] for p in bunch], np.int64) for j in (0, 1))
         found.append((numbers[owner], begin - offsets[owner] + starts[owner], many,
-                      hashes[chosen[begin]].view(np.int64), digests))
+                      hashes[chosen[begin]].view(np.int64), digests[::2], digests[1::2]))
     if not found:
-        return tuple(np.empty(0, np.int64) for _ in range(5))
+        return tuple(np.empty(0, np.int64) for _ in range(6))
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
@@ -110,26 +114,26 @@ def runs(doc: np.ndarray, place: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
 
 
 def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (gram, digest, doc, place, n, known): segments, and strings known to occur before (known).
+    """Rows (gram, digest, more, doc, place, n, known): segments, and strings known to occur before (known).
 
     Of equal segments of a batch only the first goes on, so a passage in a third of all texts costs one row a batch.
     """
     for batch in batches:
-        number, start, n, gram, digest = cut([t.encode() for t in batch.column(2).to_pylist()])
+        number, start, n, gram, digest, more = cut([t.encode() for t in batch.column(2).to_pylist()])
         doc = batch.column(0).to_numpy()[number] if len(number) else number
         place = (batch.column(1).to_numpy().astype(np.int64)[number] << 32 if len(number) else number) + start
-        order = np.lexsort((place, doc, digest, gram))
-        gram, digest, doc, place, n = (x[order] for x in (gram, digest, doc, place, n))
-        first = np.append(True, (gram[1:] != gram[:-1]) | (digest[1:] != digest[:-1]))[:len(gram)]
+        order = np.lexsort((place, doc, more, digest, gram))
+        gram, digest, more, doc, place, n = (x[order] for x in (gram, digest, more, doc, place, n))
+        first = np.append(True, (gram[1:] != gram[:-1]) | (digest[1:] != digest[:-1]) | (more[1:] != more[:-1]))[:len(gram)]
         leader = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
         later = (doc != doc[leader]) | (place != place[leader])
         old = runs(doc[later], place[later], n[later])
         known = np.repeat([False, True], [int(first.sum()), len(old[0])])
         columns = [np.concatenate([gram[first], old[1]]), np.concatenate([digest[first], old[0]]),
-                   np.concatenate([doc[first], old[0]]), np.concatenate([place[first], old[1]]),
+                   np.concatenate([more[first], old[1]]), np.concatenate([doc[first], old[0]]), np.concatenate([place[first], old[1]]),
                    np.concatenate([n[first], old[2]]).astype(np.int32), known]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns],
-                                         names=["gram", "digest", "doc", "place", "n", "known"])
+                                         names=["gram", "digest", "more", "doc", "place", "n", "known"])
 
 
 def two_stage(data: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -189,7 +193,10 @@ def two_stage(data: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def repeated_strings(bodies: list[bytes], doc: np.ndarray, place: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Strings (doc, place, how many in a row) of these segments that occur before in another or the same one."""
+    """Strings (doc, place, how many in a row) of these segments that occur before in another or the same one.
+
+    A segment that is given twice does not come before itself.
+    """
     data = np.frombuffer(b"\0".join(bodies) + b"\0", np.uint8)
     padded = np.append(data, np.zeros(LENGTH + 20, np.uint8)).astype(np.uint64)
     word = padded[:-7] << np.uint64(56)
@@ -210,7 +217,9 @@ def repeated_strings(bodies: list[bytes], doc: np.ndarray, place: np.ndarray, n:
     order = np.lexsort((place, doc, group))
     group, doc, place = group[order], doc[order], place[order]
     first = np.append(True, group[1:] != group[:-1])[:len(group)]
-    return runs(doc[~first], place[~first], np.ones(int((~first).sum()), np.int64))
+    leader = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+    later = (doc != doc[leader]) | (place != place[leader])
+    return runs(doc[later], place[later], np.ones(int(later.sum()), np.int64))
 
 
 def sort_shard(key: tuple, rows: pa.Table) -> pa.Table:
@@ -276,14 +285,50 @@ def by_document(rows: DataFrame, name: str, *fields: str) -> DataFrame:
     return rows.groupBy("doc", tag.alias("tag")).agg(F.collect_list(F.struct(*fields)).alias(name))
 
 
-def single_strings(segments_: DataFrame) -> DataFrame:
-    """Strings (doc, place, n) that occur before, found by grouping single strings; for K-grams with many segments."""
-    body = F.expr(f"substring(body, i + 1, {LENGTH})")
-    strings = segments_.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(
-        "doc", (F.col("place") + F.col("i")).alias("place"), body.alias("body"))
-    first = strings.groupBy("body").agg(F.min(F.struct("doc", "place")).alias("first"))
-    return strings.join(first, "body").where(F.struct("doc", "place") != F.col("first")).select(
-        "doc", "place", F.lit(1).cast("int").alias("n"))
+def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments (HALVED) whose strings start ``low`` to ``high`` - 1 bytes before the K-gram, each in two: the strings
+    that start farther before it and those that start nearer.
+
+    Fewer such starts have more bytes in common, around the K-gram and including it; the new ``gram`` is a hash of
+    these. Equal strings start equally far before their K-gram and so stay together. ``at`` is the place of the K-gram
+    in the segment, if known.
+    """
+    for batch in batches:
+        out = []
+        for gram, doc, place, n, body, at, low, high in zip(*(c.to_pylist() for c in batch.columns)):
+            at = int(choices(gram_hashes(np.frombuffer(body, np.uint8)))[0]) if at is None else at
+            for near, far in ((low, (low + high) // 2), ((low + high) // 2, high)):
+                begin, end = max(0, at - far + 1), min(n, at - near + 1)
+                if begin < end:
+                    key = xxhash.xxh3_64_intdigest(body[at - near:at - far + LENGTH + 1], near * LENGTH + far)
+                    out.append((key - (1 << 63), doc, place + begin, end - begin, body[begin:end + LENGTH - 1], at - begin, near, far))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * len(kinds), kinds)], names=HALVED)
+
+
+def crowded(segments_: DataFrame) -> DataFrame:
+    return stored(segments_.groupBy("gram").agg(F.count("*").alias("segments")).where(f"segments > {SORTED_MOST}").select("gram"))
+
+
+def parted(bodies: DataFrame, many: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``bodies`` so that no gram has more than SORTED_MOST segments, and the strings (doc, place, n) found on the way.
+
+    The segments of the grams ``many`` are halved until they are few enough under what their strings have in common;
+    of equal halves, compared byte by byte, the first one goes on. Halves of one string that have the same bytes in
+    common are equal, so this ends.
+    """
+    few, settled = bodies.join(many, "gram", "left_anti"), []
+    rest = bodies.join(many, "gram", "left_semi").select("*", F.lit(None).cast("int").alias("at"), F.lit(0).alias("low"), F.lit(CHOICES).alias("high"))
+    while not many.isEmpty():
+        half = stored(rest.mapInArrow(halves, "gram bigint, doc bigint, place bigint, n int, body binary, at int, low int, high int"))
+        first = half.groupBy("gram", "body").agg(F.min(F.struct("doc", "place")).alias("first"))
+        half = stored(half.join(first, ["gram", "body"]).withColumn("old", F.struct("doc", "place") != F.col("first")).select(*HALVED, "old"))
+        settled.append(half.where("old").select("doc", "place", "n"))
+        open_ = half.where("not old").drop("old")
+        many = crowded(open_)
+        few = few.union(open_.join(many, "gram", "left_anti").select(*few.columns))
+        rest = open_.join(many, "gram", "left_semi").select(*HALVED)
+    return few, reduce(DataFrame.union, settled) if settled else None
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -297,27 +342,23 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     rows = told_apart(docs)
     found = rows.select("doc", "tag", "text").mapInArrow(
-        segments, "gram bigint, digest bigint, doc bigint, place bigint, n int, known boolean").repartition("gram")
-    same = Window.partitionBy("gram", "known", "digest").orderBy("doc", "place")
+        segments, "gram bigint, digest bigint, more bigint, doc bigint, place bigint, n int, known boolean").repartition("gram")
+    same = Window.partitionBy("gram", "known", "digest", "more").orderBy("doc", "place")
     any_ = Window.partitionBy("gram", "known")
     first = F.first(F.struct("doc", "place")).over(same)
-    mixed_ = F.min("digest").over(any_) != F.max("digest").over(any_)
+    mixed_ = (F.min("digest").over(any_) != F.max("digest").over(any_)) | (F.min("more").over(any_) != F.max("more").over(any_))
     flagged = found.withColumns({"old": F.col("known") | (first != F.struct("doc", "place"))}).withColumn("mixed", mixed_)
     flagged = stored(flagged.where("old or mixed").select("gram", "doc", "place", "n", "old"))
     settled, open_ = flagged.where("old").select("doc", "place", "n"), flagged.where("not old").drop("old")
     size = open_.agg(F.sum(F.col("n") + LENGTH).alias("bytes")).first().bytes or 0
     shards = int(size // SHARD_BYTES) + 1
-    many = stored(open_.groupBy("gram").agg(F.count("*").alias("segments")).where(f"segments > {SORTED_MOST}").select("gram"))
+    many = crowded(open_)
     bodies = rows.join(by_document(open_, "wanted", "gram", "place", "n"), ["doc", "tag"]).select("doc", "text", "wanted").mapInArrow(
         cut_out, "gram bigint, doc bigint, place bigint, n int, body binary")
-    if many.isEmpty():
-        few, rest = bodies, None
-    else:
-        bodies = stored(bodies)
-        few, rest = bodies.join(many, "gram", "left_anti"), bodies.join(many, "gram", "left_semi")
+    few, found_before = (bodies, None) if many.isEmpty() else parted(stored(bodies), many)
     repeats = few.groupBy(F.pmod("gram", F.lit(shards)).alias("shard")).applyInArrow(
         sort_shard, "doc bigint, place bigint, n int")
-    spans = settled.union(repeats) if rest is None else settled.union(repeats).union(single_strings(rest))
+    spans = settled.union(repeats) if found_before is None else settled.union(repeats).union(found_before)
     whole = rows.join(by_document(spans, "spans", "place", "n"), ["doc", "tag"], "left")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return whole.select("doc_id", "text", "spans").mapInArrow(

@@ -1,5 +1,7 @@
 """NULLs, empty and long texts, ties, repeated rows, empty tables and columns with clashing names."""
 
+from random import Random
+
 import duckdb
 import pytest
 from public_tokenizers import path
@@ -141,6 +143,41 @@ def test_many_segments_of_one_gram(table, monkeypatch):
     assert listed(suffix_dedup.remove_repeats(table(*rows)), "doc_id", "kept") == expected
 
 
+def without_repeated_strings(texts):
+    """Plain removal from (doc_id, text) in their order: doc_id and the bytes that stay."""
+    seen = set()
+    for doc_id, text in texts:
+        raw, gone = text.encode(), set()
+        for i in range(len(raw) - 99):
+            if raw[i:i + 100] in seen:
+                gone.update(range(i, i + 100))
+            seen.add(raw[i:i + 100])
+        yield doc_id, bytes(c for i, c in enumerate(raw) if i not in gone)
+
+
+@pytest.mark.parametrize("most", [1, 4, 20_000])
+def test_frequent_grams_are_parted(table, monkeypatch, most):
+    """A passage in most texts, between different bytes, in parts, twice in one text and all of one letter."""
+    random = Random(7)
+    noise = lambda n: "".join(random.choices("abcdef ", k=n))
+    hot = noise(150)
+    rows = [(i, noise(random.randrange(90)) + hot[random.randrange(60):random.randrange(90, 150)] + noise(random.randrange(90))) for i in range(60)]
+    rows += [(100 + i, noise(5) + hot + noise(i)) for i in range(8)] + [(120, hot + "-" + hot), (121, "a" * 400), (122, noise(9) + "a" * 150)]
+    monkeypatch.setattr(suffix_dedup, "SORTED_MOST", most)
+    got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.remove_repeats(table(*rows)).collect()}
+    assert got == dict(without_repeated_strings(rows))
+
+
+def test_equal_rows_do_not_repeat_each_other(table, spark):
+    """Rows equal in doc_id and text, in different partitions and beside others that share a part, are one document."""
+    text, other = PROSE + "abc " * 9 + PROSE[:60], "xyz" + PROSE[:101] + "no"
+    rows = table((1, text), (2, other), clashes=False)
+    both = rows.where("doc_id = 1").union(rows).union(rows.where("doc_id = 1"))
+    got = [(r.doc_id, bytes(r.kept)) for r in suffix_dedup.remove_repeats(both).collect()]
+    assert len(got) == 4
+    assert {k for d, k in got if d == 1} == {text.encode()} and {k for d, k in got if d == 2} == {b"xyz" + b"no"}
+
+
 def test_very_long_texts_are_cut(monkeypatch):
     texts = [(PROSE * 40).encode(), b"", (PROSE[:50] + PROSE * 9).encode()]
     whole = sum(int(c) for c in suffix_dedup.cut(texts)[2])
