@@ -88,6 +88,17 @@ def _each_batch(stream: DataFrame, handle, checkpoint: str, trigger: dict | None
             .trigger(**(trigger or ONCE)).start())
 
 
+def earlier_orders(requests: DataFrame, out: str, batch_id: int) -> DataFrame:
+    """The ids of earlier committed orders (idcompra) that lie in the range of these requests' ids.
+
+    The range is pushed to the Parquet scan, so files and row groups outside it are not read: where ids ascend, as
+    issued ids do, a batch of new orders reads none of the old ones, and one sent again those beside it.
+    """
+    first, last = requests.agg(F.min("idcompra"), F.max("idcompra")).first()
+    before = committed(requests.sparkSession, out, "orders", "idcompra BIGINT", before=batch_id)
+    return before.where(F.col("idcompra").between(first, last))
+
+
 def start_order_intake(orders: DataFrame, users: DataFrame, products: DataFrame, coupons: DataFrame, as_of,
                        out: str, checkpoint: str, rules: DataFrame | None = None,
                        user_cupones: DataFrame | None = None, cupones_usados: DataFrame | None = None,
@@ -99,7 +110,7 @@ def start_order_intake(orders: DataFrame, users: DataFrame, products: DataFrame,
     of the requests, such as their arrival time, to judge coupons at each request's own time.
 
     A request whose id an earlier batch has accepted is refused as ``repeated_order``, so one that is sent again makes no
-    second order; only the stored ids are read for that. A batch counts once all its parts are there: read them by
+    second order; see :func:`earlier_orders` for what is read for that. A batch counts once all its parts are there: read them by
     :func:`mostrador.sources.tables.committed`, which leaves out batches without their commit record.
     """
 
@@ -110,7 +121,7 @@ def start_order_intake(orders: DataFrame, users: DataFrame, products: DataFrame,
         if CORRUPT in batch.columns:
             good, corrupt = split_corrupt(batch)
             write_batch(corrupt, f"{out}/corrupt", batch_id)
-        before = committed(spark, out, "orders", "idcompra BIGINT", before=batch_id)
+        before = earlier_orders(good, out, batch_id)
         again = good.select("idcompra").join(before, "idcompra", "left_semi").distinct().withColumn("_again", F.lit(True))
         checked = (checked_orders(good, users, products, coupons, as_of).join(again, "idcompra", "left")
                    .withColumn("reason", F.when(F.col("_again"), "repeated_order").otherwise(F.col("reason"))).drop("_again").persist())

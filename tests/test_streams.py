@@ -295,6 +295,35 @@ def test_an_order_sent_again_and_a_batch_without_its_record(spark, make, tmp_pat
     assert read("lines", "idcompra BIGINT") == [(1,), (2,)]
 
 
+def test_only_ids_beside_those_of_the_batch_are_read(spark, tmp_path):
+    """20 batches of ascending ids: row groups of other ids are skipped, so what is read of the store stays flat."""
+    out, ids = str(tmp_path / "out"), lambda *n: spark.createDataFrame([(i,) for i in n], "idcompra BIGINT")
+    for batch in range(20):
+        tables.write_batch(ids(*range(batch * 100, batch * 100 + 100)).coalesce(1), f"{out}/orders", batch)
+        tables.commit_batch(spark, out, batch, ["orders"])
+
+    def read(found):
+        """Rows that the scan of the orders has read, by Spark's own count, which adds up over the runs of a plan."""
+        tried = found._jdf.queryExecution().executedPlan()
+        tried.executeCollect()
+        plan, counts, todo = tried.toString(), [], [tried]
+        while todo:
+            node = todo.pop()
+            if node.nodeName().startswith("AdaptiveSparkPlan"):
+                todo.append(node.executedPlan())
+            elif node.nodeName().endswith("QueryStage"):
+                todo.append(node.plan())
+            elif "Scan" in node.nodeName() and "idcompra" in node.toString():
+                counts.append(node.metrics().apply("numOutputRows").value())
+            todo.extend(node.children().apply(i) for i in range(node.children().size()))
+        assert "GreaterThanOrEqual(idcompra" in plan and "LessThanOrEqual(idcompra" in plan
+        return sum(counts)
+    for batch, asked, expected, most in ((20, (2000, 2001), [], 0), (20, (1205, 1207), [1205, 1206, 1207], 100), (5, (405, 501), list(range(405, 500)), 200)):
+        assert sorted(r[0] for r in jobs.earlier_orders(ids(*asked), out, batch).collect()) == expected
+        assert read(jobs.earlier_orders(ids(*asked), out, batch)) <= most
+    assert jobs.earlier_orders(ids(), out, 20).isEmpty() and jobs.earlier_orders(ids(None), out, 20).isEmpty()
+
+
 def test_every_visit_counts_however_late(spark, make, tmp_path, rows):
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     visit, every = "event_id BIGINT, ts TIMESTAMP_NTZ", [
