@@ -7,6 +7,7 @@ import pytest
 from public_tokenizers import path
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from mostrador.llm import bpe, chat, exact_dedup, licences, mixing, near_dedup, quality, queries, spotsigs, suffix_dedup, toxicity
 from mostrador.llm.common import plain_text
 
@@ -340,3 +341,26 @@ def test_toxicity(odd, nothing, spark):
     assert scored.count() == odd.count() and all(0 <= r.score <= 1 for r in scored.collect())
     assert toxicity.score(nothing, model).count() == 0
     assert toxicity.train(nothing, labels.limit(0)).numbers == {}
+
+
+LABELS = "doc_id BIGINT, quality INT, toxic INT"
+
+
+def test_pipeline_on_odd_rows(spark, odd, nothing, tmp_path):
+    """NULL and repeated doc_ids, NULL, equal, empty and long texts, clashing names: every stage keeps the columns and
+    gives rows of its input; no documents or no labels give no error."""
+    labels = [(4, 1, 0), (5, 1, 0), (7, 1, 0), (7, 1, 0), (None, 1, None), (1, None, None), (6, 0, 1)]
+    for name, docs, marked in (("odd", odd, labels), ("unlabelled", odd, []), ("empty", nothing, labels)):
+        folder = str(tmp_path / name)
+        docs.withColumn("quality", F.lit("x")).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(marked, LABELS).write.parquet(f"{folder}/labels.parquet")
+        held = spark.read.parquet(f"{folder}/documents.parquet")
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, held, folder).write.parquet(f"{folder}/{i}")
+            before, held = held, spark.read.parquet(f"{folder}/{i}")
+            if i < 4:
+                assert held.columns == before.columns and held.exceptAll(before).isEmpty()
+            if i == 1:
+                texts = [r.text or "" for r in held.collect()]
+                assert len(set(texts)) == len({r.text or "" for r in before.collect()}) and (name != "empty" or not texts)
+        assert held.columns[:4] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and held.count() == before.count()
