@@ -97,6 +97,20 @@ def test_streamed_logs_fold_back(spark):
     assert chat.fold_events(queries.streamed(turns.limit(0))).isEmpty()
 
 
+def test_a_very_long_conversation(spark):
+    """3,000 turns of one conversation come back whole and in order; so do messages equal in turn, role and text."""
+    role = F.when(F.col("id") % 2 == 1, "assistant").otherwise("user")
+    said = F.concat(F.lit("<|im_end|> [INST] "), F.repeat(F.lit("\\ é"), (F.col("id") % 50).cast("int")), "id")
+    turns = spark.range(3000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("place"), role.alias("role"), said.alias("text"))
+    out = chat.render(chat.fold_events(queries.streamed(turns)))
+    (back,) = out.select(chat.read_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()
+    expected = [(r.role, r.text) for r in turns.orderBy("place").collect()]
+    assert [tuple(t) for t in back.turns] == expected and back.loss == "".join(t for r, t in expected if r == "assistant")
+    equal = spark.createDataFrame([(1, 0, "assistant", "a<s>")] * 3, "conv_id BIGINT, turn BIGINT, role STRING, text STRING")
+    (row,) = chat.render(equal).select(chat.read_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()
+    assert [tuple(t) for t in row.turns] == [("assistant", "a<s>")] * 3 and row.loss == "a<s>" * 3
+
+
 def test_escapes_are_reversible(spark):
     texts = ["", "\\", "\\\\<|", "<|<\\||", "</s><s>", "[INST][/INST]", "<<SYS>><</SYS>>", "[\\INST]", "\\[INST]\\", "<\\/s>"]
     df = spark.createDataFrame([(t,) for t in texts], "t STRING").select("t", chat.escape(F.col("t")).alias("e"))
