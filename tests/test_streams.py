@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from conftest import DATA
 from mostrador.operators import changes, coupons, pricing
+from mostrador.plans import queries
 from mostrador.plans.shop import AS_OF, Shop
 from mostrador.sources import tables
+from mostrador.sources.versions import children
 from mostrador.streaming import jobs
 
 
@@ -334,3 +336,22 @@ def test_every_visit_counts_however_late(spark, make, tmp_path, rows):
     seen = make(visit, "event_id, ts", *[v for b in every for v in b])
     assert rows(jobs.days_of_every_visit(spark, out)) == rows(seen.groupBy(F.col("ts").cast("date").alias("dia")).count())
     assert rows(jobs.monthly_rollup(jobs.days_of_every_visit(spark, out))) == rows(changes.visit_counts(seen))
+
+
+@pytest.fixture
+def all_partitions(spark):
+    """Small shuffles keep their partitions, so that the tables of the tests are cut as large ones are."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def sources(spark, out):
+    """The files that a query wrote as its stream's source, beside its outputs."""
+    return [name for name in children(spark, f"{out.removesuffix('/out')}/in") if name.startswith("part-")]
+
+
+def test_orders_sent_again_are_written_by_many_tasks(spark, shop, all_partitions):
+    out = queries._sent_again(shop)
+    assert len(sources(spark, out)) > 2 * 2
+    assert batches(f"{out}/commits", spark) == 2
