@@ -10,6 +10,7 @@ from mostrador.operators import baskets, catalog, changes, coupons, lookups, pri
 from mostrador.plans.registry import QUERIES, query
 from mostrador.plans.shop import AS_OF, CATEGORY, RULES, Shop
 from mostrador.sources import keyed, tables
+from mostrador.sources.versions import children
 from mostrador.streaming import jobs
 
 DAY = "'%Y-%m-%d'"
@@ -1202,10 +1203,18 @@ def _(s):
 
 # ---- streams, run to the end of their input ------------------------------------------------------------
 
-def _stored(df, path, files=3):
-    """Write a source for a stream as a few Parquet files."""
-    df.repartition(files).write.parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
+def _stored(df, path):
+    """Write a source for a stream that takes it as one batch."""
+    df.write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+
+
+def _stored_in_two(df, path):
+    """Write a source for a stream that takes two thirds of the rows as one batch, and then the others."""
+    spark = df.sparkSession
+    df.repartition(max(3, int(spark.conf.get("spark.sql.shuffle.partitions")))).write.parquet(path)
+    files = sum(name.startswith("part-") for name in children(spark, path))
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", -(-2 * files // 3)).parquet(path)
 
 
 @query("visits_stream", f"""
@@ -1213,7 +1222,7 @@ SELECT {day("date_trunc('day', ts)")} AS dia, count(*) AS numero_de_visitas FROM
 WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM visitas) - INTERVAL 1 DAY GROUP BY 1""")
 def _(s):
     work = tables.work_dir(s.spark)
-    visits = _stored(s.visitas, f"{work}/visits", files=1)
+    visits = _stored(s.visitas, f"{work}/visits")
     jobs.start_daily_visits(visits, f"{work}/days", f"{work}/state").awaitTermination()
     return s.spark.read.schema("dia DATE, numero_de_visitas BIGINT").parquet(f"{work}/days")
 
@@ -1223,7 +1232,7 @@ SELECT strftime(ts, '%Y-%m') AS mes, count(*) AS numero_de_visitas FROM visitas
 WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM visitas) - INTERVAL 1 DAY GROUP BY 1""")
 def _(s):
     work = tables.work_dir(s.spark)
-    jobs.start_daily_visits(_stored(s.visitas, f"{work}/visits", files=1), f"{work}/days", f"{work}/state").awaitTermination()
+    jobs.start_daily_visits(_stored(s.visitas, f"{work}/visits"), f"{work}/days", f"{work}/state").awaitTermination()
     return jobs.monthly_rollup(s.spark.read.schema("dia DATE, numero_de_visitas BIGINT").parquet(f"{work}/days"))
 
 
@@ -1265,7 +1274,7 @@ def _(s):
 def _(s):
     work = tables.work_dir(s.spark)
     new, old = (s.comentarios.where(F.col("comentario") == kind) for kind in ("click", "view"))
-    stream = _stored(new, f"{work}/in", files=1)
+    stream = _stored(new, f"{work}/in")
     jobs.start_comment_intake(stream, old, f"{work}/out", f"{work}/state").awaitTermination()
     return s.spark.read.parquet(f"{work}/out/comments").drop("query_id", "batch_id")
 
@@ -1273,7 +1282,7 @@ def _(s):
 @query("redeem_stream", ACCEPTED_ROWS)
 def _(s):
     work = tables.work_dir(s.spark)
-    stream = _stored(s.canjes, f"{work}/in", files=1)
+    stream = _stored(s.canjes, f"{work}/in")
     jobs.start_redemption(stream, s.cupones, s.user_cupones, s.cupones_usados, AS_OF, f"{work}/out",
                           f"{work}/state").awaitTermination()
     return s.spark.read.parquet(f"{work}/out").drop("query_id", "batch_id")
@@ -1282,34 +1291,34 @@ def _(s):
 @query("payment_stream", PAYMENTS)
 def _(s):
     work = tables.work_dir(s.spark)
-    stream = _stored(s.pagos, f"{work}/in")
+    stream = _stored_in_two(s.pagos, f"{work}/in")
     jobs.start_payment_log(stream, f"{work}/out", f"{work}/state").awaitTermination()
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in s.pagos.schema)
     return jobs.current_payments(s.spark, f"{work}/out", schema)[0].drop("details")
 
 
-def _in_order(rows, column, path, parts=3):
-    """A source of one file per batch: the rows in order of a time, cut into parts."""
+def _in_order(rows, column, path, start, parts=3):
+    """Run a stream over the rows in order of a time: cut into parts, each of them a batch."""
     cuts = rows.agg(F.percentile_approx(F.unix_micros(F.col(column).cast("timestamp")), [i / parts for i in range(1, parts)]).alias("at")).first()["at"] or []
     place = sum((F.when(F.unix_micros(F.col(column).cast("timestamp")) > at, 1).otherwise(0) for at in cuts), F.lit(0))
     for i in range(parts):
-        rows.where(place == i).coalesce(1).write.mode("append").parquet(path)
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        rows.where(place == i).write.mode("append").parquet(path)
+        start(rows.sparkSession.readStream.schema(rows.schema).parquet(path)).awaitTermination()
 
 
 @query("comment_intake_stream_batches", f"{COMMENTS % ('', '')} {COMMENT_OK}")
 def _(s):
     work = tables.work_dir(s.spark)
     new, old = (s.comentarios.where(F.col("comentario") == kind) for kind in ("click", "view"))
-    jobs.start_comment_intake(_in_order(new, "fecha", f"{work}/in"), old, f"{work}/out", f"{work}/state").awaitTermination()
+    _in_order(new, "fecha", f"{work}/in", lambda stream: jobs.start_comment_intake(stream, old, f"{work}/out", f"{work}/state"))
     return s.spark.read.parquet(f"{work}/out/comments").drop("query_id", "batch_id")
 
 
 @query("redeem_stream_batches", ACCEPTED_ROWS)
 def _(s):
     work = tables.work_dir(s.spark)
-    jobs.start_redemption(_in_order(s.canjes, "ts", f"{work}/in"), s.cupones, s.user_cupones, s.cupones_usados, AS_OF,
-                          f"{work}/out", f"{work}/state").awaitTermination()
+    _in_order(s.canjes, "ts", f"{work}/in", lambda stream: jobs.start_redemption(
+        stream, s.cupones, s.user_cupones, s.cupones_usados, AS_OF, f"{work}/out", f"{work}/state"))
     return s.spark.read.parquet(f"{work}/out").drop("query_id", "batch_id")
 
 
@@ -1378,8 +1387,8 @@ def _(s):
 def _(s):
     """Every visit counts, those of days long past too: the days come in descending order."""
     work = tables.work_dir(s.spark)
-    stream = _in_order(s.visitas.withColumn("_back", F.timestamp_seconds(-F.unix_seconds(F.col("ts").cast("timestamp")))), "_back", f"{work}/in")
-    jobs.start_every_visit(stream, f"{work}/days", f"{work}/state").awaitTermination()
+    visits = s.visitas.withColumn("_back", F.timestamp_seconds(-F.unix_seconds(F.col("ts").cast("timestamp"))))
+    _in_order(visits, "_back", f"{work}/in", lambda stream: jobs.start_every_visit(stream, f"{work}/days", f"{work}/state"))
     return jobs.monthly_rollup(jobs.days_of_every_visit(s.spark, f"{work}/days"))
 
 

@@ -355,3 +355,36 @@ def test_orders_sent_again_are_written_by_many_tasks(spark, shop, all_partitions
     out = queries._sent_again(shop)
     assert len(sources(spark, out)) > 2 * 2
     assert batches(f"{out}/commits", spark) == 2
+
+
+def test_sources_of_streams_are_written_by_many_tasks(spark, make, tmp_path, rows):
+    rows_ = make(REVIEW, "idcomentario, idproducto, iduser, calificacion, fecha", *[
+        (i, i % 7, i % 5, 5, f"2024-01-{1 + i % 28:02}") for i in range(200)]).repartition(4)
+    existing, out = make("comentarios", "idproducto, iduser"), str(tmp_path / "out")
+    stream = queries._stored(rows_, str(tmp_path / "in"))
+    assert len(sources(spark, out)) == 4
+    jobs.start_comment_intake(stream, existing, out, str(tmp_path / "state")).awaitTermination()
+    assert batches(f"{out}/comments", spark) == 1
+    expected = ids(changes.ingest_comments(rows_, existing)[0], "idcomentario")
+    assert ids(spark.read.parquet(f"{out}/comments"), "idcomentario") == expected
+    out = str(tmp_path / "parts" / "out")
+    queries._in_order(rows_, "fecha", str(tmp_path / "parts" / "in"), lambda stream: jobs.start_comment_intake(
+        stream, existing, out, str(tmp_path / "parts" / "state")))
+    assert len(sources(spark, out)) == 3 * 4
+    assert spark.read.parquet(f"{out}/rejects").select("batch_id").distinct().count() == 3
+    assert ids(spark.read.parquet(f"{out}/comments"), "idcomentario") == expected
+
+
+def test_of_equal_comments_one_counts(spark, make, tmp_path, rows):
+    """Rows repeated in full, keys of NULL, a comment of an older store and one that fits in no batch."""
+    source, columns = str(tmp_path / "in"), "idcomentario, idproducto, iduser, comentario, calificacion, fecha"
+    out, existing = str(tmp_path / "out"), make("comentarios", "idproducto, iduser", (9, 9), (None, 8))
+    for batch in ([(1, 1, 1, "x", 5, "2024-01-02")] * 3 + [(2, None, 8, "y", 4, None)] * 2 + [(3, 9, 9, "z", 4, None), (4, 2, 2, "w", 7, None)],
+                  [(2, None, 8, "y", 4, None), (1, 1, 1, "x", 9, "2024-01-02"), (5, 2, 2, "w", 3, "2024-01-03"), (None, 2, 2, "w", 3, "2024-01-02")]):
+        make(REVIEW, columns, *batch).write.mode("append").parquet(source)
+        jobs.start_comment_intake(spark.readStream.schema(REVIEW).parquet(source), existing, out, str(tmp_path / "state")).awaitTermination()
+    read = lambda part: spark.read.parquet(f"{out}/{part}")
+    assert rows(read("comments"), "idcomentario", "batch_id") == [(1, 0), (2, 0), (None, 1)]
+    assert rows(read("rejects"), "idcomentario", "reason", "batch_id") == sorted([
+        (1, "repeated_in_batch", 0), (1, "repeated_in_batch", 0), (2, "repeated_in_batch", 0), (3, "already_commented", 0),
+        (4, "rating_out_of_range", 0), (2, "already_commented", 1), (1, "rating_out_of_range", 1), (5, "repeated_in_batch", 1)], key=repr)
