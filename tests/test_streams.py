@@ -388,3 +388,18 @@ def test_of_equal_comments_one_counts(spark, make, tmp_path, rows):
     assert rows(read("rejects"), "idcomentario", "reason", "batch_id") == sorted([
         (1, "repeated_in_batch", 0), (1, "repeated_in_batch", 0), (2, "repeated_in_batch", 0), (3, "already_commented", 0),
         (4, "rating_out_of_range", 0), (2, "already_commented", 1), (1, "rating_out_of_range", 1), (5, "repeated_in_batch", 1)], key=repr)
+
+
+def test_payments_come_in_two_batches_of_many_files(spark, shop, tmp_path, rows):
+    out = str(tmp_path / "out")
+    stream = queries._stored_in_two(shop.pagos, str(tmp_path / "in"))
+    assert len(sources(spark, out)) == 4
+    jobs.start_payment_log(stream, out, str(tmp_path / "state")).awaitTermination()
+    sizes = [r["count"] for r in spark.read.parquet(out).groupBy("batch_id").count().orderBy("batch_id").collect()]
+    assert len(sizes) == 2 and sizes[0] > sizes[1] and sum(sizes) == shop.pagos.count()
+
+
+def test_order_requests_are_written_by_many_tasks(spark, shop, all_partitions):
+    out = queries._intake(shop)
+    assert len(sources(spark, out)) > 3
+    assert batches(f"{out}/commits", spark) == 1
