@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from mostrador.functions.lines import explode_lines, lines_of
 from mostrador.functions.scalars import exact_decimal, is_set
@@ -12,6 +12,8 @@ REQUEST_FIELDS = ("idproducto", "cantidad", "talla", "tipo_personalizacion")
 QUANTITY = "decimal(12,3)"
 LINE_MONEY = "decimal(20,6)"
 ORDER_MONEY = "decimal(16,2)"
+#: Into how many places rows are dealt beside their keys.
+PLACES = 1024
 
 
 def final_price(products: DataFrame) -> DataFrame:
@@ -21,10 +23,15 @@ def final_price(products: DataFrame) -> DataFrame:
     return products.withColumn("p_final", (price * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(14,4)"))
 
 
+def _place(*columns) -> Column:
+    """A small number that goes along with a key. Rows without a key get theirs of what else they hold, so that they spread."""
+    return F.pmod(F.xxhash64(*columns), F.lit(PLACES)).cast("smallint")
+
+
 def _repeated(orders: DataFrame, key: str) -> DataFrame:
     """Keys that more than one row has. Only keys are shuffled, one per task and value."""
-    counts = orders.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows"))
-    return counts.where("_rows > 1").select(key, F.lit(True).alias("_repeated"))
+    counts = orders.where(F.col(key).isNotNull()).groupBy(_place(key).alias("_place"), key).agg(F.count("*").alias("_rows"))
+    return counts.where("_rows > 1").select("_place", key, F.lit(True).alias("_repeated"))
 
 
 def _baskets(orders: DataFrame, products: DataFrame, key: str) -> DataFrame:
@@ -42,7 +49,7 @@ def _baskets(orders: DataFrame, products: DataFrame, key: str) -> DataFrame:
     priced = lines.join(prices, "idproducto", "left").withColumn("total_producto", money)
     line = F.struct("pos", "idproducto", "cantidad", "talla", "tipo_personalizacion", "total_producto", "clave")
     is_line = F.col("pos").isNotNull()
-    per_order = priced.groupBy(key).agg(
+    per_order = priced.groupBy(_place(key).alias("_place"), key).agg(
         F.sum("total_producto").alias("_sum"),
         F.bool_or("missing").alias("_missing"), F.bool_and("readable").alias("_readable"),
         F.count("pos").alias("_n"),
@@ -52,33 +59,41 @@ def _baskets(orders: DataFrame, products: DataFrame, key: str) -> DataFrame:
     problem = (F.when(F.col("_missing"), "basket_missing").when(~F.col("_readable"), "basket_unreadable")
                .when(F.col("_n") == 0, "empty_basket").when(F.col("_unknown"), "unknown_product")
                .when(F.col("_unpriced"), "bad_quantity"))
-    return per_order.select(key, "_sum", "lineas", problem.alias("_problem"))
+    return per_order.select("_place", key, "_sum", "lineas", problem.alias("_problem"))
 
 
-def _checked(orders: DataFrame, headers: DataFrame, products: DataFrame, header_problem, key: str = "idcompra") -> DataFrame:
+def _checked(orders: DataFrame, headers: DataFrame, products: DataFrame, header_problem, key: str = "idcompra",
+             taken: DataFrame | None = None) -> DataFrame:
     """Headers with their priced lines, and ``reason`` set on the orders to refuse.
 
     ``_percent`` on the headers is the discount. It is the same for a whole order, so it is applied after
     the lines are gathered and the lines never have to meet users or coupons. Rows without a key, and all rows
-    that share one, are refused before their baskets are opened, so no two baskets ever mix.
+    that share one or have one of the keys ``taken`` before, are refused before their baskets are opened, so no two
+    baskets ever mix.
     """
     repeated = _repeated(orders, key)
-    single = orders.select(key, "productos").where(F.col(key).isNotNull()).join(repeated, key, "left_anti")
+    if taken is not None:
+        repeated = repeated.unionByName(taken.select(_place(key).alias("_place"), key, F.lit(True).alias("_repeated"))).distinct()
+    at = ["_place", key]
+    single = orders.select(_place(key).alias("_place"), key, "productos").where(F.col(key).isNotNull()).join(repeated, at, "left_anti")
+    others = [f.name for f in headers.schema if f.name != key and isinstance(f.dataType, T.AtomicType)]
     factor = ((F.lit(100) - F.col("_percent")) * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(5,4)")
     discounted = F.transform("lineas", lambda line: line.withField(
         "total_producto", (line["total_producto"] * F.col("_factor")).cast(LINE_MONEY)))
     key_problem = F.when(F.col(key).isNull(), "missing_order_id").when(F.col("_repeated"), "repeated_order")
     return (headers.withColumn("_factor", factor).withColumn("_header_problem", header_problem)
-            .join(repeated, key, "left").join(_baskets(single, products, key), key, "left")
+            .withColumn("_place", F.when(F.col(key).isNull(), _place(*others)).otherwise(_place(key)))
+            .join(repeated, at, "left").join(_baskets(single.drop("_place"), products, key), at, "left")
             .withColumn("total", (F.col("_sum") * F.col("_factor")).try_cast(ORDER_MONEY))
             .withColumn("lineas", discounted)
             .withColumn("reason", F.coalesce(
                 key_problem, "_header_problem", "_problem", F.when(F.col("total").isNull(), "bad_quantity")))
-            .drop("_sum", "_factor", "_percent", "_problem", "_header_problem", "_repeated"))
+            .drop("_sum", "_factor", "_percent", "_problem", "_header_problem", "_repeated", "_place"))
 
 
-def checked_orders(orders: DataFrame, users: DataFrame, products: DataFrame, coupons: DataFrame, as_of) -> DataFrame:
-    """All orders with priced lines and, where the order must be refused, the ``reason``.
+def checked_orders(orders: DataFrame, users: DataFrame, products: DataFrame, coupons: DataFrame, as_of,
+                   taken: DataFrame | None = None) -> DataFrame:
+    """All orders with priced lines and, where the order must be refused, the ``reason``; so are those with an id ``taken``.
 
     The parts that :func:`price_orders` returns are read off this one DataFrame; a job that writes all
     of them can persist it first.
@@ -91,7 +106,7 @@ def checked_orders(orders: DataFrame, users: DataFrame, products: DataFrame, cou
                .withColumn("_percent", percent))
     problem = (F.when(F.col("_buyer").isNull(), "unknown_user")
                .when(is_set(F.col("codigoCupon")) & F.col("_coupon").isNull(), "invalid_coupon"))
-    return _checked(orders, headers, products, problem).drop("_buyer", "_coupon")
+    return _checked(orders, headers, products, problem, taken=taken).drop("_buyer", "_coupon")
 
 
 def accepted_parts(checked: DataFrame, key: str = "idcompra") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -149,7 +164,7 @@ def price_flat_orders(requests: DataFrame, users: DataFrame, products: DataFrame
     else:
         known = existing.select("idcompra").distinct().withColumn("_order", F.lit(True))
         key_problem = F.when(F.col("idcompra").isNull(), "missing_order_id").when(F.col("_repeated"), "repeated_order")
-        requests = (requests.join(known, "idcompra", "left").join(_repeated(requests, "idcompra"), "idcompra", "left")
+        requests = (requests.join(known, "idcompra", "left").join(_repeated(requests, "idcompra").drop("_place"), "idcompra", "left")
                     .withColumn("_key_problem", key_problem).drop("_repeated"))
     checked = (requests.join(users.select("iduser", F.lit(True).alias("_buyer")), "iduser", "left")
                .join(prices, "idproducto", "left")

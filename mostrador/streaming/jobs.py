@@ -118,9 +118,8 @@ def start_order_intake(orders: DataFrame, users: DataFrame, products: DataFrame,
             good, corrupt = split_corrupt(batch)
             write_batch(corrupt, f"{out}/corrupt", batch_id)
         before = earlier_orders(good, out, batch_id)
-        again = good.select("idcompra").join(before, "idcompra", "left_semi").distinct().withColumn("_again", F.lit(True))
-        checked = (checked_orders(good, users, products, coupons, as_of).join(again, "idcompra", "left")
-                   .withColumn("reason", F.when(F.col("_again"), "repeated_order").otherwise(F.col("reason"))).drop("_again").persist())
+        again = good.select("idcompra").join(before, "idcompra", "left_semi").distinct()
+        checked = checked_orders(good, users, products, coupons, as_of, again).persist()
         try:
             priced, lines, rejects = accepted_parts(checked)
             details = priced.select(F.col("idcompra").alias("iddetalle"), *[

@@ -492,3 +492,26 @@ def test_updates_of_flat_orders_that_share_an_id(make, rows):
         asks, make("users", "iduser", (1,)), make("producto", "idproducto, p_final", (10, 5)), known)
     assert rows(orders, "idcompra", "total") == rows(details, "idcompra", "total") == [(1, 5.0)]
     assert rows(rejects) == [(2, "repeated_order"), (2, "repeated_order"), (None, "missing_order_id")]
+
+
+@pytest.fixture
+def by_shuffles(spark):
+    """Joins as those of large tables: no side is broadcast, no partitions are merged."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def test_requests_without_id_spread_over_tasks(spark, make, by_shuffles):
+    line = '[{"idproducto": 1, "cantidad": 2}]'
+    asked = make("idcompra BIGINT, iduser BIGINT, fecha TIMESTAMP_NTZ, codigoCupon STRING, productos STRING", "idcompra, iduser, productos",
+                 *[(i if i % 5 == 0 else None, i, line) for i in range(200)], (5, 1, line))
+    users, goods = make("users", "iduser", *[(i,) for i in range(200)]), make("producto", "idproducto, p_final", (1, 3))
+    orders, _, rejects = pricing.price_orders(asked, users, goods, make("cupones", "idcupon"), "2024-01-20")
+    spread = rejects.where("reason = 'missing_order_id'").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in spread) == 160 and len(spread) > 1
+    assert orders.count() == 39 and rejects.where("reason = 'repeated_order'").count() == 2
