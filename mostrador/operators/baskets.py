@@ -205,14 +205,17 @@ def invoice_documents(orders: DataFrame, details: DataFrame, delivery: DataFrame
                       producto: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Order, first detail, first delivery and named lines as one nested row; orders lacking a part go to rejects.
 
-    Orders are distinct in idcompra. The parts travel with the lines through one explosion and one gathering.
+    Orders are distinct in idcompra. Only the lines are exploded, named and gathered; the parts, with their baskets, wait by
+    idcompra and meet them once.
     """
     detail = _first_row(details, "idcompra", "iddetalle", "comprasDetalle")
     address = _first_row(delivery, "idcompra", "identrega", "detalleEntrega")
     parts = orders.join(detail, "idcompra", "left").join(address, "idcompra", "left")
-    whole = parts.where("comprasDetalle IS NOT NULL AND detalleEntrega IS NOT NULL")
-    documents = enrich_lines(whole.select(
-        "idcompra", F.struct(*orders.columns).alias("compra"), "comprasDetalle", "detalleEntrega", "productos"), producto, "idcompra")
+    whole = parts.where("comprasDetalle IS NOT NULL AND detalleEntrega IS NOT NULL").groupBy("idcompra").agg(
+        F.any_value(F.struct(*[F.col(c) for c in orders.columns])).alias("compra"),
+        *[F.any_value(c).alias(c) for c in ("comprasDetalle", "detalleEntrega")])
+    named = enrich_lines(orders.where("idcompra IS NOT NULL").select("idcompra", "productos"), producto, "idcompra")
+    documents = whole.join(named, "idcompra")
     reason = (F.when(F.col("comprasDetalle").isNull(), "detail_missing")
               .when(F.col("detalleEntrega").isNull(), "delivery_missing").otherwise(basket_problem(parts)))
     return documents, parts.withColumn("reason", reason).where("reason IS NOT NULL").select("idcompra", "reason")

@@ -515,3 +515,17 @@ def test_requests_without_id_spread_over_tasks(spark, make, by_shuffles):
     spread = rejects.where("reason = 'missing_order_id'").groupBy(F.spark_partition_id().alias("task")).count().collect()
     assert sum(r["count"] for r in spread) == 160 and len(spread) > 1
     assert orders.count() == 39 and rejects.where("reason = 'repeated_order'").count() == 2
+
+
+def test_invoice_parts_do_not_travel_with_the_lines(spark, make, rows):
+    line = '[{"idproducto": 1, "cantidad": 2}, {"idproducto": 9, "cantidad": 1}]'
+    orders = make("compras", "idcompra, iduser, productos", (1, 5, line), (2, 6, "[]"), (3, 7, line), (None, 8, line), (4, 9, "{oops"))
+    details = make("compras_detalle", "iddetalle, idcompra, productos", (12, 1, "b"), (11, 1, "a"), (13, 2, "c"), (14, None, "d"), (15, 4, "e"))
+    places = make("detalle_entrega", "identrega, idcompra, pais", (1, 1, "MX"), (2, 2, "US"), (3, 3, "MX"), (4, 4, "MX"))
+    documents, rejects = baskets.invoice_documents(orders, details, places, make("producto", "idproducto, nomprod", (1, "taza")))
+    assert rows(documents, "idcompra", "compra.iduser", "comprasDetalle.productos", "detalleEntrega.pais", "productos.idproducto") == [
+        (1, 5, "a", "MX", ["taza", None]), (2, 6, "c", "US", [])]
+    assert rows(rejects, "idcompra", "reason") == [
+        (3, "detail_missing"), (4, "basket_unreadable"), (None, "detail_missing")]
+    plan = documents._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [step for step in plan if "comprasDetalle#" in step and " pos#" in step]
