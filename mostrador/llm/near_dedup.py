@@ -23,6 +23,8 @@ SHORT = 8
 #: Words that a worker remembers, and shingles hashed together.
 REMEMBERED, AT_ONCE = 500_000, 8192
 STEP, MASK = np.uint64(0x9E3779B97F4A7C15), (1 << 64) - 1
+#: Atoms of the sets that are compared with another such block at once, and rows that parting may make for each of its first round.
+BLOCK, PARTED = 1 << 16, 2
 #: What :func:`branches` gives.
 PATHS = ["node", "component", "size", "path", "place", "held", "rest", "skipped", "ended"]
 
@@ -232,14 +234,78 @@ def branches(share: int, counted: bool):
     return made
 
 
+def between(share: int):
+    """Rows (x, y), two blocks of rows (node, component, size, ids, weights), to links (a, b) between components.
+
+    All sets are compared; of the links of two blocks those are given that join components not yet joined by the others.
+    """
+    def sides(block: pa.StructArray) -> tuple:
+        ids = block.field("ids")
+        return (*[block.field(c).to_numpy() for c in ("node", "component", "size")], ids.value_lengths().to_numpy(),
+                ids.flatten().to_numpy(), block.field("weights").flatten().to_numpy())
+
+    def joined(x: pa.StructArray, y: pa.StructArray) -> Iterator[tuple[int, int]]:
+        nodes, labels, sizes, lengths, ids, weights = sides(x)
+        others, their_labels, their_sizes, their_lengths, their_ids, _ = sides(y)
+        known, places = np.unique(their_ids, return_inverse=True)
+        owners, ends, to = np.repeat(np.arange(len(others)), their_lengths), np.cumsum(lengths), {}
+
+        def root(label: int) -> int:
+            while label in to:
+                label = to[label]
+            return label
+        for i, end in enumerate(ends):
+            own = slice(end - lengths[i], end)
+            found = np.searchsorted(known, ids[own])
+            there = np.flatnonzero(known[np.minimum(found, len(known) - 1)] == ids[own])
+            held = np.zeros(len(known))
+            held[found[there]] = weights[own][there]
+            common = np.bincount(owners, held[places], len(others))
+            alike = ((100 + share) * common >= share * (sizes[i] + their_sizes)) & (their_labels != labels[i])
+            for j in np.flatnonzero(alike):
+                a, b = root(int(labels[i])), root(int(their_labels[j]))
+                if a != b:
+                    to[a] = b
+                    yield int(nodes[i]), int(others[j])
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [link for x, y in zip(batch.column("x"), batch.column("y")) for link in joined(x.values, y.values)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], []))], names=["a", "b"])
+    return made
+
+
+def links_in_blocks(nodes: DataFrame, lists: DataFrame, share: int) -> DataFrame:
+    """Links (a, b) between components among the nodes that hang together by ``lists`` (rows with a list's node and
+    its smallest), enough to join all that are linked.
+
+    Nodes lie in blocks of about BLOCK atoms; a large component has blocks of its own, which are not compared with each
+    other. Two blocks at a time meet in a task, so no pair of nodes becomes a row.
+    """
+    family = components(lists.select(F.col("node").alias("a"), F.col("smallest.node").alias("b")))
+    left = nodes.join(family.select("node", F.col("component").alias("family")), "node")
+    held = left.groupBy("family", "component").agg(F.sum(F.size("ids")).alias("held")).withColumn("own", F.col("held") >= BLOCK)
+    dealt = held.select("family", "component", "held", "own", F.when(F.col("own"), F.col("component")).otherwise(0).alias("of"))
+    many = dealt.groupBy("family", "own", "of").agg(F.ceil(F.sum("held") / BLOCK).alias("blocks"))
+    place = dealt.join(many, ["family", "own", "of"]).select("family", "component", "own", "of", "blocks")
+    blocks = stored(left.join(place, ["family", "component"]).withColumn("block", F.struct(
+        "family", "own", "of", F.pmod(F.xxhash64(F.when(F.col("own"), F.col("node")).otherwise(F.col("component"))), "blocks").alias("no")))
+        .groupBy("block").agg(F.collect_list(F.struct("node", "component", "size", "ids", "weights")).alias("rows")))
+    keys = blocks.select("block", F.col("block.family").alias("family"))
+    meet = F.expr("x.family = y.family and x.block <= y.block and not (x.block.own and y.block.own and x.block.of = y.block.of)")
+    pairs = keys.alias("x").join(keys.alias("y"), meet).select(F.col("x.block").alias("of_x"), F.col("y.block").alias("of_y"))
+    side = lambda c: blocks.select(F.col("block").alias(f"of_{c}"), F.col("rows").alias(c))
+    return pairs.join(side("x"), "of_x").join(side("y"), "of_y").select("x", "y").mapInArrow(between(share), "a bigint, b bigint")
+
+
 def pairs_by_shingles(state: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFrame:
     """Pairs (a, b) of nodes of different components among which all that can be linked are, or hang together by others.
 
     Shingles that the same nodes have are one atom with a weight. Sets that can be linked share enough of their atoms, so
     the first common one, by rarity, comes early in both. Nodes meet under it; where many do, they part again by the second
     common one, and so on. Short lists are compared pair by pair. Where a path ends, what its nodes share is known,
-    so each is compared with the smallest set alone. Parting stops, and pairs are made, where it would make more
-    rows than there are pairs or does not halve their number.
+    so each is compared with the smallest set alone. Parting stops where it does not halve the number of pairs, or where
+    it would make more than PARTED rows for each row of the first round; what is left then is compared block by block.
     """
     here = sets.join(state.select("node", "component"), "node")
     held = here.select("node", "component", F.explode("members").alias("shingle"))
@@ -252,7 +318,7 @@ def pairs_by_shingles(state: DataFrame, sets: DataFrame, share: int = SHARE) ->
         "node", "component", "size", F.transform("atoms", lambda a: F.xxhash64(a["atom"])).alias("ids"), F.col("atoms.weight").alias("weights")))
     start = F.array(F.struct(F.lit(0).cast("long").alias("path"), F.lit(-1).cast("long").alias("place"), F.lit(0).cast("long").alias("held"),
                              F.lit(1).cast("long").alias("least"), F.array().cast("array<bigint>").alias("skipped")))
-    paths, found, before, most = nodes.withColumn("paths", start), [], None, None
+    paths, found, before, most, spare = nodes.withColumn("paths", start), [], None, None, None
     schema = ", ".join(f"{c} bigint" for c in PATHS[:-2]) + ", skipped array<bigint>, ended boolean"
     # Under a path whose atoms are not the first common ones a pair is not made again; what is left must still suffice.
     meet = F.expr("x.path = y.path and x.component < y.component and not arrays_overlap(x.skipped, y.skipped) and "
@@ -263,10 +329,12 @@ def pairs_by_shingles(state: DataFrame, sets: DataFrame, share: int = SHARE) ->
         asked = paths.select("node", "component", "size", "ids", "weights", "paths")
         if before is not None:
             asked = stored(asked)
-            if (asked.mapInArrow(branches(share, True), "n bigint").agg(F.sum("n").alias("n")).first().n or 0) > most:
-                found.append(pair(before))
+            spare -= asked.mapInArrow(branches(share, True), "n bigint").agg(F.sum("n").alias("n")).first().n or 0
+            if spare < 0:
+                found.append(links_in_blocks(nodes, before, share))
                 break
         parted = stored(asked.mapInArrow(branches(share, False), schema))
+        spare = PARTED * parted.count() if spare is None else spare
         lists = parted.groupBy("path", "ended").agg(
             F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"),
             F.min(F.struct("size", "node", "component")).alias("smallest")).where("low <> high")
@@ -275,7 +343,7 @@ def pairs_by_shingles(state: DataFrame, sets: DataFrame, share: int = SHARE) ->
         # rows of a list times the others in it, halved
         now = long.agg(F.sum((F.col("n") - 1) / 2).alias("n")).first().n or 0
         if before is not None and 2 * now > most:
-            found.append(pair(before))
+            found.append(links_in_blocks(nodes, before, share))
             break
         alike = f"{100 + share} * held >= {share} * (size + smallest.size)"
         found.append(met.where(f"ended and component <> smallest.component and {alike}").select(

@@ -86,3 +86,56 @@ def test_mixtures_make_pairs_in_proportion(spark):
         state = table.select("node", F.col("node").alias("component"))
         made.append(near_dedup.pairs_by_shingles(state, table, 85).count())
     assert made[0] <= near_dedup.SHORT * 400 and made[1] <= near_dedup.SHORT * 1600  # of 79,800 and 1,279,200
+
+
+def family(rng, n, lost):
+    """Sets that each lack ``lost`` runs of five out of 400 and have as many of their own: near copies, hardly ever linked."""
+    sets = {}
+    for d in range(n):
+        gone = {x for i in rng.choice(396, lost, replace=False) for x in range(i, i + 5)}
+        sets[d] = sorted(set(range(400)) - gone) + [10_000 + 100 * d + i for i in range(len(gone))]
+    return sets
+
+
+def counting(monkeypatch):
+    """The numbers of rows that the rounds of parting write, as they are made."""
+    made, write = [], near_dedup.stored
+
+    def stored(df):
+        out = write(df)
+        if out.columns == near_dedup.PATHS:
+            made.append(out.count())
+        return out
+    monkeypatch.setattr(near_dedup, "stored", stored)
+    return made
+
+
+def test_strays_of_a_large_group_make_rows_in_proportion(spark, monkeypatch):
+    """Nine in ten sets hang together and the others do not: parting them all again and again would make many rows for each."""
+    made, totals = counting(monkeypatch), []
+    for n in (100, 400):
+        sets = family(np.random.default_rng(n), n, 6)
+        table = spark.createDataFrame([(d, len(s), s) for d, s in sets.items()], "node BIGINT, size BIGINT, members ARRAY<BIGINT>")
+        state = table.select("node", F.expr("if(node % 10 = 0, node, 1)").alias("component"))
+        made.clear()
+        pairs = near_dedup.pairs_by_shingles(state, table, 80)
+        assert pairs.count() <= n  # of 945 and 15,180 that meet
+        got = near_dedup.confirmed(pairs, None, table, 80)
+        group = state.select("node", "component")
+        want = spark.createDataFrame([*leaders({d: set(s) for d, s in sets.items()}, 80).items()], "a BIGINT, b BIGINT")
+        assert set(components(got.union(group)).collect()) == set(components(want.union(group)).collect())
+        totals.append(sum(made))
+        assert totals[-1] <= 3 * made[0]
+    assert totals[1] <= 6 * totals[0]
+
+
+@pytest.mark.parametrize("seed,share,block", [(5, 85, 1), (6, 80, 300), (7, 60, 3000)])
+def test_blocks_are_compared_exactly(spark, monkeypatch, seed, share, block):
+    for name, value in (("SHORT", 1), ("PARTED", 0), ("BLOCK", block)):
+        monkeypatch.setattr(near_dedup, name, value)
+    sets = grown(np.random.default_rng(seed), 60)
+    table = spark.createDataFrame([(d, len(s), sorted(s)) for d, s in sets.items()], "node BIGINT, size BIGINT, members ARRAY<BIGINT>")
+    state = table.select("node", F.col("node").alias("component"))
+    found = near_dedup.confirmed(near_dedup.pairs_by_shingles(state, table, share), None, table, share)
+    labels = {r.node: r.component for r in components(found).collect()}
+    assert {d: labels.get(d, d) for d in sets} == leaders(sets, share)
