@@ -8,6 +8,8 @@ from mostrador.sources.tables import work_dir
 
 #: Document numbers up to which a list of them is broadcast, about 100 MB as a hash table.
 BROADCAST_IDS = 4_000_000
+#: Rows of a few numbers up to which a table is left for Spark to broadcast, about 25 MB.
+BROADCAST_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +30,20 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_shares(rows: DataFrame) -> DataFrame:
+    """``rows`` for an equi-join that shuffles both sides, whatever Spark takes their size to be.
+
+    Spark sizes rows that no shuffle has counted by the files below them: many rows that an explode makes of one, or values
+    that repeat, take a hundred times that in the driver once broadcast.
+    """
+    return rows.hint("merge")
+
+
+def unless_few(stored_rows: DataFrame) -> DataFrame:
+    """Stored rows :func:`in_shares` where they are more than BROADCAST_ROWS."""
+    return stored_rows if stored_rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else in_shares(stored_rows)
+
+
 def plain_text(column: str | Column) -> Column:
     """The text of a row, empty where it is NULL."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
@@ -58,12 +74,14 @@ def components(edges: DataFrame) -> DataFrame:
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select(
         "node", F.least("node", "near").alias("component")))
+    many = labels.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS
     while True:
+        labels = in_shares(labels) if many else labels
         around = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("near"))
         nearer = labels.join(around, F.col("node") == F.col("a")).select(
             "node", "component", F.least("component", "near").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("component").alias("beyond"))
-        moved = stored(nearer.join(jump, "next").select(
+        moved = stored(nearer.join(in_shares(jump) if many else jump, "next").select(
             "node", F.least("next", "beyond").alias("component"),
             (F.least("next", "beyond") != F.col("component")).alias("moved")))
         labels = moved.select("node", "component")

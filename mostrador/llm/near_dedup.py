@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mostrador.llm.common import by_ids, components, plain_text, stored
+from mostrador.llm.common import by_ids, components, in_shares, plain_text, stored, unless_few
 
 #: Words of a shingle, and per cent of the union that two sets must share where the caller does not say.
 WORDS, SHARE = 5, 85
@@ -122,7 +122,7 @@ def postings(classes: DataFrame, share: int = SHARE) -> DataFrame:
         "node", (F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(
             F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    ranked = tokens.join(shared, "token").groupBy("node").agg(
+    ranked = in_shares(tokens).join(shared, "token").groupBy("node").agg(
         F.sort_array(F.collect_list(F.struct("n", "token"))).alias("values"))
     kept = F.greatest(F.size("values") - (least_agreeing(share) - 1), F.lit(0))
     return ranked.select("node", (COORDINATES - F.size("values")).alias("central"), F.explode(
@@ -134,7 +134,7 @@ def confirmed(pairs: DataFrame, signatures: DataFrame | None, sets: DataFrame, s
 
     Without signatures all are compared by their sets.
     """
-    side = lambda df, name, value: df.select(F.col("node").alias(name), F.col(value).alias(f"of_{name}"))
+    side = lambda df, name, value: in_shares(df.select(F.col("node").alias(name), F.col(value).alias(f"of_{name}")))
     close = pairs if signatures is None else (
         pairs.join(side(signatures, "a", "signature"), "a").join(side(signatures, "b", "signature"), "b")
         .where(agreeing(F.col("of_a"), F.col("of_b")) >= least_agreeing(share)).select(*pairs.columns))
@@ -167,10 +167,10 @@ def able(state: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFrame:
               .where("low <> high").select("shingle"))
     shared = (here.select("node", F.explode("members").alias("shingle")).join(common, "shingle", "left_semi")
               .groupBy("node").agg(F.count("*").alias("shared")))
-    known = left.join(sets.select("node", "size").join(shared, "node"), "node").where(reaches("", "0", share))
+    known = in_shares(left).join(sets.select("node", "size").join(shared, "node"), "node").where(reaches("", "0", share))
     posted = stored(known.select("node", "component", "size", "shared", F.explode("tokens").alias("token")))
     least = open_(posted, least=F.min("size"))
-    return stored(posted.join(least, "token").where(reaches("", "least", share)).groupBy("node", "component", "size", "shared").agg(
+    return stored(in_shares(posted).join(least, "token").where(reaches("", "least", share)).groupBy("node", "component", "size", "shared").agg(
         F.collect_list("token").alias("tokens")))
 
 
@@ -189,7 +189,7 @@ def stars(state: DataFrame, far: Column) -> DataFrame:
     """Pairs (a, b, to) of each node and the most central one, the least ``far``, of each of its lists."""
     posted = state.select("node", "component", far.alias("far"), F.explode("tokens").alias("token"))
     hubs = posted.groupBy("token").agg(F.min(F.struct("far", "node", "component")).alias("hub"))
-    return posted.join(hubs, "token").where("component <> hub.component").select(
+    return in_shares(posted).join(hubs, "token").where("component <> hub.component").select(
         F.col("node").alias("a"), F.col("hub.node").alias("b"), F.col("hub.component").alias("to")).distinct()
 
 
@@ -283,7 +283,7 @@ def links_in_blocks(nodes: DataFrame, lists: DataFrame, share: int) -> DataFrame
     other. Two blocks at a time meet in a task, so no pair of nodes becomes a row.
     """
     family = components(lists.select(F.col("node").alias("a"), F.col("smallest.node").alias("b")))
-    left = nodes.join(family.select("node", F.col("component").alias("family")), "node")
+    left = in_shares(nodes).join(family.select("node", F.col("component").alias("family")), "node")
     held = left.groupBy("family", "component").agg(F.sum(F.size("ids")).alias("held")).withColumn("own", F.col("held") >= BLOCK)
     dealt = held.select("family", "component", "held", "own", F.when(F.col("own"), F.col("component")).otherwise(0).alias("of"))
     many = dealt.groupBy("family", "own", "of").agg(F.ceil(F.sum("held") / BLOCK).alias("blocks"))
@@ -323,7 +323,7 @@ def pairs_by_shingles(state: DataFrame, sets: DataFrame, share: int = SHARE) ->
     # Under a path whose atoms are not the first common ones a pair is not made again; what is left must still suffice.
     meet = F.expr("x.path = y.path and x.component < y.component and not arrays_overlap(x.skipped, y.skipped) and "
                   f"{100 + share} * (x.held + least(x.rest, y.rest)) >= {share} * (x.size + y.size)")
-    pair = lambda rows: rows.alias("x").join(rows.alias("y"), meet).select(
+    pair = lambda rows: in_shares(rows.alias("x")).join(rows.alias("y"), meet).select(
         F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     while True:
         asked = paths.select("node", "component", "size", "ids", "weights", "paths")
@@ -338,7 +338,7 @@ def pairs_by_shingles(state: DataFrame, sets: DataFrame, share: int = SHARE) ->
         lists = parted.groupBy("path", "ended").agg(
             F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"),
             F.min(F.struct("size", "node", "component")).alias("smallest")).where("low <> high")
-        met = stored(parted.join(lists, ["path", "ended"]))
+        met = stored(in_shares(parted).join(lists, ["path", "ended"]))
         long = met.where(f"not ended and n > {SHORT}")
         # rows of a list times the others in it, halved
         now = long.agg(F.sum((F.col("n") - 1) / 2).alias("n")).first().n or 0
@@ -352,7 +352,7 @@ def pairs_by_shingles(state: DataFrame, sets: DataFrame, share: int = SHARE) ->
         if not now:
             break
         before, most = long, now
-        paths = nodes.join(before.groupBy("node").agg(F.collect_list(F.struct(
+        paths = in_shares(nodes).join(before.groupBy("node").agg(F.collect_list(F.struct(
             "path", "place", "held", F.col("smallest.size").alias("least"), "skipped")).alias("paths")), "node")
     pairs = found[0]
     for more in found[1:]:
@@ -370,11 +370,11 @@ def links(posts: DataFrame, signatures: DataFrame | None, sets: DataFrame, share
     is lost. Between rounds a node is one row, whatever number of lists it is in.
     """
     many = posts.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    lists = stored(posts.join(many, "token"))
+    lists = stored(in_shares(posts).join(many, "token"))
     short = lists.where(f"n <= {SHORT}")
     state = stored(lists.where(f"n > {SHORT}").groupBy("node").agg(
         F.any_value("central").alias("central"), F.collect_set("token").alias("tokens")).withColumn("component", F.col("node")))
-    pairs = short.alias("x").join(short.alias("y"), F.expr("x.token = y.token and x.node < y.node")).select(
+    pairs = in_shares(short.alias("x")).join(short.alias("y"), F.expr("x.token = y.token and x.node < y.node")).select(
         F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.lit(None).cast("long").alias("to"))
     found = stored(confirmed(pairs.distinct().union(stars(state, F.col("central"))), signatures, sets, share))
     new, posted = found.where("to is not null"), None
@@ -415,7 +415,7 @@ def near_groups(docs: DataFrame, share: int = SHARE) -> DataFrame:
                   .join(wanted.select("digest", "node"), "digest").dropDuplicates(["node"]).select("node", "size", "members"))
     found = stored(links(posts, wanted.select("node", "signature"), sets, share))
     labels = components(found)
-    of_digest = classes.select("digest", "node").join(labels, "node", "left").select(
+    of_digest = classes.select("digest", "node").join(unless_few(labels), "node", "left").select(
         "digest", F.coalesce("component", "node").alias("component"))
     grouped = sketches.select("doc_id", "n_shingles", "digest").join(of_digest, "digest", "left")
     first = grouped.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mostrador.llm.common import by_ids, plain_text, stored, text_partitions
+from mostrador.llm.common import by_ids, in_shares, plain_text, stored, text_partitions, unless_few
 
 ORDER = 4
 #: Text bytes of a block, and UTF-16 units looked at together in a task.
@@ -112,9 +112,9 @@ class Model:
         for order in range(1, ORDER + 1):
             d = self.takes[order]
             part = F.col("gram").bitwiseAND(F.lit((1 << 16 * order) - 1)) if order < 4 else F.col("gram")
-            counts = self.counts[order].select(F.col("gram").alias("part"), "n")
+            counts = unless_few(self.counts[order]).select(F.col("gram").alias("part"), "n")
             out = out.withColumn("part", part).join(counts, "part", "left")
-            out = out.withColumn("context", F.shiftrightunsigned("part", 16)).join(self.contexts[order], "context", "left")
+            out = out.withColumn("context", F.shiftrightunsigned("part", 16)).join(unless_few(self.contexts[order]), "context", "left")
             left = F.col("n") - F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
             p = F.coalesce(left / F.col("total"), F.lit(0.0)) + F.coalesce("over", F.lit(1.0)) * F.col("p")
             out = out.select("gram", p.alias("p"))
@@ -224,7 +224,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
              .mapInArrow(pack(kind), f"block int, ids array<{name}>, langs array<string>, sizes array<int>, body binary")
              .repartition("block"))
     wanted = packs.mapInArrow(wanted_grams, "block int, gram bigint")  # of all columns: so both uses share one shuffle
-    answers = wanted.join(model.bits(wanted), "gram").select("block", "gram", "bits")
+    answers = in_shares(wanted).join(model.bits(wanted), "gram").select("block", "gram", "bits")
     return packs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         score_block(kind), f"doc_id {name}, lang string, n_symbols bigint, bits double")
 
@@ -245,7 +245,8 @@ def limits(scored: DataFrame, held: DataFrame) -> DataFrame:
     enough = F.col("n") >= LEAST_MIDDLE
     of_lang = known.groupBy(F.col("lang").alias("of")).agg(middle, high, F.count("*").alias("n")).select("of", "n", *[
         F.when(enough, F.col(c)).otherwise(F.lit(every[c]).cast("double")).alias(c) for c in ("middle", "high")])
-    apart = stored(known.join(of_lang, F.col("lang").eqNullSafe(F.col("of"))).select(
+    # Every language of ``known`` is in the other; a left join so that ``known`` itself is never broadcast.
+    apart = stored(known.join(of_lang, F.col("lang").eqNullSafe(F.col("of")), "left").select(
         "lang", ((F.col("bits") - F.col("middle")) * F.sqrt("n_symbols")).alias("distance")))
     far = apart.agg(reach).first().reach
     reaches = apart.groupBy("lang").agg(reach, F.count("*").alias("m")).where(F.col("m") >= LEAST_REACH)

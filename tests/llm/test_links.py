@@ -1,5 +1,7 @@
 """Links between sets against all pairs, and how many pairs they take."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -139,3 +141,34 @@ def test_blocks_are_compared_exactly(spark, monkeypatch, seed, share, block):
     found = near_dedup.confirmed(near_dedup.pairs_by_shingles(state, table, share), None, table, share)
     labels = {r.node: r.component for r in components(found).collect()}
     assert {d: labels.get(d, d) for d in sets} == leaders(sets, share)
+
+
+def exploded_broadcasts(df):
+    """Broadcasts of the plan that ran whose rows come from an explode without a shuffle that counted them."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    found, inside, counted = [], None, None
+    for line in plan.splitlines():
+        depth = len(re.match("[ :]*([+:]- )?", line)[0])
+        if "BroadcastExchange" in line:
+            inside, counted = depth, None
+        elif inside is not None and depth <= inside:
+            inside = None
+        if inside is None:
+            continue
+        if counted is None or depth <= counted:
+            counted = depth if re.search("ShuffleQueryStage| Exchange ", line) else None
+        if counted is None and re.search("Generate |MapInArrow ", line):
+            found.append(line)
+    return found
+
+
+def test_nothing_exploded_is_broadcast(spark, monkeypatch):
+    """Spark sizes a file's rows before an explode: 48 rows of each signature, all shingles of each set."""
+    monkeypatch.setattr(near_dedup, "SHORT", 2)
+    sets = grown(np.random.default_rng(3), 60)
+    docs = spark.createDataFrame([(d, " ".join(f"w{x} a b c d" for x in sorted(s))) for d, s in sets.items()], SCHEMA)
+    found, plain = [], near_dedup.stored
+    monkeypatch.setattr(near_dedup, "stored", lambda df: found.extend(exploded_broadcasts(df)) or plain(df))
+    near_dedup.near_groups(docs).collect()
+    assert not found
