@@ -34,6 +34,14 @@ def _repeated(orders: DataFrame, key: str) -> DataFrame:
     return counts.where("_rows > 1").select("_place", key, F.lit(True).alias("_repeated"))
 
 
+def refused_keys(orders: DataFrame, key: str = "idcompra", taken: DataFrame | None = None) -> DataFrame:
+    """The keys that more than one row has, and those of the rows that were ``taken`` before."""
+    repeated = _repeated(orders, key)
+    if taken is None:
+        return repeated
+    return repeated.unionByName(taken.select(_place(key).alias("_place"), key, F.lit(True).alias("_repeated"))).distinct()
+
+
 def _baskets(orders: DataFrame, products: DataFrame, key: str) -> DataFrame:
     """One row per order with its lines at list conditions, their sum, and what is wrong with them.
 
@@ -49,7 +57,8 @@ def _baskets(orders: DataFrame, products: DataFrame, key: str) -> DataFrame:
     priced = lines.join(prices, "idproducto", "left").withColumn("total_producto", money)
     line = F.struct("pos", "idproducto", "cantidad", "talla", "tipo_personalizacion", "total_producto", "clave")
     is_line = F.col("pos").isNotNull()
-    per_order = priced.groupBy(_place(key).alias("_place"), key).agg(
+    # Collecting shrinks nothing before the shuffle, so the lines are spread by order first.
+    per_order = priced.withColumn("_place", _place(key)).repartition("_place", key).groupBy("_place", key).agg(
         F.sum("total_producto").alias("_sum"),
         F.bool_or("missing").alias("_missing"), F.bool_and("readable").alias("_readable"),
         F.count("pos").alias("_n"),
@@ -63,17 +72,15 @@ def _baskets(orders: DataFrame, products: DataFrame, key: str) -> DataFrame:
 
 
 def _checked(orders: DataFrame, headers: DataFrame, products: DataFrame, header_problem, key: str = "idcompra",
-             taken: DataFrame | None = None) -> DataFrame:
+             refused: DataFrame | None = None) -> DataFrame:
     """Headers with their priced lines, and ``reason`` set on the orders to refuse.
 
     ``_percent`` on the headers is the discount. It is the same for a whole order, so it is applied after
     the lines are gathered and the lines never have to meet users or coupons. Rows without a key, and all rows
-    that share one or have one of the keys ``taken`` before, are refused before their baskets are opened, so no two
-    baskets ever mix.
+    that share one or have one of the keys ``refused`` (:func:`refused_keys`), are refused before their baskets are opened,
+    so no two baskets ever mix.
     """
-    repeated = _repeated(orders, key)
-    if taken is not None:
-        repeated = repeated.unionByName(taken.select(_place(key).alias("_place"), key, F.lit(True).alias("_repeated"))).distinct()
+    repeated = refused_keys(orders, key) if refused is None else refused
     at = ["_place", key]
     single = orders.select(_place(key).alias("_place"), key, "productos").where(F.col(key).isNotNull()).join(repeated, at, "left_anti")
     others = [f.name for f in headers.schema if f.name != key and isinstance(f.dataType, T.AtomicType)]
@@ -92,11 +99,11 @@ def _checked(orders: DataFrame, headers: DataFrame, products: DataFrame, header_
 
 
 def checked_orders(orders: DataFrame, users: DataFrame, products: DataFrame, coupons: DataFrame, as_of,
-                   taken: DataFrame | None = None) -> DataFrame:
-    """All orders with priced lines and, where the order must be refused, the ``reason``; so are those with an id ``taken``.
+                   refused: DataFrame | None = None) -> DataFrame:
+    """All orders with priced lines and, where the order must be refused, the ``reason``.
 
     The parts that :func:`price_orders` returns are read off this one DataFrame; a job that writes all
-    of them can persist it first.
+    of them can store it first. One that prices the orders slice by slice gives the :func:`refused_keys` of all of them.
     """
     valid = (checkout_coupons(coupons, as_of).groupBy(F.col("codigo").alias("codigoCupon"))
              .agg(F.min_by(F.struct("porcentaje"), "idcupon").alias("_coupon")))
@@ -106,7 +113,7 @@ def checked_orders(orders: DataFrame, users: DataFrame, products: DataFrame, cou
                .withColumn("_percent", percent))
     problem = (F.when(F.col("_buyer").isNull(), "unknown_user")
                .when(is_set(F.col("codigoCupon")) & F.col("_coupon").isNull(), "invalid_coupon"))
-    return _checked(orders, headers, products, problem, taken=taken).drop("_buyer", "_coupon")
+    return _checked(orders, headers, products, problem, refused=refused).drop("_buyer", "_coupon")
 
 
 def accepted_parts(checked: DataFrame, key: str = "idcompra") -> tuple[DataFrame, DataFrame, DataFrame]:

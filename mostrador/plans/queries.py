@@ -1240,7 +1240,8 @@ def _intake(s, rules=None):
     """Order requests as JSON files, taken in by the stream; gives the folder of its outputs."""
     work = tables.work_dir(s.spark)
     line = "ARRAY<STRUCT<idproducto: BIGINT, cantidad: INT, talla: STRING, tipo_personalizacion: STRING>>"
-    s.order_requests.withColumn("productos", F.from_json("productos", line)).write.json(f"{work}/in")
+    with tables.shuffles_removed(s.spark):
+        s.order_requests.withColumn("productos", F.from_json("productos", line)).write.json(f"{work}/in", compression="gzip")
     orders = tables.read_orders(s.spark, f"{work}/in", streaming=True)
     jobs.start_order_intake(orders, s.users, s.producto, s.cupones, AS_OF, f"{work}/out", f"{work}/state", rules,
                             s.user_cupones, s.cupones_usados).awaitTermination()

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -32,7 +34,19 @@ def batch_owner(spark: SparkSession) -> str:
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     """Store one micro-batch in a partition of its query and batch, so that a retried batch replaces itself only."""
     owner = batch_owner(df.sparkSession)
-    df.write.mode("overwrite").parquet(f"{path}/query_id={owner}/batch_id={batch_id}")
+    df.write.mode("overwrite").parquet(f"{path}/query_id={owner}/batch_id={batch_id}", compression="zstd")
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is written within leaves no shuffle files behind; else they stay until the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def read_batches(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:

@@ -20,9 +20,10 @@ from mostrador.functions.scalars import clock_seconds, month_text
 from mostrador.operators.changes import rating_fits
 from mostrador.operators.coupons import first_by_quota, grant_coupons, offers_of_users, suitable_offer
 from mostrador.operators.pricing import (
-    accepted_parts, checked_orders, delivery_rows, marks_state, merge_marks, payment_marks, payment_rejects, personalisation_rows)
+    accepted_parts, checked_orders, delivery_rows, marks_state, merge_marks, payment_marks, payment_rejects, personalisation_rows,
+    refused_keys)
 from mostrador.sources.tables import (
-    CORRUPT, batch_owner, committed, commit_batch, read_batches, split_corrupt, write_batch)
+    CORRUPT, batch_owner, committed, commit_batch, read_batches, shuffles_removed, split_corrupt, write_batch)
 from mostrador.sources.versions import Versions, children, remove
 
 ACCEPTED = "idsolicitud BIGINT, iduser BIGINT, idcupon BIGINT, codigo STRING, porcentaje {percent}, ts TIMESTAMP_NTZ"
@@ -30,6 +31,9 @@ GRANTS = "iduser BIGINT, idcupon BIGINT, codigo STRING"
 ONCE = {"availableNow": True}
 #: Batches after which the payment marks are merged into a new version.
 MERGED_AFTER = 8
+#: Order requests that are priced at a time, and into how many slices a batch is cut at most. Ids refused up to which Spark may
+#: broadcast them.
+SLICE, SLICES, FEW_IDS = 400_000, 4, 200_000
 
 
 def daily_visits(visits: DataFrame, lateness: str = "1 day") -> DataFrame:
@@ -84,6 +88,12 @@ def _each_batch(stream: DataFrame, handle, checkpoint: str, trigger: dict | None
             .trigger(**(trigger or ONCE)).start())
 
 
+def _kept(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` added to what lies at ``path``, which is given. Packed files take a fraction of cached rows that spill."""
+    rows.write.mode("append").parquet(path, compression="zstd")
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def earlier_orders(requests: DataFrame, out: str, batch_id: int) -> DataFrame:
     """The ids of earlier committed orders (idcompra) that lie in the range of these requests' ids.
 
@@ -105,41 +115,56 @@ def start_order_intake(orders: DataFrame, users: DataFrame, products: DataFrame,
     carry them; and, when ``rules`` are given with the claims and uses, the coupon grants. ``as_of`` may be a column
     of the requests, such as their arrival time, to judge coupons at each request's own time.
 
+    A batch is stored below ``checkpoint`` while it is worked on, and priced in SLICES of the ids, so that the shuffle files of one
+    slice are gone before the next begins.
+
     A request whose id an earlier batch has accepted is refused as ``repeated_order``, so one that is sent again makes no
     second order; see :func:`earlier_orders` for what is read for that. A batch counts once all its parts are there: read them by
     :func:`mostrador.sources.tables.committed`, which leaves out batches without their commit record.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist()  # several outputs from one reading; a lost block is read again
-        good = batch
+        spark, work = batch.sparkSession, f"{checkpoint}/intake"
+        remove(spark, work)  # of a try that was lost
+        try:
+            with shuffles_removed(spark):
+                store(_kept(batch, f"{work}/requests"), batch_id, work)
+        finally:
+            remove(spark, work)
+
+    def store(batch: DataFrame, batch_id: int, work: str) -> None:
+        spark, good = batch.sparkSession, batch
         if CORRUPT in batch.columns:
             good, corrupt = split_corrupt(batch)
             write_batch(corrupt, f"{out}/corrupt", batch_id)
         before = earlier_orders(good, out, batch_id)
         again = good.select("idcompra").join(before, "idcompra", "left_semi").distinct()
-        checked = checked_orders(good, users, products, coupons, as_of, again).persist()
-        try:
-            priced, lines, rejects = accepted_parts(checked)
-            details = priced.select(F.col("idcompra").alias("iddetalle"), *[
-                c for c in ("idcompra", "productos", "total", "codigoCupon") if c in priced.columns])
-            parts = {"orders": priced, "details": details, "lines": lines, "rejects": rejects}
-            accepted = checked.where("reason IS NULL")
-            if "detalleEntrega" in checked.columns:
-                parts["delivery"] = delivery_rows(accepted)
-            if "detallePersonalizacion" in checked.columns:
-                parts["personalisation"] = personalisation_rows(accepted.withColumnRenamed("lineas", "productos"))
-            if rules is not None:
-                granted = committed(spark, out, "grants", GRANTS, before=batch_id)
-                claims = user_cupones.select("iduser", "idcupon").unionByName(granted.select("iduser", "idcupon"))
-                parts["grants"], parts["missing_grants"] = grant_coupons(lines, rules, coupons, claims, cupones_usados)
-            for name, part in parts.items():
-                write_batch(part, f"{out}/{name}", batch_id)
-            commit_batch(spark, out, batch_id, list(parts))
-        finally:
-            checked.unpersist()
-            batch.unpersist()
+        refused = _kept(refused_keys(good, taken=again), f"{work}/refused")
+        if refused.count() > FEW_IDS:
+            refused = refused.hint("merge")
+        slices = max(1, min(SLICES, -(-good.count() // SLICE)))
+        place = F.pmod(F.xxhash64("idcompra", F.lit(slices)), F.lit(slices))
+        for i in range(slices):
+            checked = _kept(checked_orders(good.where(place == i), users, products, coupons, as_of, refused), f"{work}/checked")
+        remove(spark, f"{work}/requests")
+        priced, lines, rejects = accepted_parts(checked)
+        parts = {"lines": lines, "rejects": rejects}
+        accepted = checked.where("reason IS NULL")
+        if "detalleEntrega" in checked.columns:
+            parts["delivery"] = delivery_rows(accepted)
+        if "detallePersonalizacion" in checked.columns:
+            parts["personalisation"] = personalisation_rows(accepted.withColumnRenamed("lineas", "productos"))
+        if rules is not None:
+            granted = committed(spark, out, "grants", GRANTS, before=batch_id)
+            claims = user_cupones.select("iduser", "idcupon").unionByName(granted.select("iduser", "idcupon"))
+            parts["grants"], parts["missing_grants"] = grant_coupons(lines, rules, coupons, claims, cupones_usados)
+        write_batch(priced, f"{out}/orders", batch_id)
+        stored = spark.read.schema(priced.schema).parquet(f"{out}/orders/query_id={batch_owner(spark)}/batch_id={batch_id}")
+        parts["details"] = stored.select(F.col("idcompra").alias("iddetalle"), *[
+            c for c in ("idcompra", "productos", "total", "codigoCupon") if c in stored.columns])
+        for name, part in parts.items():
+            write_batch(part, f"{out}/{name}", batch_id)
+        commit_batch(spark, out, batch_id, ["orders", *parts])
 
     return _each_batch(orders, handle, checkpoint, trigger)
 

@@ -403,3 +403,43 @@ def test_order_requests_are_written_by_many_tasks(spark, shop, all_partitions):
     out = queries._intake(shop)
     assert len(sources(spark, out)) > 3
     assert batches(f"{out}/commits", spark) == 1
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+@pytest.mark.parametrize("start", [queries._intake])
+def test_order_intake_leaves_nothing_but_its_parts(spark, shop, start, monkeypatch):
+    """The requests are packed; shuffle files and what is kept while a batch is worked on go with it."""
+    monkeypatch.setattr(jobs, "SLICE", 700)
+    before = shuffle_files(spark)
+    out = start(shop)
+    work = out.removesuffix("/out")
+    assert not shuffle_files(spark) - before
+    assert "intake" not in jobs.children(spark, f"{work}/state")
+    assert {n.rsplit(".", 1)[1] for n in jobs.children(spark, f"{work}/in") if n.startswith("part-")} == {"gz"}
+    expected = pricing.price_orders(shop.order_requests, shop.users, shop.producto, shop.cupones, AS_OF)
+    for name, part in zip(("orders", "lines"), expected):
+        stored = spark.read.parquet(f"{out}/{name}").select(part.columns)
+        assert stored.count() == part.count() and stored.exceptAll(part).isEmpty()
+
+
+def test_slices_refuse_the_same_requests(spark, make, tmp_path, rows, monkeypatch):
+    """Ids that repeat, that are missing and that came before, when every slice has a few requests."""
+    monkeypatch.setattr(jobs, "SLICE", 3)
+    monkeypatch.setattr(jobs, "FEW_IDS", 0)
+    users, goods = make("users", "iduser", (1,)), make("producto", "idproducto, p_final, clave", (10, 5, "x"))
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for numbers in ([*range(6), 3, 5, 5, "null", "null"], [2, *range(4, 9), 8, "null"]):
+        texts = [(f'{{"idcompra": {n}, "iduser": 1, "productos": [{{"idproducto": 10, "cantidad": 1}}]}}',) for n in numbers]
+        spark.createDataFrame(texts, "value STRING").coalesce(1).write.mode("append").text(source)
+        jobs.start_order_intake(tables.read_orders(spark, source, streaming=True), users, goods, make("cupones", "idcupon"),
+                                AS_OF, out, state).awaitTermination()
+    read = lambda part, *columns: rows(spark.read.parquet(f"{out}/{part}"), *columns)
+    assert read("orders", "idcompra", "batch_id") == sorted([(0, 0), (1, 0), (2, 0), (4, 0), (5, 1), (6, 1), (7, 1)])
+    assert read("details", "iddetalle") == [(n,) for n in (0, 1, 2, 4, 5, 6, 7)]
+    refused = [(3, 0)] * 2 + [(5, 0)] * 3 + [(2, 1), (4, 1), (8, 1), (8, 1)]
+    assert read("rejects", "idcompra", "batch_id", "reason") == sorted(
+        [(*r, "repeated_order") for r in refused] + [(None, b, "missing_order_id") for b in (0, 0, 1)], key=repr)
