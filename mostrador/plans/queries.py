@@ -1329,7 +1329,8 @@ def _sent_again(s):
     line = "ARRAY<STRUCT<idproducto: BIGINT, cantidad: INT, talla: STRING, tipo_personalizacion: STRING>>"
     asked = s.order_requests.withColumn("productos", F.from_json("productos", line))
     for sent in (asked, asked.where("idcompra % 3 = 0")):
-        sent.write.mode("append").json(f"{work}/in")
+        with tables.shuffles_removed(s.spark):
+            sent.write.mode("append").json(f"{work}/in", compression="gzip")
         jobs.start_order_intake(tables.read_orders(s.spark, f"{work}/in", streaming=True), s.users, s.producto, s.cupones, AS_OF,
                                 f"{work}/out", f"{work}/state").awaitTermination()
     return f"{work}/out"

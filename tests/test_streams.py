@@ -410,7 +410,7 @@ def shuffle_files(spark):
     return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
 
 
-@pytest.mark.parametrize("start", [queries._intake])
+@pytest.mark.parametrize("start", [queries._intake, queries._sent_again])
 def test_order_intake_leaves_nothing_but_its_parts(spark, shop, start, monkeypatch):
     """The requests are packed; shuffle files and what is kept while a batch is worked on go with it."""
     monkeypatch.setattr(jobs, "SLICE", 700)
